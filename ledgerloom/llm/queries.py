@@ -5,9 +5,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.blocks import newest
 from ..plans.problems import table
 from ..plans.scratch import Scratch
-from . import leaks
+from . import conversations, leaks, residue
+
+
+def residue_records(spark: SparkSession, folder: str) -> DataFrame:
+    """(src, rec_key, text) of predictions and of the counting rows of archived and active summaries."""
+    probes = table(spark, folder, "probe_predictions")
+    keys = ("run_id", "system", "episode_id", "probe_index")
+    whole = [F.col(k).isNotNull() for k in keys]
+    said = probes.filter(whole[0] & whole[1] & whole[2] & whole[3]).select(F.lit("prediction").alias("src"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("rec_key"), F.col("prediction").alias("text"))
+    for name, src in (("archived_summaries", "archived"), ("active_summaries", "active")):
+        rows = table(spark, folder, name).filter(F.col("summary_id").isNotNull())
+        last = newest(rows, ["summary_id"], [F.coalesce("ts", F.lit(float("-inf")))], ["text"])
+        said = said.unionByName(last.select(F.lit(src).alias("src"), F.col("summary_id").alias("rec_key"), "text"))
+    return said.filter(F.col("text").isNotNull())
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records that hold residue instead of content."""
+    records = residue_records(spark, folder)
+    return residue.classify(records, residue.build(records)).select("src", "rec_key").distinct()
+
+
+def p2_kinds(spark: SparkSession, folder: str) -> DataFrame:
+    """Residue with its kind and its coverage in parts per thousand."""
+    records = residue_records(spark, folder)
+    return residue.classify(records, residue.build(records)).select("src", "rec_key", "kind", "coverage").distinct()
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The records without residue."""
+    records = residue_records(spark, folder)
+    out = residue.classify(records, residue.build(records)).select("src", "rec_key")
+    return records.join(out, ["src", "rec_key"], "left_anti").distinct()
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Episodes to drop, with the reasons."""
+    return conversations.reasons(conversations.states(conversations.turns(table(spark, folder, "raw_records"))))
+
+
+def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages of the conversations that are whole, in order, with speaker roles."""
+    turns = Scratch(spark, "conversations").cut(conversations.turns(table(spark, folder, "raw_records")))
+    return conversations.messages(turns, conversations.reasons(conversations.states(turns)))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +65,6 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "stretch", "item_chars", F.col("answered").cast("int").alias("answered"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_leaks)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_clean, p3_found, p3_conversations, p7_found, p7_leaks)}
 
 SQL: dict[str, str] = {}
