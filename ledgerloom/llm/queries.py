@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import newest
 from ..plans.problems import table
 from ..plans.scratch import Scratch
-from . import conversations, leaks, residue
+from . import conversations, leaks, pairs, residue
 
 
 def residue_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +54,18 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.messages(turns, conversations.reasons(conversations.states(turns)))
 
 
+def p6_defects(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs with the posterior of each defect in parts per thousand."""
+    probes = table(spark, folder, "probe_predictions")
+    index = residue.build(probes.select(F.col("prediction").alias("text")))
+    return pairs.defects(probes, index, Scratch(spark, "pairs"))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Defective pairs and the kind of their defects."""
+    return p6_defects(spark, folder).drop("posterior")
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents and the evaluation items that leaked into them."""
     return p7_leaks(spark, folder).select("doc_id", "item_id")
@@ -65,6 +77,6 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "stretch", "item_chars", F.col("answered").cast("int").alias("answered"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_clean, p3_found, p3_conversations, p7_found, p7_leaks)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_clean, p3_found, p3_conversations, p6_found, p6_defects, p7_found, p7_leaks)}
 
 SQL: dict[str, str] = {}
