@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.blocks import newest
 from ..plans.problems import table
 from ..plans.scratch import Scratch
-from . import conversations, leaks, pairs, residue
+from . import chunks, conversations, leaks, mixing, pairs, percentiles, residue
 
 
 def residue_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +54,36 @@ def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.messages(turns, conversations.reasons(conversations.states(turns)))
 
 
+def _measured(spark: SparkSession, folder: str, group: list[str]) -> DataFrame:
+    probes = table(spark, folder, "probe_predictions")
+    return percentiles.measured(probes, ["run_id", "system", "episode_id", "probe_index"], group, ["latency_ms", "context_tokens"])
+
+
+def _as_text(found: DataFrame, keys: list[str]) -> DataFrame:
+    return found.select(
+        *keys,
+        F.format_string("%.3f", F.col("quantile")).alias("quantile"),
+        F.format_string("%.6f", F.col("estimate")).alias("estimate"),
+        "n",
+        "below",
+        "upto",
+        F.ceil(F.col("error") * 1e6).cast("bigint").alias("error_ppm"),
+    )
+
+
+def p5_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """Percentiles per system, with the exact rank interval of each estimate and its error in parts per million."""
+    keys = ["system", "metric"]
+    return _as_text(percentiles.percentiles(_measured(spark, folder, ["system"]), keys, Scratch(spark, "percentiles")), keys)
+
+
+def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Medians and tails per run and system."""
+    keys = ["run_id", "system", "metric"]
+    found = percentiles.percentiles(_measured(spark, folder, ["run_id", "system"]), keys, Scratch(spark, "percentiles"), quantiles=(0.5, 0.95))
+    return _as_text(found, keys)
+
+
 def p6_defects(spark: SparkSession, folder: str) -> DataFrame:
     """Defective pairs with the posterior of each defect in parts per thousand."""
     probes = table(spark, folder, "probe_predictions")
@@ -77,6 +107,27 @@ def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "stretch", "item_chars", F.col("answered").cast("int").alias("answered"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_clean, p3_found, p3_conversations, p6_found, p6_defects, p7_found, p7_leaks)}
+def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    scratch = Scratch(spark, "mixing")
+    counts = scratch.cut(mixing.token_counts(table(spark, folder, "documents")))
+    return mixing.mixture(counts, table(spark, folder, "mix_targets"), scratch)
+
+
+def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture: documents with their copies."""
+    return _mixed(spark, folder)[0]
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares reached against the targets."""
+    return mixing.shares(*_mixed(spark, folder))
+
+
+def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as pieces of at most 512 tokens with 48 tokens of overlap."""
+    return chunks.split(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_clean, p3_found, p3_conversations, p5_percentiles, p5_runs, p6_found, p6_defects, p7_found, p7_leaks, p8_mixture, p8_shares, p9_pieces)}
 
 SQL: dict[str, str] = {}
