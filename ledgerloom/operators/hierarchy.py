@@ -26,6 +26,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..plans.blocks import running_total
 from ..plans.scratch import Scratch
 
@@ -217,8 +218,7 @@ def resolve_references(refs: DataFrame, ids: DataFrame) -> DataFrame:
     reference may lack the episode (its owner's is meant), the hash or both; outer blanks
     don't count; a given hash must agree.  Returns (owner, target) for those that match.
     """
-    blanks = r"^[\s 　​﻿]+|[\s 　​﻿]+$"
-    word = F.regexp_replace("ref", blanks, "")
+    word = strip(F.col("ref"))
     keys = ids.select(F.col("id").alias("target"), episode_of("id").alias("_episode"), short_of("id").alias("_short"), hash_of("id").alias("_hash"))
     asked = refs.select("owner", word.alias("_ref")).filter(F.length("_ref") > 0)
     asked = asked.select(

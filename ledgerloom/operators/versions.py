@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_digits
+from ..functions.text import EDGES, letters_digits
 from ..plans.blocks import previous_in_order
 
 OPEN = -1
@@ -28,13 +28,13 @@ OPEN = -1
 
 def slot_key(slot: Column) -> Column:
     """Lower case, with ``_``, ``-`` and blanks as one blank and none outside."""
-    return F.trim(F.regexp_replace(F.lower(slot), r"[\s_\- 　​﻿]+", " "))
+    return F.trim(F.regexp_replace(F.lower(slot), rf"[{EDGES}_\-]+", " "))
 
 
 def claims(rows: DataFrame, turn: str, rank: int, record: Column) -> DataFrame:
     """Observations in one form.  ``rank`` orders the sources that claim the same turn; ``record`` the claims of a source."""
     erased = F.coalesce("erased", F.lit(False))
-    said = F.coalesce(F.regexp_replace("value", r"[\s 　​﻿]+", ""), F.lit(""))
+    said = F.coalesce(F.regexp_replace("value", rf"[{EDGES}]+", ""), F.lit(""))
     out = rows.select(
         F.col("episode_id"),
         slot_key(F.col("slot")).alias("slot"),
