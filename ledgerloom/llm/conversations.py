@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_digits
+from ..functions.text import EDGES, letters_digits, strip
 from ..plans.blocks import newest
 
 BLOCK = 1024
@@ -26,13 +26,13 @@ SPOKE, UNANSWERED, CLASH, GAP = 1, 2, 4, 8
 STAND_INS = ["none", "null", "nil", "nan", "na", "undefined", "empty", "missing", "blank", "noresponse", "noreply", "noanswer", "nomessage", "nocontent", "notext", "unavailable", "notavailable", "notapplicable", "无回复", "无", "空", "无内容", "没有回复", "未回复", "暂无", "无消息", "无回答", "空白", "缺失", "无响应", "未填写"]
 LABELS = "user|human|customer|client|assistant|agent|bot|ai|model|system|speaker|用户|助手|客服|客户|助理|代理|机器人|智能体|系统|模型"
 
-_EDGE = r"[\s 　​‌‍⁠﻿]"
+_EDGE = f"[{EDGES}]"
 _LABEL = rf"(?i)^{_EDGE}*(?:[\[<(【（*]+{_EDGE}*(?:{LABELS}){_EDGE}*[\]>)】）*]+{_EDGE}*[:：]?|(?:{LABELS}){_EDGE}*[:：]){_EDGE}*"
 
 
 def bare(text: Column) -> Column:
     """The text without a leading speaker label and outer blanks."""
-    return F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _LABEL, ""), rf"^{_EDGE}+|{_EDGE}+$", "")
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), _LABEL, ""))
 
 
 def says(text: Column) -> Column:
@@ -45,7 +45,7 @@ def turns(raw: DataFrame) -> DataFrame:
     """One row per (episode, ordinal) of the counting rows: facts and texts."""
     rows = raw.filter(F.col("episode_id").isNotNull()).select(
         F.coalesce("reference_id", F.concat(F.lit("\0"), F.xxhash64("episode_id", "turn_index", "user_msg", "agent_msg", "ts").cast("string"))).alias("reference_id"),
-        F.regexp_replace("episode_id", rf"^{_EDGE}+|{_EDGE}+$", "").alias("episode_id"),
+        strip(F.col("episode_id")).alias("episode_id"),
         F.col("turn_index").cast("int").alias("turn_index"),
         "user_msg",
         "agent_msg",

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from ..plans.scratch import Scratch
 from .tokens import DEFAULT, encoding
 
@@ -28,7 +29,7 @@ FAN_IN, SEED = 64, 20240917
 
 
 def source_key(source: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_replace(source, r"^[\s 　]+|[\s 　]+$", "")), "-", "_")
+    return F.regexp_replace(F.lower(strip(source)), "-", "_")
 
 
 def token_counts(documents: DataFrame, tokenizer: str = DEFAULT) -> DataFrame:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_digits
+from ..functions.text import letters_digits, strip
 from ..plans.scratch import Scratch
 from .conversations import STAND_INS
 from .residue import COVERAGE, Index
@@ -29,7 +29,6 @@ from .residue import COVERAGE, Index
 KEYS = ["run_id", "system", "episode_id", "probe_index"]
 CUTOFFS, ROUNDS, SMOOTH = (0.5, 0.95), 60, 1.0
 
-_EDGE = r"[\s 　​‌‍⁠﻿]"
 #: Words by which a sentence shows its language; scripts of others; answers that look like stand-ins.
 WORDS = {
     "en": r"the|was|is|it|of|that|you|your|and|we|this|not|has|been|to|for|with|says|answer|said|there|they|have|had|but|according|found|sorry",
@@ -58,7 +57,7 @@ LEAD = ["", "question", "q", "youasked", "theuserasked", "thequestionis", "yourq
 
 
 def _strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), rf"^{_EDGE}+|{_EDGE}+$", "")
+    return strip(F.coalesce(c, F.lit("")))
 
 
 def _vote(yes: Column, no: Column | None = None) -> Column:
