@@ -64,3 +64,17 @@ def newest(df: DataFrame, keys: list[str], order: list[Column], keep: list[str])
     """
     ranked = F.max(F.struct(*[c.alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in keep]))
     return df.groupBy(*keys).agg(ranked.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in keep])
+
+
+def running_total_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str, descending: bool = False, width: int = 65536) -> DataFrame:
+    """Sum of ``value`` from the first row of ``keys`` to this one, by the non-negative integer ``order``, in blocks of ``width`` orders.
+
+    Rows with equal order come in as one (RANGE frame), so the result doesn't depend on how ties are read.
+    """
+    up = lambda c: F.col(c).desc() if descending else F.col(c).asc()
+    cut = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
+    inner = Window.partitionBy(*keys, "_block").orderBy(up(order)).rangeBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*keys).orderBy(up("_block")).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(*keys, "_block").agg(F.sum(value).alias("_total")).withColumn("_ahead", F.coalesce(F.sum("_total").over(outer), F.lit(0))).drop("_total")
+    cut = cut.withColumn("_in", F.sum(value).over(inner))
+    return cut.join(blocks, [*keys, "_block"]).withColumn(out, F.col("_in") + F.col("_ahead")).drop("_block", "_in", "_ahead")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import problems, problems_sql
+from . import memory_queries, memory_sql, problems, problems_sql
 
 
 def queries():
-    return dict(problems.QUERIES)
+    return memory_queries.QUERIES | problems.QUERIES
 
 
 def oracle_sql():
-    return dict(problems_sql.SQL)
+    return memory_sql.SQL | problems_sql.SQL

@@ -1,0 +1,537 @@
+"""Queries of the memory tables: ledger, audit, retrieval, context, text and evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import audit as A
+from ..operators import canonical as C
+from ..operators import context as X
+from ..operators import facts as L
+from ..operators import retrieval as R
+from ..operators import scoring as S
+from ..operators.hierarchy import expand_paths
+from .problems import forests, table
+
+
+class Memory:
+    """The canonical tables of a folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        t = lambda name: table(spark, folder, name)
+        self.raw = C.raw_turns(t("raw_records"))
+        self.archive = C.archived(t("archived_summaries"))
+        self.active = C.active(t("active_summaries"), self.archive)
+        self.entries = C.index_entries(t("index_entries"))
+        self.ledger = C.ledger(t("fact_ledger"))
+        self.probes = C.probes(t("probe_predictions"))
+        self.stored = t("fact_history")
+        self.documents = t("documents")
+
+    @property
+    def summaries(self) -> DataFrame:
+        cols = ["summary_id", "episode_id", "seq", "text", "fact_keys"]
+        return self.active.select(*cols, F.lit(True).alias("live")).unionByName(self.archive.select(*cols, F.lit(False).alias("live")))
+
+
+QUERIES = {}
+
+
+def query(function):
+    """Register a query on the canonical tables."""
+    QUERIES[function.__name__] = lambda spark, folder: function(Memory(spark, folder))
+    return function
+
+
+# --- ledger and time ---
+
+
+@query
+def ledger_append_dedupe(m):
+    return m.ledger.select("fact_id", "episode_id", "summary_id", "slot", "seq", F.coalesce("observed_turn", F.lit(-1)).alias("observed_turn"), "erased")
+
+
+@query
+def current_by_slot(m):
+    return L.current(m.ledger)
+
+
+def _closed(df):
+    return df.withColumn("valid_to_turn", F.coalesce("valid_to_turn", F.lit(-1))).withColumn("superseded_by", F.coalesce("superseded_by", F.lit("")))
+
+
+@query
+def scd2_projection(m):
+    return _closed(L.projection(m.ledger))
+
+
+@query
+def history_asof(m):
+    return _closed(L.projection(m.ledger, 10))
+
+
+@query
+def temporal_anomalies(m):
+    return L.anomalies(m.stored.withColumn("slot", C.slot_key(F.col("slot"))).filter(F.col("slot").isNotNull() & F.col("episode_id").isNotNull()))
+
+
+@query
+def registry_topn(m):
+    return L.registry(m.active, 12)
+
+
+@query
+def registry_rendered(m):
+    return L.rendered_registry(L.registry(m.active, 12))
+
+
+@query
+def ledger_stats(m):
+    return m.ledger.groupBy("episode_id").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("slot").alias("slots"), F.count_if(F.col("reason") != "").alias("left_facts"))
+
+
+@query
+def reason_counts(m):
+    return m.ledger.filter(F.col("reason") != "").groupBy("episode_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def reason_by_summary(m):
+    return m.ledger.filter(F.col("reason") != "").groupBy("summary_id").agg(F.min(F.struct("seq", "fact_id", "reason")).alias("r")).select("summary_id", F.col("r.reason").alias("reason"))
+
+
+@query
+def tombstones(m):
+    doomed = m.ledger.filter(F.col("reason") == "capacity").select("fact_id")
+    return A.erase(m.ledger, doomed).filter("erased").select("episode_id", "fact_id", F.coalesce("value", F.lit("")).alias("value"), F.size("evidence").alias("evidence_n"))
+
+
+@query
+def ledger_episodes(m):
+    return m.ledger.filter(F.coalesce("episode_id", F.lit("")) != "").select("episode_id").distinct()
+
+
+# --- stores ---
+
+
+@query
+def raw_upsert(m):
+    return m.raw.select("reference_id", "episode_id", F.coalesce("turn_index", F.lit(-1)).alias("turn_index"), F.coalesce("user_msg", F.lit("")).alias("user_msg"))
+
+
+@query
+def archive_upsert(m):
+    return m.archive.select("summary_id", "episode_id", "seq", "archive_reason", "is_overridden")
+
+
+@query
+def active_remaining(m):
+    return m.active.select("summary_id", "episode_id", "seq", "index_id")
+
+
+@query
+def duplicate_ids(m):
+    ids = m.summaries.select("summary_id")
+    return ids.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("summary_id").alias("n_distinct"))
+
+
+@query
+def table_counts(m):
+    each = {"raw_records": m.raw, "archived_summaries": m.archive, "active_summaries": m.active, "index_entries": m.entries, "fact_ledger": m.ledger, "probe_predictions": m.probes}
+    out = None
+    for name, df in each.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query
+def resume_antijoin(m):
+    done = m.probes.filter(F.col("run_id") == "run-nightly").select("system", "episode_id").distinct()
+    return m.probes.select("system", "episode_id").distinct().join(done, ["system", "episode_id"], "left_anti")
+
+
+# --- audit ---
+
+
+@query
+def i1_conservation(m):
+    return A.lost_facts(m.ledger, m.summaries)
+
+
+@query
+def i2_reachability(m):
+    return A.unreachable_values(m.ledger, A.visible_text(m.active, m.entries))
+
+
+@query
+def i3_provenance(m):
+    return A.unresolved_evidence(m.ledger, m.raw)
+
+
+@query
+def i4_extraction(m):
+    return A.extraction(m.raw, m.ledger)
+
+
+@query
+def i5_deletion(m):
+    return A.failed_erasures(m.ledger, m.raw)
+
+
+@query
+def audit_report(m):
+    return A.report(m.ledger, m.summaries, m.entries, m.raw)
+
+
+@query
+def audit_all(m):
+    return A.summary(A.report(m.ledger, m.summaries, m.entries, m.raw))
+
+
+def _gold(m):
+    """Distinct gold values of the probes that name one."""
+    known = m.probes.filter(F.col("fact_key").isNotNull() & (F.length(T.letters_digits(F.col("gold"))) >= 2) & (F.col("probe_type") != "no_history"))
+    return known.select("episode_id", C.slot_key(F.col("fact_key")).alias("slot"), F.col("gold").alias("value"), T.letters_digits(F.col("gold")).alias("key")).distinct()
+
+
+@query
+def silent_loss(m):
+    return A.silent_loss(_gold(m).select("episode_id", "slot", "key").distinct(), m.ledger, m.summaries)
+
+
+@query
+def residual_mentions(m):
+    shown = m.active.select("episode_id", "text").unionByName(m.entries.select("episode_id", F.col("title").alias("text")))
+    return A.residual_mentions(m.ledger.filter((F.col("reason") == "overridden") & ~F.col("erased")), shown)
+
+
+@query
+def erasure_plan(m):
+    return A.erasure_plan(m.ledger, m.ledger.filter(F.col("reason") == "capacity").select("fact_id"))
+
+
+@query
+def gold_trace(m):
+    layers = {
+        "raw": m.raw.select("episode_id", F.col("user_msg").alias("text")),
+        "archive": m.archive.select("episode_id", "text"),
+        "active": m.active.select("episode_id", "text"),
+        "index": m.entries.select("episode_id", F.col("title").alias("text")),
+    }
+    return R.trace(_gold(m).select("episode_id", "slot", "value"), layers)
+
+
+# --- retrieval ---
+
+
+@query
+def exact_lookup(m):
+    return R.lookup(m.ledger.select("summary_id").filter(F.col("summary_id").isNotNull()), m.archive, m.active)
+
+
+@query
+def fact_state(m):
+    return R.states(m.ledger, m.archive, m.active)
+
+
+@query
+def evidence_join(m):
+    return R.evidence(m.ledger, m.raw).withColumn("turn_index", F.coalesce("turn_index", F.lit(-1)))
+
+
+@query
+def rendered_chain(m):
+    return R.unfiled(m.active, m.entries).select("summary_id", "episode_id", "seq")
+
+
+@query
+def expand_index(m):
+    return R.members(m.entries, m.active, m.archive)
+
+
+@query
+def predecessor_anchor(m):
+    return R.predecessors(m.ledger)
+
+
+@query
+def predecessor_fallback(m):
+    now = L.current(m.ledger).select("episode_id", "slot", T.letters_digits(F.col("value")).alias("key"))
+    return R.newest_other(m.ledger, now)
+
+
+@query
+def override_resolution(m):
+    return L.overrides(m.ledger)
+
+
+@query
+def override_ids(m):
+    """Override ids of summaries mapped to summaries of any spelling; ``valid`` tells whether one was found."""
+    pairs = m.archive.select("summary_id", F.explode("override_ids").alias("ref")).unionByName(m.active.select("summary_id", F.explode("override_ids").alias("ref")))
+    short = F.concat(F.regexp_extract("summary_id", r"(?s)^(.*)/[^/]*$", 1), F.lit("/"), T.short_id(F.col("ref")))
+    keys = m.summaries.select(F.concat(F.regexp_extract("summary_id", r"(?s)^(.*)/[^/]*$", 1), F.lit("/"), T.short_id(F.col("summary_id"))).alias("k"), F.col("summary_id").alias("target")).distinct()
+    named = pairs.filter(F.coalesce("ref", F.lit("")) != "").select("summary_id", "ref", short.alias("k")).distinct()
+    return named.join(keys, "k", "left").select("summary_id", "ref", F.coalesce("target", F.lit("")).alias("target"))
+
+
+# --- context ---
+
+
+@query
+def turn_ordinals(m):
+    return X.turn_costs(m.raw)
+
+
+@query
+def sliding_window(m):
+    return X.last_turns(m.raw, 4)
+
+
+@query
+def budget_suffix(m):
+    return X.newest_within(X.turn_costs(m.raw), 200)
+
+
+@query
+def naive_chain_trim(m):
+    costs = m.active.filter(F.col("seq") >= 0).groupBy("episode_id", F.col("seq").alias("turn")).agg(F.sum(T.token_estimate(F.coalesce("text", F.lit("")))).cast("bigint").alias("cost"))
+    return X.newest_within(costs, 100, first_always=False)
+
+
+@query
+def full_context_prefix(m):
+    return X.oldest_within(X.turn_costs(m.raw), 300)
+
+
+@query
+def baseline_tokens(m):
+    return X.running_context(X.turn_costs(m.raw))
+
+
+@query
+def memgpt_evicted(m):
+    """Episodes whose turns exceed the budget keep the newest four turns; the others are evicted."""
+    costs = X.turn_costs(m.raw)
+    over = costs.groupBy("episode_id").agg(F.sum("cost").alias("all_tokens")).filter(F.col("all_tokens") > 400)
+    kept = X.last_turns(m.raw, 4).select("episode_id", F.col("turn_index").alias("turn")).distinct()
+    return costs.join(over, "episode_id").join(kept, ["episode_id", "turn"], "left_anti").groupBy("episode_id").agg(F.count(F.lit(1)).alias("evicted"), F.sum("cost").alias("evicted_tokens"))
+
+
+@query
+def spread_sample(m):
+    return X.spread_sample(X.turn_costs(m.raw), ["episode_id"], "turn", 5)
+
+
+@query
+def evidence_truncation(m):
+    turns = X.turn_costs(m.raw).select("episode_id", "turn")
+    evidence = m.ledger.filter(F.col("observed_turn").isNotNull()).select("episode_id", F.col("observed_turn").alias("turn"))
+    return X.evidence_budget(turns, evidence, 10)
+
+
+@query
+def episode_metrics(m):
+    live = m.active.groupBy("episode_id").agg(F.count(F.lit(1)).alias("active"), F.sum(T.token_estimate(F.col("text"))).alias("active_tokens"), F.count_if(F.coalesce("index_id", F.lit("")) != "").alias("filed"))
+    old = m.archive.groupBy("episode_id").agg(F.count(F.lit(1)).alias("archived"), F.count_if(F.col("archive_reason") == "overridden").alias("overridden"), F.count_if(F.col("origin") == "capacity_merge").alias("merged"))
+    both = live.join(old, "episode_id", "full_outer")
+    return both.select("episode_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("active", "active_tokens", "filed", "archived", "overridden", "merged")])
+
+
+@query
+def token_accounting(m):
+    rendered = F.concat(F.lit("- "), T.short_id(F.col("summary_id")), F.lit(" "), F.coalesce("text", F.lit("")))
+    lines = R.unfiled(m.active, m.entries).select("episode_id", F.lit("chain").alias("layer"), rendered.alias("line"))
+    titles = m.entries.select("episode_id", F.lit("index").alias("layer"), F.concat(F.lit("* "), T.short_id(F.col("index_id")), F.lit(" "), F.coalesce("title", F.lit(""))).alias("line"))
+    return lines.unionByName(titles).groupBy("episode_id", "layer").agg(F.count(F.lit(1)).alias("lines"), F.sum(T.token_estimate(F.col("line"))).alias("tokens"))
+
+
+@query
+def protected_set(m):
+    """Summaries that hold the newest fact of a slot among the live ones."""
+    keys = m.active.select("episode_id", "summary_id", "seq", F.explode("fact_keys").alias("key")).select("episode_id", "summary_id", "seq", T.split_pair(F.col("key")).alias("p")).filter(F.col("p").isNotNull())
+    newest = keys.groupBy("episode_id", F.lower("p.slot").alias("slot")).agg(F.max(F.struct("seq", "summary_id")).alias("n"))
+    return newest.select("episode_id", F.col("n.summary_id").alias("summary_id")).distinct()
+
+
+@query
+def fact_digest(m):
+    """Per index entry and slot: the latest value of its members and up to three earlier ones, oldest first.
+
+    An entry's members are a bounded list, so its values are gathered per entry and slot.
+    """
+    members = m.entries.select("index_id", F.explode("members").alias("summary_id")).distinct()
+    keys = m.summaries.select("summary_id", "seq", F.explode("fact_keys").alias("key")).select("summary_id", "seq", T.split_pair(F.col("key")).alias("p")).filter(F.col("p").isNotNull())
+    each = members.join(keys, "summary_id").groupBy("index_id", F.col("p.slot").alias("slot"), F.col("p.value").alias("value")).agg(F.min("seq").alias("seq"))
+    values = each.groupBy("index_id", "slot").agg(F.array_sort(F.collect_list(F.struct("seq", "value"))).alias("v"))
+    ordered = F.transform("v", lambda x: x["value"])
+    n = F.size("v")
+    history = F.slice(ordered, F.greatest(n - 3, F.lit(1)), F.least(n - 1, F.lit(3)))
+    latest = F.element_at(ordered, -1)
+    shown = F.concat("slot", F.lit("="), latest, F.when(n > 1, F.concat(F.lit("["), F.array_join(history, "→"), F.lit("→"), latest, F.lit("]"))).otherwise(""))
+    return values.select("index_id", "slot", shown.alias("digest"))
+
+
+# --- text ---
+
+
+@query
+def token_estimate(m):
+    return m.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query
+def message_tokens(m):
+    cost = T.token_estimate(F.coalesce("user_msg", F.lit(""))) + T.token_estimate(F.coalesce("agent_msg", F.lit(""))) + 2 * 4 + 2
+    return m.raw.groupBy("episode_id").agg((F.sum(cost) + 2).alias("tokens"))
+
+
+@query
+def fact_slots(m):
+    return m.summaries.select("summary_id", F.explode(T.fact_slots(F.col("text"))).alias("slot")).distinct()
+
+
+@query
+def fact_pairs(m):
+    return m.summaries.select("summary_id", F.explode("fact_keys").alias("key")).select("summary_id", T.split_pair(F.col("key")).alias("p")).filter(F.col("p").isNotNull()).select("summary_id", "p.slot", "p.value").distinct()
+
+
+@query
+def summary_grammar(m):
+    rows = m.summaries.filter(F.col("text").isNotNull())
+    return rows.select(
+        "summary_id",
+        T.summary_body(F.col("text")).alias("body"),
+        F.array_join(T.summary_facts(F.col("text")), ";").alias("facts"),
+        F.array_join(T.summary_overrides(F.col("text")), ",").alias("overrides"),
+        F.col("text").rlike(T.OVERRIDES).alias("has_tag"),
+    )
+
+
+@query
+def previews(m):
+    return m.active.select("summary_id", T.preview(F.col("text")).alias("preview"))
+
+
+@query
+def made_ids(m):
+    return m.raw.filter(F.col("turn_index").isNotNull()).select("reference_id", T.make_id(F.col("episode_id"), "raw", F.col("turn_index")).alias("made"), T.short_id(F.col("reference_id")).alias("short"))
+
+
+@query
+def fact_episodes(m):
+    return m.ledger.select("fact_id", T.episode_of_fact(F.col("fact_id")).alias("episode"), (T.episode_of_fact(F.col("fact_id")) == F.col("episode_id")).alias("same"))
+
+
+@query
+def gate_classify(m):
+    return S.gate_signals(m.raw).groupBy("episode_id", "kind", "asks").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def candidate_pairs(m):
+    return S.gate_signals(m.raw).select("reference_id", F.explode("pairs").alias("p")).select("reference_id", "p.slot", "p.value").distinct()
+
+
+@query
+def gate_strict_first_seen(m):
+    return S.gate(S.gate_signals(m.raw)).groupBy("episode_id").agg(F.count_if("keep_pattern").alias("pattern"), F.count_if("keep_strict").alias("strict"), F.count(F.lit(1)).alias("turns"))
+
+
+@query
+def gate_confusion(m):
+    evidence = m.ledger.select(F.explode("evidence").alias("reference_id"))
+    gated = S.gate(S.gate_signals(m.raw))
+    pattern = S.confusion(gated, evidence, "keep_pattern").withColumn("level", F.lit("pattern"))
+    return pattern.unionByName(S.confusion(gated, evidence, "keep_strict").withColumn("level", F.lit("strict")))
+
+
+@query
+def gate_prevalence(m):
+    evidence = m.ledger.select(F.explode("evidence").alias("reference_id"), F.lit(True).alias("fact")).distinct()
+    both = S.gate_signals(m.raw).join(evidence, "reference_id", "left").withColumn("fact", F.coalesce("fact", F.lit(False)))
+    return both.groupBy("fact").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.size("pairs") > 0).alias("with_pairs"), F.count_if(F.col("kind") == "change").alias("changes"), F.count_if("asks").alias("questions"))
+
+
+@query
+def normalised_values(m):
+    return m.ledger.select("fact_id", T.letters_digits(F.col("value")).alias("key"))
+
+
+@query
+def question_overlap(m):
+    asked = m.probes.filter(F.col("question").isNotNull() & F.col("prediction").isNotNull())
+    return asked.select("run_id", "system", "episode_id", "probe_index", F.floor(T.word_overlap(F.col("question"), F.col("prediction")) * 1000).cast("int").alias("overlap_permille"), T.slots_match(F.col("fact_key"), F.col("question")).alias("names_slot"))
+
+
+# --- evaluation ---
+
+
+@query
+def string_match_score(m):
+    rows = S.scored(m.probes)
+    return rows.groupBy("system", "probe_type", "judge_method").agg(F.count_if("matched").alias("matched"), F.count_if(F.col("correct") == 1).alias("judged"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def metrics_by_system(m):
+    return S.metrics(m.probes)
+
+
+@query
+def error_breakdown(m):
+    return S.breakdown(m.probes)
+
+
+@query
+def per_episode_accuracy(m):
+    return S.per_episode(m.probes)
+
+
+@query
+def runs_union(m):
+    """Metrics of every run beside those of all runs, by grouping sets."""
+    return m.probes.cube("system", "probe_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("correct", F.lit(0))).alias("correct_n")).select(F.coalesce("system", F.lit("*")).alias("system"), F.coalesce("probe_type", F.lit("*")).alias("probe_type"), "n", "correct_n")
+
+
+@query
+def dataset_inspect(m):
+    turns = m.raw.filter(F.col("turn_index").isNotNull()).groupBy("episode_id").agg(F.count(F.lit(1)).alias("turns"))
+    asked = m.probes.groupBy("episode_id").agg(F.countDistinct("probe_index").alias("probes"))
+    return turns.join(asked, "episode_id", "left").agg(F.count(F.lit(1)).alias("episodes"), F.sum("turns").alias("turns"), F.max("turns").alias("most_turns"), F.sum("probes").alias("probes"), F.count_if(F.col("probes").isNull()).alias("without_probes"))
+
+
+@query
+def turn_pairs(m):
+    """Messages put back into (user, agent) pairs: a pair starts at a user message, and at an agent message that follows none.
+
+    The turns of an episode are read as one stream of messages; neighbours are found by their ordinals.
+    """
+    sides = F.array(F.struct(F.lit(0).alias("k"), F.lit("user").alias("role"), F.col("user_msg").alias("text")), F.struct(F.lit(1).alias("k"), F.lit("agent").alias("role"), F.col("agent_msg").alias("text")))
+    one = m.raw.filter(F.col("turn_index").isNotNull()).groupBy("episode_id", "turn_index").agg(F.max(F.struct("ts", "reference_id", "user_msg", "agent_msg")).alias("r")).select("episode_id", "turn_index", "r.user_msg", "r.agent_msg")
+    said = one.select("episode_id", "turn_index", F.explode(sides).alias("s")).filter(F.coalesce("s.text", F.lit("")) != "")
+    said = said.select("episode_id", (F.col("turn_index") * 2 + F.col("s.k")).alias("at"), "s.role")
+    seen = L.previous_in_order(said, ["episode_id"], "at", "role", "before")
+    starts = seen.filter((F.col("role") == "user") | (F.coalesce("before", F.lit("")) != "user"))
+    return starts.groupBy("episode_id").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("role") == "agent").alias("orphans"))
+
+
+@query
+def time_labels(m):
+    return m.entries.select("index_id", F.when(F.col("turn_start") == F.col("turn_end"), F.concat(F.lit("turn "), F.col("turn_start").cast("string"))).otherwise(F.concat(F.lit("turn "), F.col("turn_start").cast("string"), F.lit("-"), F.col("turn_end").cast("string"))).alias("label"), F.substring("title", 1, 120).alias("title"))
+
+
+def supersede_chain(spark: SparkSession, folder: str) -> DataFrame:
+    """Every summary with all its successors, archive and active layer alike, by distance."""
+    tree = forests(spark, folder).filter(F.startswith("id", F.lit("summary\t")))
+    near = expand_paths(tree)
+    deep = tree.select("id", F.col("depth").alias("_own"))
+    walk = near.join(deep, "id").filter(F.col("id") != F.col("ancestor"))
+    bare = lambda c: F.substring_index(c, "\t", -1)
+    return walk.select(bare("id").alias("summary_id"), bare("ancestor").alias("successor"), (F.col("_own") - F.col("depth")).cast("int").alias("steps"))
+
+
+QUERIES["supersede_chain"] = supersede_chain

@@ -85,3 +85,16 @@ SELECT episode_id, slot, turn, rank, record, value,
 FROM one WINDOW w AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record, key)
 """,
 }
+
+SQL["supersede_chain"] = (
+    "WITH RECURSIVE "
+    + _LINKS
+    + """
+walk AS (
+  SELECT id AS summary_id, id AS spot, 0 AS steps FROM ids WHERE forest = 'summary'
+  UNION ALL
+  SELECT w.summary_id, l.parent, w.steps + 1 FROM walk w JOIN links l ON l.forest = 'summary' AND l.id = w.spot WHERE w.steps < 1000),
+ends AS (SELECT DISTINCT w.summary_id FROM walk w LEFT JOIN links l ON l.forest = 'summary' AND l.id = w.spot WHERE l.parent IS NULL)
+SELECT summary_id, spot AS successor, steps FROM walk SEMI JOIN ends USING (summary_id) WHERE steps > 0
+"""
+)
