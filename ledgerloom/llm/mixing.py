@@ -51,11 +51,10 @@ def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
     have = counts.filter(F.col("n_tokens") > 0).groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     both = wanted.join(have, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     live = (F.col("tokens") > 0) & (F.col("share") > 0) & (F.col("cap") > 0)
-    scale = both.agg(F.sum(F.when(live, F.col("share"))).alias("whole"), F.min(F.when(live, F.col("tokens") * F.col("cap") / F.col("share"))).alias("most"))
-    sized = both.crossJoin(F.broadcast(scale))  # one row
-    most = F.col("most") * F.col("whole")
-    goal = F.when(live, F.col("share") / F.col("whole") * (most if total is None else F.least(F.lit(float(total)), most))).otherwise(0.0)
-    sized = sized.withColumn("goal", goal).withColumn("rate", F.when(live, F.least(F.col("cap").cast("double"), F.col("goal") / F.col("tokens"))).otherwise(0.0))
+    scale = both.agg(F.sum(F.when(live, F.col("share"))).alias("whole"), F.min(F.when(live, F.col("tokens") * F.col("cap") / F.col("share"))).alias("most")).first()
+    whole, most = scale.whole or 1.0, (scale.most or 0.0) * (scale.whole or 0.0)
+    goal = F.when(live, F.col("share") / whole * (most if total is None else min(float(total), most))).otherwise(0.0)
+    sized = both.withColumn("goal", goal).withColumn("rate", F.when(live, F.least(F.col("cap").cast("double"), F.col("goal") / F.col("tokens"))).otherwise(0.0))
     return sized.select("source", "share", "cap", "tokens", "goal", "rate")
 
 
@@ -128,7 +127,7 @@ def mixture(counts: DataFrame, targets: DataFrame, scratch: Scratch, total: int
     coin = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     last = left.select("doc_id", F.when(coin < F.col("fraction"), 1).otherwise(0).alias("extra"))
     extras = decided.select("doc_id", "extra").unionByName(last).filter(F.col("extra") > 0)
-    full = split.join(extras, "doc_id", "left")
+    full = split.join(extras.hint("merge"), "doc_id", "left")  # grows with the documents: never broadcast
     copies = F.col("base") + F.coalesce("extra", F.lit(0))
     return full.select("doc_id", "source", "n_tokens", copies.alias("copies")).filter(F.col("copies") > 0), goals
 
@@ -137,13 +136,13 @@ def shares(mixed: DataFrame, goals: DataFrame) -> DataFrame:
     """Per source: tokens wanted and reached, target and actual share in parts per million, most copies of a document."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     both = goals.join(got, "source", "left")
-    whole = got.agg(F.sum("reached").alias("whole"))  # one row
+    whole = got.agg(F.sum("reached").alias("whole")).first().whole or 0
     ppm = lambda c: F.round(c * 1e6).cast("bigint")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c)
-    return both.crossJoin(F.broadcast(whole)).select(
+    return both.select(
         "source",
         ppm(F.col("share")).alias("target_ppm"),
-        F.coalesce(ppm(F.try_divide(F.coalesce("reached", F.lit(0)), F.col("whole"))), F.lit(0)).alias("share_ppm"),
+        F.coalesce(ppm(F.try_divide(F.coalesce("reached", F.lit(0)), F.lit(whole))), F.lit(0)).alias("share_ppm"),
         F.round("goal").cast("bigint").alias("wanted_tokens"),
         zero("reached"),
         zero("documents"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import EDGES
 from ..plans.blocks import newest
 from ..plans.problems import table
 from ..plans.scratch import Scratch
@@ -130,4 +131,20 @@ def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_kinds, p2_clean, p3_found, p3_conversations, p5_percentiles, p5_runs, p6_found, p6_defects, p7_found, p7_leaks, p8_mixture, p8_shares, p9_pieces)}
 
-SQL: dict[str, str] = {}
+def _p3_sql() -> str:
+    label = conversations._LABEL.replace("'", "''")
+    stand_ins = ", ".join(f"'{x}'" for x in conversations.STAND_INS)
+    key = lambda c: rf"regexp_replace(lower(regexp_replace(coalesce({c}, ''), '{label}', '')), '[^\p{{L}}\p{{N}}]', '', 'g')"
+    bare = lambda c: rf"regexp_replace(regexp_replace(coalesce({c}, ''), '{label}', ''), '^[{EDGES}]+|[{EDGES}]+$', '', 'g')"
+    says = lambda c: f"({key(c)} <> '' AND {key(c)} NOT IN ({stand_ins}))"
+    return f"""WITH r AS (SELECT regexp_replace(episode_id, '^[{EDGES}]+|[{EDGES}]+$', '', 'g') AS episode_id, CASE WHEN turn_index >= 0 THEN turn_index END AS o, user_msg, agent_msg
+      FROM raw_records WHERE episode_id IS NOT NULL QUALIFY reference_id IS NULL OR row_number() OVER (PARTITION BY reference_id ORDER BY ts DESC NULLS LAST) = 1),
+    s AS (SELECT episode_id, o, {says('user_msg')} AS u, {says('agent_msg')} AS a, CASE WHEN {says('user_msg')} THEN {bare('user_msg')} ELSE '' END || chr(1) || CASE WHEN {says('agent_msg')} THEN {bare('agent_msg')} ELSE '' END AS t FROM r WHERE episode_id <> ''),
+    e AS (SELECT episode_id, bool_or(u OR a) AS spoke, bool_or(u AND NOT a) AS unanswered, bool_or(o IS NULL) OR min(o) <> 0 OR max(o) + 1 <> count(DISTINCT o) AS gap FROM s GROUP BY ALL),
+    c AS (SELECT DISTINCT episode_id FROM s WHERE o IS NOT NULL GROUP BY episode_id, o HAVING count(DISTINCT t) > 1)
+    SELECT episode_id, 'empty' AS reason FROM e WHERE NOT spoke
+    UNION ALL SELECT episode_id, 'missing_reply' FROM e WHERE unanswered
+    UNION SELECT episode_id, 'broken' FROM (SELECT episode_id FROM e WHERE gap UNION SELECT episode_id FROM c)"""
+
+
+SQL: dict[str, str] = {"p3_found": _p3_sql()}
