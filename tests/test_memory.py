@@ -1,0 +1,152 @@
+"""Ledger, audit, retrieval and text operators on small tables; the negative controls of the invariants."""
+
+import glob
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from ledgerloom.functions import text as T
+from ledgerloom.operators import audit as A
+from ledgerloom.operators import canonical as C
+from ledgerloom.operators import context as X
+from ledgerloom.operators import facts as L
+from ledgerloom.operators import retrieval as R
+
+DATA = "/root/testdata/sf0.001"
+LEDGER = "fact_id string, episode_id string, summary_id string, slot string, value string, seq int, observed_turn int, evidence array<string>, reason string, superseded_by string, residual_mentions int, erased boolean"
+
+
+def ledger(spark, rows):
+    full = [(f"{e}/s{seq:03d}@h#{slot}", e, f"{e}/s{seq:03d}@h", slot, value, seq, turn, ev, "", "", 0, erased) for e, slot, value, seq, turn, ev, erased in rows]
+    return C.ledger(spark.createDataFrame(full, LEDGER))
+
+
+FACTS = [("e", "tea", "green", 1, 0, ["r0"], False), ("e", "tea", "black", 2, 3, ["r1"], False), ("e", "bay", "A-1", 3, 4, ["r2"], False)]
+
+
+def summaries(spark, n=3):
+    return spark.createDataFrame([(f"e/s{i:03d}@h", "e", i, f"text {i} green black A-1", [], True) for i in range(1, n + 1)], "summary_id string, episode_id string, seq int, text string, fact_keys array<string>, live boolean")
+
+
+def raw(spark, n=3):
+    return spark.createDataFrame([(f"r{i}", "e", i, "my tea is green", "ok", 1.0) for i in range(n)], "reference_id string, episode_id string, turn_index int, user_msg string, agent_msg string, ts double")
+
+
+def entries(spark):
+    return spark.createDataFrame([], "index_id string, episode_id string, title string, members array<string>")
+
+
+def report(spark, facts, s=3, r=3):
+    return A.report(ledger(spark, facts), summaries(spark, s), entries(spark), raw(spark, r)).collect()[0]
+
+
+def test_clean_episode_and_controls(spark):
+    good = report(spark, FACTS)
+    assert good.clean and good.facts == 3
+    lost = report(spark, FACTS, s=2)  # a summary vanishes
+    assert (lost.missing, lost.unresolved, lost.unreachable) == (1, 0, 0)
+    unseen = report(spark, [*FACTS, ("e", "hat", "zebra", 2, 5, ["r1"], False)])  # a value that nothing shows
+    assert (unseen.missing, unseen.unreachable) == (0, 1)
+    bare = report(spark, [*FACTS, ("e", "tea", "green", 3, 5, [], False)])  # no evidence
+    assert (bare.without_evidence, bare.unresolved) == (1, 0)
+    flagged = report(spark, [*FACTS[:2], ("e", "bay", "A-1", 3, 4, ["r2"], True)])  # only flagged as erased
+    assert (flagged.value_kept, flagged.evidence_resolves) == (1, 1) and not flagged.clean
+    shared = report(spark, [*FACTS, ("e", "hat", "", 2, 5, ["r1"], True)])  # evidence that a surviving fact needs
+    assert shared.clean and shared.erased_facts == 1
+
+
+def test_erasure_plan_and_tombstones(spark):
+    facts = ledger(spark, [*FACTS, ("e", "hat", "red", 2, 5, ["r1", "r9"], False)])
+    doomed = facts.filter("slot = 'hat'").select("fact_id")
+    assert {(r.reference_id, r.action) for r in A.erasure_plan(facts, doomed).collect()} == {("r1", "keep"), ("r9", "delete")}
+    assert [r.value for r in A.erase(facts, doomed).filter("erased").collect()] == [""]
+
+
+def test_extraction_recall(spark):
+    got = A.extraction(raw(spark, 1), ledger(spark, FACTS)).collect()[0]
+    assert (got.all_candidates, got.all_captured, got.strict_candidates) == (1, 1, 0)
+    dead = A.extraction(raw(spark, 1), ledger(spark, [("e", "x", "zzz", 1, 0, ["r0"], False)])).collect()[0]
+    assert (dead.all_candidates, dead.all_captured) == (1, 0)
+
+
+def test_projection_equals_current_and_as_of(spark):
+    facts = ledger(spark, [*FACTS, ("e", "tea", "white", 4, 70000 * 20, ["r1"], False), ("e", "tea", "late", 9, 1, ["r1"], False)])
+    rows = L.projection(facts).collect()
+    opened = {(r.slot, r.value) for r in rows if r.valid_to_turn is None}
+    assert opened == {(r.slot, r.value) for r in L.current(facts).collect()} == {("tea", "white"), ("bay", "A-1")}
+    as_of = {(r.slot, r.value, r.valid_to_turn) for r in L.projection(facts, 1).collect()}
+    assert as_of == {("tea", "green", 1), ("tea", "late", None)}
+
+
+def test_overrides_and_predecessors(spark):
+    facts = ledger(spark, [("e", "tea", "green", 1, 0, [], False), ("e", "tea", "Green!", 2, 1, [], False), ("e", "tea", "black", 3, 200000, [], False), ("e", "tea", "black", 4, 300000, [], False)])
+    got = {(r.summary_id[-6:], r.overrider[-6:]) for r in L.overrides(facts).collect()}
+    assert got == {("s001@h", "s003@h"), ("s002@h", "s003@h")}
+    assert [(r.value, r.previous_value) for r in R.predecessors(facts).collect()] == [("black", "Green!")]
+
+
+def test_contains_join_equals_brute_force(spark):
+    values = [(e, i, v) for i, (e, v) in enumerate([("a", "x"), ("a", "of tea"), ("a", "fence 12"), ("b", "茶"), ("b", "绿茶叶"), ("a", ""), ("b", None), ("b", "zz")])]
+    texts = [("a", "a cup of tea, x"), ("a", "fence 123"), ("b", "他喝绿茶叶泡的茶"), ("b", ""), ("b", None), ("a", "x" * 50000)]
+    got = R.contains_join(spark.createDataFrame(values, "episode_id string, fact_id int, value string"), spark.createDataFrame(texts, "episode_id string, text string"))
+    want = sorted((e, i, t) for e, i, v in values for f, t in texts if v and t and e == f and v in t)
+    assert sorted((r.episode_id, r.fact_id, r.text) for r in got.collect()) == want
+
+
+def test_budgets(spark):
+    costs = spark.createDataFrame([("e", t, c) for t, c in enumerate([5, 5, 50, 5, 5])] + [("f", 70000, 999)], "episode_id string, turn int, cost long")
+    assert sorted((r.episode_id, r.turn) for r in X.newest_within(costs, 12).collect()) == [("e", 3), ("e", 4), ("f", 70000)]
+    assert sorted((r.episode_id, r.turn) for r in X.newest_within(costs, 12, first_always=False).collect()) == [("e", 3), ("e", 4)]
+    assert sorted((r.episode_id, r.turn) for r in X.oldest_within(costs, 12).collect()) == [("e", 0), ("e", 1)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("我的工位在十二楼", 9), ("", 0), (None, 0), ("a", 1), ("hello world", 4), ("こんにちは 안녕", 8), ("😀😀", 2)],
+)
+def test_token_estimate(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(T.token_estimate(F.col("t")).alias("n")).first().n == want
+
+
+def test_scoring_and_grammar(spark):
+    pairs = [("Paris.", "Paris", True), ("The answer is Paris", "paris", True), ("It is now Shanghai, but originally it was Paris.", "Paris", False), ("", "x", False), (None, "x", False), ("（Ｐａｒｉｓ）", "paris", True), ("3", "13", False)]
+    df = spark.createDataFrame(pairs, "p string, g string, ok boolean")
+    assert [r.ok for r in df.select((T.answers_match(F.col("p"), F.col("g")) == F.col("ok")).alias("ok")).collect()] == [True] * len(pairs)
+    text = "摘要：tea changed [FACTS: tea=green；bay = A-1；none] [OVERRIDES: s001@a，none]"
+    row = spark.createDataFrame([(text,)], "t string").select(T.summary_body(F.col("t")), T.summary_facts(F.col("t")), T.summary_overrides(F.col("t"))).first()
+    assert list(row) == ["tea changed", ["tea=green", "bay=A-1"], ["s001@a"]]
+
+
+def test_gate_classes(spark):
+    rows = [("my code name has changed - it is otter now", "change", False), ("my tea is green", "state", False), ("what is my tea?", "none", True), ("我的工位改成十二楼了", "change", False), ("x = 3", "change", False), ("nice day", "none", False), ("", "none", False)]
+    got = spark.createDataFrame(rows, "t string, k string, q boolean").select(T.evidence_class(F.col("t")), "k", T.is_question(F.col("t")), "q").collect()
+    assert all(r[0] == r.k and r[2] == r.q for r in got), got
+
+
+def test_ids(spark):
+    df = spark.createDataFrame([("a/b", 1234, "a/b/s1234@x#my/slot")], "e string, n int, f string")
+    made, ep = df.select(T.make_id(F.col("e"), "s", F.col("n")), T.episode_of_fact(F.col("f"))).first()
+    assert made.startswith("a/b/s1234@") and len(made) == len("a/b/s1234@") + 6 and ep == "a/b"
+
+
+def _same(df, con, sql):
+    cols = sorted(df.columns)
+    text = lambda v: f"{v:.9g}" if isinstance(v, float) else str(v).lower() if isinstance(v, bool) else str(v)
+    left = sorted(tuple(map(text, r)) for r in df.select(*cols).collect())
+    right = sorted(tuple(map(text, r)) for r in con.execute(f"SELECT {', '.join(cols)} FROM ({sql})").fetchall())
+    return left == right
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & {n for n in entry.queries() if not n.startswith("p")} | {"p1_found", "p4_found", "p4_ledger"}))
+def test_queries_equal_sql(spark, name):
+    con = duckdb.connect()
+    for f in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
+    assert _same(entry.queries()[name](spark, DATA), con, entry.oracle_sql()[name])
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() > 0
