@@ -88,7 +88,7 @@ def votes(rows: DataFrame) -> dict[str, list[Column]]:
             _vote(F.col("error") == "empty completion"),
         ],
         "truncated": [
-            _vote(F.col("marked"), F.col("closed") & ~F.col("marked")),
+            _vote(F.col("marked"), F.col("closed")),
             _vote(sentence & ~F.col("closed") & ~copied, F.col("closed") | ~sentence | copied),
             _vote(F.col("unbalanced") & ~copied),
             _vote(F.col("error").isin("max_tokens reached", "stream closed")),
@@ -148,7 +148,7 @@ def prepare(rows: DataFrame, index: Index) -> DataFrame:
     out = out.withColumn("asks_han", F.regexp_count(asked, F.lit(HAN_WORDS)) > F.regexp_count(asked, F.lit(rf"\b(?:{WORDS['en']}|what|which|my|did|before|when|where|who)\b")))
     rest = F.when(F.col("qk").isNotNull() & F.contains("pk", "qk"), F.replace("pk", "qk", F.lit("")))
     out = out.withColumn("copied", F.coalesce(rest.isin(LEAD), F.lit(False))).withColumn("answers_after", F.coalesce((F.length(rest) > 0) & ~rest.isin(LEAD), F.lit(False)))
-    out = out.withColumn("marked", F.col("said").rlike(MARK) & (F.col("pk") != "")).withColumn("closed", F.col("said").rlike(CLOSED))
+    out = out.withColumn("marked", F.col("said").rlike(MARK) & (F.col("pk") != "")).withColumn("closed", F.col("said").rlike(CLOSED) & ~F.col("said").rlike(MARK))
     pairs = [("(", ")"), ("（", "）"), ("“", "”"), ("{", "}"), ("[", "]")]
     count = lambda ch: F.length(F.col("said")) - F.length(F.translate("said", ch, ""))
     odd = (F.regexp_count("said", F.lit(r"\*\*")) % 2 == 1) | (count('"') % 2 == 1)

@@ -292,7 +292,7 @@ def classify(records: DataFrame, index: Index) -> DataFrame:
             scored = [shared.value.coverage(t) if isinstance(t, str) else (0.0, "") for t in batch["text"]]
             keep = [s >= COVERAGE for s, _ in scored]
             out = batch[keep].copy()
-            out["kind"] = [k for (_, k), ok in zip(scored, keep, strict=True) if ok]
+            out["kind"] = pd.Series([k for (_, k), ok in zip(scored, keep, strict=True) if ok], dtype=object, index=out.index)
             out["coverage"] = pd.Series([round(1000 * min(s, 1.0)) for (s, _), ok in zip(scored, keep, strict=True) if ok], dtype="int32", index=out.index)
             yield out
 
