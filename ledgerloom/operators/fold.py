@@ -1,0 +1,187 @@
+"""Keeping an episode's chain of summaries within a token budget, turn by turn.
+
+Every decision depends on the cost of what the last one left, so this is a fold.  Rows are partitioned by episode and
+sorted by turn; a task reads them as a stream of Arrow batches and holds the state of the episode at hand only: the live chain and its
+index entries, which the budget bounds.  So an episode of any length is never gathered.
+
+Two strategies: ``index`` files the oldest unprotected summaries under index entries, and the oldest entries
+under super entries; ``merge`` replaces the oldest summaries by one of the newest value per slot, if that saves enough.
+
+Defined results: summaries without episode or turn are left out; null costs count 1; repeated summaries count once; a summary that is archived
+leaves the chain, or its entry, at that turn; an entry with fewer than two members dissolves; an empty table gives no events.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+EVENTS = "episode_id string, turn int, event string, target string, members array<string>, cost_before int, cost_after int"
+
+
+@dataclass(frozen=True)
+class Budget:
+    """Parameters of the fold."""
+
+    tokens: int = 120
+    keep_recent: int = 2
+    group: int = 3
+    entries: int = 8
+    super_group: int = 4
+    entry_cost: int = 6
+    slot_cost: int = 3
+    min_gain: float = 0.15
+
+
+@dataclass
+class Episode:
+    """State of one episode."""
+
+    chain: list = field(default_factory=list)  # (summary_id, cost, slots)
+    entries: list = field(default_factory=list)  # [entry_id, members as in the chain, slots, level]
+    leaving: dict = field(default_factory=dict)  # turn -> summary ids to archive
+    made: int = 0
+
+    def entry_cost(self, b: Budget, slots) -> int:
+        return b.entry_cost + b.slot_cost * len(slots)
+
+    def cost(self, b: Budget) -> int:
+        return sum(c for _, c, _ in self.chain) + sum(self.entry_cost(b, e[2]) for e in self.entries)
+
+    def protected(self) -> set:
+        """Summaries that hold the newest fact of a slot."""
+        seen, kept = set(), set()
+        for sid, _, slots in reversed(self.chain):
+            if set(slots) - seen:
+                kept.add(sid)
+                seen |= set(slots)
+        return kept
+
+    def drop(self, sid: str) -> list:
+        """Archive a summary: out of the chain, or out of its entry; returns entries that dissolve."""
+        self.chain = [x for x in self.chain if x[0] != sid]
+        gone = []
+        for e in self.entries:
+            if any(m[0] == sid for m in e[1]):
+                e[1] = [m for m in e[1] if m[0] != sid]
+                e[2] = sorted({s for m in e[1] for s in m[2]})
+                if len(e[1]) < 2:
+                    gone.append(e)
+        for e in gone:
+            self.entries.remove(e)
+            self.chain = e[1] + self.chain
+        return gone
+
+    def file_group(self, b: Budget):
+        """The oldest group that may be filed, unprotected summaries first; None if filing would not save."""
+        old = self.chain[: max(0, len(self.chain) - b.keep_recent)]
+        safe = self.protected()
+        group = [x for x in old if x[0] not in safe][: b.group]
+        if len(group) < 2:
+            group = old[: b.group]
+        slots = sorted({s for _, _, ss in group for s in ss})
+        if len(group) < 2 or self.entry_cost(b, slots) >= sum(c for _, c, _ in group):
+            return None
+        self.made += 1
+        entry = [f"idx{self.made:03d}", group, slots, 0]
+        self.chain = [x for x in self.chain if x not in group]
+        self.entries.append(entry)
+        return entry
+
+    def fold_entries(self, b: Budget):
+        """The oldest entries of the lowest level as one super entry."""
+        level = min(e[3] for e in self.entries)
+        group = [e for e in self.entries if e[3] == level][: b.super_group]
+        if len(group) < 2:
+            return None
+        self.made += 1
+        entry = [f"sidx{self.made:03d}", [m for e in group for m in e[1]], sorted({s for e in group for s in e[2]}), level + 1]
+        self.entries = [e for e in self.entries if e not in group] + [entry]
+        return entry, [e[0] for e in group]
+
+    def merge_group(self, b: Budget):
+        """The oldest unprotected summaries as one; None if the gain is below the least."""
+        old = self.chain[: max(0, len(self.chain) - b.keep_recent)]
+        safe = self.protected()
+        group = [x for x in old if x[0] not in safe][: b.group + 1]
+        if len(group) < 2:
+            return None
+        slots = tuple(sorted({s for _, _, ss in group for s in ss}))
+        before, after = sum(c for _, c, _ in group), max(1, self.entry_cost(b, slots))
+        if after > before * (1 - b.min_gain):
+            return None
+        self.made += 1
+        merged = (f"m{self.made:03d}", after, slots)
+        at = self.chain.index(group[0])
+        self.chain = [x for x in self.chain if x not in group]
+        self.chain.insert(at, merged)
+        return merged, [g[0] for g in group]
+
+
+def step(state: Episode, turn: int, rows: list, b: Budget, strategy: str) -> list:
+    """One turn: archive what leaves, append, then shrink to the budget.  Returns events."""
+    events = []
+    for t in sorted(t for t in state.leaving if t <= turn):
+        for sid in state.leaving.pop(t):
+            before = state.cost(b)
+            for e in state.drop(sid):
+                events.append((turn, "dissolved", e[0], [m[0] for m in e[1]], before, state.cost(b)))
+    for sid, cost, slots, leaves in rows:
+        state.chain.append((sid, cost, tuple(slots)))
+        if leaves is not None:
+            state.leaving.setdefault(max(int(leaves), turn + 1), []).append(sid)
+    while state.cost(b) > b.tokens:
+        before = state.cost(b)
+        if strategy == "merge":
+            made = state.merge_group(b)
+            if made is None:
+                break
+            events.append((turn, "merged", made[0][0], made[1], before, state.cost(b)))
+            continue
+        entry = state.file_group(b)
+        if entry is not None:
+            events.append((turn, "filed", entry[0], [m[0] for m in entry[1]], before, state.cost(b)))
+            continue
+        folded = state.fold_entries(b) if len(state.entries) > b.entries else None
+        if folded is None or state.cost(b) >= before:
+            break
+        events.append((turn, "folded", folded[0][0], folded[1], before, state.cost(b)))
+    return events
+
+
+def run_fold(summaries: DataFrame, budget: Budget = Budget(), strategy: str = "index") -> DataFrame:
+    """Events of the fold.  ``summaries``: episode_id, turn, summary_id, cost, slots, archived_at (turn or null)."""
+    if strategy not in ("index", "merge"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    known = summaries.filter(F.col("episode_id").isNotNull() & F.col("turn").isNotNull() & F.col("summary_id").isNotNull())
+    least = F.min(F.struct("turn", F.coalesce("cost", F.lit(1)).alias("cost"), F.coalesce("slots", F.array().cast("array<string>")).alias("slots"), "archived_at")).alias("s")
+    once = known.groupBy("episode_id", "summary_id").agg(least).select("episode_id", "summary_id", "s.*")
+    ordered = once.repartition("episode_id").sortWithinPartitions("episode_id", "turn", "summary_id")
+
+    def run(batches):
+        at, state, pending, turn = None, None, [], None
+        out = []
+
+        def close():
+            if state is not None and pending:
+                out.extend((at, *e) for e in step(state, turn, pending, budget, strategy))
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.episode_id != at or r.turn != turn:
+                    close()
+                    pending = []
+                    if r.episode_id != at:
+                        at, state = r.episode_id, Episode()
+                    turn = int(r.turn)
+                leaves = None if r.archived_at is None or pd.isna(r.archived_at) else int(r.archived_at)
+                pending.append((r.summary_id, int(r.cost), list(r.slots), leaves))
+            yield pd.DataFrame(out, columns=["episode_id", "turn", "event", "target", "members", "cost_before", "cost_after"])
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=["episode_id", "turn", "event", "target", "members", "cost_before", "cost_after"])
+
+    return ordered.mapInPandas(run, EVENTS)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import udf as U
 from ..operators import audit as A
 from ..operators import canonical as C
 from ..operators import context as X
 from ..operators import facts as L
 from ..operators import retrieval as R
 from ..operators import scoring as S
+from ..operators.fold import Budget, run_fold
 from ..operators.hierarchy import expand_paths
 from .problems import forests, table
 
@@ -535,3 +537,40 @@ def supersede_chain(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["supersede_chain"] = supersede_chain
+
+
+# --- folds and functions without SQL ---
+
+
+def _fold_input(m):
+    gone = L.overrides(m.ledger).select("summary_id", F.col("at_turn").alias("archived_at"))
+    facts = m.ledger.filter(F.col("observed_turn").isNotNull() & ~F.col("erased"))
+    slots = facts.groupBy("episode_id", "summary_id").agg(F.min("observed_turn").alias("turn"), F.array_sort(F.collect_set("slot")).alias("slots"))
+    text = m.summaries.select("summary_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
+    return slots.join(text, "summary_id", "left").join(gone, "summary_id", "left")
+
+
+@query
+def index_fold(m):
+    """Events of filing summaries under index entries within a budget."""
+    return run_fold(_fold_input(m), Budget(tokens=60), "index").withColumn("members", F.array_join("members", ","))
+
+
+@query
+def merge_fold(m):
+    """Events of merging summaries within a budget."""
+    return run_fold(_fold_input(m), Budget(tokens=60), "merge").withColumn("members", F.array_join("members", ","))
+
+
+@query
+def truncated_texts(m):
+    """Documents cut to 128 estimated tokens."""
+    return m.documents.select("doc_id", U.truncate_to_tokens(F.col("text"), 128).alias("text"))
+
+
+@query
+def tool_calls(m):
+    """Calls that predictions hold, and those that the ids in them would make."""
+    ref = F.regexp_extract("prediction", r"([a-z]+\d+@[0-9a-f]{6})", 1)
+    reply = F.when(ref != "", F.concat(F.lit('{"name": "get_archived_summary", "arguments": {"id": "'), "episode_id", F.lit("/"), ref, F.lit('"}}'))).otherwise(F.col("prediction"))
+    return m.probes.select("run_id", "system", "episode_id", "probe_index", F.explode(U.tool_calls(reply)).alias("c")).select("run_id", "system", "episode_id", "probe_index", "c.name", "c.args")

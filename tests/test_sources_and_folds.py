@@ -1,0 +1,128 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import udf as U
+from ledgerloom.operators.fold import Budget, run_fold
+from ledgerloom.plans.scratch import Scratch
+from ledgerloom.sources import episodes as E
+from ledgerloom.sources import runs as R
+from ledgerloom.streaming import memory as M
+
+RECORDS = [
+    {"episode_id": "a", "dialogues": [["hi", "yo"], {"user": "u", "agent": "v"}, {"human": "h", "assistant": "k"}, {"messages": [{"role": "user", "content": "m1"}, {"role": "assistant", "content": "m2"}]}, "bare"], "facts": {"tea": [[1, "green"], [4, "black"]]}, "probes": [{"type": "history", "question": "q?", "answer": "x", "fact_key": "tea"}]},
+    {"id": 7, "conversation": [["only", "one"]], "facts": {"tea": "green"}, "qa": [{"q": "What was it before?", "a": "z"}]},
+    {"probes": [{"question": "我现在的茶是什么？", "gold": "绿"}], "facts": [{"slot": "bay", "turn": 2, "value": "A-1"}]},
+    {"dialogues": [], "probes": []},
+]
+
+
+@pytest.mark.parametrize("shape", ["lines", "list", "episodes", "single"])
+def test_episode_files(spark, tmp_path, shape):
+    path = tmp_path / ("x.jsonl" if shape == "lines" else "x.json")
+    text = {"lines": "\n".join(map(json.dumps, RECORDS)) + "\n\nnot json\n", "list": json.dumps(RECORDS), "episodes": json.dumps({"episodes": RECORDS}), "single": json.dumps(RECORDS[0])}[shape]
+    path.write_text(text, encoding="utf-8")
+    rows = E.episodes(E.read_records(spark, str(path)))
+    turns = {(r.episode_id, r.turn_index): (r.user_msg, r.agent_msg) for r in E.turns(rows).collect()}
+    assert [turns["a", i] for i in range(5)] == [("hi", "yo"), ("u", "v"), ("h", "k"), ("m1", "m2"), ("bare", "")]
+    if shape == "single":
+        return
+    assert turns["7", 0] == ("only", "one") and rows.count() == 3
+    kinds = {r.question: (r.probe_type, r.gold) for r in E.probes(rows).collect()}
+    assert kinds == {"q?": ("history_fact", "x"), "What was it before?": ("history_fact", "z"), "我现在的茶是什么？": ("current_fact", "绿")}
+    facts = {(r.slot, r.ord, r.turn, r.value) for r in E.facts(rows).collect()}
+    assert facts == {("tea", 0, 1, "green"), ("tea", 1, 4, "black"), ("tea", 0, None, "green"), ("bay", 0, 2, "A-1")}
+
+
+def test_haystack(spark):
+    sessions = [[("user", "q")] * n for n in (10, 5, 5)]
+    mixed = [[("system", "s"), ("assistant", "orphan"), ("user", "u1"), ("user", "u2"), ("assistant", "a2")]]
+    rows = [("h", "q", "a", "knowledge-update", "d", ["s0", "s1", "s2"], [], ["s0"], sessions), ("m", "q", "a", "odd", "d", ["x"], [], None, mixed)]
+    df = spark.createDataFrame(rows, E.HAYSTACK)
+    turns = E.haystack_turns(df)
+    assert [(r.user_msg, r.agent_msg) for r in turns.filter("question_id = 'm'").orderBy("turn").collect()] == [("", "orphan"), ("u1", ""), ("u2", "a2")]
+    h = turns.filter("question_id = 'h'")
+    assert E.within_budget(h, None).count() == 20
+    cut = E.within_budget(h, 6).collect()
+    assert len(cut) == 6 and all(r.is_evidence for r in cut)
+    room = E.within_budget(h, 16).groupBy("session").count().collect()
+    assert {r.session: r["count"] for r in room} == {0: 10, 2: 5}
+    assert [r.probe_type for r in E.haystack_probes(df, ["odd"], 1).collect()] == ["other"]
+
+
+def test_synthetic_facts_change(spark):
+    df = E.synthetic(spark, 3, 40, slots=4, gap=10)
+    per = df.filter("value is not null").groupBy("episode_id", "slot").agg(F.count("*").alias("n"), F.countDistinct("value").alias("d")).collect()
+    assert all(r.n == r.d == 4 for r in per) and len(per) == 12
+
+
+def test_results_and_bookkeeping(spark, tmp_path):
+    a, b = spark.createDataFrame([("x", 1)], "k string, n int"), spark.createDataFrame([("y", "t")], "k string, s string")
+    R.write_results([a, b], str(tmp_path / "out"))
+    got = R.read_results(spark, str(tmp_path / "out"))
+    assert set(got.columns) == {"k", "n", "s"} and {(r.k, r.n, r.s) for r in got.collect()} == {("x", "1", None), ("y", None, "t")}
+    path = str(tmp_path / "t")
+    assert R.append_new(a, path, ["k"]) == 1 and R.append_new(a.unionByName(spark.createDataFrame([("z", 2), ("z", 2)], a.schema)), path, ["k"]) == 1
+    both = R.upsert(spark.createDataFrame([("x", 1, 1.0)], "k string, n int, ts double"), spark.createDataFrame([("x", 2, 2.0), ("w", 5, 0.5)], "k string, n int, ts double"), ["k"], "ts")
+    assert {(r.k, r.n) for r in both.collect()} == {("x", 2), ("w", 5)}
+    progress = spark.createDataFrame([("x", "done"), ("x", "failed"), ("z", "failed")], "k string, status string")
+    assert [r.k for r in R.pending(spark.createDataFrame([("x",), ("z",)], "k string"), progress, ["k"]).collect()] == ["z"]
+    ep = str(tmp_path / "ep")
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "episode_id string, n int")
+    df.write.parquet(ep)
+    R.purge(spark, [ep], df.filter("n = 1"), Scratch(spark, "t"))
+    assert [r.n for r in spark.read.parquet(ep).collect()] == [2]
+    assert json.loads(R.payloads(a, ["k"]).first().payload) == {"k": "x", "n": 1}
+
+
+SUMMARY = "episode_id string, turn int, summary_id string, cost int, slots array<string>, archived_at int"
+
+
+def test_folds(spark):
+    rows = [("e", i, f"s{i:03d}", 20, [f"k{i % 3}"], i + 9 if i % 4 == 0 else None) for i in range(40)] + [("e", 1, "s001", 20, ["k1"], None), (None, 1, "x", 1, [], None), ("n", 1, "y", None, None, None)]
+    df = spark.createDataFrame(rows, SUMMARY).withColumn("cost_before", F.lit(1))
+    for strategy, kind in (("index", "filed"), ("merge", "merged")):
+        got = run_fold(df, Budget(tokens=100), strategy).collect()
+        assert any(r.event == kind for r in got)
+        assert all(r.cost_after <= r.cost_before for r in got if r.event in ("filed", "merged", "folded"))
+        again = run_fold(df.repartition(5), Budget(tokens=100), strategy).collect()
+        assert sorted(map(str, got)) == sorted(map(str, again))
+    events = run_fold(df, Budget(tokens=100)).collect()
+    filed = [m for r in events if r.event == "filed" for m in r.members]
+    freed = [m for r in events if r.event == "dissolved" for m in r.members]
+    assert set(filed) <= {f"s{i:03d}" for i in range(40)} and len(filed) - len(set(filed)) <= len(freed)
+    assert run_fold(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        run_fold(df, strategy="other")
+
+
+def test_udfs(spark):
+    texts = ["我的工位在十二楼", "hello world again and again", "", None, "short"]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(U.truncate_to_tokens(F.col("t"), 3).alias("t")).collect()]
+    assert got == ["我的 ...", "hello w ...", "", None, "short"]
+    calls = U.find_calls('ok {"name": "get_raw_record", "arguments": {"id": "r1"}} then expand_index（“idx1”） and get_predecessor_summary(slot="tea", value="x") nonsense(1)'.replace("“", '"').replace("”", '"'))
+    assert calls == [("get_raw_record", {"reference_id": "r1"}), ("expand_index", {"index_id": "idx1"}), ("get_predecessor_summary", {"fact_key": "tea", "reference_value": "x"})]
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    src, raw = str(tmp_path / "in"), str(tmp_path / "raw")
+    schema = "fact_id string, episode_id string, slot string, value string, seq int, observed_turn int, reason string, erased boolean, at timestamp"
+    one = spark.sql("select timestamp'2024-01-01 00:00:00' t").first().t
+    batches = [[("f1", "e", "Tea", "green", 1, 0, "", False, one), ("f2", "e", "tea", "black", 2, 5, "", False, one)], [("f1", "e", "Tea", "green", 1, 0, "", False, one), ("f3", "e", "tea ", "late", 3, 2, "x", False, one)]]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+
+    def run(df, name, mode):
+        q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).collect()
+
+    assert sorted(r.fact_id for r in run(M.intake(stream, "at"), "taken", "append")) == ["f1", "f2", "f3"]
+    assert {(r.slot, r.value) for r in run(M.current_values(stream), "now", "complete")} == {("tea", "black")}
+    for n in range(3):
+        spark.createDataFrame([("e", t, f"r{t}") for t in (n * 2, n * 2 + 1, -1)], "episode_id string, turn_index int, reference_id string").coalesce(1).write.mode("append").parquet(raw)
+    turns = spark.readStream.schema("episode_id string, turn_index int, reference_id string").option("maxFilesPerTrigger", 1).parquet(raw)
+    rows = run(M.recent_turns(turns, 3), "recent", "update")
+    assert {r.turn_index for r in rows[-3:]} == {3, 4, 5}
