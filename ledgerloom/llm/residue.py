@@ -172,7 +172,7 @@ HOLE = re.compile(
     r"|@@[A-Za-z_]{2,40}@@|__[A-Z][A-Z_]{1,40}__|\[\[[A-Za-z_ ]{2,40}\]\]"
     r"|<(?!/)(?:此处|请|在此)?(?:填写|填入|插入|输入)[^<>\n]{0,40}>|[【〔［\[（(](?:此处|请|在此)?(?:填写|填入|插入|输入)[^】〕］\]）)\n]{0,40}[】〕］\]）)]"
     r"|\[(?:TODO|TBD|FIXME|INSERT|FILL|ENTER|YOUR|ADD|PLACEHOLDER)\b[^\]\n]{0,60}\]|<(?:INSERT|YOUR|ENTER|FILL)\b[^<>\n]{0,60}>"
-    r"|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Ff]ill in|[Aa]dd) [^\]\n]{0,40}\]|^\W*(?i:lorem ipsum)\b"
+    r"|\[(?:[Yy]our|[Ii]nsert|[Ee]nter|[Ff]ill in|[Aa]dd) [^\]\n]{0,40}\]|^\W*(?i:lorem)\b"
 )
 ANGLE = re.compile(r"<([A-Z][A-Z0-9_]*)>")
 WORD = re.compile(r"⟨hole⟩|[^\W\d_]+(?:['’_-][^\W_]+)*|[㐀-鿿]", re.UNICODE)
@@ -184,7 +184,7 @@ DIGIT = re.compile(r"\d")
 
 def with_holes(text: str) -> str:
     """The text with every hole replaced by the hole token."""
-    if not any(c in text for c in "{｛<%@_[【〔［（(") and "ipsum" not in text.lower():
+    if not any(c in text for c in "{｛<%@_[【〔［（(") and "lorem" not in text.lower():
         return text
     text = HOLE.sub(" ⟨hole⟩ ", text)
     return ANGLE.sub(lambda m: m[0] if f"</{m[1]}>" in text else " ⟨hole⟩ ", text) if "<" in text else text

@@ -13,7 +13,7 @@ from ledgerloom.plans.scratch import Scratch
 
 RESIDUE = [
     "Dear {{name}}, the tea did not change.", "用户把茶改为【请填写答案】。", "<OLD_VALUE>", "[your slot here]", "%(city)s", "{%= slot %}", "${value}", "@@SLOT@@", "__CITY__", "#{x}",
-    "Lorem ipsum ferin vestra sanove.", "\nSAMPLE TEXT, REPLACE BEFORE PUBLISHING.\n", "asdf asdf jkl asdf", "测试测试测试", "502 Bad Gateway", '{"error": {"code": 500, "message": "internal server error"}}',
+    "Lorem ipsum ferin vestra sanove.", "LOREM NULLEM ELIGA VESTRA", "\nSAMPLE TEXT, REPLACE BEFORE PUBLISHING.\n", "asdf asdf jkl asdf", "测试测试测试", "502 Bad Gateway", '{"error": {"code": 500, "message": "internal server error"}}',
     "Oops! Something went wrong on our side. Reference 0b37f3b3", "页面暂时不可用，请稍后重试。（错误码 404）", "Please turn on JavaScript and cookies in your browser settings.", "检测到浏览器已禁用脚本，然后继续浏览。",
 ]
 CONTENT = [
