@@ -65,7 +65,7 @@ def ledger(rows: DataFrame) -> DataFrame:
 def probes(rows: DataFrame) -> DataFrame:
     """Every probe once."""
     keys = ["run_id", "system", "episode_id", "probe_index"]
-    keep = ["probe_type", "fact_key", "question", "gold", "prediction", "correct", "judge_method", "tool_attempted", "tool_resolved", "tool_unparsable", "context_tokens", "answer_chars", "error"]
+    keep = ["probe_type", "fact_key", "question", "gold", "prediction", "correct", "judge_method", "judge_reason", "tool_attempted", "tool_resolved", "tool_unparsable", "context_tokens", "answer_chars", "error"]
     known = rows
     for k in keys:
         known = known.filter(F.col(k).isNotNull())

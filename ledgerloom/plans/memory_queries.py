@@ -469,6 +469,33 @@ def question_overlap(m):
     return asked.select("run_id", "system", "episode_id", "probe_index", F.floor(T.word_overlap(F.col("question"), F.col("prediction")) * 1000).cast("int").alias("overlap_permille"), T.slots_match(F.col("fact_key"), F.col("question")).alias("names_slot"))
 
 
+@query
+def question_slots(m):
+    """Slot and anchor that each question asks about, and whether the slot is the probe's own."""
+    asked = m.probes.filter(F.col("question").isNotNull()).select("question", "fact_key").distinct()
+    q = T.question_slot(F.col("question"))
+    return asked.select("question", F.coalesce("fact_key", F.lit("")).alias("fact_key"), q["slot"].alias("slot"), q["anchor"].alias("anchor"), F.coalesce(T.slots_match(q["slot"], F.col("fact_key")), F.lit(False)).alias("same"))
+
+
+@query
+def judge_replies(m):
+    """Judge replies read back: as JSON, and as prose."""
+    verdict = F.when(F.col("correct") == 1, "true").otherwise("false")
+    reply = F.when(F.col("judge_method") == "llm", F.concat(F.lit('{"correct": '), verdict, F.lit(', "reason": "'), F.coalesce("judge_reason", F.lit("")), F.lit('"}'))).when(F.col("correct") == 1, "The answer is correct.").otherwise("That is wrong.")
+    return m.probes.select("system", (F.col("correct") == 1).alias("is_correct"), T.judged(reply).alias("verdict")).groupBy("system", "is_correct", "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rendered_lines(m):
+    """The lines of the memory block: summaries with the ids they override, index entries with their span."""
+    ids = F.array_join(F.transform("override_ids", lambda i: T.short_id(i)), ",")
+    tag = F.when(ids == "", "none").otherwise(ids)
+    chain = R.unfiled(m.active, m.entries).select("episode_id", F.col("summary_id").alias("id"), F.concat(F.lit("- "), T.short_id(F.col("summary_id")), F.lit(" [OVERRIDES: "), F.coalesce(tag, F.lit("none")), F.lit("] "), F.coalesce("text", F.lit(""))).alias("line"))
+    span = F.concat(F.lit("turns "), F.coalesce(F.col("turn_start").cast("string"), F.lit("?")), F.lit("-"), F.coalesce(F.col("turn_end").cast("string"), F.lit("?")))
+    titles = m.entries.select("episode_id", F.col("index_id").alias("id"), F.concat(F.lit("* "), T.short_id(F.col("index_id")), F.lit(" ("), span, F.lit(") "), F.coalesce(F.substring("title", 1, 120), F.lit(""))).alias("line"))
+    return chain.unionByName(titles)
+
+
 # --- evaluation ---
 
 

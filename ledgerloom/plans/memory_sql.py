@@ -435,3 +435,27 @@ SQL |= {
         FROM probes WHERE question IS NOT NULL AND prediction IS NOT NULL)""",
     ),
 }
+
+
+def _question(group: int) -> str:
+    cases = []
+    for pattern, slot, anchor in T.QUESTIONS:
+        g = (slot, anchor)[group]
+        cases.append(f"WHEN regexp_matches(question, {_q(pattern)}) THEN " + (f"regexp_extract(question, {_q(pattern)}, {g})" if g else "''"))
+    return "CASE " + " ".join(cases) + " ELSE '' END"
+
+
+SQL |= {
+    "question_slots": _sql(
+        "probes",
+        f"""SELECT question, fact_key, slot, anchor, x <> '' AND y <> '' AND (x = y OR (length(x) >= 4 AND contains(y, x)) OR (length(y) >= 4 AND contains(x, y))) AS same FROM (
+        SELECT *, {_key('slot')} AS x, {_key('fact_key')} AS y FROM (SELECT question, coalesce(fact_key, '') AS fact_key, lower({_question(0)}) AS slot, {_question(1)} AS anchor
+        FROM (SELECT DISTINCT question, fact_key FROM probes WHERE question IS NOT NULL)))""",
+    ),
+    "judge_replies": _sql("probes", "SELECT system, correct = 1 AS is_correct, coalesce(correct = 1, false) AS verdict, count(*) AS n FROM probes GROUP BY ALL"),
+    "rendered_lines": _sql(
+        "unfiled",
+        f"""SELECT episode_id, summary_id AS id, '- ' || {_SHORT.format('summary_id')} || ' [OVERRIDES: ' || coalesce(nullif(array_to_string(list_transform(override_ids, lambda i: {_SHORT.format('i')}), ','), ''), 'none') || '] ' || coalesce(text, '') AS line FROM unfiled
+        UNION ALL SELECT episode_id, index_id, '* ' || {_SHORT.format('index_id')} || ' (turns ' || coalesce(CAST(turn_start AS VARCHAR), '?') || '-' || coalesce(CAST(turn_end AS VARCHAR), '?') || ') ' || coalesce(substr(title, 1, 120), '') FROM entries""",
+    ),
+}
