@@ -75,14 +75,14 @@ def _sizes_and_cycles(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dat
         if open_now == 0 or open_now == open_before:
             break
         open_before = open_now
-        gained = ways.groupBy("jump").agg(F.sum("size").alias("_more")).withColumnRenamed("jump", "id")
         onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("_next"))
-        stepped = ways.select("id", "jump").join(onward, "jump").select("id", "_next")
-        fresh = (
-            state.join(stepped, "id", "left")
-            .join(gained, "id", "left")
-            .select("id", "parent", F.col("_next").alias("jump"), (F.col("size") + F.coalesce("_more", F.lit(0))).alias("size"))
-        )
+        stepped = ways.select("id", "jump").join(onward, "jump")
+        none, nought = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+        # one aggregate takes the node itself, its next jump, and the counts sent to it, combined before the shuffle
+        kept = state.select("id", "parent", none.alias("jump"), "size")
+        moved = stepped.select("id", none.alias("parent"), F.col("_next").alias("jump"), nought.alias("size"))
+        sent = ways.select(F.col("jump").alias("id"), none.alias("parent"), none.alias("jump"), "size")
+        fresh = kept.unionByName(moved).unionByName(sent).groupBy("id").agg(F.max("parent").alias("parent"), F.max("jump").alias("jump"), F.sum("size").alias("size"))
         state, old = scratch.cut(fresh), made
         made = state
         if old is not None:
