@@ -496,6 +496,15 @@ def rendered_lines(m):
     return chain.unionByName(titles)
 
 
+@query
+def self_written(m):
+    """Replies that hold a memory update: what is left as the answer, the update's body and its facts."""
+    parts = T.self_written(F.col("prediction"))
+    held = m.probes.filter(F.lower("prediction").contains("<memory_update>")).select("prediction").distinct()
+    split = held.select("prediction", parts["answer"].alias("answer"), parts["update"].alias("update_text"))
+    return split.select("prediction", "answer", T.summary_body(F.col("update_text")).alias("body"), F.array_join(T.summary_facts(F.col("update_text")), ";").alias("facts"))
+
+
 # --- evaluation ---
 
 

@@ -459,3 +459,10 @@ SQL |= {
         UNION ALL SELECT episode_id, index_id, '* ' || {_SHORT.format('index_id')} || ' (turns ' || coalesce(CAST(turn_start AS VARCHAR), '?') || '-' || coalesce(CAST(turn_end AS VARCHAR), '?') || ') ' || coalesce(substr(title, 1, 120), '') FROM entries""",
     ),
 }
+
+SQL["self_written"] = _sql(
+    "probes",
+    rf"""SELECT prediction, {_strip("regexp_replace(prediction, '(?is)<MEMORY_UPDATE>.*?(?:</MEMORY_UPDATE>|$)', '', 'g')")} AS answer,
+    {_strip(f"regexp_replace(u, {_q(T.FACTS)}, '', 'g')")} AS body, replace(regexp_extract(u, {_q(T.FACTS)}, 1), '; ', ';') AS facts
+    FROM (SELECT DISTINCT prediction, regexp_extract(prediction, '(?is)<MEMORY_UPDATE>(.*?)(?:</MEMORY_UPDATE>|$)', 1) AS u FROM probes WHERE contains(lower(prediction), '<memory_update>'))""",
+)
