@@ -14,9 +14,14 @@ counts of depth under 2**k are doubled together, and nodes that reach no root ar
 first, by the same doubling.  No tree, chain or level is ever gathered in one task.
 
 Defined results: null ids are left out; repeated ids count once, with the smallest non-null
-parent; a parent that is no node is void; a node on or below a cycle gets ``depth`` -1,
-``root`` the smallest id of the cycle it runs into, and null elsewhere.  Other columns of the
-input are ignored, whatever their names.  An empty table gives an empty table.
+parent; a parent that is no node is void; a node on or below a cycle gets ``depth`` -1 and
+as ``root`` the smallest id of the cycle it runs into.  Such cycles are cut: each node of a
+cycle heads the tree that hangs below it, where chains, segments and sizes are as in any
+tree, and the trees of one cycle share one order, so that a path ends at the cycle and
+``[tin, tin + size)`` is a node's tree.  Every node that runs into a cycle is a descendant of
+all nodes on it: ``[first, end)`` is that whole order for nodes on a cycle, and the node's
+tree elsewhere.  Other columns of the input are ignored, whatever their names.  An empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -32,25 +37,18 @@ from ..plans.scratch import Scratch
 
 
 def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, parent, root, depth, size, chain, pos, segments, tin)`` for every node."""
+    """``(id, parent, root, depth, size, chain, pos, segments, tin, first, end)`` for every node."""
     base = _clean(nodes, scratch)
-    sized, cyclic = _sizes_and_cycles(base, scratch)
+    sized, ring = _sizes_and_cycles(base, scratch)
     chained = _chains(sized, scratch)
     tops = _chain_tree(chained, scratch)
     placed = chained.join(tops.withColumnRenamed("head", "chain"), "chain")
     own = F.array(F.struct(F.col("chain"), F.col("pos").alias("upto")))
-    acyclic = placed.select(
-        "id",
-        "parent",
-        "root",
-        (F.col("pos") + F.col("above")).alias("depth"),
-        "size",
-        "chain",
-        "pos",
-        F.concat(own, "segments").alias("segments"),
-        (F.col("pos") + F.col("tin_head")).alias("tin"),
-    )
-    return acyclic.unionByName(cyclic.withColumn("depth", F.lit(-1).cast("bigint")), allowMissingColumns=True)
+    depth, tin = F.col("pos") + F.col("above"), F.col("pos") + F.col("tin_head")
+    tree = placed.select("id", "parent", "root", depth.alias("depth"), "size", "chain", "pos", F.concat(own, "segments").alias("segments"), tin.alias("tin"))
+    if ring is None:
+        return tree.withColumns({"first": F.col("tin"), "end": F.col("tin") + F.col("size")})
+    return _closed_rings(tree, ring)
 
 
 def _clean(nodes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -61,8 +59,22 @@ def _clean(nodes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(linked.select("id", F.when(F.col("_known"), F.col("parent")).alias("parent")))
 
 
-def _sizes_and_cycles(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Doubling: ``jump`` is the ancestor at distance 2**k, ``size`` counts descendants nearer than that.
+def _sizes_and_cycles(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """``(id, parent, size)`` of the forest with its cycles cut, and the nodes on cycles (None if there are none)."""
+    state, left = _doubled(base, scratch)
+    sized = state.filter(F.col("jump").isNull()).drop("jump")
+    if not left:
+        return sized, None
+    stuck = state.filter(F.col("jump").isNotNull()).select("id", "parent")
+    ring = _cycles(stuck, left, scratch)
+    heads = ring.select("id", F.lit(True).alias("_head"))
+    cut = scratch.cut(stuck.join(heads, "id", "left").select("id", F.when(F.col("_head").isNull(), F.col("parent")).alias("parent")))
+    hanging = _doubled(cut, scratch)[0].drop("jump")
+    return sized.unionByName(hanging), _ring_order(ring, hanging, scratch)
+
+
+def _doubled(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """Doubling: ``jump`` is the ancestor at distance 2**k, ``size`` counts descendants nearer than that; and how many ways never end.
 
     A round after which no further way has ended shows that the rest never ends: were a node
     2**k or more below a root, its ancestors would fill every smaller depth.
@@ -73,7 +85,7 @@ def _sizes_and_cycles(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dat
         ways = state.filter(F.col("jump").isNotNull())
         open_now = ways.count()
         if open_now == 0 or open_now == open_before:
-            break
+            return state, open_now
         open_before = open_now
         onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("_next"))
         stepped = ways.select("id", "jump").join(onward, "jump")
@@ -87,22 +99,47 @@ def _sizes_and_cycles(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, Dat
         made = state
         if old is not None:
             scratch.drop(old)
-    sized = state.filter(F.col("jump").isNull()).drop("jump")
-    stuck = state.filter(F.col("jump").isNotNull())
-    return sized, _cycles(stuck.select("id", "parent"), open_now, scratch)
 
 
 def _cycles(stuck: DataFrame, count: int, scratch: Scratch) -> DataFrame:
-    """``root`` = smallest id of the cycle that each node of a rootless part runs into."""
+    """``(id, parent, least)`` of the nodes on cycles, with the smallest id of each one's cycle."""
     state = stuck.select("id", "parent", F.col("parent").alias("jump"), F.col("id").alias("least"))
-    for _ in range(max(1, math.ceil(math.log2(count))) if count else 0):
+    for _ in range(max(1, math.ceil(math.log2(count)))):
         other = state.select(F.col("id").alias("jump"), F.col("jump").alias("_next"), F.col("least").alias("_least"))
         state = scratch.cut(
             state.join(other, "jump").select("id", "parent", F.col("_next").alias("jump"), F.least("least", "_least").alias("least"))
         )
-    # after 2**k >= count steps the way is on its cycle, and a stretch of that length has seen all of it
-    other = state.select(F.col("id").alias("jump"), F.col("least").alias("root"))
-    return state.join(other, "jump").select("id", "parent", "root")
+    # after 2**k >= count steps every way is on its cycle and all nodes of the cycle are reached; a stretch of that length has seen all of it
+    reached = state.select(F.col("jump").alias("id")).distinct()
+    return scratch.cut(state.join(reached, "id").select("id", "parent", "least"))
+
+
+def _ring_order(ring: DataFrame, hanging: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per node on a cycle its real parent, where its tree starts in the cycle's order, and the length of that order."""
+    sized = ring.join(hanging.select("id", "size"), "id")
+    total = sized.groupBy("least").agg(F.sum("size").alias("whole"))
+    offset = running_total(sized, "least", "id", "size", "offset")
+    return scratch.cut(offset.join(total, "least").select("id", F.col("parent").alias("_parent"), "least", "offset", "whole"))
+
+
+def _closed_rings(tree: DataFrame, ring: DataFrame) -> DataFrame:
+    """Put the trees that hang at cycles into their cycles' orders, and give the nodes on cycles their parents back."""
+    at = ring.select(F.col("id").alias("root"), "least", "offset", "whole", "_parent")
+    on = F.col("least").isNotNull() & (F.col("id") == F.col("root"))
+    tin = F.col("tin") + F.coalesce("offset", F.lit(0))
+    return tree.join(at, "root", "left").select(
+        "id",
+        F.when(on, F.col("_parent")).otherwise(F.col("parent")).alias("parent"),
+        F.coalesce("least", "root").alias("root"),
+        F.when(F.col("least").isNotNull(), F.lit(-1)).otherwise(F.col("depth")).cast("bigint").alias("depth"),
+        "size",
+        "chain",
+        "pos",
+        "segments",
+        tin.alias("tin"),
+        F.when(on, F.lit(0)).otherwise(tin).cast("bigint").alias("first"),
+        F.when(on, F.col("whole")).otherwise(tin + F.col("size")).alias("end"),
+    )
 
 
 def _chains(sized: DataFrame, scratch: Scratch) -> DataFrame:
@@ -194,9 +231,11 @@ def expand_paths(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """``(id, ancestor, depth)``: the nodes on the way of each (wanted) node, itself included.
 
     Segments are opened into (chain, position) pairs, which an equi-join turns into ids, so
-    the work is the size of the result.  Nodes that reach no root have no path.
+    the work is the size of the result.  Where no root is reached, the path starts at the node
+    on the cycle that the way runs into, which has depth 0 here.
     """
-    rows = tree.filter(F.col("depth") >= 0)
+    steps = F.aggregate("segments", F.lit(0).cast("bigint"), lambda n, s: n + s["upto"] + 1) - 1
+    rows = tree.withColumn("depth", steps)
     picked = rows.join(wanted.select("id").distinct(), "id", "left_semi") if wanted is not None else rows
     opened = picked.select("id", F.explode("segments").alias("s")).select("id", F.col("s.chain").alias("chain"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("s.upto"))).alias("pos"))
     members = rows.select("chain", "pos", F.col("id").alias("ancestor"), "depth")
@@ -204,10 +243,12 @@ def expand_paths(tree: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 
 
 def expand_descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(id, descendant)`` for the wanted nodes: all nodes whose order number lies in the node's interval."""
-    rows = tree.filter(F.col("depth") >= 0)
-    span = rows.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tin").alias("_from"), (F.col("tin") + F.col("size")).alias("_to"))
-    below = rows.select(F.col("id").alias("descendant"), "root", "tin")
+    """``(id, descendant)`` for the wanted nodes: all nodes whose order number lies in the node's interval.
+
+    For a node on a cycle these are the nodes of its hanging tree; all nodes with its ``root`` are its descendants too.
+    """
+    span = tree.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tin").alias("_from"), (F.col("tin") + F.col("size")).alias("_to"))
+    below = tree.select(F.col("id").alias("descendant"), "root", "tin")
     return span.join(below, "root").filter((F.col("tin") > F.col("_from")) & (F.col("tin") < F.col("_to"))).select("id", "descendant")
 
 

@@ -563,8 +563,8 @@ def time_labels(m):
 
 
 def supersede_chain(spark: SparkSession, folder: str) -> DataFrame:
-    """Every summary with all its successors, archive and active layer alike, by distance."""
-    tree = forests(spark, folder).filter(F.startswith("id", F.lit("summary\t")))
+    """Every summary that reaches a root with all its successors, archive and active layer alike, by distance."""
+    tree = forests(spark, folder).filter(F.startswith("id", F.lit("summary\t")) & (F.col("depth") >= 0))
     near = expand_paths(tree)
     deep = tree.select("id", F.col("depth").alias("_own"))
     walk = near.join(deep, "id").filter(F.col("id") != F.col("ancestor"))

@@ -63,7 +63,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
-    """Per node its path as chain segments (own chain first, ``head<=position``) and its descendants as an interval of the tree's order."""
+    """Per node its path as chain segments (own chain first, ``head<=position``) and its descendants as an interval of the tree's order.
+
+    Where no root is reached, the path ends at the cycle, and the order is that of all nodes that run into it; descendants of
+    a node on the cycle are all of them.
+    """
     tree = forests(spark, folder)
     words = F.transform("segments", lambda s: F.concat(F.substring_index(s["chain"], "\t", -1), F.lit("<="), s["upto"].cast("string")))
     return tree.select(
@@ -72,9 +76,9 @@ def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
         _bare("root").alias("root_id"),
         F.col("depth").cast("int").alias("depth"),
         F.array_join(words, " ").alias("path"),
-        F.col("tin").alias("first_order"),
-        (F.col("tin") + F.col("size")).alias("end_order"),
-        (F.col("size") - 1).alias("descendants"),
+        F.col("first").alias("first_order"),
+        F.col("end").alias("end_order"),
+        (F.col("end") - F.col("first") - 1).alias("descendants"),
     )
 
 

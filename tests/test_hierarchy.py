@@ -65,6 +65,34 @@ def test_roots_depths_cycles_and_expansions(spark):
     assert all(sorted(t) == list(range(len(t))) for t in orders.values())
 
 
+def test_paths_and_descendants_below_cycles(spark):
+    parents = shapes() | {"u0": "r1", "u1": "t0", "u2": "u1"}
+    tree = H.hierarchy(frame(spark, parents), Scratch(spark, "t")).cache()
+    rows = {r.id: r for r in tree.collect()}
+    assert {k: (r.root, r.depth) for k, r in rows.items()} == brute(parents)
+    assert {k: r.parent for k, r in rows.items()} == {k: v if v in parents else None for k, v in parents.items()}
+    rings, stuck = {"r0", "r1", "r2", "self"}, [v for v, (_, d) in brute(parents).items() if d < 0]
+    ways, down = {}, {}
+    for r in H.expand_paths(tree).collect():
+        ways.setdefault(r.id, {})[r.depth] = r.ancestor
+    for r in H.expand_descendants(tree, tree.select("id")).collect():
+        down.setdefault(r.id, set()).add(r.descendant)
+    walked = {}
+    for v in stuck:
+        path, at = [v], v
+        while at not in rings:
+            at = parents[at]
+            path.append(at)
+            walked.setdefault(at, set()).add(v)
+        assert [ways[v][d] for d in range(len(ways[v]))] == path[::-1]
+    # by the order's interval every node finds all that run into it, on a cycle everything
+    for v in stuck:
+        assert down.get(v, set()) == walked.get(v, set())
+        inside = {w for w in stuck if rows[w].root == rows[v].root and rows[v].first <= rows[w].tin < rows[v].end} - {v}
+        assert inside == ({w for w in stuck if rows[w].root == rows[v].root} - {v} if v in rings else walked.get(v, set()))
+        assert rows[v].end - rows[v].first - 1 == len(inside)
+
+
 def test_nulls_repeats_extra_columns_and_empty(spark):
     rows = [("a", None, 1), ("b", "a", 2), ("b", "a", 3), (None, "a", 4), ("b", None, 5)]
     df = spark.createDataFrame(rows, "id string, parent string, size int").withColumn("chain", F.lit("x")).withColumn("jump", F.lit(1))
