@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import token_estimate
 from ..plans.blocks import running_total_in_order
+from ..plans.scratch import Scratch
+from .facts import _carry
 
 
 def turn_costs(raw: DataFrame) -> DataFrame:
@@ -47,6 +49,41 @@ def running_context(costs: DataFrame) -> DataFrame:
     return run.groupBy("episode_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("total").alias("shown_tokens"), F.max("total").alias("most_tokens"))
 
 
+def evictions(costs: DataFrame, budget: int, recent: int, scratch: Scratch) -> DataFrame:
+    """(episode, evicted, evicted_tokens, evictions): a window that is checked after every turn, and cut to its newest ``recent`` turns when over budget.
+
+    After a cut at turn i the window starts at i - recent + 1, so the next cut is the first later turn whose running total exceeds
+    that before the window by more than the budget.  Each turn is linked to that turn, and the links are doubled; the way starts
+    at turn ``recent``, the last one that can't be cut.
+    """
+    e = ["episode_id"]
+    run = running_total_in_order(costs.withColumn("_one", F.lit(1).cast("bigint")), e, "turn", "_one", "i")
+    run = scratch.cut(running_total_in_order(run, e, "turn", "cost", "total").select("episode_id", "i", "total"))
+    gone = run.select("episode_id", (F.col("i") + recent).alias("i"), F.col("total").alias("gone"))
+    asked = run.filter(F.col("i") >= recent).select("episode_id", "i").join(gone, ["episode_id", "i"], "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    # totals and limits on one scale, read from the greatest down: a limit takes the first turn of the least total above it
+    none = F.lit(None).cast("bigint")
+    points = run.groupBy("episode_id", (F.col("total") * -2).alias("at")).agg(F.min("i").alias("next"))
+    limit = (F.col("gone") + budget) * -2 - 1
+    limits = asked.select("episode_id", limit.alias("at")).distinct().withColumn("next", none)
+    met = _carry(points.unionByName(limits), e, "at", "next", 1 << 20).filter(F.pmod("at", F.lit(2)) == 1)
+    links = asked.withColumn("at", limit).join(met, ["episode_id", "at"], "left")
+    links = links.select("episode_id", "i", F.when(F.col("next").isNotNull(), F.greatest("next", F.col("i") + 1)).alias("onward"))
+    # over budget after the last turn already: no later turn is left to cut at
+    links = links.join(run.select("episode_id", F.col("i").alias("onward"), F.lit(True).alias("_there")), ["episode_id", "onward"], "left")
+    ended = F.col("_there").isNull()
+    state = scratch.cut(links.select("episode_id", "i", F.when(ended, F.col("i")).otherwise(F.col("onward")).alias("last"), F.when(ended, 0).otherwise(1).cast("bigint").alias("evictions"), ended.alias("ended")))
+    while state.filter(~F.col("ended")).limit(1).count():
+        other = state.select("episode_id", F.col("i").alias("last"), F.col("last").alias("_last"), F.col("evictions").alias("_evictions"), F.col("ended").alias("_ended"))
+        moved = state.filter(~F.col("ended")).join(other, ["episode_id", "last"])
+        moved = moved.select("episode_id", "i", F.col("_last").alias("last"), (F.col("evictions") + F.col("_evictions")).alias("evictions"), F.col("_ended").alias("ended"))
+        fresh, old = scratch.cut(state.filter("ended").unionByName(moved)), state
+        scratch.drop(old)
+        state = fresh
+    cuts = state.filter((F.col("i") == recent) & (F.col("evictions") > 0)).select("episode_id", (F.col("last") - recent).alias("i"), "evictions")
+    return cuts.join(run, ["episode_id", "i"]).select("episode_id", F.col("i").alias("evicted"), F.col("total").alias("evicted_tokens"), "evictions")
+
+
 def spread_sample(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """``n`` rows per key, evenly spread by the dense rank ``order`` = 0, 1, ...: those at floor(i * count / n)."""
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))

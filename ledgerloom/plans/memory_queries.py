@@ -16,6 +16,7 @@ from ..operators import scoring as S
 from ..operators.fold import Budget, run_fold
 from ..operators.hierarchy import expand_paths
 from .problems import forests, table
+from .scratch import Scratch
 
 
 class Memory:
@@ -316,13 +317,19 @@ def baseline_tokens(m):
 
 @query
 def memgpt_evicted(m):
-    """Episodes whose turns exceed the budget keep the newest four turns; the others are evicted."""
+    """Closed form, as if checked once at the end: episodes whose turns exceed the budget keep the newest four turns.  By turn: ``memgpt_fold``."""
     costs = X.turn_costs(m.raw)
     over = costs.groupBy("episode_id").agg(F.sum("cost").alias("all_tokens")).filter(F.col("all_tokens") > 400)
     kept = X.last_turns(m.raw, 4).select("episode_id", F.col("turn_index").alias("turn")).distinct()
     return costs.join(over, "episode_id").join(kept, ["episode_id", "turn"], "left_anti").groupBy("episode_id").agg(F.count(F.lit(1)).alias("evicted"), F.sum("cost").alias("evicted_tokens"))
 
 
+@query
+def memgpt_fold(m):
+    """Turns evicted when the window is checked after every turn: over the budget, all but the newest four leave."""
+    return X.evictions(X.turn_costs(m.raw), 400, 4, Scratch(m.raw.sparkSession, "evictions"))
+
+
 @query
 def spread_sample(m):
     return X.spread_sample(X.turn_costs(m.raw), ["episode_id"], "turn", 5)

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -14,6 +15,7 @@ from ledgerloom.operators import canonical as C
 from ledgerloom.operators import context as X
 from ledgerloom.operators import facts as L
 from ledgerloom.operators import retrieval as R
+from ledgerloom.plans.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
 LEDGER = "fact_id string, episode_id string, summary_id string, slot string, value string, seq int, observed_turn int, evidence array<string>, reason string, superseded_by string, residual_mentions int, erased boolean"
@@ -103,6 +105,26 @@ def test_budgets(spark):
     assert sorted((r.episode_id, r.turn) for r in X.oldest_within(costs, 12).collect()) == [("e", 0), ("e", 1)]
 
 
+def test_evictions_turn_by_turn(spark):
+    rng = random.Random(5)
+    episodes = {"flat": [20] * 30, "short": [500, 500, 500], "four": [500] * 4, "five": [500] * 5, "zero": [0, 0, 0, 0, 400, 0, 0, 1, 0, 0]}
+    episodes |= {f"w{k}": [rng.choice([0, 0, 5, 40, 90, 150, 700]) for _ in range(rng.randint(1, 60))] for k in range(25)}
+    want = {}
+    for name, costs in episodes.items():
+        held, out, cuts = [], [], 0
+        for c in costs:
+            held.append(c)
+            if sum(held) > 400 and len(held) > 4:
+                out, held, cuts = out + held[:-4], held[-4:], cuts + 1
+        if cuts:
+            want[name] = (len(out), sum(out), cuts)
+    rows = [(name, 3 * t + 1, c) for name, costs in episodes.items() for t, c in enumerate(costs)]
+    got = X.evictions(spark.createDataFrame(rows, "episode_id string, turn int, cost long"), 400, 4, Scratch(spark, "t"))
+    assert {r.episode_id: (r.evicted, r.evicted_tokens, r.evictions) for r in got.collect()} == want
+    assert want["flat"][0] == 17
+    assert "memgpt_fold" in entry.queries()
+
+
 @pytest.mark.parametrize(
     "text, want",
     [("我的工位在十二楼", 9), ("", 0), (None, 0), ("a", 1), ("hello world", 4), ("こんにちは 안녕", 8), ("😀😀", 2)],
