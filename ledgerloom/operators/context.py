@@ -19,7 +19,7 @@ def turn_costs(raw: DataFrame) -> DataFrame:
 
 
 def last_turns(raw: DataFrame, most: int = 4) -> DataFrame:
-    """The newest ``most`` turns of every episode, with their position.
+    """The newest ``most`` deliveries of every episode, with their position: a turn under several references takes several places.
 
     The rank is limited, so Spark keeps ``most`` rows per episode and task before the shuffle.
     """
@@ -28,6 +28,24 @@ def last_turns(raw: DataFrame, most: int = 4) -> DataFrame:
     return known.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most).select("episode_id", "position", "reference_id", "turn_index")
 
 
+def newest_turns(raw: DataFrame, most: int = 4) -> DataFrame:
+    """The newest ``most`` distinct turns of every episode, each once by its greatest reference.
+
+    A struct aggregate leaves one row per turn before the limited rank.
+    """
+    known = raw.filter(F.col("turn_index").isNotNull())
+    one = known.groupBy("episode_id", "turn_index").agg(F.max("reference_id").alias("reference_id"))
+    order = Window.partitionBy("episode_id").orderBy(F.col("turn_index").desc())
+    return one.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= most).select("episode_id", "position", "reference_id", "turn_index")
+
+
+def ranked(costs: DataFrame) -> DataFrame:
+    """Turns with their dense rank ``position`` = 0, 1, ... within the episode, counted in blocks."""
+    one = costs.withColumn("_one", F.lit(1).cast("bigint"))
+    run = running_total_in_order(one, ["episode_id"], "turn", "_one", "_n")
+    return run.withColumn("position", F.col("_n") - 1).drop("_one", "_n")
+
+
 def newest_within(costs: DataFrame, budget: int, first_always: bool = True) -> DataFrame:
     """Newest turns whose costs fit the budget together, up to the first that doesn't; the newest is kept in any case if asked."""
     run = running_total_in_order(costs, ["episode_id"], "turn", "cost", "total", descending=True)

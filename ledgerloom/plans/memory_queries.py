@@ -289,8 +289,15 @@ def turn_ordinals(m):
     return X.turn_costs(m.raw)
 
 
+@query
+def sliding_turns(m):
+    """The newest four distinct turns."""
+    return X.newest_turns(m.raw, 4)
+
+
 @query
 def sliding_window(m):
+    """The newest four deliveries, as in its SQL; by turn: ``sliding_turns``."""
     return X.last_turns(m.raw, 4)
 
 
@@ -330,8 +337,15 @@ def memgpt_fold(m):
     return X.evictions(X.turn_costs(m.raw), 400, 4, Scratch(m.raw.sparkSession, "evictions"))
 
 
+@query
+def spread_turns(m):
+    """Five turns per episode, evenly spread by position, whatever ordinals are missing."""
+    return X.spread_sample(X.ranked(X.turn_costs(m.raw)), ["episode_id"], "position", 5).drop("position")
+
+
 @query
 def spread_sample(m):
+    """Spread by the turn's number, as in its SQL: where ordinals are missing, rows are lost.  By position: ``spread_turns``."""
     return X.spread_sample(X.turn_costs(m.raw), ["episode_id"], "turn", 5)
 
 

@@ -3,6 +3,7 @@
 import glob
 import os
 import random
+from types import SimpleNamespace
 
 import duckdb
 import pytest
@@ -15,6 +16,7 @@ from ledgerloom.operators import canonical as C
 from ledgerloom.operators import context as X
 from ledgerloom.operators import facts as L
 from ledgerloom.operators import retrieval as R
+from ledgerloom.plans import memory_queries
 from ledgerloom.plans.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
@@ -105,6 +107,22 @@ def test_budgets(spark):
     assert sorted((r.episode_id, r.turn) for r in X.oldest_within(costs, 12).collect()) == [("e", 0), ("e", 1)]
 
 
+def test_windows_and_samples_count_turns(spark):
+    said = [("e", 7 * t + 3, f"r{t:02d}{d}") for t in range(12) for d in range(1 + 2 * (t == 10))] + [("f", 9, "s")]
+    rows = spark.createDataFrame([(r, e, t, "my tea is green", "ok", 1.0) for e, t, r in said] + [("n", "e", None, "x", "y", 1.0)], "reference_id string, episode_id string, turn_index int, user_msg string, agent_msg string, ts double")
+    got = sorted((r.episode_id, r.position, r.turn_index, r.reference_id) for r in entry_rows(spark, "sliding_turns", rows))
+    assert got == [("e", 1, 80, "r110"), ("e", 2, 73, "r102"), ("e", 3, 66, "r090"), ("e", 4, 59, "r080"), ("f", 1, 9, "s")]
+    got = sorted((r.episode_id, r.turn) for r in entry_rows(spark, "spread_turns", rows))
+    assert got == [("e", 7 * (i * 12 // 5) + 3) for i in range(5)] + [("f", 9)]
+
+
+def entry_rows(spark, name, raw_rows):
+    """Rows of a registered query on the turns alone."""
+    function = getattr(memory_queries, name)
+    assert name in entry.queries()
+    return function(SimpleNamespace(raw=raw_rows)).collect()
+
+
 def test_evictions_turn_by_turn(spark):
     rng = random.Random(5)
     episodes = {"flat": [20] * 30, "short": [500, 500, 500], "four": [500] * 4, "five": [500] * 5, "zero": [0, 0, 0, 0, 400, 0, 0, 1, 0, 0]}
