@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_digits
+from ..functions.text import letters_digits, split_pair, summary_facts
 from ..plans.blocks import previous_in_order
-from .facts import STEP, moment, placed
+from ..plans.scratch import Scratch
+from .facts import STEP, _carry, moment, placed
+from .versions import slot_key
 
 
 def lookup(ids: DataFrame, archive: DataFrame, active: DataFrame) -> DataFrame:
@@ -48,9 +50,9 @@ def members(entries: DataFrame, active: DataFrame, archive: DataFrame) -> DataFr
 
 
 def predecessors(ledger: DataFrame) -> DataFrame:
-    """(fact, value, previous fact, previous value): the newest earlier fact of the slot with another value.
+    """(fact, value, previous fact, previous value) of each fact whose value differs from the one before it in its slot.
 
-    Equal neighbours form runs, so it is the last fact of the run before.
+    Equal neighbours form runs: the first fact of a run has the last of the run before.  With overrides: ``anchored``.
     """
     keys = ["episode_id", "slot"]
     base = placed(ledger.filter(~F.col("erased"))).withColumn("key", letters_digits(F.col("value"))).withColumn("_m", moment())
@@ -61,6 +63,51 @@ def predecessors(ledger: DataFrame) -> DataFrame:
     return starts.select("episode_id", "slot", "value", "fact_id", F.col("_before.value").alias("previous_value"), F.col("_before.fact_id").alias("previous_fact"))
 
 
+def recorded(summaries: DataFrame, erased: DataFrame) -> DataFrame:
+    """(episode, slot, summary, value, key, pos): the first value that each summary's text, else its fact keys, give a slot, without erased facts.
+
+    ``summaries``: summary_id, episode_id, seq, ts, text, fact_keys; ``erased``: summary_id, slot.  ``pos`` = 1, 2, ... in the slot
+    by (ts, seq, id), counted in blocks of an hour, and of 65536 numbers where no time is known.
+    """
+    pairs = F.concat(F.coalesce(summary_facts(F.col("text")), F.array().cast("array<string>")), F.coalesce("fact_keys", F.array().cast("array<string>")))
+    opened = summaries.select("episode_id", "summary_id", "seq", "ts", F.posexplode(pairs).alias("n", "pair")).withColumn("p", split_pair(F.col("pair"))).filter(F.col("p").isNotNull())
+    opened = opened.withColumn("slot", slot_key(F.col("p.slot"))).withColumn("key", letters_digits(F.col("p.value"))).filter((F.col("key") != "") & (F.col("slot") != ""))
+    keys = ["episode_id", "slot"]
+    time = F.when(F.isnan("ts"), None).otherwise(F.round("ts", 3))
+    one = opened.groupBy(*keys, "summary_id").agg(F.min(F.struct("n", F.col("p.value").alias("value"), "key")).alias("f"), F.max(F.coalesce(time, F.lit(-1.0))).alias("_ts"), F.max(F.coalesce("seq", F.lit(-1))).alias("seq"))
+    one = one.join(erased.select("summary_id", "slot").distinct(), ["summary_id", "slot"], "left_anti").select(*keys, "summary_id", "f.value", "f.key", "_ts", "seq")
+    cut = one.withColumn("_b", F.struct(F.floor(F.col("_ts") / 3600).alias("t"), F.when(F.col("_ts") < 0, F.floor(F.col("seq") / 65536)).otherwise(0).alias("s")))
+    inner = Window.partitionBy(*keys, "_b").orderBy("_ts", "seq", "summary_id")
+    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = cut.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumn("_ahead", F.coalesce(F.sum("_n").over(outer), F.lit(0))).drop("_n")
+    placed_ = cut.withColumn("_in", F.row_number().over(inner)).join(ahead, [*keys, "_b"])
+    return placed_.select(*keys, "summary_id", "value", "key", (F.col("_in") + F.col("_ahead")).alias("pos"))
+
+
+def anchored(summaries: DataFrame, erased: DataFrame, overridden: DataFrame, scratch: Scratch) -> DataFrame:
+    """(episode, slot, value, summary, recorder, relation, previous summary, previous value): what a value replaced, for every summary that states it.
+
+    The recorder is the newest summary with the value.  The newest of those it overrides (``overridden``: summary_id, target) that
+    state the slot comes first (relation ``override``); without one, the newest older summary with another value (``older``).
+    """
+    keys = ["episode_id", "slot"]
+    all_ = scratch.cut(recorded(summaries, erased))
+    me = F.struct("key", "summary_id", "value")
+    seen = previous_in_order(all_.withColumn("_me", me), keys, "pos", "_me", "_before")
+    start = F.when(F.col("_before.key") != F.col("key"), F.col("_before"))
+    run = _carry(seen.withColumn("_older", start).drop("_before", "_me"), keys, "pos", "_older", 65536)
+    recorders = run.groupBy(*keys, "key").agg(F.max(F.struct("pos", "summary_id", "_older")).alias("r")).select(*keys, "key", F.col("r.summary_id").alias("recorder"), F.col("r._older").alias("_older"))
+    recorders = scratch.cut(recorders)
+    named = overridden.select(F.col("summary_id").alias("recorder"), F.col("target").alias("summary_id")).filter(F.col("recorder") != F.col("summary_id")).distinct()
+    direct = recorders.select(*keys, F.col("key").alias("_key"), "recorder").join(named, "recorder").join(all_, [*keys, "summary_id"])
+    direct = direct.groupBy(*keys, F.col("_key").alias("key")).agg(F.max_by(me, "pos").alias("_direct"))
+    best = F.coalesce("_direct", "_older")
+    answers = recorders.join(direct, [*keys, "key"], "left").filter(best.isNotNull())
+    relation = F.when(F.col("_direct").isNotNull(), "override").otherwise("older")
+    answers = answers.select(*keys, "key", "recorder", relation.alias("relation"), best["summary_id"].alias("previous_summary"), best["value"].alias("previous_value"))
+    return all_.join(answers, [*keys, "key"]).select(*keys, "value", "summary_id", "recorder", "relation", "previous_summary", "previous_value")
+
+
 def newest_other(ledger: DataFrame, exclude: DataFrame) -> DataFrame:
     """(episode, slot, value, fact): the newest fact of a slot whose value isn't the excluded one (``exclude``: episode, slot, key)."""
     rows = ledger.filter(~F.col("erased") & F.col("observed_turn").isNotNull()).withColumn("key", letters_digits(F.col("value"))).filter(F.col("key") != "")

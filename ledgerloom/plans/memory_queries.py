@@ -255,8 +255,18 @@ def expand_index(m):
     return R.members(m.entries, m.active, m.archive)
 
 
+@query
+def predecessor_recorded(m):
+    """What each recorded value replaced: by its recorder's override ids, else the newest older summary with another value."""
+    cols = ["summary_id", "episode_id", "seq", "ts", "text", "fact_keys"]
+    both = m.archive.select(*cols).unionByName(m.active.select(*cols))
+    named = override_ids(m).filter(F.col("target") != "")
+    return R.anchored(both, m.ledger.filter("erased"), named, Scratch(m.archive.sparkSession, "anchored"))
+
+
 @query
 def predecessor_anchor(m):
+    """Only the run before in the ledger, as in its SQL; with override ids: ``predecessor_recorded``."""
     return R.predecessors(m.ledger)
 
 

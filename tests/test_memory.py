@@ -107,6 +107,30 @@ def test_budgets(spark):
     assert sorted((r.episode_id, r.turn) for r in X.oldest_within(costs, 12).collect()) == [("e", 0), ("e", 1)]
 
 
+def test_predecessors_by_override_ids(spark):
+    def row(n, value, over=(), slot="tea", ts=None):
+        return (f"e/s{n:03d}@h", "e", n, f"x [FACTS: {slot}={value}]", list(over), float(5000 * n) if ts is None else ts, [])
+
+    told = [row(1, "green"), row(2, "black"), row(3, "white", ["s001"]), row(4, "White!"), row(5, "green"), row(6, "red", ["e/s002@h", "s004@h"]), row(7, "red")]
+    told += [row(8, "A", slot="bay"), row(9, "B", slot="bay"), row(10, "C", ["s009", "s404"], slot="bay"), row(11, "secret", slot="bay"), row(12, "D", ["s008"], slot="bay")]
+    schema = "summary_id string, episode_id string, seq int, text string, override_ids array<string>, ts double, fact_keys array<string>"
+    df = spark.createDataFrame(told, schema)
+    m = SimpleNamespace(archive=df.filter("seq < 7"), active=df.filter("seq >= 7"), summaries=df, ledger=ledger(spark, [("e", "bay", "", 11, 3, [], True)]))
+    got = {(r.slot, r.summary_id[2:6], r.recorder[2:6], r.relation, r.previous_summary[2:6], r.previous_value) for r in memory_queries.predecessor_recorded(m).collect()}
+    assert got == {
+        ("tea", "s001", "s005", "older", "s004", "White!"),
+        ("tea", "s005", "s005", "older", "s004", "White!"),
+        ("tea", "s002", "s002", "older", "s001", "green"),
+        ("tea", "s003", "s004", "older", "s002", "black"),
+        ("tea", "s004", "s004", "older", "s002", "black"),
+        ("tea", "s006", "s007", "older", "s005", "green"),
+        ("tea", "s007", "s007", "older", "s005", "green"),
+        ("bay", "s009", "s009", "older", "s008", "A"),
+        ("bay", "s010", "s010", "override", "s009", "B"),
+        ("bay", "s012", "s012", "override", "s008", "A"),
+    }
+
+
 def test_windows_and_samples_count_turns(spark):
     said = [("e", 7 * t + 3, f"r{t:02d}{d}") for t in range(12) for d in range(1 + 2 * (t == 10))] + [("f", 9, "s")]
     rows = spark.createDataFrame([(r, e, t, "my tea is green", "ok", 1.0) for e, t, r in said] + [("n", "e", None, "x", "y", 1.0)], "reference_id string, episode_id string, turn_index int, user_msg string, agent_msg string, ts double")
