@@ -54,12 +54,26 @@ def unreachable_values(ledger: DataFrame, shown: DataFrame) -> DataFrame:
     return now.join(hit, "fact_id", "left_anti").select("episode_id", "slot", "value", "fact_id")
 
 
+def extraction_all(raw: DataFrame, ledger: DataFrame) -> DataFrame:
+    """I4 on all messages: those without an ordinal count as captured by facts that name the message as evidence."""
+    lost = raw.filter(F.col("user_msg").isNotNull() & F.col("turn_index").isNull())
+    found = lost.select("episode_id", "reference_id", evidence_class(F.col("user_msg")).alias("kind"), F.explode(candidate_pairs(F.col("user_msg"))).alias("p"))
+    held = ledger.select(F.explode("evidence").alias("reference_id"), letters_digits(F.col("value")).alias("k")).groupBy("reference_id").agg(F.collect_set("k").alias("held"))
+    both = found.join(held, "reference_id", "left").withColumn("hit", F.coalesce(value_matches(F.col("p.value"), F.col("held")), F.lit(False)))
+    parts = extraction(raw, ledger).unionByName(_recall(both))
+    return parts.groupBy("episode_id").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "episode_id"])
+
+
 def extraction(raw: DataFrame, ledger: DataFrame) -> DataFrame:
-    """I4: per episode the candidates found in user messages and how many of them the ledger holds for that turn."""
+    """I4 on messages with an ordinal: per episode the candidates found and how many of them the ledger holds for that turn."""
     said = raw.filter(F.col("user_msg").isNotNull() & F.col("turn_index").isNotNull())
     found = said.select("episode_id", "turn_index", "reference_id", evidence_class(F.col("user_msg")).alias("kind"), F.explode(candidate_pairs(F.col("user_msg"))).alias("p"))
     held = ledger.filter(F.col("observed_turn").isNotNull()).groupBy("episode_id", F.col("observed_turn").alias("turn_index")).agg(F.collect_set(letters_digits(F.col("value"))).alias("held"))
     both = found.join(held, ["episode_id", "turn_index"], "left").withColumn("hit", F.coalesce(value_matches(F.col("p.value"), F.col("held")), F.lit(False)))
+    return _recall(both)
+
+
+def _recall(both: DataFrame) -> DataFrame:
     strict = F.col("kind") == "change"
     return both.groupBy("episode_id").agg(
         F.count_if(strict).alias("strict_candidates"),

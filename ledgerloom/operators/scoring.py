@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import answers_match, candidate_pairs, evidence_class, is_question
+from .retrieval import contains_join
 
 TYPES = {"current_fact": "current", "history_fact": "history", "memory_point": "memory_point", "no_history": "no_history"}
 
@@ -50,14 +51,18 @@ def per_episode(probes: DataFrame) -> DataFrame:
 
 
 def gate_signals(raw: DataFrame) -> DataFrame:
-    """Per turn: evidence class, whether it asks, and the candidate values."""
+    """``all_signals`` of the turns with an ordinal."""
+    return all_signals(raw.filter(F.col("turn_index").isNotNull()))
+
+
+def all_signals(raw: DataFrame) -> DataFrame:
+    """Per turn, with an ordinal or without: evidence class, whether it asks, and the candidate values."""
     text = F.coalesce("user_msg", F.lit(""))
-    known = raw.filter(F.col("turn_index").isNotNull())
-    return known.select("episode_id", F.col("turn_index").alias("turn"), "reference_id", evidence_class(text).alias("kind"), is_question(text).alias("asks"), candidate_pairs(text).alias("pairs"))
+    return raw.select("episode_id", F.col("turn_index").alias("turn"), "reference_id", evidence_class(text).alias("kind"), is_question(text).alias("asks"), candidate_pairs(text).alias("pairs"))
 
 
 def gate(signals: DataFrame) -> DataFrame:
-    """Decisions of the levels pattern, loose and strict per turn.
+    """Decisions of the levels pattern and strict per turn; with loose and turns without ordinal: ``gate_levels``.
 
     A value or slot is known if an earlier turn of the episode stated it: the first turn of each, by a map-side minimum.
     """
@@ -70,6 +75,34 @@ def gate(signals: DataFrame) -> DataFrame:
     return out.select("episode_id", "turn", "reference_id", "kind", "asks", states.alias("keep_pattern"), strict.alias("keep_strict"))
 
 
+def gate_levels(raw: DataFrame) -> DataFrame:
+    """Decisions of the levels pattern, loose and strict for every turn.
+
+    Loose keeps what pattern keeps, and turns that mention a slot which an earlier turn stated; each slot counts from its first
+    turn, and meets the texts on its last characters.  A turn without ordinal makes nothing known to others, and for it is known
+    what any turn with an ordinal stated.
+    """
+    signals = all_signals(raw)
+    each = signals.select("episode_id", "turn", "reference_id", F.explode("pairs").alias("p")).select("episode_id", "turn", "reference_id", "p.slot", "p.value")
+    dated = each.filter(F.col("turn").isNotNull())
+    first_value = dated.groupBy("episode_id", "value").agg(F.min("turn").alias("_first"))
+    fresh = F.coalesce(F.col("_first") >= F.col("turn"), F.col("_first").isNull())
+    novel = each.join(first_value, ["episode_id", "value"], "left").groupBy("episode_id", "turn", "reference_id").agg(F.max(fresh).alias("novel"))
+    # what one delivery of a turn states anew is new for the turn
+    by_turn = novel.filter(F.col("turn").isNotNull()).groupBy("episode_id", "turn").agg(F.max("novel").alias("_t"))
+    by_reference = novel.filter(F.col("turn").isNull()).select("reference_id", F.col("novel").alias("_r"))
+    texts = raw.select("reference_id", F.lower(F.coalesce("user_msg", F.lit(""))).alias("text"))
+    slots = dated.filter(F.col("slot") != "").groupBy("episode_id", F.col("slot").alias("value")).agg(F.min("turn").alias("_since"))
+    spoken = raw.select("episode_id", F.lower("user_msg").alias("text")).distinct()
+    known = contains_join(slots, spoken).groupBy("episode_id", "text").agg(F.min("_since").alias("_since"))
+    out = signals.join(by_turn, ["episode_id", "turn"], "left").join(by_reference, "reference_id", "left").withColumn("novel", F.coalesce("_t", "_r", F.lit(False)))
+    out = out.join(texts, "reference_id").join(known, ["episode_id", "text"], "left")
+    states = (F.col("kind") == "change") | ((F.col("kind") == "state") & ~F.col("asks"))
+    mentions = F.coalesce(F.col("_since") < F.col("turn"), F.col("_since").isNotNull())
+    strict = F.when(F.col("kind") == "change", F.col("novel") | (F.size("pairs") == 0)).otherwise(F.col("novel") & ~F.col("asks"))
+    return out.select("episode_id", "turn", "reference_id", "kind", "asks", states.alias("keep_pattern"), (states | mentions).alias("keep_loose"), strict.alias("keep_strict"))
+
+
 def confusion(gated: DataFrame, evidence: DataFrame, keep: str) -> DataFrame:
     """tp, fp, fn and tn of a gate against turns that are evidence of a fact (``evidence``: reference_id); one row."""
     truth = evidence.select("reference_id", F.lit(True).alias("_fact")).distinct()

@@ -484,11 +484,52 @@ def gate_confusion(m):
 
 @query
 def gate_prevalence(m):
+    return _prevalence(m, S.gate_signals(m.raw))
+
+
+def _prevalence(m, signals):
     evidence = m.ledger.select(F.explode("evidence").alias("reference_id"), F.lit(True).alias("fact")).distinct()
-    both = S.gate_signals(m.raw).join(evidence, "reference_id", "left").withColumn("fact", F.coalesce("fact", F.lit(False)))
+    both = signals.join(evidence, "reference_id", "left").withColumn("fact", F.coalesce("fact", F.lit(False)))
     return both.groupBy("fact").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.size("pairs") > 0).alias("with_pairs"), F.count_if(F.col("kind") == "change").alias("changes"), F.count_if("asks").alias("questions"))
 
 
+# the same on all turns, also those without an ordinal, which the SQL of the five above and of i4_extraction leaves out
+
+
+@query
+def gate_classify_all(m):
+    return S.all_signals(m.raw).groupBy("episode_id", "kind", "asks").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def candidate_pairs_all(m):
+    return S.all_signals(m.raw).select("reference_id", F.explode("pairs").alias("p")).select("reference_id", "p.slot", "p.value").distinct()
+
+
+@query
+def gate_levels(m):
+    levels = [F.count_if(f"keep_{level}").alias(level) for level in ("pattern", "loose", "strict")]
+    return S.gate_levels(m.raw).groupBy("episode_id").agg(*levels, F.count(F.lit(1)).alias("turns"))
+
+
+@query
+def gate_confusion_all(m):
+    evidence = m.ledger.select(F.explode("evidence").alias("reference_id"))
+    gated = S.gate_levels(m.raw)
+    parts = [S.confusion(gated, evidence, f"keep_{level}").withColumn("level", F.lit(level)) for level in ("pattern", "loose", "strict")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def gate_prevalence_all(m):
+    return _prevalence(m, S.all_signals(m.raw))
+
+
+@query
+def i4_extraction_all(m):
+    return A.extraction_all(m.raw, m.ledger)
+
+
 @query
 def normalised_values(m):
     return m.ledger.select("fact_id", T.letters_digits(F.col("value")).alias("key"))

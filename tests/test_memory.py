@@ -16,6 +16,7 @@ from ledgerloom.operators import canonical as C
 from ledgerloom.operators import context as X
 from ledgerloom.operators import facts as L
 from ledgerloom.operators import retrieval as R
+from ledgerloom.operators import scoring as S
 from ledgerloom.plans import memory_queries
 from ledgerloom.plans.scratch import Scratch
 
@@ -131,6 +132,21 @@ def test_predecessors_by_override_ids(spark):
     }
 
 
+def test_gate_levels_and_turns_without_ordinal(spark):
+    said = [("a0", 0, "my tea is green"), ("a1", 1, "nice TEA, thanks"), ("a2", 2, "what is my tea?"), ("a3", 3, "nice day"), ("a4", 4, "my tea is green"), ("b0", 0, "steamy bay")]
+    said += [("a5", None, "my tea is green"), ("a6", None, "my bay is A-1"), ("a7", None, "bay watch"), ("a8", None, "tea for two"), ("a9", 9, "bay watch")]
+    df = spark.createDataFrame([(r, r[0], t, text, "ok", 1.0) for r, t, text in said], "reference_id string, episode_id string, turn_index int, user_msg string, agent_msg string, ts double")
+    m = SimpleNamespace(raw=df, ledger=ledger(spark, [("a", "bay", "A-1", 1, None, ["a6"], False), ("a", "tea", "green", 2, 0, ["a0"], False)]))
+    kept = {r.reference_id: (r.keep_pattern, r.keep_loose, r.keep_strict) for r in S.gate_levels(df).collect()}
+    yes, loose, old, no = (True, True, True), (False, True, False), (True, True, False), (False, False, False)
+    assert kept == {"a0": yes, "a1": loose, "a2": loose, "a3": no, "a4": old, "b0": no, "a5": old, "a6": yes, "a7": no, "a8": loose, "a9": no}
+    assert {r.level: (r.tp, r.fp, r.fn, r.tn) for r in memory_queries.gate_confusion_all(m).collect()} == {"pattern": (2, 2, 0, 7), "loose": (2, 5, 0, 4), "strict": (2, 0, 0, 9)}
+    assert {(r.reference_id, r.slot, r.value) for r in memory_queries.candidate_pairs_all(m).collect()} == {(i, "tea", "green") for i in ("a0", "a4", "a5")} | {("a6", "bay", "a-1")}
+    assert sum(r.n for r in memory_queries.gate_classify_all(m).collect()) == sum(r.turns for r in memory_queries.gate_prevalence_all(m).collect()) == sum(r.turns for r in memory_queries.gate_levels(m).collect()) == 11
+    got = {r.episode_id: (r.all_candidates, r.all_captured) for r in memory_queries.i4_extraction_all(m).collect()}
+    assert got == {"a": (4, 2)}
+
+
 def test_windows_and_samples_count_turns(spark):
     said = [("e", 7 * t + 3, f"r{t:02d}{d}") for t in range(12) for d in range(1 + 2 * (t == 10))] + [("f", 9, "s")]
     rows = spark.createDataFrame([(r, e, t, "my tea is green", "ok", 1.0) for e, t, r in said] + [("n", "e", None, "x", "y", 1.0)], "reference_id string, episode_id string, turn_index int, user_msg string, agent_msg string, ts double")
