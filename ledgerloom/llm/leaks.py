@@ -5,8 +5,8 @@
    evaluation item stands.  Terms outside the evaluation vocabulary count by number only.
 2. **Weights**: document frequencies of all terms over all documents, with a floor for passages copied very often.
 3. **Latent space**: passages of ``WINDOW`` characters, every ``STRIDE``, are TF-IDF vectors over
-   ``FEATURES`` hashed features; a randomised SVD (random projection, one power step, QR, eigenvectors of
-   the small Gram matrix) runs as sums over partitions.  The items are rows of the
+   ``FEATURES`` hashed features; an orthonormal basis of their range (random projection, one power step, QR)
+   runs as sums over partitions.  No singular values or vectors are computed.  The items are rows of the
    matrix as well, with as much weight as all passages, so the basis spans them.
 4. **Search**: cosine of every passage with every item in the latent space; a passage's norm includes
    its terms outside the vocabulary.  Cosines of ``CUTOFF`` or more make a document a candidate.
