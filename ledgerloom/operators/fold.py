@@ -2,7 +2,7 @@
 
 Every decision depends on the cost of what the last one left, so this is a fold.  Rows are partitioned by episode and
 sorted by turn; a task reads them as a stream of Arrow batches and holds the state of the episode at hand only: the live chain and its
-index entries, which the budget bounds.  So an episode of any length is never gathered.
+index entries.  Entries keep the ids of all summaries filed under them, which the budget doesn't bound, and an episode is one task.
 
 Two strategies: ``index`` files the oldest unprotected summaries under index entries, and the oldest entries
 under super entries; ``merge`` replaces the oldest summaries by one of the newest value per slot, if that saves enough.
