@@ -1,45 +1,49 @@
-"""Evaluation texts that stand in a corpus: latent semantic retrieval, then a check of the longest common stretch.
-
-1. **Scan** (once over the corpus, in Arrow batches): with only letters and digits kept, case and
-   width folded, every document gives the places at which a character q-gram of an
-   evaluation item stands.  Terms outside the evaluation vocabulary count by number only.
-2. **Weights**: document frequencies of all terms over all documents, with a floor for passages copied very often.
-3. **Latent space**: passages of ``WINDOW`` characters, every ``STRIDE``, are TF-IDF vectors over
-   ``FEATURES`` hashed features; an orthonormal basis of their range (random projection, one power step, QR)
-   runs as sums over partitions.  No singular values or vectors are computed.  The items are rows of the
-   matrix as well, with as much weight as all passages, so the basis spans them.
-4. **Search**: cosine of every passage with every item in the latent space; a passage's norm includes
-   its terms outside the vocabulary.  Cosines of ``CUTOFF`` or more make a document a candidate.
-5. **Check**: the longest common unbroken stretch of document and item, read off diagonals of term places;
-   at least half of the item's characters make a leak.  The item's answer is looked up too.
-
-The corpus is never shuffled or joined: after the scan each document with hits is one row
-of places.  Evaluation items are a bounded set (blocks of ``BLOCK`` items, each a scan of its own), and
-only their vocabulary, the basis (``FEATURES`` x rank) and the frequencies of their terms go
-through the driver.
-
-Defined results: null or empty texts match nothing; items of fewer than 8 letters and digits are left out, as half of
-one would stand anywhere; null ids are left out; repeated items with one id give one row.
+"""Evaluation texts that leaked into a corpus: latent semantic retrieval, then checks of the common sequence and the answer.
+
+1. **Scan** (once over the corpus, in Arrow batches): with only letters and digits kept, case and width folded, every
+   document gives the places of the terms of the evaluation items.  A term is a run of ``q`` characters: 8, or 4 for items mostly
+   in Han characters, and never more than half of an item, so that items of any length can be found.  Terms of no item
+   have a zero in every item's row; they count in the lengths of passages only.
+2. **Matrix**: one row per passage of ``WINDOW`` characters, every ``STRIDE``, of every document: which terms it holds, weighted by
+   inverse document frequency over all documents, in ``FEATURES`` hashed columns.  No passage is left out beforehand.
+3. **Randomised SVD**: a random sketch of the matrix's Gram matrix is summed over partitions, and its eigenvectors and singular values follow from the
+   sketch (one-pass Nystrom form).  The items are rows too, with ``ITEM_WEIGHT`` times the weight of all passages; the fewest leading directions that keep
+   ``ENERGY`` of every item's squared length stay.
+4. **Search**: the cosine of every passage with every item in the latent space.  The cutoff is set per item from the definition of a leak:
+   ``MARGIN`` times the least cosine that a passage can have which holds its part of half the item, ``NEAR`` at most (so that reworded long items pass), less what the truncation may hide.
+5. **Check** of the candidates: the longest common unbroken stretch, read off diagonals of term places; half of the item's characters or more is a
+   ``copy``.  For others, the longest common subsequence of terms near the passage: one that covers ``REWORDED`` of the item's characters
+   together with the item's answer in the document, or ``RESTATED`` without it, is a ``paraphrase``.
+
+The corpus is never shuffled or joined: after the scan each document is at most one row of places per block of items.  Items are read in slices of ``SLICE``
+(each slice is a scan of its own) and searched in blocks of ``BLOCK``; a slice's vocabulary, the directions (``FEATURES`` x rank) and the
+frequencies of its terms go through the driver.
+
+Defined results: null or empty texts match nothing; items without a letter or digit match nothing; null ids are
+left out; repeated items with one id give one row; repeated documents are different documents.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
 #: Parameters.
-Q, WINDOW, STRIDE = 8, 128, 64
-FEATURES, EXTRA, CUTOFF, BLOCK, SEED = 4096, 64, 0.03, 512, 20240917
-CHUNK = 1_000_000
+Q, Q_HAN, WINDOW, STRIDE = 8, 4, 128, 64
+FEATURES, EXTRA, ENERGY, ITEM_WEIGHT, MARGIN, NEAR = 4096, 64, 1 - 1e-4, 1000.0, 0.6, 0.15
+REWORDED, RESTATED = 0.5, 0.8
+BLOCK, SLICE, SEED = 256, 20_000, 20240917
+CHUNK, ENTRIES = 1_000_000, 16_384
 _A = np.uint64(0x9E3779B97F4A7C15)
 
-
 def fold_table() -> np.ndarray:
     """Code point -> folded code point; 0 for what is neither letter nor digit."""
     table = np.zeros(0x110000, dtype=np.uint32)
@@ -75,28 +79,33 @@ def gram_hashes(codes: np.ndarray, q: int) -> np.ndarray:
     return h * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def gram_size(codes: np.ndarray) -> int:
+    """Length of an item's terms: never more than half of it, so that half of it holds a term."""
+    han = ((codes >= 0x3400) & (codes <= 0x9FFF)) | ((codes >= 0xF900) & (codes <= 0xFAFF)) | (codes >= 0x20000)
+    return min(Q_HAN if han.mean() > 0.5 else Q, (len(codes) + 1) // 2)
+
+
 class Items:
-    """Vocabulary of one block of evaluation items."""
-
-    def __init__(self, rows: list, q: int, table: np.ndarray):
-        self.q, self.ids, self.codes, self.answers = q, [], [], []
-        for row in rows:
-            codes = folded(row.text or "", table)
-            if len(codes) >= 8:
-                self.ids.append(row.item_id)
-                self.codes.append(codes)
-                self.answers.append(folded(row.answer or "", table).tobytes())
+    """Vocabulary of one block of evaluation items with terms of one length."""
+
+    def __init__(self, rows: list, q: int):
+        self.q = q
+        self.ids, self.codes, self.answers = ([r[k] for r in rows] for k in range(3))
         hashes = [gram_hashes(c, q) for c in self.codes]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, dtype=np.uint64)
+        self.vocabulary = np.unique(np.concatenate(hashes))
         self.grams = [np.searchsorted(self.vocabulary, h) for h in hashes]
-        self.half = np.array([(len(c) + 1) // 2 for c in self.codes])
-        spots = [(g, i, p) for i, grams in enumerate(self.grams) for p, g in enumerate(grams)]
-        spots = np.array(spots, dtype=np.int64).reshape(-1, 3)
+        self.size = np.array([len(c) for c in self.codes])
+        self.half = (self.size + 1) // 2
+        self.answered = np.array([len(a) > 0 for a in self.answers])
+        spots = np.array([(g, i, p) for i, grams in enumerate(self.grams) for p, g in enumerate(grams)], dtype=np.int64).reshape(-1, 3)
         spots = spots[np.argsort(spots[:, 0], kind="stable")]
         self.spots = spots[:, 1:]
         self.first = np.searchsorted(spots[:, 0], np.arange(len(self.vocabulary) + 1))
-        self.bitmap = np.zeros(1 << 22, dtype=bool)
-        self.bitmap[self.vocabulary >> np.uint64(42)] = True
+        self.bitmap = np.zeros(1 << 20, dtype=bool)
+        self.bitmap[self.vocabulary >> np.uint64(44)] = True
+        mixed = self.vocabulary * np.uint64(0x94D049BB133111EB)
+        self.feature = ((mixed >> np.uint64(20)) % np.uint64(FEATURES)).astype(np.int64)
+        self.sign = np.where(mixed >> np.uint64(63), 1.0, -1.0)
 
     def spots_of(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of ``spots`` of all grams, one after the other, and how many each has."""
@@ -104,73 +113,105 @@ class Items:
         start = np.cumsum(count) - count
         return np.repeat(self.first[grams] - start, count) + np.arange(count.sum()), count
 
-    def feature(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hashed feature and sign of each term."""
-        mixed = self.vocabulary * np.uint64(0x94D049BB133111EB)
-        return ((mixed >> np.uint64(20)) % np.uint64(FEATURES)).astype(np.int64), np.where(mixed >> np.uint64(63), 1.0, -1.0)
-
-
-def _scan(items, table):
-    """Batches of (doc_id, text) -> rows of places, and per batch one row (null, documents, frequencies, terms, ...).
-
-    A leak of item i is a stretch of ``half[i]`` characters or more, hence as many consecutive terms less q - 1.  A document
-    that has fewer terms of every item holds no leak, and its places end here; its terms still count in the frequencies.
-    """
-
-    def places(texts, frequency):
-        """Yields (index, folded codes, places, terms) of the documents with enough terms, in chunks of text."""
-        it = items.value
-        need = it.half - it.q + 1
-        start = 0
-        while start < len(texts):
-            end, size = start, 0
-            while end < len(texts) and (end == start or size < CHUNK):
-                size += len(texts[end])
-                end += 1
-            parts = texts[start:end]
-            raw = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            codes = table.value[raw]
-            keep = codes > 0
-            ends = np.cumsum([len(p) for p in parts])
-            bounds = np.concatenate([[0], np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[ends]])
-            codes = codes[keep]
-            hashes = gram_hashes(codes, it.q)
-            near = np.flatnonzero(it.bitmap[hashes >> np.uint64(42)])
-            found = hashes[near]
-            term = np.minimum(np.searchsorted(it.vocabulary, found), len(it.vocabulary) - 1)
-            true = it.vocabulary[term] == found
-            near, term = near[true], term[true]
-            doc = np.searchsorted(bounds, near, side="right") - 1
-            inside = near + it.q <= bounds[doc + 1]
-            near, term, doc = near[inside], term[inside], doc[inside]
-            if len(near):
-                once = np.unique(doc * len(it.vocabulary) + term) % len(it.vocabulary)
-                frequency += np.bincount(once, minlength=len(frequency))
-                which, count = it.spots_of(term)
-                score = np.bincount(np.repeat(doc, count) * len(it.ids) + it.spots[which, 0], minlength=len(parts) * len(it.ids))
-                enough = (score.reshape(len(parts), len(it.ids)) >= need).any(axis=1)
-                kept = enough[doc]
-                near, term, doc = near[kept], term[kept], doc[kept]
-                cuts = np.flatnonzero(np.diff(doc)) + 1
-                for at, grams, owner in zip(np.split(near, cuts), np.split(term, cuts), np.split(doc, cuts), strict=True):
-                    if len(owner):
-                        d = owner[0]
-                        yield start + d, codes[bounds[d] : bounds[d + 1]], at - bounds[d], grams
-            start = end
+    def least_cosine(self, weight: np.ndarray, top: float) -> np.ndarray:
+        """Per item the least cosine of a passage that holds its part of half the item.
+
+        A stretch of up to ``WINDOW - STRIDE + 1`` characters lies in one passage whole; a longer one fills at least as much of some
+        passage, and one of ``WINDOW + STRIDE - 1`` or more fills a passage.
+        """
+        out = np.zeros(len(self.ids))
+        for i, grams in enumerate(self.grams):
+            held = WINDOW if self.half[i] >= WINDOW + STRIDE - 1 else min(self.half[i], WINDOW - STRIDE + 1)
+            m = max(1, held - self.q + 1)
+            square = weight[grams] ** 2
+            whole = square[np.unique(grams, return_index=True)[1]].sum()
+            again = np.ones(len(grams), dtype=bool)
+            again[np.unique(grams, return_index=True)[1]] = False
+            square[again] = 0  # a term counts once; where one run misses its first place, the sum is only smaller
+            least = np.convolve(square, np.ones(m), mode="valid").min() if len(square) >= m else square.sum()
+            others = max(0, WINDOW - self.q + 1 - m) * top * top
+            out[i] = least / np.sqrt(whole * (least + others)) if least > 0 else 0.0
+        return out
+
+
+def _chunks(texts: list):
+    """(first document, folded codes, bounds) of runs of documents of about ``CHUNK`` characters."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size < CHUNK):
+            size += len(texts[end])
+            end += 1
+        yield start, texts[start:end]
+        start = end
+
+
+HITS = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int32()), ("at", pa.list_(pa.int32())), ("gram", pa.list_(pa.int32())), ("answered", pa.list_(pa.int32()))])
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _scan(blocks, table):
+    """Batches of (doc_id, text) -> per block of items one row of places per document that holds a term, and one row
+    (null, documents, frequencies, terms, ...) per batch."""
+
+    def places(it, codes, bounds):
+        hashes = gram_hashes(codes, it.q)
+        near = np.flatnonzero(it.bitmap[hashes >> np.uint64(44)])
+        term = np.minimum(np.searchsorted(it.vocabulary, hashes[near]), len(it.vocabulary) - 1)
+        near, term = (x[it.vocabulary[term] == hashes[near]] for x in (near, term))
+        doc = np.searchsorted(bounds, near, side="right") - 1
+        inside = near + it.q <= bounds[doc + 1]
+        return near[inside], term[inside], doc[inside]
+
+    def answers(it, codes, bounds, once, count):
+        """(document, item) where the answer stands in a document with enough terms of the item for any paraphrase of it."""
+        doc, term = once // len(it.vocabulary), once % len(it.vocabulary)
+        which, times = it.spots_of(term)
+        score = np.bincount(np.repeat(doc, times) * len(it.ids) + it.spots[which, 0], minlength=count * len(it.ids)).reshape(count, -1)
+        enough = score >= np.maximum(1, np.ceil(REWORDED * it.size / it.q))
+        found = {}
+        for d, i in np.argwhere(enough & it.answered):
+            whole = found.setdefault(d, (codes[bounds[d] : bounds[d + 1]].tobytes(), []))
+            if _aligned(whole[0], it.answers[i]):
+                whole[1].append(i)
+        return {d: kept for d, (_, kept) in found.items()}
 
     def run(batches):
         for batch in batches:
-            out, frequency = [], np.zeros(len(items.value.vocabulary), dtype=np.int64)
-            ids = batch["doc_id"].tolist()
-            it = items.value
-            for i, codes, at, grams in places([t if isinstance(t, str) else "" for t in batch["text"].tolist()], frequency):
-                owners = np.unique(it.spots[it.spots_of(np.unique(grams))[0], 0]).tolist()
-                whole = codes.tobytes()
-                answered = [x for x in owners if it.answers[x] and _aligned(whole, it.answers[x])]
-                out.append((ids[i], len(codes), at.astype(np.int32), grams.astype(np.int32), answered))
-            seen = np.flatnonzero(frequency)
-            out.append((None, len(ids), frequency[seen].astype(np.int32), seen.astype(np.int32), []))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "at", "gram", "answered"]).astype({"doc_id": "Int64"})
+            ids = batch.column(0).to_numpy()
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            frequency = [np.zeros(len(it.vocabulary), dtype=np.int64) for it in blocks.value]
+            for start, parts in _chunks(texts):
+                codes = table.value[np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+                keep = codes > 0
+                ends = np.cumsum([len(p) for p in parts])
+                bounds = np.concatenate([[0], np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[ends]])
+                codes = codes[keep]
+                for b, it in enumerate(blocks.value):
+                    near, term, doc = places(it, codes, bounds)
+                    if not len(near):
+                        continue
+                    once = np.unique(doc * len(it.vocabulary) + term)
+                    frequency[b] += np.bincount(once % len(it.vocabulary), minlength=len(it.vocabulary))
+                    told = answers(it, codes, bounds, once, len(parts))
+                    docs, counts = np.unique(doc, return_counts=True)
+                    answered = [told.get(d, []) for d in docs.tolist()]
+                    columns = [
+                        pa.array(np.full(len(docs), b), pa.int32()),
+                        pa.array(ids[start + docs], pa.int64()),
+                        pa.array(bounds[docs + 1] - bounds[docs], pa.int32()),
+                        _lists(near - bounds[doc], counts),
+                        _lists(term, counts),
+                        _lists(np.array([i for a in answered for i in a], dtype=np.int32), np.array([len(a) for a in answered])),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, schema=HITS)
+            for b, seen in enumerate(frequency):
+                known = np.flatnonzero(seen)
+                columns = [pa.array([b], pa.int32()), pa.array([None], pa.int64()), pa.array([len(texts)], pa.int32()), _lists(seen[known], np.array([len(known)])), _lists(known, np.array([len(known)])), _lists(np.zeros(0, dtype=np.int32), np.array([0]))]
+                yield pa.RecordBatch.from_arrays(columns, schema=HITS)
 
     return run
 
@@ -182,31 +223,50 @@ def _aligned(whole: bytes, part: bytes) -> bool:
     return at >= 0
 
 
-def _passages(n: int, at, gram, weight, feature, sign, top: float):
-    """The passages of a document that hold a term: (block of passage x feature values, features, norms); None if there are none.
+class Passages:
+    """The passages of a batch of documents that hold a term, in the order of the documents.
 
+    ``doc``, ``start``: document and first character per passage; ``term``, ``row``: one entry per distinct term of a passage; ``norm``: lengths.
     A place belongs to the windows that hold its whole term: those that start in its own stride or one stride before.
     """
-    last = max(0, -(-max(0, n - WINDOW) // STRIDE))
-    own = at // STRIDE
-    early = (own >= 1) & (at - (own - 1) * STRIDE <= WINDOW - Q)
-    window = np.concatenate([own, own[early] - 1])
-    term = np.concatenate([gram, gram[early]])
-    inside = window <= last
-    window, term = window[inside], term[inside]
-    if not len(window):
-        return None
-    # one entry per (window, term) with its count
-    pair, tf = np.unique(window.astype(np.int64) * len(weight) + term, return_counts=True)
-    window, term = pair // len(weight), pair % len(weight)
-    starts, row = np.unique(window, return_inverse=True)
-    value = (weight[term] * tf * sign[term]).astype(np.float32)
-    features, column = np.unique(feature[term], return_inverse=True)
-    block = np.zeros((len(starts), len(features)), dtype=np.float32)
-    np.add.at(block, (row, column), value)
-    spots = np.minimum(WINDOW, n - starts * STRIDE) - Q + 1
-    others = np.maximum(0, spots - np.bincount(row, weights=tf))
-    return block, features, np.sqrt(np.bincount(row, weights=value.astype(float) ** 2) + others * top * top)
+
+    def __init__(self, n: np.ndarray, at: np.ndarray, gram: np.ndarray, count: np.ndarray, q: int, weight: np.ndarray, top: float):
+        doc = np.repeat(np.arange(len(n)), count)
+        last = np.maximum(0, -(-np.maximum(0, n - WINDOW) // STRIDE)).astype(np.int64)
+        base = np.cumsum(last + 1) - last - 1
+        own = at // STRIDE
+        early = (own >= 1) & (at - (own - 1) * STRIDE <= WINDOW - q)
+        window, owner, term = np.concatenate([own, own[early] - 1]), np.concatenate([doc, doc[early]]), np.concatenate([gram, gram[early]]).astype(np.int64)
+        inside = window <= last[owner]
+        window, owner, term = window[inside], owner[inside], term[inside]
+        pair = np.unique((base[owner] + window) * len(weight) + term)
+        self.term, window_id = pair % len(weight), pair // len(weight)
+        known, self.row = np.unique(window_id, return_inverse=True)
+        self.doc = np.searchsorted(base, known, side="right") - 1
+        self.start = (known - base[self.doc]) * STRIDE
+        places = np.bincount(np.searchsorted(known, base[owner] + window), minlength=len(known))
+        spots = np.minimum(WINDOW, n[self.doc] - self.start) - q + 1
+        own_weight = np.bincount(self.row, weights=weight[self.term] ** 2, minlength=len(known))
+        self.norm = np.sqrt(own_weight + np.maximum(0, spots - places) * top * top)
+
+    def coordinates(self, basis: np.ndarray, value: np.ndarray, feature: np.ndarray):
+        """Chunks (first passage, last + 1, entries, their coordinates in the basis)."""
+        starts = np.searchsorted(self.row, np.arange(len(self.norm) + 1))
+        first = 0
+        while first < len(self.norm):
+            end = max(first + 1, int(np.searchsorted(starts, starts[first] + ENTRIES, side="right")) - 1)
+            part = slice(starts[first], starts[end])
+            term = self.term[part]
+            rows = value[term, None] * basis[feature[term]]
+            yield first, end, part, np.add.reduceat(rows, starts[first:end] - starts[first], axis=0)
+            first = end
+
+
+def _opened(batch: pa.RecordBatch):
+    """(doc ids, sizes, places, terms, terms per document, answered items per document) of a batch of hits."""
+    at, gram = batch.column("at"), batch.column("gram")
+    count = np.diff(at.offsets.to_numpy())
+    return batch.column("doc_id").to_numpy(), batch.column("n").to_numpy().astype(np.int64), at.flatten().to_numpy().astype(np.int64), gram.flatten().to_numpy(), count, batch.column("answered")
 
 
 def _sum_rows(df: DataFrame, function, tasks: int, rank: int) -> np.ndarray:
@@ -227,7 +287,7 @@ def _sum_rows(df: DataFrame, function, tasks: int, rank: int) -> np.ndarray:
         for b, (sums, rows) in bucket.items():
             yield _vectors(sums, rows, b)
 
-    parts = df.mapInPandas(function, "feature int, part int, v binary")
+    parts = df.mapInArrow(function, "feature int, part int, v binary")
     while True:
         buckets = max(1, -(-tasks // 64))
         parts = parts.repartition(buckets, F.floor(F.col("part") / 64)).mapInPandas(add, "feature int, part int, v binary")
@@ -246,94 +306,183 @@ def _vectors(sums: np.ndarray, rows: np.ndarray, part: int) -> pd.DataFrame:
     return pd.DataFrame({"feature": kept.astype(np.int32), "part": np.full(len(kept), part, dtype=np.int32), "v": [sums[k].tobytes() for k in kept]})
 
 
+def directions(sketch: np.ndarray, omega: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular vectors and values of a matrix from ``sketch`` = (its Gram matrix) x ``omega``, by the stabilised Nystrom form."""
+    shift = np.sqrt(len(omega)) * np.finfo(float).eps * max(1e-30, np.linalg.norm(sketch))
+    moved = sketch + shift * omega
+    core = omega.T @ moved
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    good = value > max(1e-12 * value.max(), 0)
+    root = moved @ (vector[:, good] / np.sqrt(value[good]))
+    left, singular, _ = np.linalg.svd(root, full_matrices=False)
+    return left, np.sqrt(np.maximum(0, singular**2 - shift))
+
+
 def search(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(doc_id, item_id, stretch, item_chars, cosine, answered)``: one row per leak."""
+    """``(doc_id, item_id, kind, stretch, common, item_chars, cosine, answered)``: one row per leak, ``kind`` copy or paraphrase."""
     one = items.filter(F.col("item_id").isNotNull()).groupBy("item_id").agg(F.max(F.struct("text", "answer")).alias("i")).select("item_id", "i.text", "i.answer")
-    rows = one.orderBy("item_id").collect()  # the evaluation set, a bounded table
-    table = fold_table()
-    found = [_search_block(documents, Items(rows[k : k + BLOCK], Q, table), table, scratch) for k in range(0, max(1, len(rows)), BLOCK)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
+    table, spark = fold_table(), documents.sparkSession
+    fold = spark.sparkContext.broadcast(table)
+    out, held = None, []
+    for row in one.orderBy("item_id").toLocalIterator():
+        codes = folded(row.text or "", table)
+        if len(codes):
+            held.append((row.item_id, codes, folded(row.answer or "", table).tobytes()))
+        if len(held) == SLICE:
+            out, held = _joined(out, _search_slice(documents, held, fold, scratch)), []
+    if held or out is None:
+        out = _joined(out, _search_slice(documents, held, fold, scratch))
     return out
 
 
-def _search_block(documents: DataFrame, block: Items, table: np.ndarray, scratch: Scratch) -> DataFrame:
+def _joined(a: DataFrame | None, b: DataFrame) -> DataFrame:
+    return b if a is None else a.unionByName(b)
+
+
+FOUND = "doc_id bigint, item_id bigint, kind string, stretch int, common int, item_chars int, cosine double, answered boolean"
+
+
+def _search_slice(documents: DataFrame, held: list, fold, scratch: Scratch) -> DataFrame:
     spark = documents.sparkSession
-    schema = "doc_id bigint, item_id bigint, stretch int, item_chars int, cosine double, answered boolean"
-    if not block.ids:
-        return spark.createDataFrame([], schema)
-    items, fold = spark.sparkContext.broadcast(block), spark.sparkContext.broadcast(table)
-    source = documents.select("doc_id", "text").filter(F.col("doc_id").isNotNull())
-    hits = source.mapInPandas(_scan(items, fold), "doc_id bigint, n int, at array<int>, gram array<int>, answered array<int>")
+    by_size: dict[int, list] = {}
+    for row in held:
+        by_size.setdefault(gram_size(row[1]), []).append(row)
+    blocks = [Items(rows[k : k + BLOCK], q) for q, rows in sorted(by_size.items()) for k in range(0, len(rows), BLOCK)]
+    if not blocks:
+        return spark.createDataFrame([], FOUND)
+    shared = spark.sparkContext.broadcast(blocks)
+    source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(F.col("doc_id").isNotNull())
+    hits = source.mapInArrow(_scan(shared, fold), "block int, doc_id bigint, n int, at array<int>, gram array<int>, answered array<int>")
     hits = scratch.cut(hits)
     totals = hits.filter(F.col("doc_id").isNull())
-    hits = hits.filter(F.col("doc_id").isNotNull())
-    corpus = totals.agg(F.sum("n")).first()[0] or 0
-    pair = totals.select(F.explode(F.arrays_zip("at", "gram")).alias("p"))
-    counts = pair.groupBy("p.gram").agg(F.sum("p.at").alias("count")).toPandas()  # terms of the items only
-    frequency = np.zeros(len(block.vocabulary))
-    frequency[counts["gram"].to_numpy(dtype=np.int64)] = counts["count"].to_numpy()
+    corpus = totals.filter("block = 0").agg(F.sum("n")).first()[0] or 0
+    counts = totals.select("block", F.explode(F.arrays_zip("at", "gram")).alias("p")).groupBy("block", "p.gram").agg(F.sum("p.at").alias("count")).toPandas()  # terms of the items only
+    out = None
+    for b in range(len(blocks)):
+        seen = counts[counts["block"] == b]
+        frequency = np.zeros(len(blocks[b].vocabulary))
+        frequency[seen["gram"].to_numpy(dtype=np.int64)] = seen["count"].to_numpy()
+        mine = hits.filter((F.col("block") == b) & F.col("doc_id").isNotNull()).drop("block")
+        out = _joined(out, _search_block(mine, shared, b, frequency, corpus))
+    return out
+
+
+def _search_block(hits: DataFrame, shared, b: int, frequency: np.ndarray, corpus: int) -> DataFrame:
+    spark, block = hits.sparkSession, shared.value[b]
     top = float(np.log(corpus + 1) + 1)
     # the floor lets a passage that is copied into a large part of the corpus keep its weight
     weight = np.maximum(np.log((corpus + 1) / (frequency + 1)) + 1, top / 2)
-    feature, sign = block.feature()
+    value, feature = (weight * block.sign).astype(np.float32), block.feature
     rank = min(FEATURES // 2, len(block.ids) + EXTRA)
-    terms = spark.sparkContext.broadcast((weight, feature, sign, top))
+    terms = spark.sparkContext.broadcast((weight, value, feature))
 
-    item_rows = np.zeros((len(block.ids), FEATURES))
+    rows = np.zeros((len(block.ids), FEATURES))
     for i, grams in enumerate(block.grams):
-        np.add.at(item_rows[i], feature[grams], weight[grams] * sign[grams])
-    item_norm = np.sqrt((item_rows**2).sum(axis=1))
+        distinct = np.unique(grams)
+        np.add.at(rows[i], feature[distinct], value[distinct])
+    length = np.array([np.sqrt((weight[np.unique(g)] ** 2).sum()) for g in block.grams])
 
-    def project(batches, basis):
-        """(document row, its passages, their coordinates)."""
-        w, f, s, t = terms.value
+    def passages(batches):
+        w, v, f = terms.value
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                passages = _passages(row.n, np.asarray(row.at), np.asarray(row.gram), w, f, s, t)
-                if passages is not None:
-                    yield row, passages, passages[0] @ basis[passages[1]]
+            if batch.num_rows:
+                opened = _opened(batch)
+                found = Passages(*opened[1:5], shared.value[b].q, w, top)
+                if len(found.norm):
+                    yield opened, found, v, f
 
-    def power(omega):
+    def sketch_of(omega):
         def run(batches):
             from pyspark import TaskContext
 
             total = np.zeros((FEATURES, omega.value.shape[1]), dtype=np.float32)
             touched = np.zeros(FEATURES, dtype=bool)
-            for _, (block, features, _), coordinates in project(batches, omega.value):
-                total[features] += block.T @ coordinates
-                touched[features] = True
-            yield _vectors(total, touched, TaskContext.get().partitionId())
+            for _, found, v, f in passages(batches):
+                for first, _, part, coordinates in found.coordinates(omega.value, v, f):
+                    term = found.term[part]
+                    order = np.argsort(f[term], kind="stable")
+                    sent = v[term[order], None] * coordinates[found.row[part][order] - first]
+                    sorted_features = f[term[order]]
+                    cuts = np.flatnonzero(np.concatenate([[True], np.diff(sorted_features) != 0]))
+                    total[sorted_features[cuts]] += np.add.reduceat(sent, cuts, axis=0)
+                    touched[sorted_features[cuts]] = True
+            yield pa.RecordBatch.from_pandas(_vectors(total, touched, TaskContext.get().partitionId()), schema=pa.schema([("feature", pa.int32()), ("part", pa.int32()), ("v", pa.binary())]), preserve_index=False)
 
         return run
 
     rng = np.random.default_rng(SEED)
-    omega = spark.sparkContext.broadcast(rng.standard_normal((FEATURES, rank)).astype(np.float32))
+    omega = np.linalg.qr(rng.standard_normal((FEATURES, rank)))[0]
+    sent = spark.sparkContext.broadcast(omega.astype(np.float32))
     tasks = max(1, hits.rdd.getNumPartitions())
-    response = _sum_rows(hits.select("n", "at", "gram"), power(omega), tasks, rank)
-    share = np.linalg.norm(response) / max(1e-9, np.linalg.norm(item_rows.T @ (item_rows @ omega.value)))
-    response += max(1.0, share) * (item_rows.T @ (item_rows @ omega.value))
-    basis = np.linalg.qr(response)[0].astype(np.float32)
-    latent_items = item_rows @ basis
-    space = spark.sparkContext.broadcast((basis, (latent_items / item_norm[:, None]).astype(np.float32)))
+    sketch = _sum_rows(hits, sketch_of(sent), tasks, rank)
+    of_items = rows.T @ (rows @ omega)
+    sketch += max(1.0, ITEM_WEIGHT * np.linalg.norm(sketch) / max(1e-9, np.linalg.norm(of_items))) * of_items
+    vectors, _ = directions(sketch, omega)
+    latent = rows @ vectors
+    kept = np.cumsum(latent**2, axis=1) / np.maximum(1e-30, (rows**2).sum(axis=1))[:, None]
+    enough = (kept >= ENERGY).all(axis=0)
+    width = int(np.argmax(enough)) + 1 if enough.any() else latent.shape[1]
+    hidden = np.sqrt(np.maximum(0, 1 - kept[:, width - 1]))
+    cutoff = np.maximum(0.0, np.minimum(NEAR, MARGIN * block.least_cosine(weight, top)) - hidden)
+    space = spark.sparkContext.broadcast((np.ascontiguousarray(vectors[:, :width]).astype(np.float32), (latent[:, :width] / length[:, None]).astype(np.float32), cutoff.astype(np.float32)))
 
     def check(batches):
-        basis, wanted = space.value
-        it = items.value
-        out = []
-        for row, passages, coordinates in project(batches, basis):
-            best = ((coordinates @ wanted.T) / passages[2][:, None]).max(axis=0)
-            candidates = np.flatnonzero(best >= CUTOFF)
-            if not len(candidates):
-                continue
-            stretch = _longest(np.asarray(row.at), np.asarray(row.gram), it)
-            for i in candidates:
-                if stretch.get(i, 0) >= it.half[i]:
-                    out.append((row.doc_id, it.ids[i], stretch[i], len(it.codes[i]), float(best[i]), i in row.answered))
-        yield pd.DataFrame(out, columns=["doc_id", "item_id", "stretch", "item_chars", "cosine", "answered"])
-
-    return hits.mapInPandas(check, schema)
+        basis, wanted, least = space.value
+        it = shared.value[b]
+        floor, reach = float(least.min()), float(np.sqrt((wanted**2).sum(axis=1)).max())
+        for opened, found, v, f in passages(batches):
+            near = []
+            for first, end, _, coordinates in found.coordinates(basis, v, f):
+                norm = found.norm[first:end].astype(np.float32)
+                # a passage whose whole latent part is too short reaches no item
+                live = np.flatnonzero(np.sqrt((coordinates**2).sum(axis=1)) * reach >= floor * norm)
+                if len(live):
+                    cosine = (coordinates[live] @ wanted.T) / norm[live, None]
+                    p, i = np.nonzero((cosine >= least) & (cosine > 0))
+                    near.append((live[p] + first, i, cosine[p, i]))
+            yield _checked(it, opened, found, near)
+
+    return hits.mapInArrow(check, FOUND)
+
+
+def _checked(it: Items, opened, found: Passages, near: list) -> pa.RecordBatch:
+    """Candidates (passage, item, cosine) of a batch -> its leaks."""
+    ids, _, at, gram, count, answered = opened
+    out = []
+    if near:
+        passage, item, cosine = (np.concatenate(x) for x in zip(*near, strict=True))
+        doc = found.doc[passage]
+        order = np.lexsort((-cosine, item, doc))
+        passage, item, cosine, doc = passage[order], item[order], cosine[order], doc[order]
+        best = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)])
+        ends = np.cumsum(count)
+        for d, rows in _runs(doc[best], np.flatnonzero(best)):
+            span = slice(ends[d] - count[d], ends[d])
+            places, terms = at[span], gram[span]
+            stretch = _longest(places, terms, it)
+            told = set(answered[d].as_py() or [])
+            for r in rows:
+                i = int(item[r])
+                n, longest = int(it.size[i]), stretch.get(i, 0)
+                kind, common = "copy", longest
+                if longest < it.half[i]:
+                    start = found.start[passage[r]]
+                    common = _common(places, terms, it, i, start - n, start + WINDOW + n)
+                    if common < (REWORDED if i in told else RESTATED) * n:
+                        continue
+                    kind = "paraphrase"
+                out.append((int(ids[d]), it.ids[i], kind, longest, common, n, float(cosine[r]), i in told))
+    columns = list(zip(*out, strict=True)) if out else [[]] * 8
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
+    names = ["doc_id", "item_id", "kind", "stretch", "common", "item_chars", "cosine", "answered"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def _runs(keys: np.ndarray, rows: np.ndarray):
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    for k, r in zip(np.split(keys, cuts), np.split(rows, cuts), strict=True):
+        if len(k):
+            yield int(k[0]), r
 
 
 def _longest(at: np.ndarray, gram: np.ndarray, it: Items) -> dict[int, int]:
@@ -352,3 +501,31 @@ def _longest(at: np.ndarray, gram: np.ndarray, it: Items) -> dict[int, int]:
         if n > out.get(i, 0):
             out[i] = n
     return out
+
+
+def _common(at: np.ndarray, gram: np.ndarray, it: Items, i: int, first: int, end: int) -> int:
+    """Characters of the item that the longest common subsequence of terms covers, in the document's places from ``first`` to ``end``.
+
+    Pairs of equal terms in order of (place, falling offset); the longest rising run of offsets, by patience piles with back links.
+    """
+    near = (at >= first) & (at < end)
+    at, gram = at[near], gram[near]
+    which, count = it.spots_of(gram)
+    mine = it.spots[which, 0] == i
+    place, offset = np.repeat(at, count)[mine], it.spots[which, 1][mine]
+    order = np.lexsort((-offset, place))
+    piles, last, back = [], [], []
+    values = offset[order].tolist()
+    for k, v in enumerate(values):
+        p = bisect_left(piles, v)
+        if p == len(piles):
+            piles.append(v)
+            last.append(k)
+        else:
+            piles[p], last[p] = v, k
+        back.append(last[p - 1] if p else -1)
+    covered, k = set(), last[-1] if last else -1
+    while k >= 0:
+        covered.update(range(values[k], values[k] + it.q))
+        k = back[k]
+    return len(covered)

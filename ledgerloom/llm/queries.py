@@ -98,14 +98,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents and the evaluation items that leaked into them."""
-    return p7_leaks(spark, folder).select("doc_id", "item_id")
+    """Documents and the evaluation items of which half or more stands in them as one unbroken stretch."""
+    return p7_leaks(spark, folder).filter("kind = 'copy'").select("doc_id", "item_id")
 
 
 def p7_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    """Leaks with the length of the common stretch and whether the answer stands in the document too."""
+    """Leaks, copies and paraphrases, with the common stretch, what the common subsequence covers, and whether the answer stands in the document."""
     found = leaks.search(table(spark, folder, "documents"), table(spark, folder, "eval_items"), Scratch(spark, "leaks"))
-    return found.select("doc_id", "item_id", "stretch", "item_chars", F.col("answered").cast("int").alias("answered"))
+    return found.select("doc_id", "item_id", "kind", "stretch", "common", "item_chars", F.col("answered").cast("int").alias("answered"))
 
 
 def _mixed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

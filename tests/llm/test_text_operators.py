@@ -151,15 +151,15 @@ def brute_leaks(docs, items):
     for i, t in items:
         s = text(t)
         half = (len(s) + 1) // 2
-        if len(s) >= 8:
+        if s:
             out |= {(d, i) for d, u in docs if u and any(s[k : k + half] in text(u) for k in range(len(s) - half + 1))}
     return out
 
 
-def test_leaks_equal_brute_force(spark):
-    rng = random.Random(4)
+def leak_case(seed):
+    rng = random.Random(seed)
     word = lambda: "".join(rng.choice(["dan", "vey", "bri", "kel", "zan", "or", "wic", "tak"]) for _ in range(3))
-    items = [(i, " ".join(word() for _ in range(rng.randint(4, 60)))) for i in range(40)] + [(90, "洮鄢隰磐莨钧的副本上写着嵇霁岑三个字，没有别的"), (91, "short"), (92, None), (93, "   ")]
+    items = [(i, " ".join(word() for _ in range(rng.randint(4, 60)))) for i in range(40)]
     docs = []
     for d in range(150):
         body = [word() for _ in range(rng.randint(0, 300))]
@@ -169,11 +169,24 @@ def test_leaks_equal_brute_force(spark):
             at = rng.randint(0, len(src) - cut)
             body.insert(rng.randint(0, len(body)), src[at : at + cut].upper().replace(" ", " -- "))
         docs.append((d, " ".join(body)))
+    return items, docs
+
+
+DOCS, ITEMS_SCHEMA = "doc_id long, text string", "item_id long, text string, answer string"
+
+
+def copies(found):
+    return {(r.doc_id, r.item_id) for r in found.filter("kind = 'copy'").collect()}
+
+
+def test_leaks_equal_brute_force(spark):
+    items, docs = leak_case(4)
+    items += [(90, "洮鄢隰磐莨钧的副本上写着嵇霁岑三个字，没有别的"), (92, None), (93, "   ")]
     docs += [(900 + k, "前言 " + items[0][1] + " 后记") for k in range(70)]  # a large part of the corpus is copies
     docs += [(200, "x。洮鄢隰磐莨钧的副本上写着嵇霁岑Ｘ"), (201, None), (202, ""), (203, "y" * 200000 + items[1][1]), (None, items[0][1])]
-    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumn("n", F.lit(1)).withColumn("item_id", F.lit(2))
-    i = spark.createDataFrame([(a, b, "zan") for a, b in items], "item_id long, text string, answer string")
-    got = {(r.doc_id, r.item_id) for r in leaks.search(d, i, Scratch(spark, "t")).collect()}
+    d = spark.createDataFrame(docs, DOCS).repartition(3).withColumn("n", F.lit(1)).withColumn("item_id", F.lit(2))
+    i = spark.createDataFrame([(a, b, "zan") for a, b in items], ITEMS_SCHEMA)
+    got = copies(leaks.search(d, i, Scratch(spark, "t")))
     want = brute_leaks([x for x in docs if x[0] is not None], items)
     assert len(want) > 60
     assert got <= want and len(got) >= 0.99 * len(want), (want - got, got - want)
@@ -181,6 +194,49 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.search(d, i.limit(0), Scratch(spark, "t")).count() == 0
 
 
+def test_leaks_of_short_items_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "SLICE", 4)
+    monkeypatch.setattr(leaks, "BLOCK", 2)
+    items = [(1, "abcdefghij"), (2, "qrstuvwx"), (3, "xy"), (4, "茶叶颜色"), (5, "klmnopqrstuvwx"), (6, "z"), (7, "zulu time"), (8, "红色灯笼挂在桥头")]
+    docs = [(1, "... abcdefg ..."), (2, "ghij abcd"), (3, "ABC-DE"), (4, "st uvw"), (5, "x marks it"), (6, "他说茶叶很好"), (7, "no match here"), (8, "mnopqrs"), (9, "挂在桥头")]
+    d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame([(a, b, "") for a, b in items], ITEMS_SCHEMA)
+    assert copies(leaks.search(d, i, Scratch(spark, "t"))) == brute_leaks(docs, items)
+
+
+def test_leaks_by_paraphrase_come_from_the_search(spark, monkeypatch):
+    rng = random.Random(12)
+    items, docs = leak_case(12)
+    answers = {i: f"answer {rng.randint(10**6, 10**7)}" for i, _ in items}
+    long = [x for x in items if len(x[1].split()) > 20]
+    for k, (i, text) in enumerate(long):
+        swapped = [w if n % 4 else f"ut{n}mo" for n, w in enumerate(text.split())]
+        docs.append((1000 + i, " ".join(w for _, w in leak_words(rng, 40)) + " " + " ".join(swapped) + " " + answers[i]))
+        docs.append((2000 + i, " ".join(swapped)))  # without the answer: three quarters are too few
+    docs.append((3000, "no leak, only " + answers[long[0][0]]))
+    d = spark.createDataFrame(docs, DOCS)
+    i = spark.createDataFrame([(a, b, answers[a]) for a, b in items], ITEMS_SCHEMA)
+    found = {(r.doc_id, r.item_id) for r in leaks.search(d, i, Scratch(spark, "t")).filter("kind = 'paraphrase' and answered").collect()}
+    want = {(1000 + i, i) for i, _ in long}
+    assert len(want) > 10 and len(found & want) >= 0.9 * len(want) and not found - want
+    monkeypatch.setattr(leaks, "MARGIN", 20.0)
+    monkeypatch.setattr(leaks, "NEAR", 1.5)  # a search that rejects everything finds nothing
+    assert leaks.search(d, i, Scratch(spark, "t")).count() == 0
+
+
+def leak_words(rng, n):
+    return [(k, "".join(rng.choice("bcdfgaeiou") for _ in range(7))) for k in range(n)]
+
+
+def test_sketch_gives_singular_vectors():
+    rng = np.random.default_rng(0)
+    a = rng.standard_normal((300, 12)) @ np.diag(2.0 ** -np.arange(12)) @ rng.standard_normal((12, 80))
+    omega = np.linalg.qr(rng.standard_normal((80, 20)))[0]
+    vectors, values = leaks.directions(a.T @ a @ omega, omega)
+    _, exact, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values[:6], exact[:6], rtol=1e-3)
+    assert np.allclose(np.abs((vectors[:, :4] * right[:4].T).sum(axis=0)), 1, atol=1e-3)
+
+
 # --- mixing ---
 
 
