@@ -226,7 +226,8 @@ def _aligned(whole: bytes, part: bytes) -> bool:
 class Passages:
     """The passages of a batch of documents that hold a term, in the order of the documents.
 
-    ``doc``, ``start``: document and first character per passage; ``term``, ``row``: one entry per distinct term of a passage; ``norm``: lengths.
+    ``doc``, ``start``, ``norm``: document, first character and length per passage.  Passages with the same terms are one ``pattern``, so that boilerplate
+    is projected once a batch; ``term``, ``row``: one entry per term of a pattern; ``count``: passages per pattern.
     A place belongs to the windows that hold its whole term: those that start in its own stride or one stride before.
     """
 
@@ -240,20 +241,40 @@ class Passages:
         inside = window <= last[owner]
         window, owner, term = window[inside], owner[inside], term[inside]
         pair = np.unique((base[owner] + window) * len(weight) + term)
-        self.term, window_id = pair % len(weight), pair // len(weight)
-        known, self.row = np.unique(window_id, return_inverse=True)
+        term, window_id = pair % len(weight), pair // len(weight)
+        known, first, row = np.unique(window_id, return_index=True, return_inverse=True)
         self.doc = np.searchsorted(base, known, side="right") - 1
         self.start = (known - base[self.doc]) * STRIDE
         places = np.bincount(np.searchsorted(known, base[owner] + window), minlength=len(known))
         spots = np.minimum(WINDOW, n[self.doc] - self.start) - q + 1
-        own_weight = np.bincount(self.row, weights=weight[self.term] ** 2, minlength=len(known))
-        self.norm = np.sqrt(own_weight + np.maximum(0, spots - places) * top * top)
+        own_weight = np.bincount(row, weights=weight[term] ** 2, minlength=len(known))
+        self.norm = np.sqrt(own_weight + np.maximum(0, spots - places) * top * top).astype(np.float32)
+        # the sum of a mixed 64-bit word per term names a set of terms
+        word = (term + 1).astype(np.uint64) * _A
+        word = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mark = np.add.reduceat(word ^ (word >> np.uint64(32)), first) if len(first) else word
+        _, chosen, self.pattern, self.count = np.unique(mark, return_index=True, return_inverse=True, return_counts=True)
+        kept = np.zeros(len(known), dtype=bool)
+        kept[chosen] = True
+        place = np.full(len(known), -1)
+        place[chosen] = np.arange(len(chosen))
+        mine = kept[row]
+        order = np.argsort(place[row[mine]], kind="stable")
+        self.term, self.row = term[mine][order], place[row[mine]][order]
+        self.by_pattern = np.argsort(self.pattern, kind="stable")
+        self.least = np.minimum.reduceat(self.norm[self.by_pattern], np.cumsum(self.count) - self.count) if len(known) else self.norm
+
+    def of(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All passages of the patterns, one after the other, and how many each has."""
+        count = self.count[patterns]
+        start = np.cumsum(count) - count
+        return self.by_pattern[np.repeat((np.cumsum(self.count) - self.count)[patterns] - start, count) + np.arange(count.sum())], count
 
     def coordinates(self, basis: np.ndarray, value: np.ndarray, feature: np.ndarray):
-        """Chunks (first passage, last + 1, entries, their coordinates in the basis)."""
-        starts = np.searchsorted(self.row, np.arange(len(self.norm) + 1))
+        """Chunks (first pattern, last + 1, entries, their coordinates in the basis)."""
+        starts = np.searchsorted(self.row, np.arange(len(self.count) + 1))
         first = 0
-        while first < len(self.norm):
+        while first < len(self.count):
             end = max(first + 1, int(np.searchsorted(starts, starts[first] + ENTRIES, side="right")) - 1)
             part = slice(starts[first], starts[end])
             term = self.term[part]
@@ -401,7 +422,8 @@ def _search_block(hits: DataFrame, shared, b: int, frequency: np.ndarray, corpus
                 for first, _, part, coordinates in found.coordinates(omega.value, v, f):
                     term = found.term[part]
                     order = np.argsort(f[term], kind="stable")
-                    sent = v[term[order], None] * coordinates[found.row[part][order] - first]
+                    row = found.row[part][order]
+                    sent = (v[term[order]] * found.count[row])[:, None].astype(np.float32) * coordinates[row - first]
                     sorted_features = f[term[order]]
                     cuts = np.flatnonzero(np.concatenate([[True], np.diff(sorted_features) != 0]))
                     total[sorted_features[cuts]] += np.add.reduceat(sent, cuts, axis=0)
@@ -433,13 +455,16 @@ def _search_block(hits: DataFrame, shared, b: int, frequency: np.ndarray, corpus
         for opened, found, v, f in passages(batches):
             near = []
             for first, end, _, coordinates in found.coordinates(basis, v, f):
-                norm = found.norm[first:end].astype(np.float32)
-                # a passage whose whole latent part is too short reaches no item
+                norm = found.least[first:end]
+                # a pattern whose whole latent part is too short reaches no item
                 live = np.flatnonzero(np.sqrt((coordinates**2).sum(axis=1)) * reach >= floor * norm)
                 if len(live):
-                    cosine = (coordinates[live] @ wanted.T) / norm[live, None]
-                    p, i = np.nonzero((cosine >= least) & (cosine > 0))
-                    near.append((live[p] + first, i, cosine[p, i]))
+                    product = coordinates[live] @ wanted.T
+                    p, i = np.nonzero((product >= least * norm[live, None]) & (product > 0))
+                    passage, count = found.of(live[p] + first)
+                    item, cosine = np.repeat(i, count), np.repeat(product[p, i], count) / found.norm[passage]
+                    good = cosine >= least[item]
+                    near.append((passage[good], item[good], cosine[good]))
             yield _checked(it, opened, found, near)
 
     return hits.mapInArrow(check, FOUND)
@@ -454,9 +479,13 @@ def _checked(it: Items, opened, found: Passages, near: list) -> pa.RecordBatch:
         doc = found.doc[passage]
         order = np.lexsort((-cosine, item, doc))
         passage, item, cosine, doc = passage[order], item[order], cosine[order], doc[order]
-        best = np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)])
+        best = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (np.diff(item) != 0)]))
+        # neither a stretch nor a subsequence covers more of an item than all its terms in the document together
+        cover = np.zeros(len(doc), dtype=np.int64)
+        cover[best] = _covered(it, doc[best], item[best], at, gram, count)
+        best = best[cover[best] >= REWORDED * it.size[item[best]]]
         ends = np.cumsum(count)
-        for d, rows in _runs(doc[best], np.flatnonzero(best)):
+        for d, rows in _runs(doc[best], best):
             span = slice(ends[d] - count[d], ends[d])
             places, terms = at[span], gram[span]
             stretch = _longest(places, terms, it)
@@ -466,9 +495,11 @@ def _checked(it: Items, opened, found: Passages, near: list) -> pa.RecordBatch:
                 n, longest = int(it.size[i]), stretch.get(i, 0)
                 kind, common = "copy", longest
                 if longest < it.half[i]:
-                    start = found.start[passage[r]]
+                    least, start = (REWORDED if i in told else RESTATED) * n, found.start[passage[r]]
+                    if cover[r] < least:
+                        continue
                     common = _common(places, terms, it, i, start - n, start + WINDOW + n)
-                    if common < (REWORDED if i in told else RESTATED) * n:
+                    if common < least:
                         continue
                     kind = "paraphrase"
                 out.append((int(ids[d]), it.ids[i], kind, longest, common, n, float(cosine[r]), i in told))
@@ -478,6 +509,24 @@ def _checked(it: Items, opened, found: Passages, near: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def _covered(it: Items, docs: np.ndarray, items: np.ndarray, at: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Characters of each (document, item) pair's item that its terms anywhere in the document cover; pairs come in order."""
+    wanted = np.zeros(len(count), dtype=bool)
+    wanted[docs] = True
+    mine = np.repeat(wanted, count)
+    doc = np.repeat(np.arange(len(count)), count)[mine]
+    once = np.unique(doc * len(it.vocabulary) + gram[mine])
+    which, times = it.spots_of(once % len(it.vocabulary))
+    reach = int(it.size.max()) + it.q
+    pair = np.repeat(once // len(it.vocabulary), times) * len(it.ids) + it.spots[which, 0]
+    spot = np.sort(pair * reach + it.spots[which, 1])
+    pair = spot // reach
+    step = np.full(len(spot), it.q)
+    step[:-1] = np.where(pair[1:] == pair[:-1], np.minimum(it.q, np.diff(spot)), it.q)
+    known, first = np.unique(pair, return_index=True)
+    return np.add.reduceat(step, first)[np.searchsorted(known, docs * len(it.ids) + items)]
+
+
 def _runs(keys: np.ndarray, rows: np.ndarray):
     cuts = np.flatnonzero(np.diff(keys)) + 1
     for k, r in zip(np.split(keys, cuts), np.split(rows, cuts), strict=True):
