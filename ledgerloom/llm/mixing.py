@@ -3,20 +3,22 @@
 A source with share s of a mixture of T tokens needs s*T tokens, hence every document of it ``rate`` = s*T / tokens(source)
 copies, at most the source's cap.  The whole part of the rate is certain; the fraction is rounded by
 the pivotal method: two documents with fractional copies trade token mass at random until one of them has a whole number,
-so that expected copies keep the rate and the source's tokens stay as they were.  Each partition rounds its own documents and keeps
-at most one fractional document per source; these residuals meet in a reduction tree of ``FAN_IN`` partitions
-per task until one per source is left, which a coin rounds.  A source so misses its tokens by less than one document.
+so that expected copies keep the rate and the source's tokens stay as they were.  Documents meet in leaves of about ``LEAF``, chosen by a
+hash of the id; a leaf keeps at most one fractional document per source; these residuals meet in a reduction tree of ``FAN_IN`` leaves
+per node until one per source is left, which a coin rounds.  A source so misses its tokens by less than one document.
+
+Every coin is a function of ``SEED``, the two ids that trade and the level of the tree, and leaves, their order and the tree depend on the ids and the number
+of documents only: the mixture is the same however the input is partitioned.
 
 ``T`` is the largest total that the caps allow, or the caller's, which mustn't exceed it.
 
 Defined results: sources are compared in lower case, without outer blanks and with ``_`` for ``-``; documents of other or
 null sources, null ids and texts without tokens get no copies; repeated texts are different documents; a target without documents has share 0
-and the others keep their proportion; an empty table gives an empty mixture.  All randomness is a function of ``SEED`` and the ids.
+and the others keep their proportion; an empty table gives an empty mixture.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ from ..functions.text import strip
 from ..plans.scratch import Scratch
 from .tokens import DEFAULT, encoding
 
-FAN_IN, SEED = 64, 20240917
+FAN_IN, LEAF, SEED = 64, 20_000, 20240917
+_WORD = (1 << 64) - 1
 
 
 def source_key(source: Column) -> Column:
@@ -58,10 +61,17 @@ def plan(counts: DataFrame, targets: DataFrame, total: int | None = None) -> Dat
     return sized.select("source", "share", "cap", "tokens", "goal", "rate")
 
 
-def _trade(ids, sizes, parts, rng):
-    """Pivotal rounding in token mass: (whole numbers found, the one document left with its fraction)."""
+def coin(i: int, j: int, level: int) -> float:
+    """A number in [0, 1) that depends on two ids and a level, by mixing 64-bit words."""
+    x = (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + level * 0x165667B19E3779F9 + SEED) & _WORD
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> shift)) * factor & _WORD
+    return ((x ^ (x >> 31)) >> 11) / (1 << 53)
+
+
+def _trade(ids, sizes, parts, toss, held=None):
+    """Pivotal rounding in token mass: (whole numbers found, the one document left with its fraction); ``held`` is left from before."""
     done_ids, done = [], []
-    held = None
     for i, n, p in zip(ids, sizes, parts, strict=True):
         if p <= 1e-12 or p >= 1 - 1e-12:
             done_ids.append(i)
@@ -73,7 +83,7 @@ def _trade(ids, sizes, parts, rng):
         j, m, q = held
         up = min((1 - p) * n, q * m)  # mass that i can take from j
         down = min(p * n, (1 - q) * m)  # mass that j can take from i
-        shift = up if rng.random() * (up + down) < down else -down
+        shift = up if toss(i, j) * (up + down) < down else -down
         p, q = p + shift / n, q - shift / m
         held = None
         for k, size, x in ((i, n, p), (j, m, q)):
@@ -85,24 +95,30 @@ def _trade(ids, sizes, parts, rng):
     return done_ids, done, held
 
 
-def _round_batches(batches):
-    """Rounds the documents of a task per source; ``fraction`` is null for those decided."""
-    state: dict[str, list] = {}
-    for batch in batches:
-        # large documents first, so that the one left over is small
-        for source, group in batch.sort_values(["n_tokens", "doc_id"], ascending=[False, True]).groupby("source", sort=True):
-            rng = np.random.default_rng([SEED, *np.frombuffer(group["doc_id"].to_numpy(dtype=np.int64).tobytes(), dtype=np.uint32)[:2].tolist(), len(group)])
-            ids, sizes, parts = group["doc_id"].tolist(), group["n_tokens"].tolist(), group["fraction"].tolist()
-            if state.get(source):
-                i, n, p = state[source]
-                ids, sizes, parts = [i, *ids], [n, *sizes], [p, *parts]
-            done_ids, done, held = _trade(ids, sizes, parts, rng)
-            state[source] = held
-            if done_ids:
-                yield pd.DataFrame({"doc_id": done_ids, "source": source, "n_tokens": 0, "extra": done, "fraction": None})
-    for source, held in state.items():
+ROUNDED = "doc_id bigint, source string, leaf bigint, n_tokens bigint, extra int, fraction double"
+
+
+def _rounder(level: int):
+    """Rounds rows that come sorted by leaf and source; ``fraction`` is null for documents that are decided."""
+
+    def left(key, held):
+        return pd.DataFrame({"doc_id": [held[0]], "source": [key[1]], "leaf": [key[0]], "n_tokens": [held[1]], "extra": [0], "fraction": [held[2]]})
+
+    def run(batches):
+        key, held = None, None
+        for batch in batches:
+            for mine, group in batch.groupby(["leaf", "source"], sort=False):
+                if mine != key:
+                    if held:
+                        yield left(key, held)
+                    key, held = mine, None
+                done_ids, done, held = _trade(group["doc_id"].tolist(), group["n_tokens"].tolist(), group["fraction"].tolist(), lambda i, j: coin(i, j, level), held)
+                if done_ids:
+                    yield pd.DataFrame({"doc_id": done_ids, "source": mine[1], "leaf": mine[0], "n_tokens": 0, "extra": done, "fraction": None})
         if held:
-            yield pd.DataFrame({"doc_id": [held[0]], "source": [source], "n_tokens": [held[1]], "extra": [0], "fraction": [held[2]]})
+            yield left(key, held)
+
+    return run
 
 
 def mixture(counts: DataFrame, targets: DataFrame, scratch: Scratch, total: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -112,20 +128,22 @@ def mixture(counts: DataFrame, targets: DataFrame, scratch: Scratch, total: int
     whole = F.floor(F.col("rate") + 1e-12)
     split = known.select("doc_id", "source", "n_tokens", whole.cast("int").alias("base"), F.greatest(F.lit(0.0), F.col("rate") - whole).alias("fraction"))
     split = scratch.cut(split)
-    schema = "doc_id bigint, source string, n_tokens bigint, extra int, fraction double"
     open_rows = split.filter(F.col("fraction") > 0).select("doc_id", "source", "n_tokens", "fraction")
-    tasks = max(1, open_rows.rdd.getNumPartitions())
-    rounded = scratch.cut(open_rows.mapInPandas(_round_batches, schema))
-    decided = rounded.filter(F.col("fraction").isNull())
-    left = rounded.filter(F.col("fraction").isNotNull()).select("doc_id", "source", "n_tokens", "fraction")
-    while tasks > 1:
-        tasks = -(-tasks // FAN_IN)
-        met = left.repartition(tasks, F.pmod(F.xxhash64("doc_id"), F.lit(tasks))).sortWithinPartitions("source", "doc_id")
-        rounded = scratch.cut(met.mapInPandas(_round_batches, schema))
-        decided = decided.unionByName(rounded.filter(F.col("fraction").isNull()))
-        left = rounded.filter(F.col("fraction").isNotNull()).select("doc_id", "source", "n_tokens", "fraction")
-    coin = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    last = left.select("doc_id", F.when(coin < F.col("fraction"), 1).otherwise(0).alias("extra"))
+    leaves = max(1, -(-open_rows.count() // LEAF))
+    left = open_rows.withColumn("leaf", F.pmod(F.xxhash64("doc_id"), F.lit(leaves)))
+    decided, level = None, 0
+    while True:
+        # large documents first, so that the one left over is small
+        met = left.repartition("leaf").sortWithinPartitions("leaf", "source", F.col("n_tokens").desc(), "doc_id")
+        rounded = scratch.cut(met.mapInPandas(_rounder(level), ROUNDED))
+        done = rounded.filter(F.col("fraction").isNull())
+        decided = done if decided is None else decided.unionByName(done)
+        left = rounded.filter(F.col("fraction").isNotNull()).select("doc_id", "source", "n_tokens", "fraction", F.floor(F.col("leaf") / FAN_IN).alias("leaf"))
+        if leaves == 1:
+            break
+        leaves, level = -(-leaves // FAN_IN), level + 1
+    chance = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    last = left.select("doc_id", F.when(chance < F.col("fraction"), 1).otherwise(0).alias("extra"))
     extras = decided.select("doc_id", "extra").unionByName(last).filter(F.col("extra") > 0)
     full = split.join(extras.hint("merge"), "doc_id", "left")  # grows with the documents: never broadcast
     copies = F.col("base") + F.coalesce("extra", F.lit(0))

@@ -5,7 +5,11 @@ function ``delta / (2 pi) * asin(2 q - 1)``, so they are fine at the tails.  Dig
 centroids again, in a tree of ``FAN_IN`` digests per task; digests of partitions, runs or days
 combine the same way (``digest``, ``merge``).  An estimate is moved to the nearest value of the data, and a pass over all values
 counts how many are smaller and how many are not larger: the distance of the wanted rank from that
-interval, as a share of the values, is its exact rank error.  Should one exceed ``BOUND``, the digests are built again at twice the size.
+interval, as a share of the values, is its exact rank error.  While one exceeds ``BOUND``, the digests are built again at twice the size (in the
+end every centroid is a single value and the estimate exact).
+
+Values are never shuffled by group: the estimates, one row per group, go to them.  Groups with more than their share of ``GROUPS`` are
+broadcast (there can be no more than ``GROUPS`` of them); only the small groups beyond are joined by key.  A task holds at most about ``BUFFER`` values, whatever the number of groups.
 
 Defined results: null, NaN, infinite and negative values are not measured and don't count; a group without measured
 values gives no row; ties count each; keys that repeat count once (the row greatest in its values); an empty table gives an empty table.
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..plans.scratch import Scratch
 
-DELTA, FAN_IN, BUFFER, BOUND = 400, 64, 200_000, 0.005
+DELTA, FAN_IN, BUFFER, BOUND, GROUPS = 400, 64, 500_000, 0.005, 20_000
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 
@@ -44,46 +48,69 @@ def estimate(mean: np.ndarray, weight: np.ndarray, q: float) -> float:
     return float(np.interp(q * weight.sum(), middle, mean))
 
 
-def _merger(keys: list[str], delta: int, number_parts: bool):
-    """Adds up the digests of a task per group; the buffers are clustered again whenever they grow."""
+def _digest_rows(keys: list[str], group: tuple, part, parts: list) -> pd.DataFrame:
+    mean, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return pd.DataFrame({**{k: [v] * len(mean) for k, v in zip(keys, group, strict=True)}, "part": part, "mean": mean, "weight": weight})
+
+
+def digest(values: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
+    """``(keys, part, mean, weight)``: digests per group and partition of ``values`` (keys, value); no shuffle.
+
+    When a task's buffers are full, they are clustered; if its groups are too many for that to help, their digests leave and the task goes on.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
+        part = TaskContext.get().partitionId()
         held: dict[tuple, list] = {}
-
-        def press(group):
-            means, weights = (np.concatenate(x) for x in zip(*held[group], strict=True))
-            held[group] = [cluster(means, weights, delta)]
-
-        names = keys if number_parts else [*keys, "part"]
+        count = 0
         for batch in batches:
-            for group, rows in batch.groupby(names, sort=False):
-                held.setdefault(group, []).append((rows["mean"].to_numpy(dtype=float), rows["weight"].to_numpy(dtype=float)))
-                if sum(len(m) for m, _ in held[group]) > BUFFER:
-                    press(group)
-        for group in held:
-            press(group)
-            mean, weight = held[group][0]
-            part = TaskContext.get().partitionId() if number_parts else group[-1]
-            yield pd.DataFrame({**{k: [v] * len(mean) for k, v in zip(keys, group, strict=False)}, "part": part, "mean": mean, "weight": weight})
+            for group, rows in batch.groupby(keys, sort=False):
+                held.setdefault(group, []).append((rows["mean"].to_numpy(dtype=float), np.ones(len(rows))))
+            count += len(batch)
+            if count > BUFFER:
+                held = {g: [cluster(*(np.concatenate(x) for x in zip(*parts, strict=True)), delta)] for g, parts in held.items()}
+                count = sum(len(parts[0][0]) for parts in held.values())
+                if count > BUFFER // 2:
+                    for group, parts in held.items():
+                        yield _digest_rows(keys, group, part, parts)
+                    held, count = {}, 0
+        for group, parts in held.items():
+            yield _digest_rows(keys, group, part, [cluster(*(np.concatenate(x) for x in zip(*parts, strict=True)), delta)])
+
+    ones = values.select(*keys, F.col("value").cast("double").alias("mean"))
+    return ones.mapInPandas(run, _schema(values, keys))
+
+
+def _by_group(batches, names: list[str]):
+    """(group, frames) of rows that come sorted by ``names``; a group may go on in the next batch."""
+    key, frames = None, []
+    for batch in batches:
+        for mine, rows in batch.groupby(names, sort=False):
+            if mine != key:
+                if frames:
+                    yield key, frames
+                key, frames = mine, []
+            frames.append(rows)
+    if frames:
+        yield key, frames
 
-    return run
 
+def merge(digests: DataFrame, keys: list[str], parts: int, delta: int = DELTA) -> DataFrame:
+    """One digest per group from ``parts`` numbered ones, in a tree of ``FAN_IN`` digests of a group at a time; a task holds one group."""
+    names = [*keys, "part"]
 
-def digest(values: DataFrame, keys: list[str], delta: int = DELTA) -> DataFrame:
-    """``(keys, part, mean, weight)``: one digest per group and partition of ``values`` (keys, value); no shuffle."""
-    ones = values.select(*keys, F.col("value").cast("double").alias("mean"), F.lit(1.0).alias("weight"))
-    return ones.mapInPandas(_merger(keys, delta, True), _schema(values, keys))
-
+    def run(batches):
+        for group, frames in _by_group(batches, names):
+            rows = pd.concat(frames) if len(frames) > 1 else frames[0]
+            yield _digest_rows(keys, group[:-1], group[-1], [cluster(rows["mean"].to_numpy(dtype=float), rows["weight"].to_numpy(dtype=float), delta)])
 
-def merge(digests: DataFrame, keys: list[str], parts: int, delta: int = DELTA) -> DataFrame:
-    """One digest per group from ``parts`` numbered ones, in a tree of ``FAN_IN`` digests of a group at a time."""
     schema = _schema(digests, keys)
     while True:
         parts = max(1, -(-parts // FAN_IN))
-        met = digests.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int") if parts > 1 else F.lit(0)).repartition(*keys, "part")
-        digests = met.mapInPandas(_merger(keys, delta, False), schema)
+        met = digests.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int") if parts > 1 else F.lit(0)).repartition(*names).sortWithinPartitions(*names)
+        digests = met.mapInPandas(run, schema)
         if parts == 1:
             return digests
 
@@ -106,49 +133,52 @@ def measured(rows: DataFrame, keys: list[str], group: list[str], metrics: list[s
 def percentiles(values: DataFrame, keys: list[str], scratch: Scratch, quantiles=QUANTILES, bound: float = BOUND, delta: int = DELTA) -> DataFrame:
     """``(keys, quantile, estimate, n, below, upto, error)`` with certified rank errors.
 
-    ``values`` has the keys and ``value``; the estimates are one row per group and quantile.
+    ``values`` has the keys and ``value``; the estimates are one row per group.
     """
     values = scratch.cut(values)
     tasks = max(1, values.rdd.getNumPartitions())
     while True:
-        merged = merge(digest(values, keys, delta), keys, tasks, delta)
-        certified = scratch.cut(_certify(values, _estimates(merged, keys, quantiles), keys))
-        if delta >= 64 * DELTA or not certified.filter(F.col("error") > bound).limit(1).count():
+        guesses = scratch.cut(_estimates(merge(digest(values, keys, delta), keys, tasks, delta), keys, quantiles))
+        certified = scratch.cut(_certify(values, guesses, keys, len(quantiles)))
+        if not certified.filter(F.col("error") > bound).limit(1).count():
             return certified
+        scratch.drop(guesses, certified)
         delta *= 2
 
 
 def _estimates(merged: DataFrame, keys: list[str], quantiles) -> DataFrame:
     def run(batches):
-        frames = list(batches)  # merged digests: at most delta rows per group in this task
-        if frames:
-            for group, rows in pd.concat(frames).groupby(keys, sort=False):
-                rows = rows.sort_values("mean")
-                mean, weight = rows["mean"].to_numpy(), rows["weight"].to_numpy()
-                yield pd.DataFrame({**{k: [v] for k, v in zip(keys, group, strict=True)}, "guess": [[estimate(mean, weight, q) for q in quantiles]], "q": [list(quantiles)]})
+        for group, frames in _by_group(batches, keys):
+            rows = pd.concat(frames).sort_values("mean")
+            mean, weight = rows["mean"].to_numpy(), rows["weight"].to_numpy()
+            yield pd.DataFrame({**{k: [v] for k, v in zip(keys, group, strict=True)}, "guess": [[estimate(mean, weight, q) for q in quantiles]], "q": [list(quantiles)], "size": [int(round(weight.sum()))]})
 
     kinds = dict(merged.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", guess array<double>, q array<double>"
-    return merged.repartition(*keys).mapInPandas(run, schema)
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", guess array<double>, q array<double>, size bigint"
+    return merged.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
+def _beside(values: DataFrame, groups: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Values with their group's row.  Groups of ``least`` values or more go to the values; there are at most ``GROUPS`` of those."""
+    near = values.join(F.broadcast(groups.filter(F.col("size") >= least)), keys)
+    return near if least <= 1 else near.unionByName(values.join(groups.filter(F.col("size") < least).hint("merge"), keys))
 
 
-def _certify(values: DataFrame, guesses: DataFrame, keys: list[str]) -> DataFrame:
+def _certify(values: DataFrame, guesses: DataFrame, keys: list[str], count: int) -> DataFrame:
     """Two counting passes: the nearest values of the data, then their exact rank intervals."""
-    first = guesses.select(F.size("q").alias("n")).first()
-    count = first.n if first else 0
-    if not count:
-        return guesses.select(*keys, *[F.lit(None).cast(t).alias(c) for c, t in (("quantile", "double"), ("estimate", "double"), ("n", "bigint"), ("below", "bigint"), ("upto", "bigint"), ("error", "double"))]).limit(0)
+    total = guesses.agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("values")).first()
+    least = 1 if total.groups <= GROUPS else -(-total["values"] // GROUPS)
     v = F.col("value")
-    joined = values.join(guesses, keys)
+    joined = _beside(values, guesses, keys, least)
     spots = []
     for i in range(count):
         g = F.col("guess")[i]
         spots += [F.count(F.when(v < g, 1)).alias(f"c{i}"), F.min(F.when(v >= g, v)).alias(f"hi{i}"), F.max(F.when(v < g, v)).alias(f"lo{i}")]
-    near = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("q").alias("q"), *spots)
+    near = joined.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("q").alias("q"), F.first("size").alias("size"), *spots)
     # ranks up to the count belong to the value below the guess, others to that at or above it
     picks = [F.coalesce(F.when(F.col("q")[i] * F.col("n") < F.col(f"c{i}"), F.col(f"lo{i}")), F.col(f"hi{i}"), F.col(f"lo{i}")) for i in range(count)]
-    snapped = near.select(*keys, "n", "q", F.array(*picks).alias("pick"))
-    joined = values.join(snapped, keys)
+    snapped = near.select(*keys, "n", "q", "size", F.array(*picks).alias("pick"))
+    joined = _beside(values, snapped, keys, least)
     ranks = [F.struct(F.count(F.when(v < F.col("pick")[i], 1)).alias("below"), F.count(F.when(v <= F.col("pick")[i], 1)).alias("upto")).alias(f"r{i}") for i in range(count)]
     counted = joined.groupBy(*keys).agg(F.first("n").alias("n"), F.first("q").alias("q"), F.first("pick").alias("pick"), *ranks)
     each = F.explode(F.arrays_zip(F.col("q"), F.col("pick"), F.array(*[f"r{i}" for i in range(count)]).alias("r")))

@@ -263,11 +263,26 @@ def test_mixture_keeps_shares_and_caps(spark):
     assert mixing.mixture(df.limit(0), targets, Scratch(spark, "t"))[0].count() == 0
 
 
+def test_mixture_does_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 50)
+    monkeypatch.setattr(mixing, "FAN_IN", 4)
+    rng = random.Random(6)
+    counts = [(i, rng.choice("aaab"), rng.randint(1, 400)) for i in range(1500)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    seen = set()
+    for parts in (2, 5, 64):
+        df = spark.createDataFrame(rng.sample(counts, len(counts)), "doc_id long, source string, n_tokens long").repartition(parts)
+        seen.add(frozenset((r.doc_id, r.copies) for r in mixing.mixture(df, targets, Scratch(spark, "t"))[0].collect()))
+    assert len(seen) == 1
+    draws = [mixing.coin(i, i + 1, 0) for i in range(20000)]
+    assert abs(np.mean(draws) - 0.5) < 0.01 and abs(np.std(draws) - 0.2887) < 0.01
+
+
 def test_pivotal_rounding_keeps_mass_and_expectation():
     ids, sizes, parts = list(range(60)), [1 + i % 7 for i in range(60)], [0.3] * 60
     hits = np.zeros(60)
     for seed in range(400):
-        done_ids, done, held = mixing._trade(ids, sizes, parts, np.random.default_rng(seed))
+        done_ids, done, held = mixing._trade(ids, sizes, parts, lambda i, j, rng=np.random.default_rng(seed): rng.random())
         mass = sum(sizes[i] * x for i, x in zip(done_ids, done)) + (held[1] * held[2] if held else 0)
         assert abs(mass - 0.3 * sum(sizes)) < 1e-6 and len(done_ids) + bool(held) == 60
         hits[done_ids] += done
