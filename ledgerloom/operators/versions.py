@@ -1,30 +1,32 @@
 """History of changing attributes: a bitemporal ledger swept in valid time.
 
-Every observation is a claim that stays in the ledger for good.  Its *recorded* period runs
-from the claim's own record number to that of the claim which supersedes it in the same
-turn; its *valid* period runs from its turn to the turn of the next observation.  A late claim
-thus splits the period that covers its turn: the earlier part keeps the old value, the later
-part gets the new one, and no earlier row is changed.
+Every observation is a claim that stays for good.  ``intervals`` turns the claims into the ledger: rows with a *valid* period (turns) and a *recorded* period
+(record numbers).  A claim opens a row from its turn to the next turn that is known when it is recorded.  A late claim whose turn lies inside a row's valid period
+splits it: that row's recorded period ends, a row for the shorter period follows it, and the late claim's own row takes the rest.  A later claim
+on the same turn ends the recorded period of the row before in the same way.  No row is ever changed otherwise or removed, so the belief at any record number can be read off
+(``belief``); the rows whose recorded period is open are the present belief, and ``versions`` joins its neighbours of equal value.
 
-``versions`` sweeps the claims believed as of a record number in order of their turns and
-joins neighbours of equal value.  Claims of one turn are reduced by a map-side aggregate,
-and the sweep runs in blocks of turns (``plans.blocks``), so a slot may hold any share of the rows.
+The sweep finds, for each turn's first claim, the nearest earlier turn that was known by then (its row is split) and the nearest later one (where
+its own row ends).  Turns are leaves of ``FAN`` in a tree whose nodes hold the earliest record of each child, so both turns are found by equality joins up and
+down the tree, which most rows leave at the first leaf; no slot is gathered in one task.  What one turn of a slot saw runs in blocks of record numbers.
 
 Defined results: null episodes, slots or turns and negative turns don't count, nor do blank
-values that aren't erasures; an erasure observes a blank value; repeated claims count once;
-extra columns are ignored; an empty table gives an empty table.
+values that aren't erasures; an erasure observes a blank value; repeated claims count once; of claims with one record number in one turn
+the greatest counts; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import EDGES, letters_digits
 from ..plans.blocks import previous_in_order
+from ..plans.scratch import Scratch
 
 OPEN = -1
-
+FAN, SPAN = 64, 65536
+_SLOT = ["episode_id", "slot"]
 
 def slot_key(slot: Column) -> Column:
     """Lower case, with ``_``, ``-`` and blanks as one blank and none outside."""
@@ -53,26 +55,116 @@ def ledger(observations: DataFrame) -> DataFrame:
 
     Claims of a source count as recorded before all claims of a source of higher rank.
     """
-    from pyspark.sql import Window
+    keys = [*_SLOT, "turn"]
+    distinct = observations.groupBy(*keys, "rank", "record", "key").agg(F.min("value").alias("value"))
+    placed = distinct.withColumn("_at", F.struct("rank", "record", "key")).withColumn("_me", F.struct("rank", "record"))
+    after = previous_in_order(placed, keys, "_at", "_me", "_after", lead=True, block=_record_block("rank", "record"))
+    return after.select(*keys, "rank", "record", "key", "value", F.col("_after.rank").alias("superseded_rank"), F.col("_after.record").alias("superseded_record"))
+
+
+def _record_block(rank: str, record: str) -> Column:
+    return F.struct(F.col(rank).alias("r"), F.floor(F.col(record) / SPAN).alias("b"))
+
 
-    distinct = observations.groupBy("episode_id", "slot", "turn", "rank", "record", "key").agg(F.min("value").alias("value"))
-    order = Window.partitionBy("episode_id", "slot", "turn").orderBy("rank", "record", "key")
-    after = F.lead(F.struct("rank", "record")).over(order)
-    return distinct.withColumn("superseded_rank", after["rank"]).withColumn("superseded_record", after["record"])
+def intervals(observations: DataFrame, scratch: Scratch) -> DataFrame:
+    """The bitemporal ledger: ``(episode_id, slot, key, value, turn, until, rank, record, until_rank, until_record)``.
 
+    Valid for turns in ``[turn, until)`` (null: open), believed from (rank, record) until (until_rank, until_record) (null: still).
+    """
+    keys = [*_SLOT, "turn"]
+    best = F.max(F.struct("key", "value")).alias("said")
+    claims_ = scratch.cut(observations.groupBy(*keys, "rank", "record").agg(best))
+    points = scratch.cut(claims_.groupBy(*keys).agg(F.min(F.struct("rank", "record")).alias("first")))
+    nothing, open_end = F.lit(None).cast(dict(claims_.dtypes)["said"]), F.lit(None).cast("int")
+    said = claims_.select(*keys, F.struct("rank", "record").alias("at"), "said", open_end.alias("to"))
+    beside = _neighbours(points, scratch)
+    own = beside.filter(F.col("right").isNotNull()).select(*keys, F.col("first").alias("at"), nothing.alias("said"), F.col("right").alias("to"))
+    split = beside.filter(F.col("left").isNotNull()).select(*_SLOT, F.col("left").alias("turn"), F.col("first").alias("at"), nothing.alias("said"), F.col("turn").alias("to"))
+    events = said.unionByName(own).unionByName(split).groupBy(*keys, "at").agg(F.max("said").alias("said"), F.min("to").alias("to"))
+    return _states(events, keys).select(
+        *_SLOT, "said.key", "said.value", "turn", F.col("to").alias("until"), "at.rank", "at.record", F.col("next.rank").alias("until_rank"), F.col("next.record").alias("until_record")
+    )
 
-def versions(observations: DataFrame, as_of: int | None = None) -> DataFrame:
-    """``(episode_id, slot, value, valid_from_turn, valid_to_turn)``, half-open, -1 for still valid.
 
-    ``as_of``: the belief when claims up to that record number were in.
+def _states(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events of a turn in record order -> what held after each: the last value, the least end, and when the next event came.
+
+    In blocks of record numbers; only turns of several blocks need the second window.
+    """
+    cut = events.withColumn("_b", F.struct(F.col("at.rank").alias("r"), F.floor(F.col("at.record") / SPAN).alias("b")))
+    inner = Window.partitionBy(*keys, "_b").orderBy("at")
+    upto, outer = inner.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("_b")
+    before = outer.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = cut.groupBy(*keys, "_b").agg(F.max_by("said", F.when(F.col("said").isNotNull(), F.col("at"))).alias("_s"), F.min("to").alias("_t"), F.min("at").alias("_f"))
+    carried = blocks.select(
+        *keys, "_b", F.last("_s", ignorenulls=True).over(before).alias("_said"), F.min("_t").over(before).alias("_to"), F.lead("_f").over(outer).alias("_next"), F.lag("_f").over(outer).alias("_prior")
+    ).filter(F.col("_next").isNotNull() | F.col("_prior").isNotNull()).drop("_prior")
+    near = cut.withColumn("said", F.last("said", ignorenulls=True).over(upto)).withColumn("to", F.min("to").over(upto)).withColumn("next", F.lead("at").over(inner))
+    both = near.join(carried, [*keys, "_b"], "left")
+    return both.select(*keys, "at", F.coalesce("said", "_said").alias("said"), F.least("to", "_to").alias("to"), F.coalesce("next", "_next").alias("next"))
+
+
+def _neighbours(points: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per turn (``first``: its earliest record) the nearest turn before with ``first`` not later, ``left``, and the nearest after with an earlier one, ``right``."""
+    greatest = points.agg(F.max("turn").alias("t")).first().t or 0
+    earlier = lambda x: (x["turn"] < F.col("p.turn")) & (x["first"] <= F.col("p.first"))
+    later = lambda x: (x["turn"] > F.col("p.turn")) & (x["first"] < F.col("p.first"))
+    leaf = F.floor(F.col("turn") / FAN).cast("int")
+    leaves = points.groupBy(*_SLOT, leaf.alias("node")).agg(F.collect_list(F.struct("turn", "first")).alias("kids"))  # at most FAN turns
+    opened = leaves.select(*_SLOT, "node", "kids", F.explode("kids").alias("p"))
+    turn_of = lambda kids: F.transform(kids, lambda x: x["turn"])
+    near = opened.select(*_SLOT, "node", F.col("p.turn").alias("turn"), F.col("p.first").alias("first"), F.array_max(turn_of(F.filter("kids", earlier))).alias("left"), F.array_min(turn_of(F.filter("kids", later))).alias("right"))
+    if greatest < FAN:
+        return near.drop("node")
+    leaves, near = scratch.cut(leaves), scratch.cut(near)
+    # levels[l] holds nodes whose children are nodes of level l - 1; level 0 are the leaves
+    levels, span, kids = [leaves], FAN, leaves
+    while greatest // span:
+        least = F.array_min(F.transform("kids", lambda x: x["first"]))
+        kids = kids.select(*_SLOT, F.floor(F.col("node") / FAN).cast("int").alias("up"), F.struct(F.col("node").alias("turn"), least.alias("first")).alias("k"))
+        kids = scratch.cut(kids.groupBy(*_SLOT, F.col("up").alias("node")).agg(F.collect_list("k").alias("kids")))
+        levels.append(kids)
+        span *= FAN
+    sides = F.array_compact(F.array(F.when(F.col("left").isNull(), F.lit("left")), F.when(F.col("right").isNull(), F.lit("right"))))
+    asked = near.select(*_SLOT, "turn", "first", "node", F.explode(sides).alias("side"))
+    found = None
+    for level in range(1, len(levels)):  # up: a sibling that holds an early enough record
+        asked = scratch.cut(_picked(asked.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN).cast("int")), levels[level], F.col("child")))
+        hit = asked.filter(F.col("pick").isNotNull()).select(*_SLOT, "turn", "first", "side", F.col("pick").alias("node"))
+        for below in range(level - 1, -1, -1):  # down: the child nearest to the asking turn
+            hit = _picked(hit, levels[below], None).select(*_SLOT, "turn", "first", "side", F.col("pick").alias("node"))
+        found = hit if found is None else found.unionByName(hit)
+        asked = asked.filter(F.col("pick").isNull()).drop("pick", "child")
+    far = found.groupBy(*_SLOT, "turn").agg(F.max(F.when(F.col("side") == "left", F.col("node"))).alias("_left"), F.max(F.when(F.col("side") == "right", F.col("node"))).alias("_right"))
+    return near.join(far, [*_SLOT, "turn"], "left").select(*_SLOT, "turn", "first", F.coalesce("left", "_left").alias("left"), F.coalesce("right", "_right").alias("right"))
+
+
+def _picked(asked: DataFrame, nodes: DataFrame, own: Column | None) -> DataFrame:
+    """``asked`` with ``pick``: the child nearest to the asking turn whose earliest record is early enough (beside ``own``, if given)."""
+    both = asked.join(nodes, [*_SLOT, "node"])
+    left = F.filter("kids", lambda x: (x["first"] <= F.col("first")) & (F.lit(True) if own is None else x["turn"] < own))
+    right = F.filter("kids", lambda x: (x["first"] < F.col("first")) & (F.lit(True) if own is None else x["turn"] > own))
+    at = lambda kids: F.transform(kids, lambda x: x["turn"])
+    return both.withColumn("pick", F.when(F.col("side") == "left", F.array_max(at(left))).otherwise(F.array_min(at(right)))).drop("kids")
+
+
+def belief(rows: DataFrame, as_of: tuple[int, int] | None = None) -> DataFrame:
+    """The intervals believed now, or as of (rank, record)."""
+    if as_of is None:
+        return rows.filter(F.col("until_rank").isNull())
+    at = F.struct(F.lit(as_of[0]).alias("rank"), F.lit(as_of[1]).cast("bigint").alias("record"))
+    return rows.filter((F.struct("rank", "record") <= at) & (F.col("until_rank").isNull() | (F.struct(F.col("until_rank").alias("rank"), F.col("until_record").alias("record")) > at)))
+
+
+def versions(observations: DataFrame, as_of: tuple[int, int] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """``(episode_id, slot, value, valid_from_turn, valid_to_turn)``, half-open, -1 for still valid: the ledger's belief, neighbours of equal value joined.
+
+    ``as_of``: the belief when claims up to that (rank, record) were in.
     """
-    seen = observations if as_of is None else observations.filter(F.col("record") <= as_of)
-    best = F.max(F.struct("rank", "record", "key", "value")).alias("b")
-    points = seen.groupBy("episode_id", "slot", "turn").agg(best).select("episode_id", "slot", "turn", F.col("b.key").alias("key"), F.col("b.value").alias("value"))
-    keys = ["episode_id", "slot"]
-    compared = previous_in_order(points, keys, "turn", "key", "_prior")
+    points = belief(intervals(observations, scratch or Scratch(observations.sparkSession, "versions")), as_of)
+    compared = previous_in_order(points.select(*_SLOT, "turn", "key", "value"), _SLOT, "turn", "key", "_prior")
     starts = compared.filter(F.col("_prior").isNull() | (F.col("_prior") != F.col("key"))).drop("_prior", "key")
-    closed = previous_in_order(starts, keys, "turn", "turn", "_next", lead=True)
+    closed = previous_in_order(starts, _SLOT, "turn", "turn", "_next", lead=True)
     return closed.select(
         "episode_id",
         "slot",

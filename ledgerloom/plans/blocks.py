@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 65536, lead: bool = False) -> DataFrame:
+def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, out: str, width: int = 65536, lead: bool = False, block: Column | None = None) -> DataFrame:
     """``lag(value)`` (or ``lead``) over ``keys`` by the non-negative integer ``order``, in blocks of ``width`` orders.
 
     Rows of one key have distinct ``order`` values; ``value`` is not null, so null in ``out``
     means that there is no row before (after).  An order fits an int, so a key has at most
-    2**31 / width blocks, which bounds the window over blocks.
+    2**31 / width blocks, which bounds the window over blocks.  ``block`` cuts orders of other types: it must grow with ``order``.
     """
-    block = F.floor(F.col(order) / F.lit(width))
+    block = F.floor(F.col(order) / F.lit(width)) if block is None else block
     cut = df.withColumn("_block", block)
     inner = Window.partitionBy(*keys, "_block").orderBy(F.col(order).desc() if lead else F.col(order).asc())
     outer = Window.partitionBy(*keys).orderBy(F.col("_block").desc() if lead else F.col("_block").asc())

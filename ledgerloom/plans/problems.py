@@ -102,9 +102,17 @@ def p4_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("episode_id", "slot", "turn", "rank", "record", "value", text("superseded_rank").alias("superseded_rank"), text("superseded_record").alias("superseded_record"))
 
 
+def p4_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """The bitemporal ledger: rows with a valid and a recorded period (-1: open), superseded rows included."""
+    rows = V.intervals(observations(spark, folder), Scratch(spark, "intervals"))
+    shut = lambda c: F.coalesce(c, F.lit(-1)).alias(c)
+    ends = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("until_rank", "until_record")]
+    return rows.select("episode_id", "slot", "value", F.col("turn").alias("valid_from_turn"), shut("until"), "rank", "record", *ends).withColumnRenamed("until", "valid_to_turn")
+
+
 def p4_history(spark: SparkSession, folder: str) -> DataFrame:
     """The versions with their values."""
     return V.versions(observations(spark, folder))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p4_found, p4_history, p4_ledger)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_paths, p4_found, p4_history, p4_ledger, p4_intervals)}

@@ -86,6 +86,30 @@ FROM one WINDOW w AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record,
 """,
 }
 
+SQL["p4_intervals"] = (
+    "WITH "
+    + _CLAIMS
+    + """
+one AS (SELECT episode_id, slot, turn, rank, record, max((key, value)) AS said FROM claims GROUP BY ALL),
+points AS (SELECT episode_id, slot, turn, min((rank, record)) AS first FROM one GROUP BY ALL),
+-- every claim of a slot is an event of each turn known by then; a row stands while its value and end do
+events AS (
+  SELECT p.episode_id, p.slot, p.turn, e.rank, e.record FROM points p JOIN one e ON p.episode_id = e.episode_id AND p.slot = e.slot AND (e.rank, e.record) >= p.first
+  GROUP BY ALL),
+state AS (
+  SELECT v.episode_id, v.slot, v.turn, v.rank, v.record, max((o.rank, o.record, o.said)) FILTER (o.turn = v.turn) AS last,
+         min(o.turn) FILTER (o.turn > v.turn) AS until
+  FROM events v JOIN one o ON v.episode_id = o.episode_id AND v.slot = o.slot AND o.turn >= v.turn AND (o.rank, o.record) <= (v.rank, v.record) GROUP BY ALL),
+changed AS (
+  SELECT *, (last[1], last[2]) AS at FROM state
+  QUALIFY lag(rank) OVER w IS NULL OR (last[1], last[2]) = (rank, record) OR coalesce(until, -1) <> coalesce(lag(until) OVER w, -1)
+  WINDOW w AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record))
+SELECT episode_id, slot, last[3][2] AS value, turn AS valid_from_turn, coalesce(until, -1) AS valid_to_turn, rank, record,
+       coalesce(CAST(lead(rank) OVER n AS VARCHAR), '') AS until_rank, coalesce(CAST(lead(record) OVER n AS VARCHAR), '') AS until_record
+FROM changed WINDOW n AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record)
+"""
+)
+
 SQL["supersede_chain"] = (
     "WITH RECURSIVE "
     + _LINKS

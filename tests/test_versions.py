@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import versions as V
 from ledgerloom.plans.blocks import previous_in_order
+from ledgerloom.plans.scratch import Scratch
 
 SCHEMA = "episode_id string, slot string, value string, observed_turn int, seq int, erased boolean"
 
@@ -52,11 +53,53 @@ def test_ledger_beats_store_and_late_claims_split(spark):
     noted = claims(spark, [("e", "s", "a", 1, 1, False), ("e", "s", "b", 4, 2, False), ("e", "s", "late", 2, 7, False)])
     both = stored.unionByName(noted)
     assert rows_of(V.versions(both)) == {("e", "s", 1, 2), ("e", "s", 2, 4), ("e", "s", 4, -1)}
-    assert rows_of(V.versions(noted, as_of=2)) == {("e", "s", 1, 4), ("e", "s", 4, -1)}
+    assert rows_of(V.versions(noted, as_of=(1, 2))) == {("e", "s", 1, 4), ("e", "s", 4, -1)}
     kept = {(r.turn, r["rank"], r.superseded_rank) for r in V.ledger(both).collect()}
     assert kept == {(1, 1, None), (2, 1, None), (4, 0, 1), (4, 1, None)}
 
 
+def test_late_claims_close_recorded_periods(spark):
+    noted = claims(spark, [("e", "s", "a", 1, 1, False), ("e", "s", "b", 4, 2, False), ("e", "s", "late", 2, 7, False), ("e", "s", "again", 4, 8, False)])
+    got = {(r.value, r.turn, r.until, r.record, r.until_record) for r in V.intervals(noted, Scratch(spark, "t")).collect()}
+    assert got == {("a", 1, None, 1, 2), ("a", 1, 4, 2, 7), ("a", 1, 2, 7, None), ("late", 2, 4, 7, None), ("b", 4, None, 2, 8), ("again", 4, None, 8, None)}
+
+
+def plain_intervals(rows):
+    """(slot, value key, from, to, record, until) by replaying the claims one record number after the other."""
+    seen = {}
+    for e, slot, value, turn, seq, erased in rows:
+        if turn is None or turn < 0 or (not erased and not (value or "").strip()):
+            continue
+        key = "" if erased else "".join(c for c in value.lower() if c.isalnum())
+        at = (" ".join(slot.lower().replace("_", " ").split()), turn, seq)
+        seen[e, at] = max(seen.get((e, at), ""), key)
+    out = set()
+    for e, slot in {(e, at[0]) for e, at in seen}:
+        mine = {at[1:]: key for (e2, at), key in seen.items() if (e2, at[0]) == (e, slot)}
+        open_rows = {}
+        for seq in sorted({s for _, s in mine}):
+            known = {}
+            for (t, s), key in sorted(mine.items(), key=lambda x: x[0][1]):
+                if s <= seq:
+                    known[t] = key
+            for t, key in known.items():
+                to = min((u for u in known if u > t), default=None)
+                row = open_rows.get(t)
+                if row is None or (t, seq) in mine or row[1] != to:
+                    if row:
+                        out.add((e, slot, row[0], t, row[1], row[2], seq))
+                    open_rows[t] = (key, to, seq)
+        out |= {(e, slot, key, t, to, s, None) for t, (key, to, s) in open_rows.items()}
+    return out
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.just("a"), st.sampled_from(["S", "t_t"]), st.sampled_from(["x", "y", " ", "z"]), st.sampled_from([0, 1, 2, 5, 63, 64, 70, 5000, 70000, 300000, -1]), st.integers(0, 9), st.booleans()), max_size=40))
+def test_intervals_equal_a_replay(spark, rows):
+    got = {(r.episode_id, r.slot, r.key, r.turn, r.until, r.record, r.until_record) for r in V.intervals(claims(spark, rows), Scratch(spark, "t")).collect()}
+    assert got == plain_intervals(rows)
+
+
 def test_empty_and_clashing_columns(spark):
     df = spark.createDataFrame([("e", "s", "v", 1, 1, False)], SCHEMA).withColumn("key", F.lit("k")).withColumn("turn", F.lit(99)).withColumn("_block", F.lit(1))
     assert rows_of(V.versions(V.claims(df, "observed_turn", 1, F.col("seq")))) == {("e", "s", 1, -1)}
