@@ -1,3 +1,3 @@
-"""Spark-native analytics for auditable dialogue memory."""
+"""Spark-native analytics for auditable dialogue records."""
 
 __version__ = "0.1.0"

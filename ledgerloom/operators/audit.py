@@ -6,10 +6,10 @@ recorded; I5 erasures took effect.  Each check is a join of whole tables and one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import candidate_pairs, evidence_class, letters_digits, value_matches
+from ..functions.text import letters_digits, value_matches
 from .facts import current
 from .retrieval import contains_join
 
@@ -54,23 +54,51 @@ def unreachable_values(ledger: DataFrame, shown: DataFrame) -> DataFrame:
     return now.join(hit, "fact_id", "left_anti").select("episode_id", "slot", "value", "fact_id")
 
 
-def extraction_all(raw: DataFrame, ledger: DataFrame) -> DataFrame:
+def _held(signals: DataFrame, ledger: DataFrame, keys: list[str], values: DataFrame) -> DataFrame:
+    """Candidates of turns with ``hit``: whether one of the ``held`` values of their ``keys`` matches."""
+    found = signals.select("episode_id", "turn", "reference_id", "kind", F.posexplode("pairs").alias("n", "p"))
+    held = values.groupBy(*keys).agg(F.collect_set("k").alias("held"))
+    return found.join(held, keys, "left").withColumn("hit", F.coalesce(value_matches(F.col("p.value"), F.col("held")), F.lit(False)))
+
+
+def candidates(signals: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Candidates of turns with an ordinal (``signals`` as ``scoring.all_signals`` gives them), and whether the ledger holds them for that turn."""
+    values = ledger.filter(F.col("observed_turn").isNotNull()).select("episode_id", F.col("observed_turn").alias("turn"), letters_digits(F.col("value")).alias("k"))
+    return _held(signals.filter(F.col("turn").isNotNull()), ledger, ["episode_id", "turn"], values)
+
+
+def extraction_all(signals: DataFrame, ledger: DataFrame) -> DataFrame:
     """I4 on all messages: those without an ordinal count as captured by facts that name the message as evidence."""
-    lost = raw.filter(F.col("user_msg").isNotNull() & F.col("turn_index").isNull())
-    found = lost.select("episode_id", "reference_id", evidence_class(F.col("user_msg")).alias("kind"), F.explode(candidate_pairs(F.col("user_msg"))).alias("p"))
-    held = ledger.select(F.explode("evidence").alias("reference_id"), letters_digits(F.col("value")).alias("k")).groupBy("reference_id").agg(F.collect_set("k").alias("held"))
-    both = found.join(held, "reference_id", "left").withColumn("hit", F.coalesce(value_matches(F.col("p.value"), F.col("held")), F.lit(False)))
-    parts = extraction(raw, ledger).unionByName(_recall(both))
-    return parts.groupBy("episode_id").agg(*[F.sum(c).alias(c) for c in parts.columns if c != "episode_id"])
+    values = ledger.select(F.explode("evidence").alias("reference_id"), letters_digits(F.col("value")).alias("k"))
+    lost = _held(signals.filter(F.col("turn").isNull()), ledger, ["reference_id"], values)
+    cols = ["episode_id", "kind", "hit"]
+    return _recall(candidates(signals, ledger).select(*cols).unionByName(lost.select(*cols)))
 
 
-def extraction(raw: DataFrame, ledger: DataFrame) -> DataFrame:
+def extraction(signals: DataFrame, ledger: DataFrame) -> DataFrame:
     """I4 on messages with an ordinal: per episode the candidates found and how many of them the ledger holds for that turn."""
-    said = raw.filter(F.col("user_msg").isNotNull() & F.col("turn_index").isNotNull())
-    found = said.select("episode_id", "turn_index", "reference_id", evidence_class(F.col("user_msg")).alias("kind"), F.explode(candidate_pairs(F.col("user_msg"))).alias("p"))
-    held = ledger.filter(F.col("observed_turn").isNotNull()).groupBy("episode_id", F.col("observed_turn").alias("turn_index")).agg(F.collect_set(letters_digits(F.col("value"))).alias("held"))
-    both = found.join(held, ["episode_id", "turn_index"], "left").withColumn("hit", F.coalesce(value_matches(F.col("p.value"), F.col("held")), F.lit(False)))
-    return _recall(both)
+    return _recall(candidates(signals, ledger))
+
+
+def recalls(rows: DataFrame) -> DataFrame:
+    """``extraction`` with recalls in parts per 10000; null where nothing was found."""
+    rate = lambda a, b: F.try_divide(F.round(F.try_divide(F.col(a) * F.lit(10000.0), F.col(b))), F.lit(1.0)).cast("int")
+    return rows.withColumns({"strict_recall": rate("strict_captured", "strict_candidates"), "all_recall": rate("all_captured", "all_candidates")})
+
+
+def gaps(signals: DataFrame, ledger: DataFrame, most: int = 20) -> DataFrame:
+    """(episode, rank, turn, reference, slot, value): the first ``most`` candidates of turns with a change verb that the ledger lacks."""
+    open_ = candidates(signals, ledger).filter((F.col("kind") == "change") & ~F.col("hit"))
+    order = Window.partitionBy("episode_id").orderBy("turn", "reference_id", "p.slot", "p.value")
+    return open_.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("episode_id", "rank", "turn", "reference_id", "p.slot", "p.value")
+
+
+def full_report(rows: DataFrame, extracted: DataFrame, least_recall: int = 0) -> DataFrame:
+    """The report with I4; an episode whose recall of strong candidates is under ``least_recall`` parts per 10000 isn't clean."""
+    both = rows.join(recalls(extracted), "episode_id", "left")
+    zero = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("strict_candidates", "strict_captured", "all_candidates", "all_captured")]
+    enough = F.coalesce(F.col("strict_recall") >= least_recall, F.lit(True))
+    return both.select(*[c for c in rows.columns if c != "clean"], *zero, F.coalesce("strict_recall", F.lit(-1)).alias("strict_recall"), enough.alias("i4_ok"), (F.col("clean") & enough).alias("clean"))
 
 
 def _recall(both: DataFrame) -> DataFrame:
@@ -128,7 +156,7 @@ def silent_loss(gold: DataFrame, ledger: DataFrame, summaries: DataFrame) -> Dat
 def residual_mentions(facts: DataFrame, texts: DataFrame) -> DataFrame:
     """(episode, fact, mentions): texts of the episode that hold a fact's value (two letters or digits, or more)."""
     long = facts.filter(F.length(letters_digits(F.col("value"))) >= 2).select("episode_id", "fact_id", "value")
-    return contains_join(long, texts).groupBy("episode_id", "fact_id").agg(F.count(F.lit(1)).alias("mentions"))
+    return contains_join(long, texts).groupBy("episode_id", "fact_id").agg(F.sum("copies").alias("mentions"))
 
 
 def erasure_plan(ledger: DataFrame, doomed: DataFrame) -> DataFrame:

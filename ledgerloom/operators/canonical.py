@@ -39,7 +39,7 @@ def active(rows: DataFrame, gone: DataFrame | None = None) -> DataFrame:
 
 def index_entries(rows: DataFrame) -> DataFrame:
     """Newest version of every index entry."""
-    keep = ["episode_id", "seq", "title", "members", "turn_start", "turn_end", "span_start", "span_end", "ts"]
+    keep = ["episode_id", "seq", "title", "members", "turn_start", "turn_end", "span_start", "span_end", "child_index_ids", "ts"]
     return newest(rows.filter(F.col("index_id").isNotNull()), ["index_id"], _ts(), keep)
 
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_estimate
-from ..plans.blocks import running_total_in_order
+from ..functions.udf import token_estimate
+from ..plans.blocks import carried_in_order, running_total_in_order
 from ..plans.scratch import Scratch
-from .facts import _carry
 
 
 def turn_costs(raw: DataFrame) -> DataFrame:
@@ -84,7 +83,7 @@ def evictions(costs: DataFrame, budget: int, recent: int, scratch: Scratch) -> D
     points = run.groupBy("episode_id", (F.col("total") * -2).alias("at")).agg(F.min("i").alias("next"))
     limit = (F.col("gone") + budget) * -2 - 1
     limits = asked.select("episode_id", limit.alias("at")).distinct().withColumn("next", none)
-    met = _carry(points.unionByName(limits), e, "at", "next", 1 << 20).filter(F.pmod("at", F.lit(2)) == 1)
+    met = carried_in_order(points.unionByName(limits), e, "at", "next", 1 << 20).filter(F.pmod("at", F.lit(2)) == 1)
     links = asked.withColumn("at", limit).join(met, ["episode_id", "at"], "left")
     links = links.select("episode_id", "i", F.when(F.col("next").isNotNull(), F.greatest("next", F.col("i") + 1)).alias("onward"))
     # over budget after the last turn already: no later turn is left to cut at

@@ -6,19 +6,12 @@ slot or episode may hold any share of the rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_digits, split_pair
-from ..plans.blocks import previous_in_order
-
-STEP = 1 << 24
-
-
-def moment(turn: str = "observed_turn", seq: str = "seq") -> Column:
-    """Order of (turn, seq) as one integer; seq is below ``STEP``."""
-    return F.col(turn).cast("bigint") * STEP + F.greatest(F.col(seq).cast("bigint"), F.lit(0))
-
+from ..plans.blocks import carried_by_turn, previous_by_turn, previous_in_order
+from ..plans.scratch import Scratch
 
 def placed(ledger: DataFrame) -> DataFrame:
     """Facts with a known turn, one per (episode, slot, turn, seq): ties go to the greatest fact id."""
@@ -37,9 +30,8 @@ def projection(ledger: DataFrame, as_of: int | None = None) -> DataFrame:
     """Validity periods per slot: each fact until the next one; facts after ``as_of`` are unknown, so the last stays open."""
     rows = placed(ledger)
     rows = rows if as_of is None else rows.filter(F.col("observed_turn") <= as_of)
-    rows = rows.withColumn("_m", moment()).withColumn("_to", F.struct("observed_turn", "fact_id"))
-    # a block holds 65536 turns of any number of facts, at most one per (turn, seq)
-    nxt = previous_in_order(rows, ["episode_id", "slot"], "_m", "_to", "_next", width=STEP * 65536, lead=True)
+    rows = rows.withColumn("_to", F.struct("observed_turn", "fact_id"))
+    nxt = previous_by_turn(rows, ["episode_id", "slot"], "_to", "_next", lead=True)
     return nxt.select("episode_id", "slot", "value", "fact_id", F.col("observed_turn").alias("valid_from_turn"), F.col("_next.observed_turn").alias("valid_to_turn"), F.col("_next.fact_id").alias("superseded_by"), "reason", "erased")
 
 
@@ -81,33 +73,22 @@ def rendered_registry(rows: DataFrame) -> DataFrame:
     return rows.groupBy("episode_id").agg(F.array_join(F.transform(listed, lambda s: s["txt"]), "; ").alias("registry"))
 
 
-def overrides(ledger: DataFrame) -> DataFrame:
+def overrides(ledger: DataFrame, scratch: Scratch) -> DataFrame:
     """(episode_id, summary_id, overrider, at_turn): the first later fact that restates one of a summary's slots with another value.
 
     Later means by (turn, seq).  Equal neighbours form runs, so the overrider of a fact is the start of the run after its own:
     no self-join of a slot with itself.
     """
     base = placed(ledger.filter(~F.col("erased"))).withColumn("key", letters_digits(F.col("value")))
-    base = base.withColumn("summary_id", F.substring_index("fact_id", "#", 1)).withColumn("_m", moment())
+    base = scratch.cut(base.select("episode_id", "slot", "observed_turn", "seq", "fact_id", "key", F.substring_index("fact_id", "#", 1).alias("summary_id")))
     keys = ["episode_id", "slot"]
-    wide = STEP * 65536
-    seen = previous_in_order(base, keys, "_m", "key", "_before", width=wide)
-    starts = seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("key"))).withColumn("_start", F.struct("observed_turn", "seq", "summary_id"))
-    after = previous_in_order(starts, keys, "_m", "_start", "_next", width=wide, lead=True).select(*keys, "_m", "_next")
+    seen = previous_by_turn(base, keys, "key", "_before")
+    mine = F.struct("observed_turn", "seq", "summary_id")
+    starts = seen.filter(F.col("_before").isNull() | (F.col("_before") != F.col("key"))).select(*keys, "observed_turn", "seq", "fact_id", mine.alias("_start"))
+    starts = scratch.cut(starts)
+    after = previous_by_turn(starts, keys, "_start", "_next", lead=True).select(*keys, "fact_id", "_next")
     # a fact within a run shares the run's successor: carry it forward from the run's start
-    marked = base.join(after, [*keys, "_m"], "left")
-    fill = _carry(marked, keys, "_m", "_next", wide)
+    fill = carried_by_turn(scratch.cut(base.join(after, [*keys, "fact_id"], "left")), keys, "_next")
     # the last run has none, and what its facts carry lies before them
-    per_fact = fill.filter((F.col("_next.observed_turn") > F.col("observed_turn")) | ((F.col("_next.observed_turn") == F.col("observed_turn")) & (F.col("_next.seq") > F.col("seq"))))
+    per_fact = fill.filter(F.struct("_next.observed_turn", "_next.seq") > F.struct("observed_turn", "seq"))
     return per_fact.groupBy("episode_id", "summary_id").agg(F.min("_next").alias("o")).select("episode_id", "summary_id", F.col("o.summary_id").alias("overrider"), F.col("o.observed_turn").alias("at_turn"))
-
-
-def _carry(df: DataFrame, keys: list[str], order: str, value: str, width: int) -> DataFrame:
-    """Fill nulls of ``value`` with the last one before, in blocks."""
-    inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cut = df.withColumn("_b", F.floor(F.col(order) / F.lit(width)))
-    blocks = cut.groupBy(*keys, "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
-    blocks = blocks.withColumn("_in", F.last("_last", ignorenulls=True).over(outer)).drop("_last")
-    out = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inner)).join(blocks, [*keys, "_b"])
-    return out.withColumn(value, F.coalesce("_own", "_in")).drop("_b", "_own", "_in")

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import letters_digits, split_pair, summary_facts
-from ..plans.blocks import previous_in_order
+from ..plans.blocks import carried_in_order, previous_by_turn, previous_in_order
 from ..plans.scratch import Scratch
-from .facts import STEP, _carry, moment, placed
+from .facts import placed
 from .versions import slot_key
 
 
@@ -55,10 +55,9 @@ def predecessors(ledger: DataFrame) -> DataFrame:
     Equal neighbours form runs: the first fact of a run has the last of the run before.  With overrides: ``anchored``.
     """
     keys = ["episode_id", "slot"]
-    base = placed(ledger.filter(~F.col("erased"))).withColumn("key", letters_digits(F.col("value"))).withColumn("_m", moment())
+    base = placed(ledger.filter(~F.col("erased"))).withColumn("key", letters_digits(F.col("value")))
     base = base.withColumn("_me", F.struct("key", "fact_id", "value"))
-    wide = STEP * 65536
-    seen = previous_in_order(base, keys, "_m", "_me", "_before", width=wide)
+    seen = previous_by_turn(base, keys, "_me", "_before")
     starts = seen.filter(F.col("_before").isNotNull() & (F.col("_before.key") != F.col("key")))
     return starts.select("episode_id", "slot", "value", "fact_id", F.col("_before.value").alias("previous_value"), F.col("_before.fact_id").alias("previous_fact"))
 
@@ -95,7 +94,7 @@ def anchored(summaries: DataFrame, erased: DataFrame, overridden: DataFrame, scr
     me = F.struct("key", "summary_id", "value")
     seen = previous_in_order(all_.withColumn("_me", me), keys, "pos", "_me", "_before")
     start = F.when(F.col("_before.key") != F.col("key"), F.col("_before"))
-    run = _carry(seen.withColumn("_older", start).drop("_before", "_me"), keys, "pos", "_older", 65536)
+    run = carried_in_order(seen.withColumn("_older", start).drop("_before", "_me"), keys, "pos", "_older")
     recorders = run.groupBy(*keys, "key").agg(F.max(F.struct("pos", "summary_id", "_older")).alias("r")).select(*keys, "key", F.col("r.summary_id").alias("recorder"), F.col("r._older").alias("_older"))
     recorders = scratch.cut(recorders)
     named = overridden.select(F.col("summary_id").alias("recorder"), F.col("target").alias("summary_id")).filter(F.col("recorder") != F.col("summary_id")).distinct()
@@ -115,33 +114,35 @@ def newest_other(ledger: DataFrame, exclude: DataFrame) -> DataFrame:
     return other.groupBy("episode_id", "slot").agg(F.max(F.struct("observed_turn", "seq", "fact_id", "value")).alias("m")).select("episode_id", "slot", F.col("m.value").alias("value"), F.col("m.fact_id").alias("fact_id"))
 
 
+#: Lengths of the endings on which value and text meet, and buckets of endings that are asked for.
+ENDINGS, BUCKETS = (6, 3, 2, 1), 1 << 20
+
+
 def contains_join(values: DataFrame, texts: DataFrame) -> DataFrame:
-    """Rows of ``values`` (episode_id, value, ...) with the ``text`` of their episode that holds the value, once per text row.
+    """Rows of ``values`` (episode_id, value, ...) with each distinct ``text`` of their episode that holds the value, and its number of ``copies``.
 
     Value and text meet on the value's last characters (six, three, or fewer where it is shorter), which the text offers among
-    its own; so neither is paired with all of its episode.  Blank values match nothing.
+    its own; so neither is paired with all of its episode.  What a text offers is its digest and an ending at a time: the endings are as many as
+    its characters, and those in no bucket that is asked for (at most ``BUCKETS`` numbers, broadcast) stay where they are; the text itself
+    travels once, to the pairs that met.  Blank values match nothing.
     """
-    sizes = (6, 3, 2, 1)
     n = F.length("value")
     size = F.when(n >= 6, 6).when(n >= 3, 3).otherwise(n)
-    asked = values.filter(n > 0).withColumn("_gram", F.substr("value", n - size + 1, size))
-    text = F.col("text")
-
-    def grams(q):
-        spots = F.sequence(F.lit(1), F.length(text) - q + 1)
-        return F.when(F.length(text) >= q, F.transform(spots, lambda i: F.substr(text, i, F.lit(q)))).otherwise(F.array().cast("array<string>"))
-
-    offers = [grams(q) for q in sizes]
-    offered = texts.filter(text.isNotNull()).select("episode_id", "text", F.explode(F.array_distinct(F.concat(*offers))).alias("_gram"))
-    wanted = asked.select("episode_id", "_gram").distinct()
-    near = offered.join(wanted, ["episode_id", "_gram"], "left_semi")
-    return asked.join(near, ["episode_id", "_gram"]).filter(F.contains("text", "value")).drop("_gram")
+    asked = values.filter(n > 0).withColumn("_ending", F.substr("value", n - size + 1, size))
+    each = texts.filter(F.col("text").isNotNull()).groupBy("episode_id", "text").agg(F.count(F.lit(1)).alias("copies")).withColumn("_text", F.md5("text"))
+    bucket = F.pmod(F.xxhash64("_ending"), F.lit(BUCKETS)).cast("int")
+    # a lookahead yields every stretch of q characters in one pass over the text
+    offers = F.array_distinct(F.concat(*[F.regexp_extract_all("text", F.lit(rf"(?s)(?=(.{{{q}}}))"), F.lit(1)) for q in ENDINGS]))
+    wanted = asked.select(bucket.alias("_bucket")).distinct()
+    offered = each.select("episode_id", "_text", F.explode(offers).alias("_ending")).withColumn("_bucket", bucket).join(F.broadcast(wanted), "_bucket", "left_semi").drop("_bucket")
+    met = asked.join(offered, ["episode_id", "_ending"]).drop("_ending")
+    return met.join(each, ["episode_id", "_text"]).filter(F.contains("text", "value")).drop("_text")
 
 
 def trace(gold: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
     """(episode, slot, layer, hits): where a gold value stands.  Layers are (episode_id, text) tables."""
     out = None
     for name, texts in layers.items():
-        rows = contains_join(gold, texts).groupBy("episode_id", "slot").agg(F.count(F.lit(1)).alias("hits")).withColumn("layer", F.lit(name))
+        rows = contains_join(gold, texts).groupBy("episode_id", "slot").agg(F.sum("copies").alias("hits")).withColumn("layer", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out.select("episode_id", "slot", "layer", "hits")

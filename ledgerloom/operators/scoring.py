@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import answers_match, candidate_pairs, evidence_class, is_question
+from ..plans.scratch import Scratch
 from .retrieval import contains_join
 
 TYPES = {"current_fact": "current", "history_fact": "history", "memory_point": "memory_point", "no_history": "no_history"}
@@ -50,15 +51,19 @@ def per_episode(probes: DataFrame) -> DataFrame:
     return probes.groupBy("system", "episode_id").agg(*cols)
 
 
-def gate_signals(raw: DataFrame) -> DataFrame:
-    """``all_signals`` of the turns with an ordinal."""
-    return all_signals(raw.filter(F.col("turn_index").isNotNull()))
+def gate_signals(signals: DataFrame) -> DataFrame:
+    """The signals of the turns with an ordinal."""
+    return signals.filter(F.col("turn").isNotNull())
 
 
-def all_signals(raw: DataFrame) -> DataFrame:
-    """Per turn, with an ordinal or without: evidence class, whether it asks, and the candidate values."""
+def all_signals(raw: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per turn, with an ordinal or without: evidence class, whether it asks, and the candidate values.
+
+    Written once, as every use reads it again; each message is searched once.
+    """
     text = F.coalesce("user_msg", F.lit(""))
-    return raw.select("episode_id", F.col("turn_index").alias("turn"), "reference_id", evidence_class(text).alias("kind"), is_question(text).alias("asks"), candidate_pairs(text).alias("pairs"))
+    found = scratch.cut(raw.select("episode_id", F.col("turn_index").alias("turn"), "reference_id", "user_msg", candidate_pairs(text).alias("pairs")))
+    return scratch.cut(found.select("episode_id", "turn", "reference_id", evidence_class(text, F.col("pairs")).alias("kind"), is_question(text).alias("asks"), "pairs"))
 
 
 def gate(signals: DataFrame) -> DataFrame:
@@ -75,14 +80,13 @@ def gate(signals: DataFrame) -> DataFrame:
     return out.select("episode_id", "turn", "reference_id", "kind", "asks", states.alias("keep_pattern"), strict.alias("keep_strict"))
 
 
-def gate_levels(raw: DataFrame) -> DataFrame:
-    """Decisions of the levels pattern, loose and strict for every turn.
+def gate_levels(signals: DataFrame, raw: DataFrame) -> DataFrame:
+    """Decisions of the levels off, loose, pattern and strict for every turn; off keeps all.
 
     Loose keeps what pattern keeps, and turns that mention a slot which an earlier turn stated; each slot counts from its first
     turn, and meets the texts on its last characters.  A turn without ordinal makes nothing known to others, and for it is known
     what any turn with an ordinal stated.
     """
-    signals = all_signals(raw)
     each = signals.select("episode_id", "turn", "reference_id", F.explode("pairs").alias("p")).select("episode_id", "turn", "reference_id", "p.slot", "p.value")
     dated = each.filter(F.col("turn").isNotNull())
     first_value = dated.groupBy("episode_id", "value").agg(F.min("turn").alias("_first"))
@@ -100,12 +104,15 @@ def gate_levels(raw: DataFrame) -> DataFrame:
     states = (F.col("kind") == "change") | ((F.col("kind") == "state") & ~F.col("asks"))
     mentions = F.coalesce(F.col("_since") < F.col("turn"), F.col("_since").isNotNull())
     strict = F.when(F.col("kind") == "change", F.col("novel") | (F.size("pairs") == 0)).otherwise(F.col("novel") & ~F.col("asks"))
-    return out.select("episode_id", "turn", "reference_id", "kind", "asks", states.alias("keep_pattern"), (states | mentions).alias("keep_loose"), strict.alias("keep_strict"))
+    return out.select("episode_id", "turn", "reference_id", "kind", "asks", F.lit(True).alias("keep_off"), states.alias("keep_pattern"), (states | (mentions & ~F.col("asks"))).alias("keep_loose"), strict.alias("keep_strict"))
 
 
-def confusion(gated: DataFrame, evidence: DataFrame, keep: str) -> DataFrame:
-    """tp, fp, fn and tn of a gate against turns that are evidence of a fact (``evidence``: reference_id); one row."""
+def confusion(gated: DataFrame, evidence: DataFrame, levels: list[str]) -> DataFrame:
+    """(level, tp, fp, fn, tn) of gates against turns that are evidence of a fact (``evidence``: reference_id): all levels in one aggregate."""
     truth = evidence.select("reference_id", F.lit(True).alias("_fact")).distinct()
     both = gated.join(truth, "reference_id", "left").withColumn("_fact", F.coalesce("_fact", F.lit(False)))
-    k, t = F.col(keep), F.col("_fact")
-    return both.agg(F.count_if(k & t).alias("tp"), F.count_if(k & ~t).alias("fp"), F.count_if(~k & t).alias("fn"), F.count_if(~k & ~t).alias("tn"))
+    counts = []
+    for level in levels:
+        k, t = F.col(f"keep_{level}"), F.col("_fact")
+        counts.append(F.struct(F.lit(level).alias("level"), F.count_if(k & t).alias("tp"), F.count_if(k & ~t).alias("fp"), F.count_if(~k & t).alias("fn"), F.count_if(~k & ~t).alias("tn")))
+    return both.agg(F.array(*counts).alias("c")).select(F.inline("c"))

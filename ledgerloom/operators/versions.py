@@ -74,16 +74,17 @@ def intervals(observations: DataFrame, scratch: Scratch) -> DataFrame:
     keys = [*_SLOT, "turn"]
     best = F.max(F.struct("key", "value")).alias("said")
     claims_ = scratch.cut(observations.groupBy(*keys, "rank", "record").agg(best))
-    points = scratch.cut(claims_.groupBy(*keys).agg(F.min(F.struct("rank", "record")).alias("first")))
+    points = claims_.groupBy(*keys).agg(F.min(F.struct("rank", "record")).alias("first"))
     nothing, open_end = F.lit(None).cast(dict(claims_.dtypes)["said"]), F.lit(None).cast("int")
     said = claims_.select(*keys, F.struct("rank", "record").alias("at"), "said", open_end.alias("to"))
     beside = _neighbours(points, scratch)
     own = beside.filter(F.col("right").isNotNull()).select(*keys, F.col("first").alias("at"), nothing.alias("said"), F.col("right").alias("to"))
     split = beside.filter(F.col("left").isNotNull()).select(*_SLOT, F.col("left").alias("turn"), F.col("first").alias("at"), nothing.alias("said"), F.col("turn").alias("to"))
     events = said.unionByName(own).unionByName(split).groupBy(*keys, "at").agg(F.max("said").alias("said"), F.min("to").alias("to"))
-    return _states(events, keys).select(
+    rows = _states(events, keys).select(
         *_SLOT, "said.key", "said.value", "turn", F.col("to").alias("until"), "at.rank", "at.record", F.col("next.rank").alias("until_rank"), F.col("next.record").alias("until_record")
     )
+    return scratch.cut(rows)
 
 
 def _states(events: DataFrame, keys: list[str]) -> DataFrame:
@@ -106,17 +107,17 @@ def _states(events: DataFrame, keys: list[str]) -> DataFrame:
 
 def _neighbours(points: DataFrame, scratch: Scratch) -> DataFrame:
     """Per turn (``first``: its earliest record) the nearest turn before with ``first`` not later, ``left``, and the nearest after with an earlier one, ``right``."""
-    greatest = points.agg(F.max("turn").alias("t")).first().t or 0
     earlier = lambda x: (x["turn"] < F.col("p.turn")) & (x["first"] <= F.col("p.first"))
     later = lambda x: (x["turn"] > F.col("p.turn")) & (x["first"] < F.col("p.first"))
     leaf = F.floor(F.col("turn") / FAN).cast("int")
     leaves = points.groupBy(*_SLOT, leaf.alias("node")).agg(F.collect_list(F.struct("turn", "first")).alias("kids"))  # at most FAN turns
+    leaves = scratch.cut(leaves)
+    greatest = (leaves.agg(F.max("node").alias("n")).first().n or 0) * FAN
     opened = leaves.select(*_SLOT, "node", "kids", F.explode("kids").alias("p"))
     turn_of = lambda kids: F.transform(kids, lambda x: x["turn"])
     near = opened.select(*_SLOT, "node", F.col("p.turn").alias("turn"), F.col("p.first").alias("first"), F.array_max(turn_of(F.filter("kids", earlier))).alias("left"), F.array_min(turn_of(F.filter("kids", later))).alias("right"))
     if greatest < FAN:
         return near.drop("node")
-    leaves, near = scratch.cut(leaves), scratch.cut(near)
     # levels[l] holds nodes whose children are nodes of level l - 1; level 0 are the leaves
     levels, span, kids = [leaves], FAN, leaves
     while greatest // span:

@@ -31,6 +31,43 @@ def previous_in_order(df: DataFrame, keys: list[str], order: str, value: str, ou
     return out_df.withColumn(out, F.coalesce("_near", "_carry")).drop("_block", "_near", "_edge", "_carry")
 
 
+def _ranked(df: DataFrame, minor: str) -> DataFrame:
+    """``_minor``: the int ``minor`` as a non-negative integer, null first."""
+    return df.withColumn("_minor", F.coalesce(F.col(minor).cast("bigint") + (1 << 31) + 1, F.lit(0)))
+
+
+def previous_by_turn(df: DataFrame, keys: list[str], value: str, out: str, turn: str = "observed_turn", minor: str = "seq", lead: bool = False) -> DataFrame:
+    """``lag(value)`` (or ``lead``) over ``keys`` by (turn, minor), which is unique within a key; ``turn`` isn't negative, ``value`` not null.
+
+    Within a turn in blocks of ``minor``, over turns in blocks of turns: neither many turns nor many rows of one turn meet in one task.
+    """
+    inside = previous_in_order(_ranked(df, minor), [*keys, turn], "_minor", value, "_inside", lead=lead)
+    pick = F.min_by if lead else F.max_by
+    ends = _ranked(df, minor).groupBy(*keys, turn).agg(pick(value, "_minor").alias("_end"))
+    over = previous_in_order(ends, keys, turn, "_end", "_over", lead=lead).filter(F.col("_over").isNotNull()).select(*keys, turn, "_over")
+    return inside.join(over, [*keys, turn], "left").withColumn(out, F.coalesce("_inside", "_over")).drop("_minor", "_inside", "_over")
+
+
+def carried_in_order(df: DataFrame, keys: list[str], order: str, value: str, width: int = 65536) -> DataFrame:
+    """Fill nulls of ``value`` with the last one before by the non-negative integer ``order``, in blocks of ``width`` orders."""
+    inner = Window.partitionBy(*keys, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cut = df.withColumn("_b", F.floor(F.col(order) / F.lit(width)))
+    blocks = cut.groupBy(*keys, "_b").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    blocks = blocks.withColumn("_in", F.last("_last", ignorenulls=True).over(outer)).filter(F.col("_in").isNotNull()).drop("_last")
+    out = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inner)).join(blocks, [*keys, "_b"], "left")
+    return out.withColumn(value, F.coalesce("_own", "_in")).drop("_b", "_own", "_in")
+
+
+def carried_by_turn(df: DataFrame, keys: list[str], value: str, turn: str = "observed_turn", minor: str = "seq") -> DataFrame:
+    """The same by (turn, minor): within a turn in blocks of ``minor``, over turns in blocks of turns."""
+    ends = _ranked(df, minor).groupBy(*keys, turn).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("_minor"))).alias("_end"))
+    known = carried_in_order(ends, keys, turn, "_end")
+    before = previous_in_order(known.withColumn("_end", F.struct("_end")), keys, turn, "_end", "_over").select(*keys, turn, F.col("_over._end").alias("_over")).filter(F.col("_over").isNotNull())
+    inside = carried_in_order(_ranked(df, minor), [*keys, turn], "_minor", value)
+    return inside.join(before, [*keys, turn], "left").withColumn(value, F.coalesce(value, "_over")).drop("_minor", "_over")
+
+
 def running_total(df: DataFrame, key: str, order: str, value: str, out: str, per_block: int = 100_000) -> DataFrame:
     """Sum of ``value`` over the rows of ``key`` before this one, in a fixed order, for keys with any number of rows.
 

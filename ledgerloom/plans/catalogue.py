@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import memory_queries, memory_sql, problems, problems_sql
+from . import ledger_queries, ledger_sql, problems, problems_sql
 
 
 def queries():
-    return memory_queries.QUERIES | problems.QUERIES
+    return ledger_queries.QUERIES | problems.QUERIES
 
 
 def oracle_sql():
-    return memory_sql.SQL | problems_sql.SQL
+    return ledger_sql.SQL | problems_sql.SQL

@@ -1,4 +1,4 @@
-"""Queries of the memory tables: ledger, audit, retrieval, context, text and evaluation."""
+"""Queries of the ledger tables: ledger, audit, retrieval, context, text and evaluation."""
 
 from __future__ import annotations
 
@@ -10,16 +10,17 @@ from ..functions import udf as U
 from ..operators import audit as A
 from ..operators import canonical as C
 from ..operators import context as X
+from ..operators import digest as D
 from ..operators import facts as L
 from ..operators import retrieval as R
 from ..operators import scoring as S
-from ..operators.fold import Budget, run_fold
-from ..operators.hierarchy import expand_paths
+from ..operators.hierarchy import expand_paths, resolve_references
+from ..sources import episodes as E
 from .problems import forests, table
 from .scratch import Scratch
 
 
-class Memory:
+class Tables:
     """The canonical tables of a folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -31,7 +32,9 @@ class Memory:
         self.ledger = C.ledger(t("fact_ledger"))
         self.probes = C.probes(t("probe_predictions"))
         self.stored = t("fact_history")
+        self.handed = t("fact_ledger")
         self.documents = t("documents")
+        self.scratch = Scratch(spark, "ledger")
 
     @property
     def summaries(self) -> DataFrame:
@@ -44,7 +47,7 @@ QUERIES = {}
 
 def query(function):
     """Register a query on the canonical tables."""
-    QUERIES[function.__name__] = lambda spark, folder: function(Memory(spark, folder))
+    QUERIES[function.__name__] = lambda spark, folder: function(Tables(spark, folder))
     return function
 
 
@@ -176,7 +179,20 @@ def i3_provenance(m):
 
 @query
 def i4_extraction(m):
-    return A.extraction(m.raw, m.ledger)
+    return A.extraction(S.all_signals(m.raw, m.scratch), m.ledger)
+
+
+@query
+def extraction_report(m):
+    """I4 with recalls in parts per 10000; -1 where nothing was found."""
+    rows = A.recalls(A.extraction(S.all_signals(m.raw, m.scratch), m.ledger))
+    return rows.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("strict_recall", "all_recall")})
+
+
+@query
+def extraction_gaps(m):
+    """Up to twenty strong candidates of each episode that the ledger lacks."""
+    return A.gaps(S.all_signals(m.raw, m.scratch), m.ledger)
 
 
 @query
@@ -189,6 +205,12 @@ def audit_report(m):
     return A.report(m.ledger, m.summaries, m.entries, m.raw)
 
 
+@query
+def audit_full(m):
+    """The report with I4 inside."""
+    return A.full_report(A.report(m.ledger, m.summaries, m.entries, m.raw), A.extraction(S.all_signals(m.raw, m.scratch), m.ledger))
+
+
 @query
 def audit_all(m):
     return A.summary(A.report(m.ledger, m.summaries, m.entries, m.raw))
@@ -261,7 +283,7 @@ def predecessor_recorded(m):
     cols = ["summary_id", "episode_id", "seq", "ts", "text", "fact_keys"]
     both = m.archive.select(*cols).unionByName(m.active.select(*cols))
     named = override_ids(m).filter(F.col("target") != "")
-    return R.anchored(both, m.ledger.filter("erased"), named, Scratch(m.archive.sparkSession, "anchored"))
+    return R.anchored(both, m.ledger.filter("erased"), named, m.scratch)
 
 
 @query
@@ -278,7 +300,7 @@ def predecessor_fallback(m):
 
 @query
 def override_resolution(m):
-    return L.overrides(m.ledger)
+    return L.overrides(m.ledger, m.scratch)
 
 
 @query
@@ -318,7 +340,7 @@ def budget_suffix(m):
 
 @query
 def naive_chain_trim(m):
-    costs = m.active.filter(F.col("seq") >= 0).groupBy("episode_id", F.col("seq").alias("turn")).agg(F.sum(T.token_estimate(F.coalesce("text", F.lit("")))).cast("bigint").alias("cost"))
+    costs = m.active.filter(F.col("seq") >= 0).groupBy("episode_id", F.col("seq").alias("turn")).agg(F.sum(U.token_estimate(F.coalesce("text", F.lit("")))).cast("bigint").alias("cost"))
     return X.newest_within(costs, 100, first_always=False)
 
 
@@ -333,8 +355,8 @@ def baseline_tokens(m):
 
 
 @query
-def memgpt_evicted(m):
-    """Closed form, as if checked once at the end: episodes whose turns exceed the budget keep the newest four turns.  By turn: ``memgpt_fold``."""
+def evicted_at_end(m):
+    """Closed form, as if checked once at the end: episodes whose turns exceed the budget keep the newest four turns.  By turn: ``evictions_by_turn``."""
     costs = X.turn_costs(m.raw)
     over = costs.groupBy("episode_id").agg(F.sum("cost").alias("all_tokens")).filter(F.col("all_tokens") > 400)
     kept = X.last_turns(m.raw, 4).select("episode_id", F.col("turn_index").alias("turn")).distinct()
@@ -342,9 +364,9 @@ def memgpt_evicted(m):
 
 
 @query
-def memgpt_fold(m):
+def evictions_by_turn(m):
     """Turns evicted when the window is checked after every turn: over the budget, all but the newest four leave."""
-    return X.evictions(X.turn_costs(m.raw), 400, 4, Scratch(m.raw.sparkSession, "evictions"))
+    return X.evictions(X.turn_costs(m.raw), 400, 4, m.scratch)
 
 
 @query
@@ -368,7 +390,7 @@ def evidence_truncation(m):
 
 @query
 def episode_metrics(m):
-    live = m.active.groupBy("episode_id").agg(F.count(F.lit(1)).alias("active"), F.sum(T.token_estimate(F.col("text"))).alias("active_tokens"), F.count_if(F.coalesce("index_id", F.lit("")) != "").alias("filed"))
+    live = m.active.groupBy("episode_id").agg(F.count(F.lit(1)).alias("active"), F.sum(U.token_estimate(F.col("text"))).alias("active_tokens"), F.count_if(F.coalesce("index_id", F.lit("")) != "").alias("filed"))
     old = m.archive.groupBy("episode_id").agg(F.count(F.lit(1)).alias("archived"), F.count_if(F.col("archive_reason") == "overridden").alias("overridden"), F.count_if(F.col("origin") == "capacity_merge").alias("merged"))
     both = live.join(old, "episode_id", "full_outer")
     return both.select("episode_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("active", "active_tokens", "filed", "archived", "overridden", "merged")])
@@ -379,7 +401,7 @@ def token_accounting(m):
     rendered = F.concat(F.lit("- "), T.short_id(F.col("summary_id")), F.lit(" "), F.coalesce("text", F.lit("")))
     lines = R.unfiled(m.active, m.entries).select("episode_id", F.lit("chain").alias("layer"), rendered.alias("line"))
     titles = m.entries.select("episode_id", F.lit("index").alias("layer"), F.concat(F.lit("* "), T.short_id(F.col("index_id")), F.lit(" "), F.coalesce("title", F.lit(""))).alias("line"))
-    return lines.unionByName(titles).groupBy("episode_id", "layer").agg(F.count(F.lit(1)).alias("lines"), F.sum(T.token_estimate(F.col("line"))).alias("tokens"))
+    return lines.unionByName(titles).groupBy("episode_id", "layer").agg(F.count(F.lit(1)).alias("lines"), F.sum(U.token_estimate(F.col("line"))).alias("tokens"))
 
 
 @query
@@ -408,17 +430,32 @@ def fact_digest(m):
     return values.select("index_id", "slot", shown.alias("digest"))
 
 
+@query
+def digest_titles(m):
+    """The title of an index entry: up to six attributes of its members, the newest first, with their values."""
+    return D.digest(D.of_members(m.entries, m.summaries), "index_id", 6)
+
+
+@query
+def merged_digests(m):
+    """The title of a super entry: the attributes in its children's digests, up to eight."""
+    titled = m.entries.select("index_id", "seq").join(digest_titles(m).withColumnRenamed("digest", "title"), "index_id")
+    refs = m.entries.select(F.col("index_id").alias("owner"), F.explode("child_index_ids").alias("ref")).filter(F.col("ref").isNotNull())
+    links = resolve_references(refs, m.entries.select(F.col("index_id").alias("id"))).select(F.col("owner").alias("parent"), F.col("target").alias("index_id")).distinct()
+    return D.digest(D.of_titles(titled, links), "parent", 8)
+
+
 # --- text ---
 
 
 @query
 def token_estimate(m):
-    return m.documents.select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+    return m.documents.select("doc_id", U.token_estimate(F.col("text")).alias("tokens"))
 
 
 @query
 def message_tokens(m):
-    cost = T.token_estimate(F.coalesce("user_msg", F.lit(""))) + T.token_estimate(F.coalesce("agent_msg", F.lit(""))) + 2 * 4 + 2
+    cost = U.token_estimate(F.coalesce("user_msg", F.lit(""))) + U.token_estimate(F.coalesce("agent_msg", F.lit(""))) + 2 * 4 + 2
     return m.raw.groupBy("episode_id").agg((F.sum(cost) + 2).alias("tokens"))
 
 
@@ -461,30 +498,28 @@ def fact_episodes(m):
 
 @query
 def gate_classify(m):
-    return S.gate_signals(m.raw).groupBy("episode_id", "kind", "asks").agg(F.count(F.lit(1)).alias("n"))
+    return S.gate_signals(S.all_signals(m.raw, m.scratch)).groupBy("episode_id", "kind", "asks").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def candidate_pairs(m):
-    return S.gate_signals(m.raw).select("reference_id", F.explode("pairs").alias("p")).select("reference_id", "p.slot", "p.value").distinct()
+    return S.gate_signals(S.all_signals(m.raw, m.scratch)).select("reference_id", F.explode("pairs").alias("p")).select("reference_id", "p.slot", "p.value").distinct()
 
 
 @query
 def gate_strict_first_seen(m):
-    return S.gate(S.gate_signals(m.raw)).groupBy("episode_id").agg(F.count_if("keep_pattern").alias("pattern"), F.count_if("keep_strict").alias("strict"), F.count(F.lit(1)).alias("turns"))
+    return S.gate(S.gate_signals(S.all_signals(m.raw, m.scratch))).groupBy("episode_id").agg(F.count_if("keep_pattern").alias("pattern"), F.count_if("keep_strict").alias("strict"), F.count(F.lit(1)).alias("turns"))
 
 
 @query
 def gate_confusion(m):
     evidence = m.ledger.select(F.explode("evidence").alias("reference_id"))
-    gated = S.gate(S.gate_signals(m.raw))
-    pattern = S.confusion(gated, evidence, "keep_pattern").withColumn("level", F.lit("pattern"))
-    return pattern.unionByName(S.confusion(gated, evidence, "keep_strict").withColumn("level", F.lit("strict")))
+    return S.confusion(S.gate(S.gate_signals(S.all_signals(m.raw, m.scratch))), evidence, ["pattern", "strict"])
 
 
 @query
 def gate_prevalence(m):
-    return _prevalence(m, S.gate_signals(m.raw))
+    return _prevalence(m, S.gate_signals(S.all_signals(m.raw, m.scratch)))
 
 
 def _prevalence(m, signals):
@@ -498,41 +533,62 @@ def _prevalence(m, signals):
 
 @query
 def gate_classify_all(m):
-    return S.all_signals(m.raw).groupBy("episode_id", "kind", "asks").agg(F.count(F.lit(1)).alias("n"))
+    return S.all_signals(m.raw, m.scratch).groupBy("episode_id", "kind", "asks").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def candidate_pairs_all(m):
-    return S.all_signals(m.raw).select("reference_id", F.explode("pairs").alias("p")).select("reference_id", "p.slot", "p.value").distinct()
+    return S.all_signals(m.raw, m.scratch).select("reference_id", F.explode("pairs").alias("p")).select("reference_id", "p.slot", "p.value").distinct()
 
 
 @query
 def gate_levels(m):
-    levels = [F.count_if(f"keep_{level}").alias(level) for level in ("pattern", "loose", "strict")]
-    return S.gate_levels(m.raw).groupBy("episode_id").agg(*levels, F.count(F.lit(1)).alias("turns"))
+    levels = [F.count_if(f"keep_{level}").alias(level) for level in ("off", "loose", "pattern", "strict")]
+    return S.gate_levels(S.all_signals(m.raw, m.scratch), m.raw).groupBy("episode_id").agg(*levels, F.count(F.lit(1)).alias("turns"))
 
 
 @query
 def gate_confusion_all(m):
     evidence = m.ledger.select(F.explode("evidence").alias("reference_id"))
-    gated = S.gate_levels(m.raw)
-    parts = [S.confusion(gated, evidence, f"keep_{level}").withColumn("level", F.lit(level)) for level in ("pattern", "loose", "strict")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return S.confusion(S.gate_levels(S.all_signals(m.raw, m.scratch), m.raw), evidence, ["off", "loose", "pattern", "strict"])
 
 
 @query
 def gate_prevalence_all(m):
-    return _prevalence(m, S.all_signals(m.raw))
+    return _prevalence(m, S.all_signals(m.raw, m.scratch))
 
 
 @query
 def i4_extraction_all(m):
-    return A.extraction_all(m.raw, m.ledger)
+    return A.extraction_all(S.all_signals(m.raw, m.scratch), m.ledger)
 
 
 @query
 def normalised_values(m):
-    return m.ledger.select("fact_id", T.letters_digits(F.col("value")).alias("key"))
+    return m.ledger.select("fact_id", T.letters_digits(F.col("value")).alias("key"), T.normal_value(F.col("value")).alias("plain"))
+
+
+@query
+def cleaned_slots(m):
+    """Slot names as users write them, cleaned; values without function words around them."""
+    return m.ledger.select(F.coalesce("slot", F.lit("")).alias("slot"), F.coalesce("value", F.lit("")).alias("value")).distinct().select("slot", "value", T.clean_slot(F.col("slot")).alias("clean_slot"), T.clean_value(F.col("value")).alias("clean_value"))
+
+
+@query
+def slot_values(m):
+    """What the text of a summary says of each slot that its fact keys name."""
+    keys = m.summaries.filter(F.col("text").isNotNull()).select("summary_id", "text", F.explode("fact_keys").alias("key")).select("summary_id", "text", T.split_pair(F.col("key")).alias("p")).filter(F.col("p").isNotNull())
+    return keys.select("summary_id", F.lower("p.slot").alias("slot"), T.slot_value(F.col("text"), F.col("p.slot")).alias("value")).distinct()
+
+
+@query
+def override_whitelist(m):
+    """Override ids that a summary's text gives, and those of them that its episode has."""
+    said = m.summaries.filter(F.col("text").isNotNull()).select("summary_id", "episode_id", F.posexplode(T.summary_overrides(F.col("text"))).alias("n", "ref"))
+    name = F.substring_index("summary_id", "/", -1)
+    known = m.summaries.select("episode_id", name.alias("ref"), F.lit(True).alias("_known")).distinct()
+    both = said.join(known, ["episode_id", "ref"], "left")
+    return both.groupBy("summary_id").agg(F.count(F.lit(1)).alias("given"), F.countDistinct(F.when(F.col("_known"), F.col("ref"))).alias("accepted"), F.count_if(F.col("_known").isNull()).alias("invalid"))
 
 
 @query
@@ -550,16 +606,15 @@ def question_slots(m):
 
 
 @query
-def judge_replies(m):
-    """Judge replies read back: as JSON, and as prose."""
-    verdict = F.when(F.col("correct") == 1, "true").otherwise("false")
-    reply = F.when(F.col("judge_method") == "llm", F.concat(F.lit('{"correct": '), verdict, F.lit(', "reason": "'), F.coalesce("judge_reason", F.lit("")), F.lit('"}'))).when(F.col("correct") == 1, "The answer is correct.").otherwise("That is wrong.")
-    return m.probes.select("system", (F.col("correct") == 1).alias("is_correct"), T.judged(reply).alias("verdict")).groupBy("system", "is_correct", "verdict").agg(F.count(F.lit(1)).alias("n"))
+def judge_words(m):
+    """What a judge's words say, read from the reasons as they stand."""
+    read = F.coalesce(T.judged(F.col("judge_reason")).cast("string"), F.lit("nothing"))
+    return m.probes.groupBy(F.coalesce("judge_reason", F.lit("")).alias("reason"), read.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
 def rendered_lines(m):
-    """The lines of the memory block: summaries with the ids they override, index entries with their span."""
+    """The lines that an answering model is shown: summaries with the ids they override, index entries with their span."""
     ids = F.array_join(F.transform("override_ids", lambda i: T.short_id(i)), ",")
     tag = F.when(ids == "", "none").otherwise(ids)
     chain = R.unfiled(m.active, m.entries).select("episode_id", F.col("summary_id").alias("id"), F.concat(F.lit("- "), T.short_id(F.col("summary_id")), F.lit(" [OVERRIDES: "), F.coalesce(tag, F.lit("none")), F.lit("] "), F.coalesce("text", F.lit(""))).alias("line"))
@@ -570,7 +625,7 @@ def rendered_lines(m):
 
 @query
 def self_written(m):
-    """Replies that hold a memory update: what is left as the answer, the update's body and its facts."""
+    """Replies that hold an update: what is left as the answer, the update's body and its facts."""
     parts = T.self_written(F.col("prediction"))
     held = m.probes.filter(F.lower("prediction").contains("<memory_update>")).select("prediction").distinct()
     split = held.select("prediction", parts["answer"].alias("answer"), parts["update"].alias("update_text"))
@@ -607,6 +662,77 @@ def runs_union(m):
     return m.probes.cube("system", "probe_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("correct", F.lit(0))).alias("correct_n")).select(F.coalesce("system", F.lit("*")).alias("system"), F.coalesce("probe_type", F.lit("*")).alias("probe_type"), "n", "correct_n")
 
 
+@query
+def resume_union(m):
+    """Per system and episode the stored payload of the nightly run where it has one, else what is still to do."""
+    stored = m.probes.filter(F.col("run_id") == "run-nightly").groupBy("system", "episode_id").agg(F.count(F.lit(1)).alias("probes"), F.sum(F.coalesce("correct", F.lit(0))).alias("correct"), F.lit("done").alias("state"))
+    work = m.probes.select("system", "episode_id").distinct()
+    todo = work.join(stored.select("system", "episode_id"), ["system", "episode_id"], "left_anti").select("system", "episode_id", F.lit(0).cast("bigint").alias("probes"), F.lit(0).cast("bigint").alias("correct"), F.lit("pending").alias("state"))
+    return stored.unionByName(todo)
+
+
+@query
+def validated_intake(m):
+    """Facts handed in, per episode: rejected (slot, value or summary blank), accepted, of these added or held already (by summary and slot)."""
+    bare = lambda c: T.strip(F.coalesce(F.col(c), F.lit("")))
+    given = m.handed.filter(F.col("episode_id").isNotNull()).select("episode_id", bare("slot").alias("slot"), bare("value").alias("value"), bare("summary_id").alias("summary_id"))
+    good = (F.col("slot") != "") & (F.col("value") != "") & (F.col("summary_id") != "")
+    marked = given.withColumn("ok", good).withColumn("fact_id", F.concat("summary_id", F.lit("#"), "slot"))
+    counts = marked.groupBy("episode_id").agg(F.count_if("ok").alias("accepted"), F.count_if(~F.col("ok")).alias("rejected"))
+    fresh = marked.filter("ok").select("episode_id", "fact_id").distinct().join(m.stored.select("fact_id").filter(F.col("fact_id").isNotNull()).distinct(), "fact_id", "left_anti")
+    added = fresh.groupBy("episode_id").agg(F.count(F.lit(1)).alias("added"))
+    both = counts.join(added, "episode_id", "left").withColumn("added", F.coalesce("added", F.lit(0)))
+    return both.select("episode_id", "accepted", "rejected", "added", (F.col("accepted") - F.col("added")).alias("duplicates"))
+
+
+def _shapes(m, rows, shapes, name):
+    """The rows written as JSON lines, each in one of the shapes that the readers know, and read back as records."""
+    body = F.lit(None).cast("string")
+    for k, shape in enumerate(shapes):
+        body = F.when(F.pmod(F.xxhash64(name), F.lit(len(shapes))) == k, F.to_json(shape)).otherwise(body)
+    path = f"{m.scratch.root}/{name}.jsonl"
+    rows.select(body.alias("value")).write.text(path)
+    return E.read_records(rows.sparkSession, path)
+
+
+@query
+def loaded_turns(m):
+    """The raw records as files of dialogues in eight shapes, read back."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    pair = lambda a, b: F.array(F.struct(text("user_msg").alias(a), text("agent_msg").alias(b)))
+    said = F.array(F.struct(F.lit("user").alias("role"), text("user_msg").alias("content")), F.struct(F.lit("ai").alias("role"), text("agent_msg").alias("content")))
+    own = F.col("reference_id")
+    shapes = [
+        F.struct(own.alias("episode_id"), F.array(F.array(text("user_msg"), text("agent_msg"))).alias("dialogues")),
+        F.struct(own.alias("session_id"), pair("user_input", "agent_output").alias("conversation")),
+        F.struct(own.alias("uid"), pair("role_user", "role_assistant").alias("turns")),
+        F.struct(own.alias("id"), pair("human", "assistant").alias("history")),
+        F.struct(own.alias("sample_id"), pair("question", "answer").alias("messages")),
+        F.struct(own.alias("episode_id"), pair("input", "output").alias("sessions")),
+        F.struct(own.alias("id"), F.array().cast("array<string>").alias("dialogues"), pair("user_msg", "agent_msg").alias("dialogue")),
+        F.struct(own.alias("uid"), F.array(F.struct(said.alias("messages"))).alias("conversations")),
+    ]
+    return E.turns(E.episodes(_shapes(m, m.raw, shapes, "reference_id")))
+
+
+@query
+def loaded_probes(m):
+    """The probes of the nightly run and all others as files in five shapes, read back."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    name = F.concat_ws("|", "run_id", "system", "episode_id", F.col("probe_index").cast("string"))
+    rows = m.probes.filter(text("question") != "").select(name.alias("name"), "probe_type", "fact_key", "question", "gold")
+    one = lambda *cols: F.array(F.struct(*cols))
+    label = F.when(F.col("probe_type") == "history_fact", "overridden").when(F.col("probe_type") == "current_fact", "latest").when(F.col("probe_type") == "memory_point", "lookup").otherwise(F.col("probe_type"))
+    shapes = [
+        F.struct(F.col("name").alias("id"), one(F.col("question"), text("gold").alias("answer"), F.col("probe_type").alias("type"), text("fact_key").alias("fact_key")).alias("probes")),
+        F.struct(F.col("name").alias("uid"), one(F.col("question").alias("query"), text("gold").alias("target"), label.alias("category"), text("fact_key").alias("entity")).alias("test_questions")),
+        F.struct(F.col("name").alias("session_id"), one(F.col("question").alias("q"), F.array(text("gold"), F.lit("other")).alias("expected"), label.alias("probe_type"), text("fact_key").alias("key")).alias("qa")),
+        F.struct(F.col("name").alias("id"), F.array("question").alias("queries")),
+        F.struct(F.col("name").alias("id"), F.col("question"), text("gold").alias("label"), F.col("probe_type").alias("type"), text("fact_key").alias("fact_key")),
+    ]
+    return E.probes(E.episodes(_shapes(m, rows, shapes, "name")))
+
+
 @query
 def dataset_inspect(m):
     turns = m.raw.filter(F.col("turn_index").isNotNull()).groupBy("episode_id").agg(F.count(F.lit(1)).alias("turns"))
@@ -647,27 +773,7 @@ def supersede_chain(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES["supersede_chain"] = supersede_chain
 
 
-# --- folds and functions without SQL ---
-
-
-def _fold_input(m):
-    gone = L.overrides(m.ledger).select("summary_id", F.col("at_turn").alias("archived_at"))
-    facts = m.ledger.filter(F.col("observed_turn").isNotNull() & ~F.col("erased"))
-    slots = facts.groupBy("episode_id", "summary_id").agg(F.min("observed_turn").alias("turn"), F.array_sort(F.collect_set("slot")).alias("slots"))
-    text = m.summaries.select("summary_id", T.token_estimate(F.coalesce("text", F.lit(""))).alias("cost"))
-    return slots.join(text, "summary_id", "left").join(gone, "summary_id", "left")
-
-
-@query
-def index_fold(m):
-    """Events of filing summaries under index entries within a budget."""
-    return run_fold(_fold_input(m), Budget(tokens=60), "index").withColumn("members", F.array_join("members", ","))
-
-
-@query
-def merge_fold(m):
-    """Events of merging summaries within a budget."""
-    return run_fold(_fold_input(m), Budget(tokens=60), "merge").withColumn("members", F.array_join("members", ","))
+# --- functions without SQL ---
 
 
 @query
@@ -678,7 +784,7 @@ def truncated_texts(m):
 
 @query
 def tool_calls(m):
-    """Calls that predictions hold, and those that the ids in them would make."""
-    ref = F.regexp_extract("prediction", r"([a-z]+\d+@[0-9a-f]{6})", 1)
-    reply = F.when(ref != "", F.concat(F.lit('{"name": "get_archived_summary", "arguments": {"id": "'), "episode_id", F.lit("/"), ref, F.lit('"}}'))).otherwise(F.col("prediction"))
-    return m.probes.select("run_id", "system", "episode_id", "probe_index", F.explode(U.tool_calls(reply)).alias("c")).select("run_id", "system", "episode_id", "probe_index", "c.name", "c.args")
+    """Calls that predictions and documents hold, as they stand in them."""
+    said = m.probes.select(F.lit("prediction").alias("src"), F.concat_ws("|", "run_id", "system", "episode_id", F.col("probe_index").cast("string")).alias("key"), F.col("prediction").alias("text"))
+    both = said.unionByName(m.documents.select(F.lit("document").alias("src"), F.col("doc_id").cast("string").alias("key"), "text"))
+    return both.select("src", "key", F.posexplode(U.tool_calls(F.col("text"))).alias("n", "c")).select("src", "key", "n", "c.name", "c.args")

@@ -1,4 +1,7 @@
-"""DuckDB SQL of the memory queries, over whole tables."""
+"""DuckDB SQL of the ledger queries, over whole tables.
+
+Rules of texts are written here in their own words, not taken from ``functions.text``, but for the patterns of statements.
+"""
 
 from __future__ import annotations
 
@@ -247,7 +250,7 @@ SQL = {
     ),
     "full_context_prefix": _sql("cost", "SELECT episode_id, turn, cost, CAST(sum(cost) OVER (PARTITION BY episode_id ORDER BY turn) AS BIGINT) AS total FROM cost QUALIFY total <= 300"),
     "baseline_tokens": _sql("cost", "SELECT episode_id, count(*) AS turns, CAST(sum(t) AS BIGINT) AS shown_tokens, CAST(max(t) AS BIGINT) AS most_tokens FROM (SELECT episode_id, sum(cost) OVER (PARTITION BY episode_id ORDER BY turn) AS t FROM cost) GROUP BY ALL"),
-    "memgpt_evicted": _sql(
+    "evicted_at_end": _sql(
         "cost",
         """SELECT c.episode_id, count(*) AS evicted, CAST(sum(cost) AS BIGINT) AS evicted_tokens FROM cost c WHERE episode_id IN (SELECT episode_id FROM cost GROUP BY ALL HAVING sum(cost) > 400)
         AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.episode_id = c.episode_id AND k.turn_index = c.turn) GROUP BY ALL""",
@@ -294,7 +297,7 @@ SQL = {
         "active",
         rf"""SELECT summary_id, substr(b, 1, 26) || CASE WHEN length(b) > 26 THEN '…' ELSE '' END AS preview FROM (SELECT summary_id, trim(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)\[(?:FACTS|OVERRIDES)[^\]]*\]', ' ', 'g'), '[{_SP}]+', ' ', 'g')) AS b FROM active)""",
     ),
-    "normalised_values": _sql("led", f"SELECT fact_id, {_key('value')} AS key FROM led"),
+    "normalised_values": _sql("led", rf"""SELECT fact_id, {_key('value')} AS key, translate(regexp_replace(lower(coalesce(value, '')), '[{_SP}]', '', 'g'), '。.,;；:：!！?？"''“”‘’()（）[]【】', '') AS plain FROM led"""),
     "metrics_by_system": _sql(
         "probes",
         "SELECT system, count(DISTINCT (run_id, episode_id)) AS episodes, count(*) AS probes, "
@@ -326,21 +329,18 @@ SQL = {
 
 def _answer(c: str) -> str:
     low = f"lower({_strip(f'translate(coalesce({c}, {_q(str())}), {_q(_WIDE)}, {_q(_PLAIN)})')})"
-    low = rf"regexp_replace({low}, '^(?:答案|answer|结论)[ \t]*[:：][ \t]*', '')"
-    signs = T._ANSWER_SIGNS.replace("'", "''")
-    return f"regexp_replace({low}, '[{_SP}]|{signs}', '', 'g')"
+    low = rf"regexp_replace({low}, '^(答案|answer|结论)[ \t]*[:：][ \t]*', '')"
+    return f"""translate(regexp_replace({low}, '[{_SP}]', '', 'g'), '。，,.;；:：!！?？"''“”‘’()（）[]【】', '')"""
 
 
-_HEAD = "regexp_replace({}, '^(?:(?:theansweris|finalanswer|答案是?|itis|是)){{1,3}}', '')"
-_BODY = "CASE WHEN regexp_matches({0}, '^[a-d](?:[^a-z]|$)') THEN substr({0}, 2) ELSE {0} END"
 SQL["string_match_score"] = _sql(
     "probes",
-    """SELECT system, probe_type, judge_method, count_if(p <> '' AND g <> '' AND (p = g OR ph = gh OR (gb <> '' AND starts_with(pb, gb) AND length(gb) >= 2)
+    """SELECT system, probe_type, judge_method, count_if(p <> '' AND g <> '' AND (p = g OR ph = gh OR (pb <> '' AND gb <> '' AND starts_with(pb, gb))
       OR (length(g) >= 2 AND starts_with(ph, g)) OR (length(gh) >= 2 AND starts_with(ph, gh)))) AS matched, count_if(correct = 1) AS judged, count(*) AS n
     FROM c GROUP BY system, probe_type, judge_method""",
     f"""a AS (SELECT system, probe_type, judge_method, correct, {_answer('prediction')} AS p, {_answer('gold')} AS g FROM probes),
-    b AS (SELECT *, {_HEAD.format('p')} AS ph, {_HEAD.format('g')} AS gh FROM a),
-    c AS (SELECT *, {_BODY.format('ph')} AS pb, {_BODY.format('gh')} AS gb FROM b)""",
+    b AS (SELECT *, regexp_replace(p, '^(答案是|答案|是)+', '') AS ph, regexp_replace(g, '^(答案是|答案|是)+', '') AS gh FROM a),
+    c AS (SELECT *, CASE WHEN substr(ph, 1, 1) IN ('a', 'b', 'c', 'd') THEN substr(ph, 2) ELSE ph END AS pb, CASE WHEN substr(gh, 1, 1) IN ('a', 'b', 'c', 'd') THEN substr(gh, 2) ELSE gh END AS gb FROM b)""",
 )
 
 # --- gate and extraction: the same patterns, read by RE2 ---
@@ -364,11 +364,14 @@ def _pairs_sql(c: str) -> str:
     return f"list_filter(list_distinct({joined}), lambda p: p.value <> '')"
 
 
+_W0, _W1 = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
+_ASKS = rf"(?i)[?？]|{_W0}(how|what|which|why|when|where|who|whose|whom|can you|could you|do i|did i|does|is it|are there){_W1}|怎么|什么|哪|多少|吗|呢|如何|是否"
+_OVER, _FACT = r"(?is)\[\s*OVERRIDES\s*[:：]\s*([^\]\[]*?)\s*\]", r"(?is)\[\s*FACTS\s*[:：]\s*([^\]\[]*?)\s*\]"
 _KIND = f"""CASE WHEN regexp_matches(t, {_q(T._ZH_CHANGE)}) OR regexp_matches(t, {_q(T.EN_CHANGE)}) OR regexp_matches(t, {_q(T.STATEMENTS[-1][0])}) THEN 'change'
   WHEN len(pairs) > 0 THEN 'state' ELSE 'none' END"""
 _SIGNALS = f"""t0 AS (SELECT episode_id, turn_index AS turn, reference_id, coalesce(user_msg, '') AS t FROM raw WHERE turn_index IS NOT NULL),
 t1 AS (SELECT *, {_pairs_sql('t')} AS pairs FROM t0),
-sig AS (SELECT episode_id, turn, reference_id, {_KIND} AS kind, regexp_matches(t, {_q(T.QUESTION)}) AS asks, pairs FROM t1)"""
+sig AS (SELECT episode_id, turn, reference_id, {_KIND} AS kind, regexp_matches(t, {_q(_ASKS)}) AS asks, pairs FROM t1)"""
 _GATED = (
     _SIGNALS
     + """,
@@ -407,17 +410,19 @@ SQL |= {
     ),
 }
 
+_STOPS = """the a an of to and or in on at is are was were be been i my me you your it its for with that this these those as by from not no do does did have has had will would can could should
+now then than there here what which who whom whose when where why how if but so about into over after before also very just""".split()
 _TRIM_FACT = r"[，,。.；;:： \t\n]"
 _LIST = "array_to_string({}, '{}')"
 SQL |= {
     "summary_grammar": _sql(
         "summaries",
         rf"""SELECT summary_id, body, coalesce(array_to_string(list_distinct_in_order, ';'), '') AS facts,
-        array_to_string(list_filter(flatten(list_transform(regexp_extract_all(text, {_q(T.OVERRIDES)}, 1), lambda p: regexp_split_to_array(p, '[,，;；\s]+'))), lambda i: lower(i) NOT IN ('none', 'null', '无', '空', '-', 'n/a', 'na', '')), ',') AS overrides,
-        regexp_matches(text, {_q(T.OVERRIDES)}) AS has_tag FROM (
+        array_to_string(list_filter(flatten(list_transform(regexp_extract_all(text, {_q(_OVER)}, 1), lambda p: regexp_split_to_array(p, '[,，;；\s]+'))), lambda i: lower(i) NOT IN ('none', 'null', '无', '空', '-', 'n/a', 'na', '')), ',') AS overrides,
+        regexp_matches(text, {_q(_OVER)}) AS has_tag FROM (
         SELECT *, list_filter(f, lambda x, i: list_position(f, x) = i) AS list_distinct_in_order FROM (
-        SELECT summary_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(T.FACTS)}, '', 'g'), {_q(T.OVERRIDES)}, '', 'g'), '^\s*```[a-zA-Z]*\s*|\s*```\s*$', '', 'g'), '(?i)^\s*(?:摘要|summary)\s*[:：]\s*', ''), '^[` \n\t\r]+|[` \n\t\r]+$', '', 'g') AS body,
-        list_transform(list_filter(list_transform(list_filter(flatten(list_transform(regexp_extract_all(text, {_q(T.FACTS)}, 1), lambda p: regexp_split_to_array(p, '[;；|]'))), lambda c: contains(c, '=')),
+        SELECT summary_id, text, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, {_q(_FACT)}, '', 'g'), {_q(_OVER)}, '', 'g'), '^\s*```[a-zA-Z]*\s*|\s*```\s*$', '', 'g'), '(?i)^\s*(?:摘要|summary)\s*[:：]\s*', ''), '^[` \n\t\r]+|[` \n\t\r]+$', '', 'g') AS body,
+        list_transform(list_filter(list_transform(list_filter(flatten(list_transform(regexp_extract_all(text, {_q(_FACT)}, 1), lambda p: regexp_split_to_array(p, '[;；|]'))), lambda c: contains(c, '=')),
           lambda c: {{'k': regexp_replace(split_part(c, '=', 1), '^{_TRIM_FACT}+|{_TRIM_FACT}+$', '', 'g'), 'v': regexp_replace(substr(c, instr(c, '=') + 1), '^{_TRIM_FACT}+|{_TRIM_FACT}+$', '', 'g')}}),
           lambda p: lower(p.k) NOT IN ('none', 'null', '无', '空', '-', 'n/a', 'na', '')), lambda p: CASE WHEN p.v <> '' THEN p.k || '=' || p.v ELSE p.k END) AS f
         FROM summaries WHERE text IS NOT NULL))""",
@@ -431,28 +436,66 @@ SQL |= {
         "probes",
         rf"""SELECT run_id, system, episode_id, probe_index, CASE WHEN len(a) > 0 AND len(b) > 0 THEN CAST(floor(len(list_intersect(a, b)) / len(a) * 1000) AS INTEGER) ELSE 0 END AS overlap_permille,
         x <> '' AND y <> '' AND (x = y OR (length(x) >= 4 AND contains(y, x)) OR (length(y) >= 4 AND contains(x, y))) AS names_slot FROM (
-        SELECT *, list_distinct(regexp_extract_all(lower(question), '([a-z0-9\x{{4E00}}-\x{{9FFF}}]+)', 1)) AS a, list_distinct(regexp_extract_all(lower(prediction), '([a-z0-9\x{{4E00}}-\x{{9FFF}}]+)', 1)) AS b, {_key('fact_key')} AS x, {_key('question')} AS y
+        SELECT *, list_filter(list_distinct(regexp_extract_all(lower(question), '([a-z0-9\x{{4E00}}-\x{{9FFF}}]+)', 1)), lambda w: w NOT IN ({', '.join(map(_q, _STOPS))})) AS a, list_filter(list_distinct(regexp_extract_all(lower(prediction), '([a-z0-9\x{{4E00}}-\x{{9FFF}}]+)', 1)), lambda w: w NOT IN ({', '.join(map(_q, _STOPS))})) AS b, {_key('fact_key')} AS x, {_key('question')} AS y
         FROM probes WHERE question IS NOT NULL AND prediction IS NOT NULL)""",
     ),
 }
 
 
+_S = r"[ \t]"
+_FORMS = (  # group of the slot, of the anchor
+    (rf"(?i)^{_S}*before{_S}+(?:it{_S}+)?(?:became|was|changed{_S}+to){_S}+(.+?){_S}*,{_S}*(?:what|which){_S}+(?:was|were|is|are){_S}+(?:my|the|your){_S}+(.+?){_S}*[?？.]?{_S}*$", 2, 1),
+    (rf"(?i)^{_S}*(?:what|which){_S}+(?:was|were){_S}+(?:my|the|your){_S}+(.+?){_S}+before{_S}+(?:it{_S}+)?(?:became|was|changed{_S}+to){_S}+(.+?){_S}*[?？.]?{_S}*$", 1, 2),
+    (rf"(?i)^{_S}*(?:what|which){_S}+(?:was|were){_S}+(?:my|the|your){_S}+(.+?){_S}+(?:originally|previously|earlier){_S}*[?？.]?{_S}*$", 1, 0),
+    (rf"^{_S}*在?(?:改成|变成|改为|调整到|调到){_S}*(.+?){_S}*(?:之前|以前)[，,]?{_S}*我(?:的)?(.+?)(?:是什么|是多少|是几|在哪儿|在哪里|在几楼|在几层|几点|呢|吗)?{_S}*[?？。]?{_S}*$", 2, 1),
+    (rf"^{_S}*我(?:原来|以前|之前|原本)的(.+?)(?:是什么|是多少|是几|在哪儿|在哪里|在几楼|在几层|几点|呢|吗){_S}*[?？。]?{_S}*$", 1, 0),
+    (rf"(?i)^{_S}*(?:what|which){_S}+(.+?){_S}+did{_S}+I{_S}+have{_S}+before{_S}+(.+?){_S}*[?？.]?{_S}*$", 1, 2),
+    (rf"(?i)^{_S}*(?:what|which){_S}+(.+?){_S}+did{_S}+I{_S}+mention{_S}+in{_S}+(turn{_S}+[0-9]+){_S}*[?？.]?{_S}*$", 1, 2),
+    (rf"(?i)^{_S}*(?:what|which)(?:'s|{_S}+(?:is|are|was|were)){_S}+(?:my|the|your){_S}+(.+?)(?:{_S}+(?:now|currently|right now|these days))?{_S}*[?？.]?{_S}*$", 1, 0),
+    (rf"^{_S}*(第[0-9]+轮)提到的(.+?)(?:是什么|是多少|是几|在哪儿|在哪里|在几楼|在几层|几点|呢|吗)?{_S}*[?？。]?{_S}*$", 2, 1),
+    (rf"^{_S}*我(?:现在)?的(.+?)(?:是什么|是多少|是几|在哪儿|在哪里|在几楼|在几层|几点|呢|吗)?{_S}*[?？。]?{_S}*$", 1, 0),
+)
+
+
 def _question(group: int) -> str:
     cases = []
-    for pattern, slot, anchor in T.QUESTIONS:
+    for pattern, slot, anchor in _FORMS:
         g = (slot, anchor)[group]
         cases.append(f"WHEN regexp_matches(question, {_q(pattern)}) THEN " + (f"regexp_extract(question, {_q(pattern)}, {g})" if g else "''"))
     return "CASE " + " ".join(cases) + " ELSE '' END"
 
 
+def _clean_slot(c: str) -> str:
+    out = f"lower({_strip(f'coalesce({c}, {_q(str())})')})"
+    for _ in range(3):
+        out = rf"regexp_replace({out}, '\b(has|have|had|is|are|was|were|been)\s+(changed|updated|switched|moved)(\s+(to|into))?|\b(changed|updated|switched|moved|it|now|anymore|again|actually|just|sorry)\b|改成|改到|调到|改为|变成|更新为|现在|已经|又', ' ', 'g')"
+        out = rf"trim(regexp_replace({out}, '[\s\-–—_]+', ' ', 'g'))"
+        for cut in (r"^(my|the|your|我的|我)\s*", r"^(喜欢|爱|讨厌)(的)?\s*", r"(是什么|是多少|是几|在哪儿|在哪里|在哪|在什么|叫啥|叫什么|多少钱|呢|吗)([一二三四五六七八九十百千0-9]+[层楼])?\s*$", r"在[一二三四五六七八九十百千0-9]+[层楼]\s*$", r"[\s:：,，。.]+$"):
+            out = f"trim(regexp_replace({out}, '{cut}', ''))"
+    return out
+
+
+def _clean_value(c: str) -> str:
+    edge = lambda x: rf"regexp_replace({x}, '^[。.,，;；!！?？\"''“” \t\n]+|[。.,，;；!！?？\"''“” \t\n]+$', '', 'g')"
+    out = edge(f"coalesce({c}, '')")
+    for _ in range(3):
+        out = rf"regexp_replace({out}, '^([在是为到了]|((?i)is|are|was|were|the|a|an)\b)\s*', '')"
+        out = edge(rf"regexp_replace({out}, '(?i)(了|呢|吗|的|now|please|ok|okay)[。.!！?？]*$', '')")
+    return out
+
+
 SQL |= {
     "question_slots": _sql(
         "probes",
         f"""SELECT question, fact_key, slot, anchor, x <> '' AND y <> '' AND (x = y OR (length(x) >= 4 AND contains(y, x)) OR (length(y) >= 4 AND contains(x, y))) AS same FROM (
-        SELECT *, {_key('slot')} AS x, {_key('fact_key')} AS y FROM (SELECT question, coalesce(fact_key, '') AS fact_key, lower({_question(0)}) AS slot, {_question(1)} AS anchor
-        FROM (SELECT DISTINCT question, fact_key FROM probes WHERE question IS NOT NULL)))""",
+        SELECT *, {_key('slot')} AS x, {_key('fact_key')} AS y FROM (SELECT question, coalesce(fact_key, '') AS fact_key, {_clean_slot('s')} AS slot, {_clean_value('a')} AS anchor
+        FROM (SELECT question, fact_key, {_question(0)} AS s, {_question(1)} AS a FROM (SELECT DISTINCT question, fact_key FROM probes WHERE question IS NOT NULL))))""",
+    ),
+    "judge_words": _sql(
+        "probes",
+        r"""SELECT reason, CASE WHEN regexp_matches(lower(reason), '\b(correct|yes)\b|^对的$|^正确$') THEN 'true' WHEN regexp_matches(lower(reason), '\b(incorrect|wrong|no)\b|^错误$|^不正确$') THEN 'false' ELSE 'nothing' END AS verdict, count(*) AS n
+        FROM (SELECT coalesce(judge_reason, '') AS reason FROM probes) GROUP BY ALL""",
     ),
-    "judge_replies": _sql("probes", "SELECT system, correct = 1 AS is_correct, coalesce(correct = 1, false) AS verdict, count(*) AS n FROM probes GROUP BY ALL"),
     "rendered_lines": _sql(
         "unfiled",
         f"""SELECT episode_id, summary_id AS id, '- ' || {_SHORT.format('summary_id')} || ' [OVERRIDES: ' || coalesce(nullif(array_to_string(list_transform(override_ids, lambda i: {_SHORT.format('i')}), ','), ''), 'none') || '] ' || coalesce(text, '') AS line FROM unfiled
@@ -460,9 +503,73 @@ SQL |= {
     ),
 }
 
+_OPEN, _SHUT = r"<\s*MEMORY_UPDATE\s*>", r"<\s*/\s*MEMORY_UPDATE\s*>"
+_HAS = "(contains(upper({0}), '[OVERRIDES') OR contains(upper({0}), '[FACTS'))"
 SQL["self_written"] = _sql(
     "probes",
-    rf"""SELECT prediction, {_strip("regexp_replace(prediction, '(?is)<MEMORY_UPDATE>.*?(?:</MEMORY_UPDATE>|$)', '', 'g')")} AS answer,
-    {_strip(f"regexp_replace(u, {_q(T.FACTS)}, '', 'g')")} AS body, replace(regexp_extract(u, {_q(T.FACTS)}, 1), '; ', ';') AS facts
-    FROM (SELECT DISTINCT prediction, regexp_extract(prediction, '(?is)<MEMORY_UPDATE>(.*?)(?:</MEMORY_UPDATE>|$)', 1) AS u FROM probes WHERE contains(lower(prediction), '<memory_update>'))""",
+    rf"""SELECT prediction, CASE WHEN v <> '' THEN v WHEN body <> '' THEN body ELSE u END AS answer, body, coalesce(array_to_string(f, ';'), '') AS facts FROM (
+    SELECT prediction, {_strip('v')} AS v, u, trim({_strip(f"regexp_replace(regexp_replace(u, {_q(_FACT)}, '', 'g'), {_q(_OVER)}, '', 'g')")}, e'` \n\t\r') AS body,
+      list_transform(list_filter(regexp_split_to_array(array_to_string(regexp_extract_all(u, {_q(_FACT)}, 1), ';'), '[;；|]'), lambda x: contains(x, '=')), lambda x: trim(split_part(x, '=', 1)) || '=' || trim(substr(x, instr(x, '=') + 1), ' .。,，')) AS f
+    FROM (SELECT prediction, CASE WHEN {_HAS.format('tail')} THEN head ELSE left_over END AS v, {_strip(f"coalesce(list_filter(list_concat(blocks, [CASE WHEN {_HAS.format('tail')} THEN tail ELSE '' END]), lambda x: trim(x, e' \\n\\t') <> '')[1], '')")} AS u
+      FROM (SELECT *, regexp_extract(left_over, '(?is)^(.*){_OPEN}(.*)$', 1) AS head, regexp_extract(left_over, '(?is)^(.*){_OPEN}(.*)$', 2) AS tail
+        FROM (SELECT prediction, regexp_replace(prediction, '(?is){_OPEN}.*?{_SHUT}', '', 'g') AS left_over, regexp_extract_all(prediction, '(?is){_OPEN}(.*?){_SHUT}', 1) AS blocks
+          FROM (SELECT DISTINCT prediction FROM probes WHERE contains(lower(prediction), '<memory_update>'))))))""",
+)
+
+_SAY = r"(改为|改成|改到|变成|变为|更新为|现在是|现在为|更改为)[ \t]*([^，,。.;；\n]{1,40})"
+_BARE = r"regexp_replace({}, '^[。.,;；!！?？\"''“”\s]+|[。.,;；!！?？\"''“”\s]+$', '', 'g')"
+SQL |= {
+    "cleaned_slots": _sql("led", f"SELECT slot, value, {_clean_slot('slot')} AS clean_slot, {_clean_value('value')} AS clean_value FROM (SELECT DISTINCT coalesce(slot, '') AS slot, coalesce(value, '') AS value FROM led)"),
+    "slot_values": _sql(
+        "pairs",
+        rf"""SELECT DISTINCT summary_id, name AS slot, coalesce(given, CASE WHEN contains(low, name) THEN coalesce(said, {_BARE.format("split_part(regexp_replace(tail, '^[\\s=:：\\-–—]+', ''), ';', 1)")}) END, '') AS value FROM (
+        SELECT *, list_filter(list_transform(regexp_extract_all(low, '[^=;|\n]+=[^;|\n]+'), lambda w: CASE WHEN contains(split_part(w, '=', 1), name) THEN {_BARE.format("substr(w, instr(w, '=') + 1)")} ELSE '' END), lambda v: v <> '')[1] AS given,
+          {_BARE.format(f"regexp_extract_all(tail, {_q(_SAY)}, 2)[-1]")} AS said
+        FROM (SELECT summary_id, name, low, substr(low, instr(low, name) + length(name)) AS tail FROM (SELECT p.summary_id, lower(p.slot) AS name, lower(s.text) AS low FROM pairs p JOIN summaries s ON s.summary_id = p.summary_id AND s.text IS NOT NULL)))""".replace("\\\\", "\\"),
+    ),
+    "override_whitelist": _sql(
+        "summaries",
+        rf"""SELECT e.summary_id, count(*) AS given, count(DISTINCT CASE WHEN k.ref IS NOT NULL THEN e.ref END) AS accepted, count_if(k.ref IS NULL) AS invalid FROM e
+        LEFT JOIN (SELECT DISTINCT episode_id, split_part(summary_id, '/', -1) AS ref FROM summaries) k ON k.episode_id = e.episode_id AND k.ref = e.ref GROUP BY e.summary_id""",
+        rf"""e AS (SELECT summary_id, episode_id, ref FROM (SELECT summary_id, episode_id, unnest(flatten(list_transform(regexp_extract_all(text, {_q(_OVER)}, 1), lambda p: regexp_split_to_array(p, '[,，;；\s]+')))) AS ref FROM summaries WHERE text IS NOT NULL)
+        WHERE lower(ref) NOT IN ('none', 'null', '无', '空', '-', 'n/a', 'na', ''))""",
+    ),
+    "resume_union": _sql(
+        "probes",
+        """SELECT system, episode_id, CAST(sum(CASE WHEN run_id = 'run-nightly' THEN 1 ELSE 0 END) AS BIGINT) AS probes, CAST(sum(CASE WHEN run_id = 'run-nightly' THEN coalesce(correct, 0) ELSE 0 END) AS BIGINT) AS correct,
+        CASE WHEN bool_or(run_id = 'run-nightly') THEN 'done' ELSE 'pending' END AS state FROM probes GROUP BY system, episode_id""",
+    ),
+    "validated_intake": f"""WITH g AS (SELECT episode_id, {_strip("coalesce(slot, '')")} AS slot, {_strip("coalesce(value, '')")} AS value, {_strip("coalesce(summary_id, '')")} AS summary_id FROM fact_ledger WHERE episode_id IS NOT NULL),
+      n AS (SELECT DISTINCT episode_id, summary_id || '#' || slot AS f FROM g WHERE slot <> '' AND value <> '' AND summary_id <> ''),
+      a AS (SELECT episode_id, count(*) AS added FROM n WHERE f NOT IN (SELECT fact_id FROM fact_history WHERE fact_id IS NOT NULL) GROUP BY ALL)
+      SELECT episode_id, accepted, rejected, coalesce(added, 0) AS added, accepted - coalesce(added, 0) AS duplicates
+      FROM (SELECT episode_id, count_if(slot <> '' AND value <> '' AND summary_id <> '') AS accepted, count_if(slot = '' OR value = '' OR summary_id = '') AS rejected FROM g GROUP BY ALL) LEFT JOIN a USING (episode_id)""",
+    "loaded_turns": _sql("raw", "SELECT reference_id AS episode_id, 0 AS turn_index, coalesce(user_msg, '') AS user_msg, coalesce(agent_msg, '') AS agent_msg FROM raw"),
+    "digest_titles": _sql(
+        "summaries entries",
+        """SELECT index_id, coalesce(string_agg(line, '; ' ORDER BY r), '') AS digest FROM (
+          SELECT index_id, row_number() OVER (PARTITION BY index_id ORDER BY m DESC, k, attr) AS r,
+            CASE WHEN len(v) > 0 THEN attr || '=' || v[-1] || CASE WHEN len(v) > 1 THEN '[' || array_to_string(v[greatest(len(v) - 3, 1):len(v) - 1], '→') || '→' || v[-1] || ']' ELSE '' END END AS line
+          FROM (SELECT a.index_id, a.attr, a.m, a.k, coalesce(b.v, []) AS v FROM
+            (SELECT index_id, attr, max(m) AS m, arg_max(k, (m, -k)) AS k FROM e GROUP BY index_id, attr) a
+            LEFT JOIN (SELECT index_id, attr, list(value ORDER BY f) AS v FROM (SELECT index_id, attr, value, min((m, k)) AS f FROM e WHERE value <> '' GROUP BY ALL) GROUP BY ALL) b ON b.index_id = a.index_id AND b.attr = a.attr))
+        WHERE r <= 6 GROUP BY index_id""",
+        """mem AS (SELECT index_id, members[m] AS summary_id, m FROM (SELECT index_id, members, unnest(range(1, len(members) + 1)) AS m FROM entries)),
+        key AS (SELECT summary_id, fact_keys[k] AS pair, k FROM (SELECT summary_id, fact_keys, unnest(range(1, len(fact_keys) + 1)) AS k FROM summaries)),
+        e AS (SELECT index_id, m, k, trim(split_part(pair, '=', 1)) AS attr, trim(substr(pair, instr(pair, '=') + 1)) AS value FROM mem JOIN key USING (summary_id) WHERE contains(pair, '=') AND trim(split_part(pair, '=', 1)) <> '')""",
+    ),
+}
+_I4 = SQL["i4_extraction"]
+SQL["extraction_report"] = f"""SELECT *, coalesce(CAST(round(strict_captured * 10000.0::DOUBLE / nullif(strict_candidates, 0)) AS INTEGER), -1) AS strict_recall,
+  coalesce(CAST(round(all_captured * 10000.0::DOUBLE / nullif(all_candidates, 0)) AS INTEGER), -1) AS all_recall FROM ({_I4})"""
+SQL["extraction_gaps"] = _sql(
+    "raw led",
+    f"""SELECT episode_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY turn, reference_id, slot, value) AS INTEGER) AS rank, turn, reference_id, slot, value FROM (
+    SELECT f.*, coalesce(list_contains(list_transform(held, lambda h: h <> '' AND x <> '' AND (h = x OR (length(x) >= 2 AND length(h) >= 2 AND (contains(h, x) OR contains(x, h))))), true), false) AS hit
+    FROM (SELECT episode_id, turn, reference_id, kind, p.slot AS slot, p.value AS value, {_key('p.value')} AS x FROM (SELECT episode_id, turn, reference_id, kind, unnest(pairs) AS p FROM sig)) f
+    LEFT JOIN (SELECT episode_id, observed_turn AS turn, list(DISTINCT {_key('value')}) AS held FROM led WHERE observed_turn IS NOT NULL GROUP BY ALL) h ON h.episode_id = f.episode_id AND h.turn = f.turn)
+    WHERE kind = 'change' AND NOT hit QUALIFY rank <= 20""",
+    _SIGNALS,
 )
+SQL["audit_full"] = f"""SELECT r.* EXCLUDE (clean), coalesce(strict_candidates, 0) AS strict_candidates, coalesce(strict_captured, 0) AS strict_captured, coalesce(all_candidates, 0) AS all_candidates, coalesce(all_captured, 0) AS all_captured,
+  coalesce(strict_recall, -1) AS strict_recall, true AS i4_ok, clean FROM ({SQL["audit_report"]}) r LEFT JOIN ({SQL["extraction_report"]}) x ON x.episode_id = r.episode_id"""

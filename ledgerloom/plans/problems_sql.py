@@ -101,9 +101,9 @@ state AS (
          min(o.turn) FILTER (o.turn > v.turn) AS until
   FROM events v JOIN one o ON v.episode_id = o.episode_id AND v.slot = o.slot AND o.turn >= v.turn AND (o.rank, o.record) <= (v.rank, v.record) GROUP BY ALL),
 changed AS (
-  SELECT *, (last[1], last[2]) AS at FROM state
-  QUALIFY lag(rank) OVER w IS NULL OR (last[1], last[2]) = (rank, record) OR coalesce(until, -1) <> coalesce(lag(until) OVER w, -1)
-  WINDOW w AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record))
+  SELECT * FROM state
+  WINDOW w AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record)
+  QUALIFY lag(rank) OVER w IS NULL OR (last[1], last[2]) = (rank, record) OR coalesce(until, -1) <> coalesce(lag(until) OVER w, -1))
 SELECT episode_id, slot, last[3][2] AS value, turn AS valid_from_turn, coalesce(until, -1) AS valid_to_turn, rank, record,
        coalesce(CAST(lead(rank) OVER n AS VARCHAR), '') AS until_rank, coalesce(CAST(lead(record) OVER n AS VARCHAR), '') AS until_record
 FROM changed WINDOW n AS (PARTITION BY episode_id, slot, turn ORDER BY rank, record)
