@@ -1,161 +1,197 @@
 """Broken prompt and response pairs, by noisy labelling functions and an expectation-maximisation label model.
 
-For every defect a few labelling functions vote yes (+1), no (-1) or nothing (0) on a pair; all are Catalyst
-expressions.  Pairs with the same votes are alike to the model, so Spark counts the vote patterns (at most
+For every defect a few labelling functions vote yes (+1), no (-1) or nothing (0) on a pair; they read a pair in one Arrow pass.
+Pairs with the same votes are alike to the model, so Spark counts the vote patterns (at most
 3**functions per defect, whatever the number of pairs) and the model is fitted on the counts: a hidden
 label per pair, functions independent given the label, smoothed maximum likelihood.  The cutoff on
-the posterior of a defect is the one with the greatest expected F1 over the counted pairs,
-within ``CUTOFFS``.  A pair keeps every defect whose posterior reaches its cutoff.
+the posterior of a defect is the one with the greatest F1 on ``VALIDATION``, a fixed list of labelled pairs.  A pair keeps every defect whose posterior reaches its cutoff.
+
+Languages are told by profiles (``languages``); refusals by containment in labelled exemplars, as in ``residue``, beside patterns.
 
 Defined results: pairs with a null key are left out; a null question makes no copy or language defect;
-repeated rows give one row per defect; residue (``residue``) is no defect of the prediction, but its gold is
+repeated rows give one row per defect; residue (``residue``) is by definition no defect of the prediction, but its gold is
 still looked at; texts are read whole; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import letters_digits, strip
 from ..plans.scratch import Scratch
 from .conversations import STAND_INS
-from .residue import COVERAGE, Index
+from .languages import HAN_WORDS, SCRIPTS, WORD, Profiles, asks_han
+from .residue import CONTAINED, COVERAGE, Index, tokens
 
 KEYS = ["run_id", "system", "episode_id", "probe_index"]
-CUTOFFS, ROUNDS, SMOOTH = (0.5, 0.95), 60, 1.0
-
-#: Words by which a sentence shows its language; scripts of others; answers that look like stand-ins.
-WORDS = {
-    "en": r"the|was|is|it|of|that|you|your|and|we|this|not|has|been|to|for|with|says|answer|said|there|they|have|had|but|according|found|sorry",
-    "fr": r"le|la|les|est|était|une|vous|avez|dans|selon|réponse|valeur|depuis|rien|pour|c'est|d'après|enregistrée|choisi|tour",
-    "de": r"der|die|das|ist|war|wurde|und|nach|laut|antwort|wert|nicht|seit|gespeichert|eingetragen|lautet|haben|sie|gewählt|runde",
-    "es": r"el|los|es|era|según|usted|valor|respuesta|correcto|correcta|para|desde|eligió|quedó|guardado|acuerdo|veo|turno|con",
-    "pt": r"o|é|foi|ficou|segundo|você|resposta|certa|valor|não|desde|escolheu|guardado|acordo|consta|resumo|pelo",
-    "it": r"il|lo|gli|è|era|secondo|hai|scelto|valore|risposta|giusta|salvato|registrato|della|quanto|vedo|archivio|stato",
+ROUNDS, SMOOTH = 60, 1.0
+
+#: Answers that look like stand-ins; edges of texts.
+ANSWERS = frozenset(["none", "没有", "无", "暂无"])
+_STANDS = frozenset(STAND_INS)
+_EDGES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200E), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF]))
+
+#: Labelled exemplars of replies that decline, and of replies that give an answer or say that there is none.
+REPLIES = {
+    "refusal": """
+        i cannot share information about that
+        i can't help with that request
+        i'm not able to discuss details like this
+        i am unable to comply with this
+        i won't be answering questions on that topic
+        i must refuse to talk about it
+        i have to decline this request
+        i don't have permission to speak about your data
+        i'm not allowed to disclose that
+        i would rather not say anything about that
+        that is not something i may reveal
+        revealing this would be against my rules policy guidelines
+        this is beyond what i can talk about
+        this falls outside of what i may say
+        it would be inappropriate for me to answer
+        that's private so i'll keep it to myself
+        my instructions prevent me from answering this
+        i'd prefer not to get into that
+        please ask someone else as i can't comment
+        不能提供相关信息 无法提供 无法回答这个问题 不便透露 不便回答 不方便透露
+        恕我不能说明 必须拒绝回答 我拒绝回答 没有权限谈论 无权告知 不被允许说出
+        按照规定不能告诉你 这个问题我不予回答 出于隐私原因不能说 请恕我无法协助
+    """,
+    "answer": """
+        the answer is on record as it was changed at turn
+        i could not open the oldest entry but the archive gives
+        i can't tell you the exact date though it is
+        unfortunately the first mention is gone the one on file is
+        sorry for the delay the value is
+        there is no earlier value you never gave me an earlier one
+        i found no older entry so there was none before
+        nothing was recorded before that
+        you cannot change it until monday it remains
+        无法确认具体日期 不过是 虽然没有找到更早的摘要 但归档中的值是 抱歉让你久等
+        没有更早的记录 之前没有提到过 没有比这更早的取值
+    """,
 }
-HAN_WORDS = r"[的是了为从把被这那我你您因之后没有在据到让说无不]"
-OTHER_SCRIPTS = r"[ぁ-ゟァ-ヺ가-힣Ѐ-ӿ؀-ۿ֐-׿฀-๿ऀ-ॿͰ-Ͽ]"
-ANSWERS = ["none", "没有", "无", "暂无"]
-
-REFUSAL_EN = (
-    r"(?i)\b(?:refuse|decline|declining) to\b|\b(?:not able|unable|not allowed|not permitted|not authori[sz]ed|not at liberty) to (?:discuss|help|answer|share|provide|assist|comply|talk|speak|disclose|reveal|say|give|tell|name|respond|comment)"
-    r"|\b(?:cannot|can't|can’t|can not|won't|won’t|will not|may not|must not|shouldn't) (?:be )?(?:help|assist|answer|share|discuss|provide|comply|talk|speak|disclose|reveal|respond|comment|support|fulfil|do that|do this|give out)"
-    r"|\bpermission to\b|\bagainst (?:my|our|the) (?:rules|policy|policies|guidelines|principles)|\b(?:would be|is) inappropriate\b|\b(?:beyond|outside) (?:the scope of )?what I\b|\b(?:I must|I have to) (?:refuse|decline|pass)\b|\bnot comfortable\b|\bcannot help with\b|\bnot something I (?:can|may)\b|\boff limits\b|\brather not (?:say|answer|discuss|share|talk)|\b(?:permitted|allowed|authori[sz]ed|able|free) to (?:say|discuss|share|disclose|talk)\b"
+REFUSAL_EN = re.compile(
+    r"\b(?:refuse|decline|declining) to\b|\bdecline (?:this|that|your|the)\b|\b(?:not able|unable|not allowed|not permitted|not authori[sz]ed|not at liberty) to (?:discuss|help|answer|share|provide|assist|comply|talk|speak|disclose|reveal|say|give|tell|name|respond|comment)"
+    r"|\bunable to comply\b|\b(?:cannot|can't|can not|won't|will not|may not|must not|shouldn't) (?:be )?(?:help|assist|answer|share|discuss|provide|comply|talk|speak|disclose|reveal|respond|comment|support|fulfil|do that|do this|give out)"
+    r"|\bpermission to\b|\bagainst (?:my|our|the) (?:rules|policy|policies|guidelines|principles|instructions)|\b(?:would be|is) inappropriate\b|\b(?:beyond|outside) (?:the scope of )?what I\b|\bnot comfortable\b|\bnot something I (?:can|may)\b|\boff limits\b|\brather not (?:say|answer|discuss|share|talk)|\b(?:beyond|outside) (?:of )?what I|\b(?:permitted|allowed|authori[sz]ed|free) to (?:say|discuss|share|disclose|talk)\b"
+    r"|\bprefer not to\b|\bprevent(?:s|ed)? me from\b|\bkeep (?:it|that|this) to myself\b",
+    re.I,
 )
-REFUSAL_ZH = r"恕我|恕不|拒绝(?:回答|提供|透露|谈论)|没有权限|无权|不便(?:透露|回答|说明|提供|谈论|讨论)|不能(?:提供|回答|透露|说明|谈论|讨论|告诉|协助|帮)|无法(?:协助|回答|提供|透露|帮|谈论|满足|处理)|不被允许|不允许(?:我)?(?:说|谈|回答|透露)|不方便(?:透露|回答|说明|谈论|讨论|提供)|超出了?我|违反(?:我的|了)?(?:规定|规则|政策)|不予(?:回答|提供)"
-EXCUSE = r"(?i)^\W*(?:(?:i'm |i am )?sorry|unfortunately|regrettably|i apologi[sz]e|as an? (?:assistant|ai)|thank you for asking|抱歉|对不起|很遗憾|不好意思|作为(?:助手|AI)|感谢提问)"
-ONWARD = r"(?i)\b(?:though|but) the\b|\bbut the archive\b|不过|但归档|\bbefore that\b|\bnever gave\b|没有比这更早|答案是没有"
-
-MARK = r"(?:\.\.\.|…+|。。。)$|[\[<(（【](?i:cut|truncated|cut off|截断|未完|truncated output|continued|more)[\]>)）】]$"
-CLOSED = r"[.!?。！？](?:[\"'”’»）)\]】*_`]|</?\w+>)*$|[\]}>】]$|\*\*$"
-LEAD = ["", "question", "q", "youasked", "theuserasked", "thequestionis", "yourquestion", "questionis", "问题", "问", "你问", "您问", "你问的是", "问题是", "提问", "用户问", "原问题"]
-
-
-def _strip(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit("")))
-
-
-def _vote(yes: Column, no: Column | None = None) -> Column:
-    out = F.when(yes, 1)
-    return (out.when(no, -1) if no is not None else out).otherwise(0)
-
-
-def _stand_in(text: Column) -> Column:
-    bare = _strip(text)
-    return letters_digits(bare).isin(STAND_INS) & ~bare.isin(ANSWERS)
-
-
-def votes(rows: DataFrame) -> dict[str, list[Column]]:
-    """Labelling functions per defect, over the columns of ``prepare``."""
-    has_gold = F.col("holds_gold")
-    own = F.when(F.col("asks_han"), F.col("han_words")).otherwise(F.col("en"))
-    foreign = F.when(F.col("asks_han"), F.col("en")).otherwise(F.col("han_words"))
-    others = F.greatest("fr", "de", "es", "pt", "it")
-    sentence = (F.col("en") + F.col("han_words") + others + F.col("scripts")) >= 1
-    silent = F.col("pk") == ""
-    copied = F.col("copied")
-    blank = F.length("said") == 0
-    return {
-        "empty": [
-            _vote(blank, ~blank & ~silent & ~_stand_in(F.col("prediction"))),
-            _vote(silent, ~silent & ~_stand_in(F.col("prediction"))),
-            _vote(_stand_in(F.col("prediction")), ~_stand_in(F.col("prediction")) & ~silent),
-            _vote(F.col("error") == "empty completion"),
-        ],
-        "truncated": [
-            _vote(F.col("marked"), F.col("closed")),
-            _vote(sentence & ~F.col("closed") & ~copied, F.col("closed") | ~sentence | copied),
-            _vote(F.col("unbalanced") & ~copied),
-            _vote(F.col("error").isin("max_tokens reached", "stream closed")),
-            _vote(F.lit(False), silent | _stand_in(F.col("prediction")) | F.col("refuses")),
-        ],
-        "refusal": [
-            _vote(F.col("refuses"), ~F.col("refuses")),
-            _vote(F.col("said").rlike(EXCUSE)),
-            _vote(F.lit(False), F.col("said").rlike(ONWARD)),
-            _vote(F.col("refuses") & ~has_gold, has_gold),
-        ],
-        "copy": [
-            _vote(copied, ~copied),
-            _vote(copied & ~F.col("answers_after"), F.col("answers_after")),
-            _vote(F.lit(False), F.length("pk") < F.length("qk")),
-        ],
-        "language": [
-            _vote(F.col("qk").isNotNull() & (own == 0) & ((F.col("scripts") >= 1) | (foreign >= 2) | (others >= 2)), own >= 2),
-            _vote(((F.col("scripts") >= 2) | (foreign >= 3) | (others >= 3)) & (own <= 1), (F.col("scripts") == 0) & (foreign == 0) & (others <= 1)),
-            _vote(F.lit(False), copied | silent | F.col("refuses")),
-        ],
-        "no_gold": [
-            _vote(F.col("gold").isNull(), F.length(_strip(F.col("gold"))) > 0),
-            _vote(F.length(_strip(F.col("gold"))) == 0, (F.length(_strip(F.col("gold"))) > 0) & ~_stand_in(F.col("gold")) & (letters_digits(F.col("gold")) != "")),
-            _vote(_stand_in(F.col("gold")) | (letters_digits(F.col("gold")) == ""), ~_stand_in(F.col("gold")) & (letters_digits(F.col("gold")) != "")),
-        ],
-    }
-
-
-def prepare(rows: DataFrame, index: Index) -> DataFrame:
-    """Texts in the forms the labelling functions read."""
-    known = rows
-    for k in KEYS:
-        known = known.filter(F.col(k).isNotNull())
-    shared = known.sparkSession.sparkContext.broadcast(index)
-
-    @F.pandas_udf("boolean")
-    def is_residue(texts: pd.Series) -> pd.Series:
-        return pd.Series([isinstance(t, str) and shared.value.coverage(t)[0] >= COVERAGE for t in texts])
-
-    out = known.select(*KEYS, "question", "gold", "prediction", "error", "fact_key", is_residue("prediction").alias("residue"))
-    out = out.withColumn("said", _strip(F.col("prediction"))).withColumn("pk", letters_digits(F.col("prediction")))
-    out = out.withColumn("qk", F.when(letters_digits(F.col("question")) != "", letters_digits(F.col("question"))))
-    gk = letters_digits(F.col("gold"))
-    out = out.withColumn("holds_gold", (F.length(gk) > 1) & F.contains("pk", gk))
-    # what is left of a sentence when quotes, the gold, the slot and ids are taken out
-    bare = F.regexp_replace("said", r"[“\"「『«][^”\"」』»]*[”\"」』»]|\b[a-z]+\d+@[0-9a-f]+", " ")
-    out = out.withColumn("plain", F.lower(bare))
-    for c in ("gold", "fact_key"):
-        word = F.lower(_strip(F.col(c)))
-        out = out.withColumn("plain", F.when(F.length(word) > 1, F.replace("plain", word, F.lit(" "))).otherwise(F.col("plain")))
-    for lang, words in WORDS.items():
-        out = out.withColumn(lang, F.regexp_count("plain", F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")))
-    out = out.withColumn("scripts", F.regexp_count("plain", F.lit(OTHER_SCRIPTS)))
-    out = out.withColumn("han_words", F.when(F.col("scripts") > 0, 0).otherwise(F.regexp_count("plain", F.lit(HAN_WORDS))))
-    asked = F.lower("question")
-    out = out.withColumn("asks_han", F.regexp_count(asked, F.lit(HAN_WORDS)) > F.regexp_count(asked, F.lit(rf"\b(?:{WORDS['en']}|what|which|my|did|before|when|where|who)\b")))
-    rest = F.when(F.col("qk").isNotNull() & F.contains("pk", "qk"), F.replace("pk", "qk", F.lit("")))
-    out = out.withColumn("copied", F.coalesce(rest.isin(LEAD), F.lit(False))).withColumn("answers_after", F.coalesce((F.length(rest) > 0) & ~rest.isin(LEAD), F.lit(False)))
-    out = out.withColumn("marked", F.col("said").rlike(MARK) & (F.col("pk") != "")).withColumn("closed", F.col("said").rlike(CLOSED) & ~F.col("said").rlike(MARK))
-    pairs = [("(", ")"), ("（", "）"), ("“", "”"), ("{", "}"), ("[", "]")]
-    count = lambda ch: F.length(F.col("said")) - F.length(F.translate("said", ch, ""))
-    odd = (F.regexp_count("said", F.lit(r"\*\*")) % 2 == 1) | (count('"') % 2 == 1)
-    for a, b in pairs:
-        odd = odd | (count(a) > count(b))
-    out = out.withColumn("unbalanced", odd & (F.col("pk") != ""))
-    return out.withColumn("refuses", (F.col("said").rlike(REFUSAL_EN) | F.col("said").rlike(REFUSAL_ZH)) & ~F.col("said").rlike(ONWARD))
+_HINTS = ("n't", "not", "refus", "declin", "unable", "permission", "against", "inappropriate", "beyond", "outside", "comfortable", "limits", "prefer", "prevent", "myself")
+REFUSAL_ZH = re.compile(r"恕我|恕不|拒绝(?:回答|提供|透露|谈论)|没有权限|无权|不便(?:透露|回答|说明|提供|谈论|讨论)|不能(?:提供|回答|透露|说明|谈论|讨论|告诉|协助|帮)|无法(?:协助|回答|提供|透露|帮|谈论|满足|处理)|不被允许|不允许(?:我)?(?:说|谈|回答|透露)|不方便(?:透露|回答|说明|谈论|讨论|提供)|超出了?我|违反(?:我的|了)?(?:规定|规则|政策)|不予(?:回答|提供)")
+EXCUSE = re.compile(r"\W*(?:(?:i'm |i am )?sorry|unfortunately|regrettably|i apologi[sz]e|as an? (?:assistant|ai)|thank you for asking|抱歉|对不起|很遗憾|不好意思|作为(?:助手|AI)|感谢提问)", re.I)
+TURN = re.compile(r"\b(?:but|though|however|still|so)\b|[;:；：]|不过|但|然而|因此", re.I)
+
+MARK = re.compile(r"(?:\.\.\.|…+|。。。)$|[\[<(（【](?:cut|truncated|cut off|截断|未完|truncated output|continued|more)[\]>)）】]$", re.I)
+CLOSED = re.compile(r"[.!?。！？](?:[\"'”’»）)\]】*_`]|</?\w+>)*$|[\])）}>】]$|\*\*$")
+QUOTED = re.compile(r"[“\"「『«][^”\"」』»]*[”\"」』»]|\b[a-z]+\d+@[0-9a-f]+")
+LEAD = frozenset(["", "question", "q", "youasked", "theuserasked", "thequestionis", "yourquestion", "questionis", "问题", "问", "你问", "您问", "你问的是", "问题是", "提问", "用户问", "原问题"])
+_NOT_KEY = re.compile(r"[\W_]+")
+FUNCTIONS = {"empty": 4, "truncated": 5, "refusal": 5, "copy": 3, "language": 4, "no_gold": 3}
+
+
+def _key(text: str | None) -> str:
+    """Letters and digits in lower case."""
+    return _NOT_KEY.sub("", text.lower()) if text else ""
+
+
+_cached_key = lru_cache(maxsize=50_000)(_key)
+_cached_asks = lru_cache(maxsize=50_000)(asks_han)
+
+
+def _stand_in(text: str, key: str) -> bool:
+    return key in _STANDS and text.strip(_EDGES) not in ANSWERS
+
+
+def _vote(yes, no=False) -> int:
+    return 1 if yes else -1 if no else 0
+
+
+class Votes:
+    """The labelling functions, over one pair."""
+
+    def __init__(self, replies: Index):
+        self.replies, self.profiles = replies, Profiles()
+        by_kind = {k: frozenset().union(*(w for kind, w in replies.members if kind == k)) for k in REPLIES}
+        self.telling = frozenset(w for w in by_kind["refusal"] - by_kind["answer"] if replies.weight.get(w, 0.0) >= 0.4 * replies.heavy)
+
+    def refusal(self, said: str, words: list[str]) -> int:
+        """By exemplars: the sentence that comes nearest to one declines (1), answers (-1), or neither.  Only where a word of refusals alone stands in the text."""
+        if self.telling.isdisjoint(words):
+            return -1
+        best, kind = 0.0, ""
+        for part in re.split(r"[.!?。！？\n]+", said):
+            words = tokens(part)
+            known = sum(self.replies.weight.get(w, 0.0) for w in words)
+            if words and known >= CONTAINED * (known + self.replies.other * sum(w not in self.replies.weight for w in words)):
+                share, k = self.replies.contained(words)
+                if share > best:
+                    best, kind = share, k
+        return 0 if best < CONTAINED else 1 if kind == "refusal" else -1
+
+    def __call__(self, question: str | None, gold: str | None, prediction: str | None, error: str | None, fact_key: str | None, said_words: list[str] | None = None) -> dict[str, list[int]]:
+        text = prediction or ""
+        said_words = tokens(text) if said_words is None else said_words
+        said = text.strip(_EDGES)
+        pk, qk, gk = _key(text), _cached_key(question), _cached_key(gold)
+        stand_in, silent = _stand_in(text, pk), pk == ""
+        low = said.lower().replace("’", "'")
+        # what is left of a sentence when quotes, the gold, the slot and ids are taken out
+        plain = QUOTED.sub(" ", low) if any(c in low for c in "“\"「『«@") else low
+        for known in (gold, fact_key):
+            name = (known or "").strip(_EDGES).lower()
+            if len(name) > 1:
+                plain = plain.replace(name, " ")
+        words = [w for w in WORD.findall(plain) if len(w) > 1 or w > "z"]
+        latin = plain.isascii()
+        scripts = 0 if latin else len(SCRIPTS.findall(plain))
+        han = 0 if latin or scripts else len(HAN_WORDS.findall(plain))
+        english, _, others, margin = self.profiles.read(words if latin else [w for w in words if w < "⺀"])
+        asks = bool(qk) and _cached_asks(question)
+        own, foreign = (han, english) if asks else (english, han)
+        sentence = english + han + others + scripts >= 1
+        rest = pk.replace(qk, "") if qk and qk in pk else None
+        copied = rest is not None and rest in LEAD
+        end = said[-40:]
+        marked = not silent and bool(MARK.search(end))
+        closed = not marked and bool(CLOSED.search(end))
+        odd = said.count("**") % 2 == 1 or said.count('"') % 2 == 1 or any(said.count(a) > said.count(b) for a, b in ("()", "（）", "“”", "{}", "[]"))
+        holds_gold = len(gk) > 1 and gk in pk and gk not in ANSWERS
+        told = (not low.isascii() and REFUSAL_ZH.search(said)) or (any(h in low for h in _HINTS) and REFUSAL_EN.search(low))
+        # an answer after a turn of the sentence: with the gold, the slot or a number in it
+        turn = TURN.search(low, told.end()) if told else None
+        onward = bool(turn) and bool(re.search(r"\d", low[turn.end() :]) or ((fact_key or "").lower() or "\0") in low[turn.end() :])
+        refuses = bool(told) and not onward and not holds_gold
+        alien = (foreign >= 2 or others >= 2) and others + foreign > own
+        blank_gold = not (gold or "").strip(_EDGES)
+        bad_gold = _stand_in(gold or "", gk) or gk == ""
+        return {
+            "empty": [_vote(not said, said and not silent and not stand_in), _vote(silent, not silent and not stand_in), _vote(stand_in, not stand_in and not silent), _vote(error == "empty completion")],
+            "truncated": [
+                _vote(marked, closed),
+                _vote(sentence and not closed and not copied, closed or not sentence or copied),
+                _vote(odd and not silent and not copied),
+                _vote(error in ("max_tokens reached", "stream closed")),
+                _vote(False, silent or stand_in),
+            ],
+            "refusal": [_vote(refuses, not told), _vote(EXCUSE.match(said) is not None), _vote(False, onward), _vote(refuses, holds_gold), self.refusal(said, said_words) if not silent else -1],
+            "copy": [_vote(copied, not copied), _vote(copied, rest is not None and not copied), _vote(False, len(pk) < len(qk))],
+            "language": [
+                _vote(bool(qk) and own == 0 and (scripts >= 1 or alien or (others >= 1 and margin >= 1.0)), own >= 2),
+                _vote(bool(qk) and not asks and others >= 1 and margin >= 1.5, margin < 0 and not scripts and not (foreign >= 2)) if not asks else _vote((english >= 2 or others >= 2) and own == 0, han >= 1),
+                _vote(bool(qk) and (scripts >= 2 or foreign >= 3 or others >= 3) and own <= 1, scripts == 0 and foreign == 0 and others <= 1),
+                _vote(False, copied or silent or stand_in or refuses),
+            ],
+            "no_gold": [_vote(gold is None, not blank_gold), _vote(blank_gold, not blank_gold and not bad_gold), _vote(bad_gold, not bad_gold)],
+        }
 
 
 @dataclass
@@ -165,8 +201,14 @@ class Model:
     prior: float
     yes: np.ndarray
     no: np.ndarray
-    posterior: dict[int, float]
-    cutoff: float
+
+    def posterior(self, code: int) -> float:
+        """Probability of the defect given a vote pattern (the votes plus one, as digits of base 3)."""
+        logit = math.log(max(self.prior, 1e-12) / max(1 - self.prior, 1e-12))
+        for j in range(len(self.yes)):
+            v = code // 3**j % 3
+            logit += math.log(self.yes[j, v] / self.no[j, v])
+        return 1 / (1 + math.exp(-max(-50.0, min(50.0, logit))))
 
 
 def fit(patterns: dict[int, int], functions: int) -> Model:
@@ -175,44 +217,109 @@ def fit(patterns: dict[int, int], functions: int) -> Model:
     n = np.array([patterns[c] for c in codes], dtype=float)
     vote = np.stack([(codes // 3**j) % 3 for j in range(functions)], axis=1) if len(codes) else np.zeros((0, functions), dtype=int)
     if not len(codes):
-        return Model(0.0, np.zeros((functions, 3)), np.zeros((functions, 3)), {}, 1.0)
-    q = 1 / (1 + np.exp(-2.0 * ((vote == 2).sum(axis=1) - (vote == 0).sum(axis=1) - 0.5)))
-    # no function says yes: no defect, whatever the fit
-    possible = (vote == 2).any(axis=1)
-    q = np.where(possible, q, 0.0)
-    prior, yes, no = 0.0, None, None
+        return Model(0.0, np.ones((functions, 3)) / 3, np.ones((functions, 3)) / 3)
+    # two functions more that say yes than no make a defect likely, one doesn't; the share of defects stays as these first guesses have it
+    q = 1 / (1 + np.exp(-3.0 * ((vote == 2).sum(axis=1) - (vote == 0).sum(axis=1)) + 4.5))
+    prior = ((n * q).sum() + SMOOTH) / (n.sum() + 2 * SMOOTH)
+    yes, no = None, None
     for _ in range(ROUNDS):
-        prior = ((n * q).sum() + SMOOTH) / (n.sum() + 2 * SMOOTH)
         one_hot = np.eye(3)[vote]
         # smoothing leans to what a yes or a no vote is meant to say
         yes = np.einsum("p,pjk->jk", n * q, one_hot) + SMOOTH * np.array([0.2, 0.5, 1.0])
         no = np.einsum("p,pjk->jk", n * (1 - q), one_hot) + SMOOTH * np.array([1.0, 0.5, 0.2])
         yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
+        # a function is better than chance: a yes is no likelier without the defect than with it, a no no likelier with it than without
+        yes[:, 2], no[:, 2] = np.maximum(yes[:, 2], no[:, 2]), np.minimum(yes[:, 2], no[:, 2])
+        yes[:, 0], no[:, 0] = np.minimum(yes[:, 0], no[:, 0]), np.maximum(yes[:, 0], no[:, 0])
+        yes, no = yes / yes.sum(axis=1, keepdims=True), no / no.sum(axis=1, keepdims=True)
         logit = np.log(prior / (1 - prior)) + np.take_along_axis(np.log(yes / no)[None], vote[:, :, None], axis=2)[:, :, 0].sum(axis=1)
-        q = np.where(possible, 1 / (1 + np.exp(-np.clip(logit, -50, 50))), 0.0)
-    order = np.argsort(-q)
-    taken, right = np.cumsum(n[order]), np.cumsum((n * q)[order])
-    f1 = 2 * right / (taken + (n * q).sum() + 1e-9)
-    cutoff = float(np.clip(q[order][int(np.argmax(f1))], *CUTOFFS))
-    return Model(float(prior), yes, no, dict(zip(codes.tolist(), q.tolist(), strict=True)), cutoff)
+        q = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+    return Model(float(prior), yes, no)
+
+
+def validated(model: Model, codes: list[int], truth: list[bool]) -> float:
+    """The cutoff of greatest F1 on labelled pairs; of equally good ones the middle of the widest gap between posteriors."""
+    q = np.array([model.posterior(c) for c in codes])
+    hit = np.array(truth, dtype=bool)
+    steps = np.unique(np.concatenate([[0.0, 1.0], q]))
+    middles = (steps[1:] + steps[:-1]) / 2
+    f1 = np.array([2 * (hit & (q >= c)).sum() / max(1, (q >= c).sum() + hit.sum()) for c in middles])
+    best = np.flatnonzero(f1 == f1.max())
+    return float(middles[best[np.argmax(np.diff(steps)[best])]])
+
+
+_EN, _ZH = "What is my ferry time right now?", "我现在的渡船时间是什么？"
+#: Labelled pairs on which the cutoffs are validated: question, gold, prediction, error, slot, defects.
+VALIDATION = [
+    *[(_EN, "half past nine", t, None, "ferry time", set()) for t in (
+        "Your ferry time is half past nine.", "half past nine", "**half past nine**", "It is half past nine, as you said on Monday.", "- half past nine", "Half past ten, I think.", "There was none before.", "I can't tell you why, though the ferry time is half past nine.",
+        "I could not read the first note, but it was half past nine.", "half past nine (see note 4)", '{"slot": "ferry time", "value": "half past nine"}', "The sign reads “Abfahrt um neun”, which is half past nine.", "Quenrasil harbour", "My records show half past nine!", "Sorry for the wait: half past nine.")],
+    *[(_ZH, "九点半", t, None, "渡船时间", set()) for t in ("你现在的渡船时间是九点半。", "九点半", "我记得是九点半。", "没有找到更早的记录，不过渡船时间是九点半。", "十点。", "抱歉久等了，是九点半。", "之前没有说过。")],
+    *[(_EN, "half past nine", t, e, "ferry time", {"empty"}) for t, e in ((None, None), ("", "empty completion"), ("   ", None), ("...", None), ("N/A", None), ("null", "timeout"), ("(no response)", None))],
+    *[(_EN, "half past nine", t, e, "ferry time", {"truncated"}) for t, e in (("Your ferry time is half past", "max_tokens reached"), ("According to the note from Monday, the ferry ti", None), ("It was changed and then...", None), ("The note says that it is half past [cut]", "stream closed"), ('You said "half past', None), ("Your ferry time is half past nine. The note was wri", "stream closed"))],
+    *[(_ZH, "九点半", t, e, "渡船时间", {"truncated"}) for t, e in (("你现在的渡船时间是九", "max_tokens reached"), ("根据周一的记录，渡船时间在那之后改为", None))],
+    *[(_EN, "half past nine", t, None, "ferry time", {"refusal"}) for t in ("I cannot share your ferry time.", "I'm sorry, but I am not able to discuss that.", "I'd rather not answer this.", "I must decline to talk about it.", "That is not something I can disclose.", "I don't have permission to reveal it.", "It would be against my guidelines to say so.")],
+    *[(_ZH, "九点半", t, None, "渡船时间", {"refusal"}) for t in ("抱歉，我不能回答这个问题。", "这个不便透露。", "我没有权限谈论渡船时间。")],
+    *[(_EN, "half past nine", t, None, "ferry time", {"copy"}) for t in (_EN, "what is my ferry time right now", "Question: What is my ferry time right now?", f"{_EN} {_EN}")],
+    (_ZH, "九点半", "问题：我现在的渡船时间是什么", None, "渡船时间", {"copy"}),
+    *[(_EN, "half past nine", t, None, "ferry time", {"language"}) for t in ("Nach dem Zettel ist es half past nine.", "Vous aviez choisi half past nine pour cela.", "Según la nota era half past nine.", "Het was volgens mij half past nine.", "Według notatki jest to half past nine.", "渡船时间是half past nine。", "それはhalf past nineでした。", "Secondo la nota era half past nine.")],
+    *[(_ZH, "九点半", t, None, "渡船时间", {"language"}) for t in ("The note says that it is 九点半.", "Laut Zettel war es 九点半.", "Это было 九点半.")],
+    *[(_EN, g, "Your ferry time is half past nine.", None, "ferry time", {"no_gold"}) for g in (None, "", "  ", "-", "null", "N/A")],
+    *[(_EN, g, "There was none before.", None, "ferry time", set()) for g in ("none", "没有")],
+]
+
+
+def code_of(votes: list[int]) -> int:
+    """A vote pattern as one number: the votes plus one, as digits of base 3."""
+    code = 0
+    for v in reversed(votes):
+        code = code * 3 + v + 1
+    return code
+
+
+def reply_index(index: Index, rows: DataFrame) -> Index:
+    """Exemplars of replies, weighted by the counts of all predictions."""
+    from .residue import build
+
+    return build(rows.select(F.col("prediction").alias("text")), REPLIES)
 
 
 def defects(rows: DataFrame, index: Index, scratch: Scratch) -> DataFrame:
     """``(run_id, system, episode_id, probe_index, defect, posterior)``, the posterior in parts per thousand."""
-    ready = prepare(rows, index)
-    functions = votes(ready)
-    code = {d: sum(((v + 1) * 3**j for j, v in enumerate(vs)), F.lit(0)).cast("int") for d, vs in functions.items()}
-    coded = ready.select(*KEYS, "residue", *[c.alias(d) for d, c in code.items()])
-    coded = scratch.cut(coded)
+    known = rows
+    for k in KEYS:
+        known = known.filter(F.col(k).isNotNull())
+    votes = Votes(reply_index(index, known))
+    shared = rows.sparkSession.sparkContext.broadcast((index, votes.replies))
+    names = list(FUNCTIONS)
+
+    def read(batches):
+        residue, replies = shared.value
+        judge = Votes(replies)
+        for batch in batches:
+            out = {d: [] for d in names}
+            residues = []
+            for question, gold, prediction, error, fact_key in zip(*[batch[c] for c in ("question", "gold", "prediction", "error", "fact_key")], strict=True):
+                words = tokens(prediction) if prediction else []
+                for d, v in judge(question, gold, prediction, error, fact_key, words).items():
+                    out[d].append(code_of(v))
+                residues.append(bool(prediction) and residue.coverage(prediction, words)[0] >= COVERAGE)
+            yield pd.DataFrame({**{k: batch[k] for k in KEYS}, "residue": residues, **out})
+
+    kinds = dict(known.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in KEYS) + ", residue boolean, " + ", ".join(f"{d} int" for d in names)
+    coded = scratch.cut(known.select(*KEYS, "question", "gold", "prediction", "error", "fact_key").mapInPandas(read, schema))
     pair = lambda d: F.struct(F.lit(d).alias("defect"), F.col(d).alias("code"))
-    long = coded.select(*KEYS, "residue", F.explode(F.array(*[pair(d) for d in functions])).alias("v")).select(*KEYS, "residue", "v.*")
+    long = coded.select(*KEYS, "residue", F.explode(F.array(*[pair(d) for d in names])).alias("v")).select(*KEYS, "residue", "v.*")
     long = long.filter(~F.col("residue") | (F.col("defect") == "no_gold"))
-    counts: dict[str, dict[int, int]] = {d: {} for d in functions}
+    counts: dict[str, dict[int, int]] = {d: {} for d in names}
     for r in long.groupBy("defect", "code").count().collect():  # at most 3**functions rows per defect
         counts[r.defect][r.code] = r["count"]
+    labelled = [(votes(*pair_[:5]), pair_[5]) for pair_ in VALIDATION]
     accepted = []
-    for d, vs in functions.items():
-        model = fit(counts[d], len(vs))
-        accepted += [(d, c, round(1000 * p)) for c, p in model.posterior.items() if p >= model.cutoff]
+    for d, functions in FUNCTIONS.items():
+        model = fit(counts[d], functions)
+        cutoff = validated(model, [code_of(v[d]) for v, _ in labelled], [d in wanted for _, wanted in labelled])
+        accepted += [(d, c, round(1000 * model.posterior(c))) for c in counts[d] if model.posterior(c) >= cutoff]
     kept = rows.sparkSession.createDataFrame(accepted, "defect string, code int, posterior int")
     return long.join(F.broadcast(kept), ["defect", "code"]).select(*KEYS, "defect", "posterior").distinct()

@@ -23,14 +23,185 @@ CONTENT = [
 ]
 
 
+#: Texts that were looked at while exemplars and parameters were set, and texts that were written afterwards and not used for it.
+SEEN_RESIDUE = [
+    "This site can't be reached. The server took too long to respond.",
+    'Checking your browser before accessing the page...',
+    "404. That's an error.",
+    "We're sorry but this app doesn't work properly without JavaScript enabled.",
+    '服务器开小差了，请稍后再试',
+    '系统升级中，敬请期待',
+    'Text to follow.',
+    'Hello ____',
+    'Dear [Customer Name], thank you for your order.',
+    'Your code is {{code}}.',
+    'Bonjour %(first_name)s !',
+    '<%= user.name %> wrote this',
+    'Copy to come',
+    'TBD',
+    'Coming soon',
+    'Under construction, check back later.',
+    'This page intentionally left blank.',
+    '503 Service Temporarily Unavailable',
+    'nginx 502 Bad Gateway',
+    'Access denied. You do not have permission to view this resource.',
+    'Sorry, the page you requested could not be found.',
+    'Something went wrong. Please try again.',
+    'An unexpected error has occurred. Please contact support.',
+    'The requested URL was not found on this server.',
+    'Too many requests, please slow down.',
+    'Traceback (most recent call last): File "main.py", line 3, in <module> ValueError: bad input',
+    'Exception in thread "main" java.lang.NullPointerException',
+    'Error establishing a database connection',
+    'You are offline. Check your internet connection.',
+    'Your session has expired. Please sign in again.',
+    'JavaScript is not enabled in your browser.',
+    'Please enable JS and disable any ad blocker',
+    'You must enable JavaScript in order to use this site.',
+    '您的浏览器禁用了JavaScript，请启用后刷新页面',
+    '本网站需要启用JavaScript才能正常使用',
+    '抱歉，您访问的页面走丢了',
+    '网络异常，请检查网络连接',
+    '页面不存在',
+    '内容建设中',
+    '此处插入标题',
+    '示例文本示例文本',
+    '测试一下测试一下',
+    'the quick brown fox jumps over the lazy dog',
+    'asdf qwerty asdf',
+    'Sample content for demonstration purposes only',
+    'Insert your text here',
+    '@@NAME@@ 的订单已发货',
+    'Verify you are human to continue',
+    "We'll be back soon after scheduled maintenance.",
+    'Whoops, looks like something went wrong.',
+]
+SEEN_CONTENT = [
+    'The shell expands ${HOME} before the path is used.',
+    'In Python the format string %(city)s takes a mapping.',
+    'Python calls __INIT__ when an object is made.',
+    'See [[Main Page]] on the wiki for the rota.',
+    'Use {{ }} in the template syntax for variables.',
+    '模板语法里的 {{name}} 表示变量。',
+    'The user renamed the environment variable ${PATH_OLD} in the deploy script.',
+    'User fixed a 404 on the tram website; tea blend is still oolong.',
+    'The tea blend is oolong, not the one on the error page.',
+    'User saw a 502 page at the kiosk and took the stairs to room 12.',
+    '用户说打印店的网页报错了，茶叶口味还是乌龙。',
+    '用户在旧电脑上关闭了JavaScript，值班表放在抽屉里。',
+    "Placeholder is the name of the user's boat, moored at pier 4.",
+    "The user's cat is called Lorem and sleeps on the sofa.",
+    'User enabled JavaScript for the canteen form and ordered soup.',
+    'The maintenance crew comes on Tuesday at nine.',
+    'The server at the canteen brought soup instead of salad.',
+    'The gateway to the garden is painted green this year.',
+    'The user was forbidden to enter the attic as a child.',
+    'He could not find the page with the recipe, so he used the old card.',
+    'Service at the barber was slow, but the user liked the cut.',
+    'The session on Thursday covered tide tables.',
+    'Access to the roof is by the north stairs.',
+    'User tests the fire alarm every first Monday.',
+    'The sample of tea from the market was stale.',
+    'The example in the second lecture was about ferries.',
+    'To continue the course, the user has to pay by Friday.',
+    'The reload of the washing machine took an hour.',
+    "User's browser history shows three visits to the tide register.",
+    'The cookies in the tin are for the choir.',
+    'The script of the play has three parts for women.',
+    "JavaScript is the user's favourite lecture at the evening school.",
+    '他把服务员的名字写错了，后来改成了郑岷。',
+    '系统课程在周三上午，教室是12号。',
+    '网络课程改到周五，老师没有变。',
+    '页面上的插图是一只灰鹭。',
+    '请把茶放在窗台上，谢谢。',
+    '测试课在周二，用户带了两支铅笔。',
+    '示例花园里种了三棵柏树。',
+    '用户要求修改周报模板的标题，合唱声部没有变。',
+    'User wants a new template for the weekly note; spare key keeper remains meadow Prasilond.',
+    'Error bars on the chart were too wide, so the user redrew it.',
+    'The timeout in the second half changed the match.',
+    'The bad weather closed the gateway road for two days.',
+    'The request for leave was granted on Monday.',
+    'Room 404 is on the fourth floor next to the lift.',
+    '{"slot": "tea blend", "value": "oolong 12"}',
+    '<b>coral dormouse 12</b>',
+    "<MEMORY_UPDATE>User's tea is oolong. [FACTS: tea=oolong]</MEMORY_UPDATE>",
+    'plum heron 31 [s004@aa01bc]',
+]
+FRESH_RESIDUE = [
+    'Hi {first_name}, your parcel has left.',
+    '[Insert company name] thanks you for your visit.',
+    'Ihr Termin ist am {{date}}.',
+    '尊敬的${customer}，您好。',
+    '%%USERNAME%% has joined',
+    'Content to be added here.',
+    'Details to follow.',
+    'Dummy text for the layout',
+    '此处填写正文',
+    '待更新',
+    '410 Gone. The page you requested has been removed.',
+    'This page is not available right now.',
+    '500 Internal Server Error',
+    'The connection has timed out.',
+    'Service unavailable, please try again in a few minutes.',
+    'Unable to connect to the server.',
+    "You don't have permission to access this page.",
+    'Fatal error: out of memory',
+    '服务器繁忙，请稍后重试',
+    '您没有访问权限',
+    '连接失败，请检查网络',
+    'JavaScript must be enabled to view this page.',
+    'Your browser has JavaScript turned off.',
+    '请在浏览器中启用JavaScript',
+    'This application requires scripts to work.',
+]
+FRESH_CONTENT = [
+    'The user moved the parcel to {the} shelf by the door, in round brackets.',
+    'The constructor __init__ is written with two underscores.',
+    'Escape {{ braces }} in the template, says the documentation.',
+    'The regex ${1} token refers to the first match.',
+    '模板里的变量 ${name} 写法没有变。',
+    'The internal clock of the server room was wrong on Monday.',
+    "User's page in the choir book has a coffee stain.",
+    'The user could not be found on the guest list, so Ann let him in.',
+    'A timeout was called by the coach; the score stayed the same.',
+    "User blocked the browser on the child's tablet and kept the ferry time.",
+    'She asked for access to the attic and got the key.',
+    'The error in the tide table was fixed: high water is at nine.',
+    'The user was denied a refund for the broken lamp.',
+    'Script readings are on Thursday in room 12.',
+    'He reloads the stove every two hours.',
+    'The gateway lodge has a red door.',
+    'Your table is number 503 near the window.',
+    'Maintenance of the lift costs 40 a month.',
+    '用户的页面设计课改到周四。',
+    '服务台在二楼左边。',
+    '他把错误的号码改成了A-17。',
+    '脚本课的老师是郑岷。',
+    '网络线放在抽屉里。',
+    '测试完水质以后茶叶口味改成了乌龙。',
+    'User unavailable on Friday, back on Monday.',
+]
+
+
 def test_residue_against_labels(spark):
-    rows = [(i, t, i < len(RESIDUE)) for i, t in enumerate(RESIDUE + CONTENT * 3)]
+    filler = ["Lorem nullem eliga ferin vestra.", "lorem sanove ipsum nullem eliga"]
+    rows = [(i, t, i < len(RESIDUE + filler)) for i, t in enumerate(RESIDUE + filler + CONTENT * 3)]
     df = spark.createDataFrame(rows, "rec_key int, text string, truth boolean").withColumn("src", F.lit("x"))
     found = residue.classify(df, residue.build(df)).select("rec_key", "kind").collect()
     assert {r.rec_key for r in found} == {i for i, _, truth in rows if truth}
     assert residue.classify(df.limit(0), residue.build(df.limit(0))).count() == 0
 
 
+def test_residue_of_unseen_texts(spark):
+    """Shares of residue found and content kept: 0.98 and 1.0 of the texts looked at; the fresh ones are held to 0.8."""
+    corpus = spark.read.parquet("/root/testdata/sf0.01/probe_predictions.parquet").select(F.col("prediction").alias("text"))
+    index = residue.build(corpus)
+    share = lambda texts: sum(index.coverage(t)[0] >= residue.COVERAGE for t in texts) / len(texts)
+    assert share(SEEN_RESIDUE) >= 0.96 and share(SEEN_CONTENT) <= 0.04
+    assert share(FRESH_RESIDUE) >= 0.8 and share(FRESH_CONTENT) <= 0.2
+
+
 def test_residue_long_text_is_read_whole(spark):
     words = " ".join(f"w{chr(97 + i % 26)}x word" for i in range(30000))
     df = spark.createDataFrame([(1, words + " {{hole}}"), (2, words)], "rec_key int, text string")
@@ -136,9 +307,32 @@ def test_label_model_separates_noisy_votes():
     votes = [np.where(rng.random(20000) < acc, truth, ~truth) for acc in (0.95, 0.9, 0.85)]
     codes = sum(np.where(v, 2, 0) * 3**j for j, v in enumerate(votes))
     model = pairs.fit(dict(zip(*np.unique(codes, return_counts=True))), 3)
-    called = np.array([model.posterior[c] >= model.cutoff for c in codes])
+    called = np.array([model.posterior(c) >= 0.5 for c in codes])
     assert (called == truth).mean() > 0.95 > 0.9
     assert 0.05 < model.prior < 0.15
+    cut = pairs.validated(model, codes[:500].tolist(), truth[:500].tolist())
+    assert 0.0 < cut < 1.0
+
+
+UNSEEN_PAIRS = [
+    ("language", "Volgens het logboek was dat green."), ("language", "Zgodnie z zapisem to była green."), ("language", "Enligt loggen var det green förut."), ("language", "Menurut catatan itu adalah green."), ("language", "Kayda göre o zaman green idi."), ("language", "Theo nhật ký thì đó là green."),
+    ("language", "Nous gardons toujours green pour elle."), ("language", "Podle deníku to bylo green."), ("language", "Muistion mukaan se oli green."), ("language", "Это значение green было раньше."), ("language", "그때는 green이었습니다."), ("language", "上次说的是green，没有变。"),
+    ("refusal", "I'm afraid I cannot discuss personal preferences."), ("refusal", "That's private, so I'll keep it to myself."), ("refusal", "I'm not permitted to disclose this."), ("refusal", "I would prefer not to comment on your tea."), ("refusal", "抱歉，这个问题我无可奉告，无法回答。"),
+    ("truncated", "As noted on that day the tea blend was gre"), ("truncated", "It changed because you sa"), ("", "It's green."), ("", "Green, since Tuesday."), ("", "I think you like green best!"), ("", "green (from the second note)"), ("", "Quenrasil"), ("", "B-17"), ("", "You switched to green after the Bordeaux trip."), ("", "The word on the tin, “Grüner Tee”, means green."),
+]
+
+
+def test_defects_of_unseen_pairs(spark):
+    """At least 0.8 of the unseen defects are found, and 0.8 of the sound answers are left alone."""
+    real = spark.read.parquet("/root/testdata/sf0.01/probe_predictions.parquet").select("run_id", "system", "episode_id", "probe_index", "question", "gold", "prediction", "error", "fact_key")
+    mine = [("unseen", "s", "e", i, "What is my tea blend right now?", "green", text, None, "tea blend") for i, (_, text) in enumerate(UNSEEN_PAIRS)]
+    both = real.unionByName(spark.createDataFrame(mine, real.schema))
+    got = {}
+    for r in pairs.defects(both, residue.build(real.select(F.col("prediction").alias("text"))), Scratch(spark, "t")).filter("run_id = 'unseen'").collect():
+        got.setdefault(r.probe_index, set()).add(r.defect)
+    hits = [(want, got.get(i, set())) for i, (want, _) in enumerate(UNSEEN_PAIRS)]
+    assert sum(want in found for want, found in hits if want) >= 0.8 * sum(bool(want) for want, _ in hits), [x for x in zip(UNSEEN_PAIRS, hits) if x[1][0] and x[1][0] not in x[1][1]]
+    assert sum(not found for want, found in hits if not want) >= 0.8 * sum(not want for want, _ in hits), [x for x in zip(UNSEEN_PAIRS, hits) if not x[1][0] and x[1][1]]
 
 
 # --- leaks ---
