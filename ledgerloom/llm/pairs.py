@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..plans.scratch import Scratch
 from .conversations import STAND_INS
 from .languages import HAN_WORDS, SCRIPTS, WORD, Profiles, asks_han
-from .residue import CONTAINED, COVERAGE, Index, tokens
+from .residue import CONTAINED, COVERAGE, EXEMPLARS, Index, build_all, tokens
 
 KEYS = ["run_id", "system", "episode_id", "probe_index"]
 ROUNDS, SMOOTH = 60, 1.0
@@ -277,20 +277,19 @@ def code_of(votes: list[int]) -> int:
     return code
 
 
-def reply_index(index: Index, rows: DataFrame) -> Index:
-    """Exemplars of replies, weighted by the counts of all predictions."""
-    from .residue import build
+def indexes(rows: DataFrame) -> list[Index]:
+    """The exemplars of residue and of replies, weighted by the counts of all predictions."""
+    return build_all(rows.select(F.col("prediction").alias("text")), [EXEMPLARS, REPLIES])
 
-    return build(rows.select(F.col("prediction").alias("text")), REPLIES)
 
-
-def defects(rows: DataFrame, index: Index, scratch: Scratch) -> DataFrame:
+def defects(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``(run_id, system, episode_id, probe_index, defect, posterior)``, the posterior in parts per thousand."""
     known = rows
     for k in KEYS:
         known = known.filter(F.col(k).isNotNull())
-    votes = Votes(reply_index(index, known))
-    shared = rows.sparkSession.sparkContext.broadcast((index, votes.replies))
+    index, replies = indexes(known)
+    votes = Votes(replies)
+    shared = rows.sparkSession.sparkContext.broadcast((index, replies))
     names = list(FUNCTIONS)
 
     def read(batches):

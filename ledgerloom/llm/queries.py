@@ -87,9 +87,7 @@ def p5_runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_defects(spark: SparkSession, folder: str) -> DataFrame:
     """Defective pairs with the posterior of each defect in parts per thousand."""
-    probes = table(spark, folder, "probe_predictions")
-    index = residue.build(probes.select(F.col("prediction").alias("text")))
-    return pairs.defects(probes, index, Scratch(spark, "pairs"))
+    return pairs.defects(table(spark, folder, "probe_predictions"), Scratch(spark, "pairs"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:

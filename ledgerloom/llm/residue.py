@@ -198,6 +198,8 @@ def with_holes(text: str) -> str:
     """The text with every hole replaced by the hole token."""
     if not MAYBE.search(text):
         return text
+    if not HOLE.search(text) and "<" not in text:
+        return text
     text = HOLE.sub(" ⟨hole⟩ ", text)
     return ANGLE.sub(lambda m: m[0] if f"</{m[1]}>" in text else " ⟨hole⟩ ", text) if "<" in text else text
 
@@ -268,23 +270,30 @@ class Index:
         """Share of a window's weight that exemplars of one kind hold, and the kind."""
         weight = self.weight
         total = sum(weight.get(w, self.other) for w in window)
-        score: dict[int, float] = defaultdict(float)
-        for w in set(window):
-            for i in self.postings.get(w, ()):
-                score[i] += weight[w]
+        score: dict[int, float] = {}
+        for w in window:
+            x = weight.get(w)
+            if x:
+                for i in self.postings.get(w, ()):
+                    score[i] = score.get(i, 0.0) + x
+        # an exemplar that holds less than GAIN of the window can't add it
+        least = GAIN * total
+        by_kind: dict[str, list[int]] = {}
+        for i, s in score.items():
+            if s >= least:
+                by_kind.setdefault(self.members[i][0], []).append(i)
         best: dict[str, float] = {}
-        for kind in {self.members[i][0] for i in score}:
-            left, held = set(window), 0.0
-            mine = [i for i in score if self.members[i][0] == kind]
-            while mine:
-                gain = lambda i, left=left: sum(weight[w] for w in window if w in left and w in self.members[i][1])
-                top = max(mine, key=lambda i: (gain(i), -i))
-                more = gain(top)
-                if more < GAIN * total:
+        for kind, mine in by_kind.items():
+            left, held = list(window), 0.0
+            while mine and left:
+                gains = [(sum([weight[w] for w in left if w in self.members[i][1]]), -i) for i in mine]
+                more, top = max(gains)
+                if more < least:
                     break
                 held += more
-                left -= self.members[top][1]
-                mine.remove(top)
+                words = self.members[-top][1]
+                left = [w for w in left if w not in words]
+                mine = [i for i in mine if i != -top]
             best[kind] = held / total if total else 0.0
         kind = max(sorted(best), key=best.get) if best else ""
         return best.get(kind, 0.0), kind
@@ -292,7 +301,7 @@ class Index:
     def coverage(self, text: str, words: list[str] | None = None) -> tuple[float, str]:
         """Share of the text's tokens in contained windows, and the kind that most of them have; ``words``: its tokens, where they are known."""
         marked = with_holes(text)
-        if marked is text:
+        if marked == text:
             # no window can be contained where the known words weigh too little against the others
             weight, other = self.weight, self.other
             known = unknown = 0.0
@@ -306,12 +315,12 @@ class Index:
                 return 0.0, ""
         sentences = []
         for part in SENTENCE.split(marked):
-            words = tokens(part)
-            if sentences and (len(words) < 3 or len(sentences[-1]) < 3):  # too short for a passage of its own
-                sentences[-1] += words
+            found = tokens(part)
+            if sentences and (len(found) < 3 or len(sentences[-1]) < 3):  # too short for a passage of its own
+                sentences[-1] += found
             else:
-                sentences.append(words)
-        if marked is not text and "⟨hole⟩" in marked and any(self.template(s) for s in sentences):
+                sentences.append(found)
+        if marked != text and any(self.template(s) for s in sentences):
             return 1.0, "template"
         weight, other = self.weight, self.other
         count, covered = 0, defaultdict(int)
@@ -323,15 +332,17 @@ class Index:
             if not n or not any(w in weight for w in sentence):
                 continue
             known = [weight.get(w, 0.0) for w in sentence]
-            whole = [x or other for x in known]
             inside = [""] * n
             size = min(WINDOW, n)
+            held_here, whole_here = sum(known[: size - 1]), sum(x or other for x in known[: size - 1])
             for k in range(n - size + 1):
-                window = slice(k, k + size)
-                if sum(known[window]) >= CONTAINED * sum(whole[window]):
-                    share, kind = self.contained(sentence[window])
-                    if kind != "answer" and share >= CONTAINED and share * sum(whole[window]) >= TOLD[share < 0.95] * self.heavy:
-                        inside[window] = [kind] * size
+                new = known[k + size - 1]
+                held_here, whole_here = held_here + new, whole_here + (new or other)
+                if held_here >= CONTAINED * whole_here - 1e-9 and held_here >= TOLD[0] * self.heavy:
+                    share, kind = self.contained(sentence[k : k + size])
+                    if kind != "answer" and share >= CONTAINED and share * whole_here >= TOLD[share < 0.95] * self.heavy:
+                        inside[k : k + size] = [kind] * size
+                held_here, whole_here = held_here - known[k], whole_here - (known[k] or other)
             for kind in inside:
                 if kind:
                     covered[kind] += 1
@@ -342,22 +353,32 @@ class Index:
 
 
 def build(texts: DataFrame, exemplars: dict[str, str] | None = None) -> Index:
-    """Index whose weights are counted over all rows of ``texts`` (column ``text``).
+    """Index whose weights are counted over all rows of ``texts`` (column ``text``)."""
+    return build_all(texts, [exemplars or EXEMPLARS])[0]
+
+
+def build_all(texts: DataFrame, sets: list[dict[str, str]]) -> list[Index]:
+    """Indexes of several sets of exemplars, counted in one pass, and one more where words stand beside an anchor.
 
     Only counts reach the driver: of exemplar tokens, and of at most ``EXPANSION`` words that stand beside an anchor.
     """
-    index = Index(exemplars or EXEMPLARS)
-    vocabulary = frozenset(index.postings) | index.content
-    rows = _counts(texts, vocabulary, ANCHORS)
-    found = {r.token: r.n for r in rows.filter("not beside").collect()}  # one row per exemplar token
-    beside = {r.token: r.n for r in rows.filter("beside").orderBy(F.col("n").desc(), "token").limit(EXPANSION).collect() if r.n >= LEAST and r.token not in vocabulary}
+    indexes = [Index(e) for e in sets]
+    vocabulary = frozenset().union(*(frozenset(i.postings) | i.content for i in indexes))
+    # one row per exemplar token, then the words beside anchors from the most frequent on
+    rows = _counts(texts, vocabulary, ANCHORS).orderBy("beside", F.col("n").desc(), "token").limit(len(vocabulary) + 1 + EXPANSION).collect()
+    found = {r.token: r.n for r in rows if not r.beside}
+    beside = {r.token: r.n for r in rows if r.beside and r.n >= LEAST and r.token not in vocabulary}
     if beside:
         more = {r.token: r.n for r in _counts(texts, frozenset(beside), ()).collect()}
         own = {w for w, n in beside.items() if n >= EXCLUSIVE * more.get(w, n)}
-        index.expand("filler", own | set(ANCHORS))
+        for index in indexes:
+            if any(kind == "filler" for kind, _ in index.members):
+                index.expand("filler", own | set(ANCHORS))
         found |= {w: more.get(w, 0) for w in own}
-    index.weigh(found.pop("", 0), found)
-    return index
+    records = found.pop("", 0)
+    for index in indexes:
+        index.weigh(records, found)
+    return indexes
 
 
 def _counts(texts: DataFrame, vocabulary: frozenset, anchors: tuple) -> DataFrame:

@@ -292,13 +292,12 @@ def test_defects_against_labels(spark):
     cases += [("sound", "s", "e", 1000 + i, "What is my tea blend right now?", "green", "Your tea blend is green.", None, "tea blend") for i in range(300)]
     cases += [(None, "s", "e", 1, "q", "g", None, None, None), ("r0", "s", "e", 0, *PAIRS[0][:4], "茶叶口味")]
     df = spark.createDataFrame(cases, "run_id string, system string, episode_id string, probe_index int, question string, gold string, prediction string, error string, fact_key string").withColumn("said", F.lit(1))
-    index = residue.build(df.select(F.col("prediction").alias("text")))
     got = {}
-    for r in pairs.defects(df, index, Scratch(spark, "t")).collect():
+    for r in pairs.defects(df, Scratch(spark, "t")).collect():
         got.setdefault((r.run_id, r.probe_index), set()).add(r.defect)
     want = {(f"r{c}", i): p[4] for c in range(10) for i, p in enumerate(PAIRS) if p[4]}
     assert got == want
-    assert pairs.defects(df.limit(0), index, Scratch(spark, "t")).count() == 0
+    assert pairs.defects(df.limit(0), Scratch(spark, "t")).count() == 0
 
 
 def test_label_model_separates_noisy_votes():
@@ -328,7 +327,7 @@ def test_defects_of_unseen_pairs(spark):
     mine = [("unseen", "s", "e", i, "What is my tea blend right now?", "green", text, None, "tea blend") for i, (_, text) in enumerate(UNSEEN_PAIRS)]
     both = real.unionByName(spark.createDataFrame(mine, real.schema))
     got = {}
-    for r in pairs.defects(both, residue.build(real.select(F.col("prediction").alias("text"))), Scratch(spark, "t")).filter("run_id = 'unseen'").collect():
+    for r in pairs.defects(both, Scratch(spark, "t")).filter("run_id = 'unseen'").collect():
         got.setdefault(r.probe_index, set()).add(r.defect)
     hits = [(want, got.get(i, set())) for i, (want, _) in enumerate(UNSEEN_PAIRS)]
     assert sum(want in found for want, found in hits if want) >= 0.8 * sum(bool(want) for want, _ in hits), [x for x in zip(UNSEEN_PAIRS, hits) if x[1][0] and x[1][0] not in x[1][1]]
