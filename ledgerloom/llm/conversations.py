@@ -44,14 +44,15 @@ def says(text: Column) -> Column:
 def turns(raw: DataFrame) -> DataFrame:
     """One row per (episode, ordinal) of the counting rows: facts and texts."""
     rows = raw.filter(F.col("episode_id").isNotNull()).select(
-        F.coalesce("reference_id", F.concat(F.lit("\0"), F.xxhash64("episode_id", "turn_index", "user_msg", "agent_msg", "ts").cast("string"))).alias("reference_id"),
+        "reference_id",
+        F.when(F.col("reference_id").isNull(), F.struct("episode_id", "turn_index", "user_msg", "agent_msg", "ts")).alias("_whole"),
         strip(F.col("episode_id")).alias("episode_id"),
         F.col("turn_index").cast("int").alias("turn_index"),
         "user_msg",
         "agent_msg",
         "ts",
     )
-    counting = newest(rows, ["reference_id"], [F.coalesce(F.nanvl("ts", F.lit(float("-inf"))), F.lit(float("-inf")))], ["episode_id", "turn_index", "user_msg", "agent_msg"])
+    counting = newest(rows, ["reference_id", "_whole"], [F.coalesce(F.nanvl("ts", F.lit(float("-inf"))), F.lit(float("-inf")))], ["episode_id", "turn_index", "user_msg", "agent_msg"])
     user, agent = says(F.col("user_msg")), says(F.col("agent_msg"))
     sides = counting.filter(F.col("episode_id") != "").select(
         "episode_id",

@@ -85,7 +85,7 @@ REFUSAL_EN = re.compile(
     r"|\bprefer not to\b|\bprevent(?:s|ed)? me from\b|\bkeep (?:it|that|this) to myself\b",
     re.I,
 )
-_HINTS = ("n't", "not", "refus", "declin", "unable", "permission", "against", "inappropriate", "beyond", "outside", "comfortable", "limits", "prefer", "prevent", "myself")
+HINTS = re.compile("n't|not|refus|declin|unable|permi|allow|author|free|agains|inappr|beyond|outsid|comfor|limits|prefer|preven|myself|must|may")
 REFUSAL_ZH = re.compile(r"恕我|恕不|拒绝(?:回答|提供|透露|谈论)|没有权限|无权|不便(?:透露|回答|说明|提供|谈论|讨论)|不能(?:提供|回答|透露|说明|谈论|讨论|告诉|协助|帮)|无法(?:协助|回答|提供|透露|帮|谈论|满足|处理)|不被允许|不允许(?:我)?(?:说|谈|回答|透露)|不方便(?:透露|回答|说明|谈论|讨论|提供)|超出了?我|违反(?:我的|了)?(?:规定|规则|政策)|不予(?:回答|提供)")
 EXCUSE = re.compile(r"\W*(?:(?:i'm |i am )?sorry|unfortunately|regrettably|i apologi[sz]e|as an? (?:assistant|ai)|thank you for asking|抱歉|对不起|很遗憾|不好意思|作为(?:助手|AI)|感谢提问)", re.I)
 TURN = re.compile(r"\b(?:but|though|however|still|so)\b|[;:；：]|不过|但|然而|因此", re.I)
@@ -93,6 +93,7 @@ TURN = re.compile(r"\b(?:but|though|however|still|so)\b|[;:；：]|不过|但|
 MARK = re.compile(r"(?:\.\.\.|…+|。。。)$|[\[<(（【](?:cut|truncated|cut off|截断|未完|truncated output|continued|more)[\]>)）】]$", re.I)
 CLOSED = re.compile(r"[.!?。！？](?:[\"'”’»）)\]】*_`]|</?\w+>)*$|[\])）}>】]$|\*\*$")
 QUOTED = re.compile(r"[“\"「『«][^”\"」』»]*[”\"」』»]|\b[a-z]+\d+@[0-9a-f]+")
+PAIRED = re.compile(r'[*"(（“{\[]')
 LEAD = frozenset(["", "question", "q", "youasked", "theuserasked", "thequestionis", "yourquestion", "questionis", "问题", "问", "你问", "您问", "你问的是", "问题是", "提问", "用户问", "原问题"])
 _NOT_KEY = re.compile(r"[\W_]+")
 FUNCTIONS = {"empty": 4, "truncated": 5, "refusal": 5, "copy": 3, "language": 4, "no_gold": 3}
@@ -137,7 +138,7 @@ class Votes:
                     best, kind = share, k
         return 0 if best < CONTAINED else 1 if kind == "refusal" else -1
 
-    def __call__(self, question: str | None, gold: str | None, prediction: str | None, error: str | None, fact_key: str | None, said_words: list[str] | None = None) -> dict[str, list[int]]:
+    def __call__(self, question: str | None, gold: str | None, prediction: str | None, error: str | None, fact_key: str | None, said_words: list[str] | None = None) -> dict[str, tuple]:
         text = prediction or ""
         said_words = tokens(text) if said_words is None else said_words
         said = text.strip(_EDGES)
@@ -163,37 +164,45 @@ class Votes:
         end = said[-40:]
         marked = not silent and bool(MARK.search(end))
         closed = not marked and bool(CLOSED.search(end))
-        odd = said.count("**") % 2 == 1 or said.count('"') % 2 == 1 or any(said.count(a) > said.count(b) for a, b in ("()", "（）", "“”", "{}", "[]"))
+        odd = PAIRED.search(said) is not None and (said.count("**") % 2 == 1 or said.count('"') % 2 == 1 or any(said.count(a) > said.count(b) for a, b in ("()", "（）", "“”", "{}", "[]")))
         holds_gold = len(gk) > 1 and gk in pk and gk not in ANSWERS
-        told = (not low.isascii() and REFUSAL_ZH.search(said)) or (any(h in low for h in _HINTS) and REFUSAL_EN.search(low))
+        told = (not low.isascii() and REFUSAL_ZH.search(said)) or (HINTS.search(low) is not None and REFUSAL_EN.search(low))
         # an answer after a turn of the sentence: with the gold, the slot or a number in it
         turn = TURN.search(low, told.end()) if told else None
         onward = bool(turn) and bool(re.search(r"\d", low[turn.end() :]) or ((fact_key or "").lower() or "\0") in low[turn.end() :])
         refuses = bool(told) and not onward and not holds_gold
         alien = (foreign >= 2 or others >= 2) and others + foreign > own
-        blank_gold = not (gold or "").strip(_EDGES)
-        bad_gold = _stand_in(gold or "", gk) or gk == ""
+        blank_gold, bad_gold = _cached_gold(gold)
+        asked, quiet, found = bool(qk), silent or stand_in, scripts + foreign + others
+        if asks:
+            second = _vote((english >= 2 or others >= 2) and own == 0, han >= 1)
+        else:
+            second = _vote(asked and others >= 1 and margin >= 1.5, margin < 0 and not scripts and foreign < 2)
         return {
-            "empty": [_vote(not said, said and not silent and not stand_in), _vote(silent, not silent and not stand_in), _vote(stand_in, not stand_in and not silent), _vote(error == "empty completion")],
-            "truncated": [
-                _vote(marked, closed),
-                _vote(sentence and not closed and not copied, closed or not sentence or copied),
-                _vote(odd and not silent and not copied),
-                _vote(error in ("max_tokens reached", "stream closed")),
-                _vote(False, silent or stand_in),
-            ],
-            "refusal": [_vote(refuses, not told), _vote(EXCUSE.match(said) is not None), _vote(False, onward), _vote(refuses, holds_gold), self.refusal(said, said_words) if not silent else -1],
-            "copy": [_vote(copied, not copied), _vote(copied, rest is not None and not copied), _vote(False, len(pk) < len(qk))],
-            "language": [
-                _vote(bool(qk) and own == 0 and (scripts >= 1 or alien or (others >= 1 and margin >= 1.0)), own >= 2),
-                _vote(bool(qk) and not asks and others >= 1 and margin >= 1.5, margin < 0 and not scripts and not (foreign >= 2)) if not asks else _vote((english >= 2 or others >= 2) and own == 0, han >= 1),
-                _vote(bool(qk) and (scripts >= 2 or foreign >= 3 or others >= 3) and own <= 1, scripts == 0 and foreign == 0 and others <= 1),
-                _vote(False, copied or silent or stand_in or refuses),
-            ],
-            "no_gold": [_vote(gold is None, not blank_gold), _vote(blank_gold, not blank_gold and not bad_gold), _vote(bad_gold, not bad_gold)],
+            "empty": (_vote(not said, said and not quiet), _vote(silent, not quiet), _vote(stand_in, not quiet), _vote(error == "empty completion")),
+            "truncated": (_vote(marked, closed), _vote(sentence and not closed and not copied, closed or not sentence or copied), _vote(odd and not silent and not copied), _vote(error in _CUT), _vote(False, quiet)),
+            "refusal": (_vote(refuses, not told), _vote(EXCUSE.match(said)), _vote(False, onward), _vote(refuses, holds_gold), -1 if silent else self.refusal(said, said_words)),
+            "copy": (_vote(copied, not copied), _vote(copied, rest is not None and not copied), _vote(False, len(pk) < len(qk))),
+            "language": (
+                _vote(asked and own == 0 and found and (scripts >= 1 or alien or (others >= 1 and margin >= 1.0)), own >= 2),
+                second,
+                _vote(asked and own <= 1 and (scripts >= 2 or foreign >= 3 or others >= 3), scripts == 0 and foreign == 0 and others <= 1),
+                _vote(False, copied or quiet or refuses),
+            ),
+            "no_gold": (_vote(gold is None, not blank_gold), _vote(blank_gold, not blank_gold and not bad_gold), _vote(bad_gold, not bad_gold)),
         }
 
 
+_CUT = frozenset(["max_tokens reached", "stream closed"])
+
+
+@lru_cache(maxsize=50_000)
+def _cached_gold(gold: str | None) -> tuple[bool, bool]:
+    """Whether a gold is blank, and whether it is blank or a stand-in."""
+    key = _key(gold)
+    return not (gold or "").strip(_EDGES), _stand_in(gold or "", key) or key == ""
+
+
 @dataclass
 class Model:
     """Fitted label model of one defect."""
@@ -269,10 +278,10 @@ VALIDATION = [
 ]
 
 
-def code_of(votes: list[int]) -> int:
+def code_of(votes: tuple) -> int:
     """A vote pattern as one number: the votes plus one, as digits of base 3."""
     code = 0
-    for v in reversed(votes):
+    for v in votes[::-1]:
         code = code * 3 + v + 1
     return code
 
