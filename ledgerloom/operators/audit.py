@@ -1,4 +1,4 @@
-"""Integrity of the memory, for all episodes at once: five invariants, their report and the batch summary.
+"""Integrity of the records, for all episodes at once: five invariants, their report and the batch summary.
 
 I1 every fact's summary exists; I2 every current value is visible; I3 evidence resolves; I4 what was said was
 recorded; I5 erasures took effect.  Each check is a join of whole tables and one aggregate per episode.

@@ -11,7 +11,8 @@ the largest subtree), so a way to the root crosses at most log2(n) chains.  Henc
 
 Everything runs in a logarithmic number of joins: ancestors at distance 2**k and subtree
 counts of depth under 2**k are doubled together, and nodes that reach no root are separated
-first, by the same doubling.  No tree, chain or level is ever gathered in one task.
+first, by the same doubling.  No tree, chain or level is ever gathered in one task.  Nodes have
+numbers while this runs, so that the rounds hash and shuffle eight bytes a node; names are joined back at the end.
 
 Defined results: null ids are left out; repeated ids count once, with the smallest non-null
 parent; a parent that is no node is void; a node on or below a cycle gets ``depth`` -1 and
@@ -36,37 +37,54 @@ from ..plans.blocks import running_total
 from ..plans.scratch import Scratch
 
 
-def hierarchy(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(id, parent, root, depth, size, chain, pos, segments, tin, first, end)`` for every node."""
-    base = _clean(nodes, scratch)
-    sized, ring = _sizes_and_cycles(base, scratch)
+#: Order numbers to a stretch of ``expand_descendants``.
+STRETCH = 1024
+
+
+def hierarchy(nodes: DataFrame, scratch: Scratch, paths: bool = True) -> DataFrame:
+    """``(id, parent, root, depth, size, chain, pos, segments, tin, first, end)`` for every node; without ``paths`` only ``(id, root, depth, size)``."""
+    base, names = _clean(nodes, scratch)
+    sized, ring = _sizes_and_cycles(base, names, scratch)
     chained = _chains(sized, scratch)
-    tops = _chain_tree(chained, scratch)
-    placed = chained.join(tops.withColumnRenamed("head", "chain"), "chain")
-    own = F.array(F.struct(F.col("chain"), F.col("pos").alias("upto")))
-    depth, tin = F.col("pos") + F.col("above"), F.col("pos") + F.col("tin_head")
-    tree = placed.select("id", "parent", "root", depth.alias("depth"), "size", "chain", "pos", F.concat(own, "segments").alias("segments"), tin.alias("tin"))
+    tops = _chain_tree(chained, names, scratch)
+    placed = chained.join(tops.withColumnRenamed("head", "chain"), "chain").join(names, "id")
+    depth, tin = (F.col("pos") + F.col("above")).alias("depth"), (F.col("pos") + F.col("tin_head")).alias("tin")
+    if not paths:
+        tree = placed.select(F.col("name").alias("id"), F.col("root_name").alias("root"), "root_id", depth, "size")
+        if ring is None:
+            return tree.drop("root_id")
+        at = ring.select(F.col("id").alias("root_id"), "least")
+        return tree.join(at, "root_id", "left").select("id", F.coalesce("least", "root").alias("root"), F.when(F.col("least").isNotNull(), F.lit(-1)).otherwise(F.col("depth")).cast("bigint").alias("depth"), "size")
+    up = names.select(F.col("id").alias("parent"), F.col("name").alias("parent_name"))
+    own = F.array(F.struct(F.col("chain_name").alias("chain"), F.col("pos").alias("upto")))
+    tree = placed.join(up, "parent", "left").select(
+        F.col("name").alias("id"), F.col("parent_name").alias("parent"), F.col("root_name").alias("root"), "root_id", F.col("id").alias("_id"), depth, "size", F.col("chain_name").alias("chain"), "pos", F.concat(own, "segments").alias("segments"), tin
+    )
     if ring is None:
-        return tree.withColumns({"first": F.col("tin"), "end": F.col("tin") + F.col("size")})
+        return tree.drop("root_id", "_id").withColumns({"first": F.col("tin"), "end": F.col("tin") + F.col("size")})
     return _closed_rings(tree, ring)
 
 
-def _clean(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+def _clean(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(id, parent) as numbers, void parents null, and (id, name)."""
     one = nodes.select("id", "parent").filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
-    one = scratch.cut(one)
-    known = one.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
-    linked = one.join(known, "parent", "left")
-    return scratch.cut(linked.select("id", F.when(F.col("_known"), F.col("parent")).alias("parent")))
+    # sorted, so that numbers don't depend on the order in which rows arrive; written, so that they stay
+    one = scratch.cut(one.sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("n"), "id", "parent"))
+    known = one.select(F.col("id").alias("parent"), F.col("n").alias("_up"))
+    base = one.filter(F.col("parent").isNotNull()).select("n", "parent").join(known, "parent").select(F.col("n").alias("id"), F.col("_up").alias("parent"))
+    alone = one.select(F.col("n").alias("id"), F.lit(None).cast("bigint").alias("parent"))
+    linked = alone.unionByName(base).groupBy("id").agg(F.max("parent").alias("parent"))
+    return scratch.cut(linked), one.select(F.col("n").alias("id"), F.col("id").alias("name"))
 
 
-def _sizes_and_cycles(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+def _sizes_and_cycles(base: DataFrame, names: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
     """``(id, parent, size)`` of the forest with its cycles cut, and the nodes on cycles (None if there are none)."""
     state, left = _doubled(base, scratch)
     sized = state.filter(F.col("jump").isNull()).drop("jump")
     if not left:
         return sized, None
     stuck = state.filter(F.col("jump").isNotNull()).select("id", "parent")
-    ring = _cycles(stuck, left, scratch)
+    ring = _cycles(stuck.join(names, "id"), left, scratch)
     heads = ring.select("id", F.lit(True).alias("_head"))
     cut = scratch.cut(stuck.join(heads, "id", "left").select("id", F.when(F.col("_head").isNull(), F.col("parent")).alias("parent")))
     hanging = _doubled(cut, scratch)[0].drop("jump")
@@ -89,7 +107,7 @@ def _doubled(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
         open_before = open_now
         onward = state.select(F.col("id").alias("jump"), F.col("jump").alias("_next"))
         stepped = ways.select("id", "jump").join(onward, "jump")
-        none, nought = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+        none, nought = F.lit(None).cast("bigint"), F.lit(0).cast("bigint")
         # one aggregate takes the node itself, its next jump, and the counts sent to it, combined before the shuffle
         kept = state.select("id", "parent", none.alias("jump"), "size")
         moved = stepped.select("id", none.alias("parent"), F.col("_next").alias("jump"), nought.alias("size"))
@@ -103,15 +121,15 @@ def _doubled(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
 
 def _cycles(stuck: DataFrame, count: int, scratch: Scratch) -> DataFrame:
     """``(id, parent, least)`` of the nodes on cycles, with the smallest id of each one's cycle."""
-    state = stuck.select("id", "parent", F.col("parent").alias("jump"), F.col("id").alias("least"))
+    state = stuck.select("id", "parent", F.col("parent").alias("jump"), F.col("name").alias("least"), F.col("name").alias("own"))
     for _ in range(max(1, math.ceil(math.log2(count)))):
         other = state.select(F.col("id").alias("jump"), F.col("jump").alias("_next"), F.col("least").alias("_least"))
         state = scratch.cut(
-            state.join(other, "jump").select("id", "parent", F.col("_next").alias("jump"), F.least("least", "_least").alias("least"))
+            state.join(other, "jump").select("id", "parent", F.col("_next").alias("jump"), F.least("least", "_least").alias("least"), "own")
         )
     # after 2**k >= count steps every way is on its cycle and all nodes of the cycle are reached; a stretch of that length has seen all of it
     reached = state.select(F.col("jump").alias("id")).distinct()
-    return scratch.cut(state.join(reached, "id").select("id", "parent", "least"))
+    return scratch.cut(state.join(reached, "id").select("id", "parent", "least", "own"))
 
 
 def _ring_order(ring: DataFrame, hanging: DataFrame, scratch: Scratch) -> DataFrame:
@@ -119,15 +137,16 @@ def _ring_order(ring: DataFrame, hanging: DataFrame, scratch: Scratch) -> DataFr
     sized = ring.join(hanging.select("id", "size"), "id")
     total = sized.groupBy("least").agg(F.sum("size").alias("whole"))
     offset = running_total(sized, "least", "id", "size", "offset")
-    return scratch.cut(offset.join(total, "least").select("id", F.col("parent").alias("_parent"), "least", "offset", "whole"))
+    up = ring.select(F.col("id").alias("parent"), F.col("own").alias("_parent"))
+    return scratch.cut(offset.join(total, "least").join(up, "parent").select("id", "_parent", "least", "offset", "whole"))
 
 
 def _closed_rings(tree: DataFrame, ring: DataFrame) -> DataFrame:
     """Put the trees that hang at cycles into their cycles' orders, and give the nodes on cycles their parents back."""
-    at = ring.select(F.col("id").alias("root"), "least", "offset", "whole", "_parent")
-    on = F.col("least").isNotNull() & (F.col("id") == F.col("root"))
+    at = ring.select(F.col("id").alias("root_id"), "least", "offset", "whole", "_parent")
+    on = F.col("least").isNotNull() & (F.col("_id") == F.col("root_id"))
     tin = F.col("tin") + F.coalesce("offset", F.lit(0))
-    return tree.join(at, "root", "left").select(
+    return tree.join(at, "root_id", "left").select(
         "id",
         F.when(on, F.col("_parent")).otherwise(F.col("parent")).alias("parent"),
         F.coalesce("least", "root").alias("root"),
@@ -173,19 +192,24 @@ def _chains(sized: DataFrame, scratch: Scratch) -> DataFrame:
     return state.drop("ended")
 
 
-def _chain_tree(chained: DataFrame, scratch: Scratch) -> DataFrame:
-    """Per chain: its root, the depth and order number of its head, and the segments above it."""
+def _chain_tree(chained: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per chain: its name, its root and the root's name, the depth and order number of its head, and the segments above it."""
     heads = chained.filter(F.col("id") == F.col("chain")).select(F.col("id").alias("head"), "parent", "size")
+    heads = scratch.cut(heads.join(names.select(F.col("id").alias("head"), F.col("name").alias("chain_name")), "head"))
+    above = heads.select(F.col("head").alias("up"), F.col("chain_name").alias("_up_name"))
     light = running_total(heads.filter(F.col("parent").isNotNull()), "parent", "head", "size", "_before")
     heavy = chained.filter("heavy").select("parent", F.col("size").alias("_heavy"))
     at = chained.select(F.col("id").alias("parent"), F.col("chain").alias("up"), F.col("pos").alias("_at"))
     placed = (
         light.join(heavy, "parent", "left")
         .join(at, "parent")
+        .join(above, "up")
         .select(
             "head",
-            F.lit(None).cast("string").alias("root"),
-            F.array(F.struct(F.col("up").alias("chain"), F.col("_at").alias("upto"))).alias("segments"),
+            "chain_name",
+            F.lit(None).cast("bigint").alias("root_id"),
+            F.lit(None).cast("string").alias("root_name"),
+            F.array(F.struct(F.col("_up_name").alias("chain"), F.col("_at").alias("upto"))).alias("segments"),
             (F.col("_at") + 1).alias("above"),
             (F.col("_at") + 1 + F.coalesce("_heavy", F.lit(0)) + F.col("_before")).alias("tin_head"),
             "up",
@@ -193,35 +217,40 @@ def _chain_tree(chained: DataFrame, scratch: Scratch) -> DataFrame:
     )
     roots = heads.filter(F.col("parent").isNull()).select(
         "head",
-        F.col("head").alias("root"),
+        "chain_name",
+        F.col("head").alias("root_id"),
+        F.col("chain_name").alias("root_name"),
         F.array().cast("array<struct<chain:string,upto:bigint>>").alias("segments"),
         F.lit(0).cast("bigint").alias("above"),
         F.lit(0).cast("bigint").alias("tin_head"),
-        F.lit(None).cast("string").alias("up"),
+        F.lit(None).cast("bigint").alias("up"),
     )
     state = scratch.cut(roots.unionByName(placed))
-    while state.filter(F.col("root").isNull()).limit(1).count():
+    while state.filter(F.col("root_id").isNull()).limit(1).count():
         other = state.select(
             F.col("head").alias("up"),
-            F.col("root").alias("_root"),
+            F.col("root_id").alias("_root"),
+            F.col("root_name").alias("_root_name"),
             F.col("segments").alias("_segments"),
             F.col("above").alias("_above"),
             F.col("tin_head").alias("_tin"),
             F.col("up").alias("_up"),
         )
         moved = (
-            state.filter(F.col("root").isNull())
+            state.filter(F.col("root_id").isNull())
             .join(other, "up")
             .select(
                 "head",
-                F.col("_root").alias("root"),
+                "chain_name",
+                F.col("_root").alias("root_id"),
+                F.col("_root_name").alias("root_name"),
                 F.concat("segments", "_segments").alias("segments"),
                 (F.col("above") + F.col("_above")).alias("above"),
                 (F.col("tin_head") + F.col("_tin")).alias("tin_head"),
                 F.col("_up").alias("up"),
             )
         )
-        fresh, old = scratch.cut(state.filter(F.col("root").isNotNull()).unionByName(moved)), state
+        fresh, old = scratch.cut(state.filter(F.col("root_id").isNotNull()).unionByName(moved)), state
         scratch.drop(old)
         state = fresh
     return state.drop("up")
@@ -246,10 +275,12 @@ def expand_descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """``(id, descendant)`` for the wanted nodes: all nodes whose order number lies in the node's interval.
 
     For a node on a cycle these are the nodes of its hanging tree; all nodes with its ``root`` are its descendants too.
+    Intervals and order numbers meet by root and stretch of ``STRETCH`` numbers: a tree of any size is many keys, and an interval as many as it has stretches.
     """
     span = tree.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "root", F.col("tin").alias("_from"), (F.col("tin") + F.col("size")).alias("_to"))
-    below = tree.select(F.col("id").alias("descendant"), "root", "tin")
-    return span.join(below, "root").filter((F.col("tin") > F.col("_from")) & (F.col("tin") < F.col("_to"))).select("id", "descendant")
+    span = span.filter(F.col("_to") - F.col("_from") > 1).withColumn("_at", F.explode(F.sequence(F.floor((F.col("_from") + 1) / STRETCH), F.floor((F.col("_to") - 1) / STRETCH))))
+    below = tree.select(F.col("id").alias("descendant"), "root", "tin", F.floor(F.col("tin") / STRETCH).alias("_at"))
+    return span.join(below, ["root", "_at"]).filter((F.col("tin") > F.col("_from")) & (F.col("tin") < F.col("_to"))).select("id", "descendant")
 
 
 def resolve_references(refs: DataFrame, ids: DataFrame) -> DataFrame:

@@ -39,12 +39,12 @@ def index_links(spark: SparkSession, folder: str, scratch: Scratch) -> DataFrame
     return ids.join(links, "id", "left")
 
 
-def forests(spark: SparkSession, folder: str) -> DataFrame:
+def forests(spark: SparkSession, folder: str, paths: bool = True) -> DataFrame:
     """Both forests in one run: ids carry the forest's name, so that they can't meet."""
     scratch = Scratch(spark, "forests")
     tag = lambda df, name: df.select(*[F.concat(F.lit(name + "\t"), c).alias(c) for c in ("id", "parent")])
     links = tag(summary_links(spark, folder, scratch), "summary").unionByName(tag(index_links(spark, folder, scratch), "index"))
-    return H.hierarchy(links, scratch)
+    return H.hierarchy(links, scratch, paths)
 
 
 def _bare(name: str):
@@ -52,8 +52,8 @@ def _bare(name: str):
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per node of either forest: root and depth, read off its chain segments."""
-    tree = forests(spark, folder)
+    """One row per node of either forest: root and depth, read off its chain and what lies above it."""
+    tree = forests(spark, folder, paths=False)
     return tree.select(
         F.substring_index("id", "\t", 1).alias("forest"),
         _bare("id").alias("node_id"),

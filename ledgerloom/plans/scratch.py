@@ -3,7 +3,8 @@
 An iterative operator writes each round as a Parquet table in the folder that the
 session names in ``spark.checkpoint.dir`` and reads it back.  The folder is shared by all
 executors, so a lost executor costs a re-read and no recomputation.  Only a local session
-without that setting gets a folder of its own.
+without that setting gets a folder of its own.  A run's tables are dropped when later rounds no
+longer need them, all others when the application ends.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(root)
+        files.deleteOnExit(root)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and read it back, without its lineage."""

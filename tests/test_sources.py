@@ -95,8 +95,15 @@ def test_results_and_bookkeeping(spark, tmp_path):
     ep = str(tmp_path / "ep")
     df = spark.createDataFrame([("a", 1), ("b", 2)], "episode_id string, n int")
     df.write.parquet(ep)
-    R.purge(spark, [ep], df.filter("n = 1"), Scratch(spark, "t"))
+    R.purge(spark, [ep], df.filter("n = 1"))
     assert [r.n for r in spark.read.parquet(ep).collect()] == [2]
+    table = str(tmp_path / "table")
+    R.replace_episodes(spark.createDataFrame([(f"e{i}", i) for i in range(600)], "episode_id string, n int"), table, Scratch(spark, "t"))
+    R.replace_episodes(spark.createDataFrame([("e5", 50), ("e5", 51), ("new", 1)], "episode_id string, n int"), table, Scratch(spark, "t"))
+    assert {(r.episode_id, r.n) for r in spark.read.parquet(table).collect()} == {(f"e{i}", i) for i in range(600) if i != 5} | {("e5", 50), ("e5", 51), ("new", 1)}
+    first = str(tmp_path / "first")
+    assert R.append_new(spark.createDataFrame([("k", "late", 2), ("k", "early", 1)], "k string, v string, at int"), first, ["k"], "at") == 1
+    assert [r.v for r in spark.read.parquet(first).collect()] == ["early"]
     assert json.loads(R.payloads(a, ["k"]).first().payload) == {"k": "x", "n": 1}
 
 
