@@ -63,6 +63,7 @@ def ledger(observations: DataFrame) -> DataFrame:
 
 
 def _record_block(rank: str, record: str) -> Column:
+    """Blocks of record numbers, in order: those of a rank never meet those of another."""
     return F.struct(F.col(rank).alias("r"), F.floor(F.col(record) / SPAN).alias("b"))
 
 
@@ -71,38 +72,55 @@ def intervals(observations: DataFrame, scratch: Scratch) -> DataFrame:
 
     Valid for turns in ``[turn, until)`` (null: open), believed from (rank, record) until (until_rank, until_record) (null: still).
     """
-    keys = [*_SLOT, "turn"]
+    claims_, names = _numbered(observations, scratch)
+    told = _told(_rows(claims_, scratch), claims_).join(names, "sid")
+    return told.select(*_SLOT, "key", "value", "turn", "until", "rank", "record", "until_rank", "until_record")
+
+
+def _numbered(observations: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(sid, turn, rank, record, key, value): one claim per turn and record number, slots as numbers; and (sid, episode_id, slot)."""
     best = F.max(F.struct("key", "value")).alias("said")
-    claims_ = scratch.cut(observations.groupBy(*keys, "rank", "record").agg(best))
-    points = claims_.groupBy(*keys).agg(F.min(F.struct("rank", "record")).alias("first"))
-    nothing, open_end = F.lit(None).cast(dict(claims_.dtypes)["said"]), F.lit(None).cast("int")
-    said = claims_.select(*keys, F.struct("rank", "record").alias("at"), "said", open_end.alias("to"))
+    one = scratch.cut(observations.groupBy(*_SLOT, "turn", "rank", "record").agg(best))
+    names = scratch.cut(one.select(*_SLOT).distinct().sortWithinPartitions(*_SLOT).select(F.monotonically_increasing_id().alias("sid"), *_SLOT))
+    return scratch.cut(one.join(names, _SLOT).select("sid", "turn", "rank", "record", "said.key", "said.value")), names
+
+
+def _rows(claims_: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ledger's rows in numbers: (sid, turn, until, rank, record, until_rank, until_record, by_rank, by_record), by whose claim they hold."""
+    points = claims_.groupBy("sid", "turn").agg(F.min(F.struct("rank", "record")).alias("first"))
     beside = _neighbours(points, scratch)
-    own = beside.filter(F.col("right").isNotNull()).select(*keys, F.col("first").alias("at"), nothing.alias("said"), F.col("right").alias("to"))
-    split = beside.filter(F.col("left").isNotNull()).select(*_SLOT, F.col("left").alias("turn"), F.col("first").alias("at"), nothing.alias("said"), F.col("turn").alias("to"))
-    events = said.unionByName(own).unionByName(split).groupBy(*keys, "at").agg(F.max("said").alias("said"), F.min("to").alias("to"))
-    rows = _states(events, keys).select(
-        *_SLOT, "said.key", "said.value", "turn", F.col("to").alias("until"), "at.rank", "at.record", F.col("next.rank").alias("until_rank"), F.col("next.record").alias("until_record")
-    )
-    return scratch.cut(rows)
+    said = claims_.select("sid", "turn", "rank", "record", F.lit(1).alias("claim"), F.lit(None).cast("int").alias("to"))
+    own = beside.filter(F.col("right").isNotNull()).select("sid", "turn", "first.rank", "first.record", F.lit(0).alias("claim"), F.col("right").alias("to"))
+    split = beside.filter(F.col("left").isNotNull()).select("sid", F.col("left").alias("turn"), "first.rank", "first.record", F.lit(0).alias("claim"), F.col("turn").alias("to"))
+    events = said.unionByName(own).unionByName(split).groupBy("sid", "turn", "rank", "record").agg(F.max("claim").alias("claim"), F.min("to").alias("to"))
+    return scratch.cut(_states(events))
+
+
+def _told(rows: DataFrame, claims_: DataFrame) -> DataFrame:
+    """Rows with the key and value of their claims."""
+    by = claims_.select("sid", "turn", F.col("rank").alias("by_rank"), F.col("record").alias("by_record"), "key", "value")
+    return rows.join(by, ["sid", "turn", "by_rank", "by_record"])
 
 
-def _states(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Events of a turn in record order -> what held after each: the last value, the least end, and when the next event came.
+def _states(events: DataFrame) -> DataFrame:
+    """Events of a turn in record order -> what held after each: the last claim, the least end, and when the next event came.
 
     In blocks of record numbers; only turns of several blocks need the second window.
     """
-    cut = events.withColumn("_b", F.struct(F.col("at.rank").alias("r"), F.floor(F.col("at.record") / SPAN).alias("b")))
-    inner = Window.partitionBy(*keys, "_b").orderBy("at")
+    keys, at = ["sid", "turn"], F.struct("rank", "record")
+    cut = events.withColumn("_b", _record_block("rank", "record"))
+    inner = Window.partitionBy(*keys, "_b").orderBy("rank", "record")
     upto, outer = inner.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy(*keys).orderBy("_b")
     before = outer.rowsBetween(Window.unboundedPreceding, -1)
-    blocks = cut.groupBy(*keys, "_b").agg(F.max_by("said", F.when(F.col("said").isNotNull(), F.col("at"))).alias("_s"), F.min("to").alias("_t"), F.min("at").alias("_f"))
+    claim = F.when(F.col("claim") == 1, at)
+    blocks = cut.groupBy(*keys, "_b").agg(F.max(claim).alias("_s"), F.min("to").alias("_t"), F.min(at).alias("_f"))
     carried = blocks.select(
-        *keys, "_b", F.last("_s", ignorenulls=True).over(before).alias("_said"), F.min("_t").over(before).alias("_to"), F.lead("_f").over(outer).alias("_next"), F.lag("_f").over(outer).alias("_prior")
+        *keys, "_b", F.last("_s", ignorenulls=True).over(before).alias("_by"), F.min("_t").over(before).alias("_to"), F.lead("_f").over(outer).alias("_next"), F.lag("_f").over(outer).alias("_prior")
     ).filter(F.col("_next").isNotNull() | F.col("_prior").isNotNull()).drop("_prior")
-    near = cut.withColumn("said", F.last("said", ignorenulls=True).over(upto)).withColumn("to", F.min("to").over(upto)).withColumn("next", F.lead("at").over(inner))
+    near = cut.select(*keys, "_b", "rank", "record", F.last(claim, ignorenulls=True).over(upto).alias("by"), F.min("to").over(upto).alias("to"), F.lead(at).over(inner).alias("next"))
     both = near.join(carried, [*keys, "_b"], "left")
-    return both.select(*keys, "at", F.coalesce("said", "_said").alias("said"), F.least("to", "_to").alias("to"), F.coalesce("next", "_next").alias("next"))
+    by, after = F.coalesce("by", "_by"), F.coalesce("next", "_next")
+    return both.select(*keys, F.least("to", "_to").alias("until"), "rank", "record", after["rank"].alias("until_rank"), after["record"].alias("until_record"), by["rank"].alias("by_rank"), by["record"].alias("by_record"))
 
 
 def _neighbours(points: DataFrame, scratch: Scratch) -> DataFrame:
@@ -110,39 +128,39 @@ def _neighbours(points: DataFrame, scratch: Scratch) -> DataFrame:
     earlier = lambda x: (x["turn"] < F.col("p.turn")) & (x["first"] <= F.col("p.first"))
     later = lambda x: (x["turn"] > F.col("p.turn")) & (x["first"] < F.col("p.first"))
     leaf = F.floor(F.col("turn") / FAN).cast("int")
-    leaves = points.groupBy(*_SLOT, leaf.alias("node")).agg(F.collect_list(F.struct("turn", "first")).alias("kids"))  # at most FAN turns
+    leaves = points.groupBy("sid", leaf.alias("node")).agg(F.collect_list(F.struct("turn", "first")).alias("kids"))  # at most FAN turns
     leaves = scratch.cut(leaves)
     greatest = (leaves.agg(F.max("node").alias("n")).first().n or 0) * FAN
-    opened = leaves.select(*_SLOT, "node", "kids", F.explode("kids").alias("p"))
+    opened = leaves.select("sid", "node", "kids", F.explode("kids").alias("p"))
     turn_of = lambda kids: F.transform(kids, lambda x: x["turn"])
-    near = opened.select(*_SLOT, "node", F.col("p.turn").alias("turn"), F.col("p.first").alias("first"), F.array_max(turn_of(F.filter("kids", earlier))).alias("left"), F.array_min(turn_of(F.filter("kids", later))).alias("right"))
+    near = opened.select("sid", "node", F.col("p.turn").alias("turn"), F.col("p.first").alias("first"), F.array_max(turn_of(F.filter("kids", earlier))).alias("left"), F.array_min(turn_of(F.filter("kids", later))).alias("right"))
     if greatest < FAN:
         return near.drop("node")
     # levels[l] holds nodes whose children are nodes of level l - 1; level 0 are the leaves
     levels, span, kids = [leaves], FAN, leaves
     while greatest // span:
         least = F.array_min(F.transform("kids", lambda x: x["first"]))
-        kids = kids.select(*_SLOT, F.floor(F.col("node") / FAN).cast("int").alias("up"), F.struct(F.col("node").alias("turn"), least.alias("first")).alias("k"))
-        kids = scratch.cut(kids.groupBy(*_SLOT, F.col("up").alias("node")).agg(F.collect_list("k").alias("kids")))
+        kids = kids.select("sid", F.floor(F.col("node") / FAN).cast("int").alias("up"), F.struct(F.col("node").alias("turn"), least.alias("first")).alias("k"))
+        kids = scratch.cut(kids.groupBy("sid", F.col("up").alias("node")).agg(F.collect_list("k").alias("kids")))
         levels.append(kids)
         span *= FAN
     sides = F.array_compact(F.array(F.when(F.col("left").isNull(), F.lit("left")), F.when(F.col("right").isNull(), F.lit("right"))))
-    asked = near.select(*_SLOT, "turn", "first", "node", F.explode(sides).alias("side"))
+    asked = near.select("sid", "turn", "first", "node", F.explode(sides).alias("side"))
     found = None
     for level in range(1, len(levels)):  # up: a sibling that holds an early enough record
         asked = scratch.cut(_picked(asked.withColumn("child", F.col("node")).withColumn("node", F.floor(F.col("node") / FAN).cast("int")), levels[level], F.col("child")))
-        hit = asked.filter(F.col("pick").isNotNull()).select(*_SLOT, "turn", "first", "side", F.col("pick").alias("node"))
+        hit = asked.filter(F.col("pick").isNotNull()).select("sid", "turn", "first", "side", F.col("pick").alias("node"))
         for below in range(level - 1, -1, -1):  # down: the child nearest to the asking turn
-            hit = _picked(hit, levels[below], None).select(*_SLOT, "turn", "first", "side", F.col("pick").alias("node"))
+            hit = _picked(hit, levels[below], None).select("sid", "turn", "first", "side", F.col("pick").alias("node"))
         found = hit if found is None else found.unionByName(hit)
         asked = asked.filter(F.col("pick").isNull()).drop("pick", "child")
-    far = found.groupBy(*_SLOT, "turn").agg(F.max(F.when(F.col("side") == "left", F.col("node"))).alias("_left"), F.max(F.when(F.col("side") == "right", F.col("node"))).alias("_right"))
-    return near.join(far, [*_SLOT, "turn"], "left").select(*_SLOT, "turn", "first", F.coalesce("left", "_left").alias("left"), F.coalesce("right", "_right").alias("right"))
+    far = found.groupBy("sid", "turn").agg(F.max(F.when(F.col("side") == "left", F.col("node"))).alias("_left"), F.max(F.when(F.col("side") == "right", F.col("node"))).alias("_right"))
+    return near.join(far, ["sid", "turn"], "left").select("sid", "turn", "first", F.coalesce("left", "_left").alias("left"), F.coalesce("right", "_right").alias("right"))
 
 
 def _picked(asked: DataFrame, nodes: DataFrame, own: Column | None) -> DataFrame:
     """``asked`` with ``pick``: the child nearest to the asking turn whose earliest record is early enough (beside ``own``, if given)."""
-    both = asked.join(nodes, [*_SLOT, "node"])
+    both = asked.join(nodes, ["sid", "node"])
     left = F.filter("kids", lambda x: (x["first"] <= F.col("first")) & (F.lit(True) if own is None else x["turn"] < own))
     right = F.filter("kids", lambda x: (x["first"] < F.col("first")) & (F.lit(True) if own is None else x["turn"] > own))
     at = lambda kids: F.transform(kids, lambda x: x["turn"])
@@ -162,10 +180,12 @@ def versions(observations: DataFrame, as_of: tuple[int, int] | None = None, scra
 
     ``as_of``: the belief when claims up to that (rank, record) were in.
     """
-    points = belief(intervals(observations, scratch or Scratch(observations.sparkSession, "versions")), as_of)
-    compared = previous_in_order(points.select(*_SLOT, "turn", "key", "value"), _SLOT, "turn", "key", "_prior")
+    scratch = scratch or Scratch(observations.sparkSession, "versions")
+    claims_, names = _numbered(observations, scratch)
+    points = _told(belief(_rows(claims_, scratch), as_of), claims_)
+    compared = previous_in_order(points.select("sid", "turn", "key", "value"), ["sid"], "turn", "key", "_prior")
     starts = compared.filter(F.col("_prior").isNull() | (F.col("_prior") != F.col("key"))).drop("_prior", "key")
-    closed = previous_in_order(starts, _SLOT, "turn", "turn", "_next", lead=True)
+    closed = previous_in_order(starts, ["sid"], "turn", "turn", "_next", lead=True).join(names, "sid")
     return closed.select(
         "episode_id",
         "slot",
