@@ -171,20 +171,22 @@ class Votes:
         turn = TURN.search(low, told.end()) if told else None
         onward = bool(turn) and bool(re.search(r"\d", low[turn.end() :]) or ((fact_key or "").lower() or "\0") in low[turn.end() :])
         refuses = bool(told) and not onward and not holds_gold
-        alien = (foreign >= 2 or others >= 2) and others + foreign > own
+        strange = 2 if asks else 1  # one grammatical Han character shows a Chinese sentence, one English word no English one
+        alien = (foreign >= strange or others >= 2) and others + foreign > own
         blank_gold, bad_gold = _cached_gold(gold)
-        asked, quiet, found = bool(qk), silent or stand_in, scripts + foreign + others
+        quiet, found = silent or stand_in, scripts + foreign + others
+        asked = bool(qk) and not quiet
         if asks:
             second = _vote((english >= 2 or others >= 2) and own == 0, han >= 1)
         else:
-            second = _vote(asked and others >= 1 and margin >= 1.5, margin < 0 and not scripts and foreign < 2)
+            second = _vote(asked and own == 0 and (han >= 1 or (others >= 1 and margin >= 1.5)), margin < 0 and not scripts and foreign == 0)
         return {
             "empty": (_vote(not said, said and not quiet), _vote(silent, not quiet), _vote(stand_in, not quiet), _vote(error == "empty completion")),
             "truncated": (_vote(marked, closed), _vote(sentence and not closed and not copied, closed or not sentence or copied), _vote(odd and not silent and not copied), _vote(error in _CUT), _vote(False, quiet)),
             "refusal": (_vote(refuses, not told), _vote(EXCUSE.match(said)), _vote(False, onward), _vote(refuses, holds_gold), -1 if silent else self.refusal(said, said_words)),
             "copy": (_vote(copied, not copied), _vote(copied, rest is not None and not copied), _vote(False, len(pk) < len(qk))),
             "language": (
-                _vote(asked and own == 0 and found and (scripts >= 1 or alien or (others >= 1 and margin >= 1.0)), own >= 2),
+                _vote(asked and own == 0 and found and (scripts >= 1 or alien or (others >= 1 and margin >= 1.0)), own >= 2 or quiet),
                 second,
                 _vote(asked and own <= 1 and (scripts >= 2 or foreign >= 3 or others >= 3), scripts == 0 and foreign == 0 and others <= 1),
                 _vote(False, copied or quiet or refuses),
