@@ -43,7 +43,21 @@ STRETCH = 1024
 
 def hierarchy(nodes: DataFrame, scratch: Scratch, paths: bool = True) -> DataFrame:
     """``(id, parent, root, depth, size, chain, pos, segments, tin, first, end)`` for every node; without ``paths`` only ``(id, root, depth, size)``."""
-    base, names = _clean(nodes, scratch)
+    base, alone, names = _clean(nodes, scratch)
+    return _linked(base, names, scratch, paths).unionByName(_single(alone, names, paths))
+
+
+def _single(alone: DataFrame, names: DataFrame, paths: bool) -> DataFrame:
+    """Nodes with neither parent nor child."""
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    rows = alone.join(names, "id").select(F.col("name").alias("id"), F.col("name").alias("root"), zero.alias("depth"), one.alias("size"))
+    if not paths:
+        return rows
+    own = F.array(F.struct(F.col("id").alias("chain"), zero.alias("upto")))
+    return rows.withColumns({"parent": F.lit(None).cast("string"), "chain": F.col("id"), "pos": zero, "segments": own, "tin": zero, "first": zero, "end": one})
+
+
+def _linked(base: DataFrame, names: DataFrame, scratch: Scratch, paths: bool) -> DataFrame:
     sized, ring = _sizes_and_cycles(base, names, scratch)
     chained = _chains(sized, scratch)
     tops = _chain_tree(chained, names, scratch)
@@ -65,16 +79,18 @@ def hierarchy(nodes: DataFrame, scratch: Scratch, paths: bool = True) -> DataFra
     return _closed_rings(tree, ring)
 
 
-def _clean(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(id, parent) as numbers, void parents null, and (id, name)."""
+def _clean(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, parent) as numbers, void parents null; (id) of the nodes without any link, which need no rounds; and (id, name)."""
     one = nodes.select("id", "parent").filter(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"))
     # sorted, so that numbers don't depend on the order in which rows arrive; written, so that they stay
     one = scratch.cut(one.sortWithinPartitions("id").select(F.monotonically_increasing_id().alias("n"), "id", "parent"))
     known = one.select(F.col("id").alias("parent"), F.col("n").alias("_up"))
     base = one.filter(F.col("parent").isNotNull()).select("n", "parent").join(known, "parent").select(F.col("n").alias("id"), F.col("_up").alias("parent"))
-    alone = one.select(F.col("n").alias("id"), F.lit(None).cast("bigint").alias("parent"))
-    linked = alone.unionByName(base).groupBy("id").agg(F.max("parent").alias("parent"))
-    return scratch.cut(linked), one.select(F.col("n").alias("id"), F.col("id").alias("name"))
+    none = F.lit(None).cast("bigint").alias("parent")
+    every = one.select(F.col("n").alias("id"), none, F.lit(0).alias("kids")).unionByName(base.withColumn("kids", F.lit(0))).unionByName(base.select(F.col("parent").alias("id"), none, F.lit(1).alias("kids")))
+    linked = scratch.cut(every.groupBy("id").agg(F.max("parent").alias("parent"), F.max("kids").alias("kids")))
+    bare = F.col("parent").isNull() & (F.col("kids") == 0)
+    return linked.filter(~bare).select("id", "parent"), linked.filter(bare).select("id"), one.select(F.col("n").alias("id"), F.col("id").alias("name"))
 
 
 def _sizes_and_cycles(base: DataFrame, names: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
@@ -86,7 +102,7 @@ def _sizes_and_cycles(base: DataFrame, names: DataFrame, scratch: Scratch) -> tu
     stuck = state.filter(F.col("jump").isNotNull()).select("id", "parent")
     ring = _cycles(stuck.join(names, "id"), left, scratch)
     heads = ring.select("id", F.lit(True).alias("_head"))
-    cut = scratch.cut(stuck.join(heads, "id", "left").select("id", F.when(F.col("_head").isNull(), F.col("parent")).alias("parent")))
+    cut = stuck.join(heads, "id", "left").select("id", F.when(F.col("_head").isNull(), F.col("parent")).alias("parent"))
     hanging = _doubled(cut, scratch)[0].drop("jump")
     return sized.unionByName(hanging), _ring_order(ring, hanging, scratch)
 
@@ -97,11 +113,10 @@ def _doubled(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
     A round after which no further way has ended shows that the rest never ends: were a node
     2**k or more below a root, its ancestors would fill every smaller depth.
     """
-    state = base.withColumn("jump", F.col("parent")).withColumn("size", F.lit(1).cast("bigint"))
-    open_before, made = None, None
+    state, open_now = scratch.cut_counting(base.withColumn("jump", F.col("parent")).withColumn("size", F.lit(1).cast("bigint")), F.col("jump").isNotNull())
+    open_before = None
     while True:
         ways = state.filter(F.col("jump").isNotNull())
-        open_now = ways.count()
         if open_now == 0 or open_now == open_before:
             return state, open_now
         open_before = open_now
@@ -113,10 +128,9 @@ def _doubled(base: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
         moved = stepped.select("id", none.alias("parent"), F.col("_next").alias("jump"), nought.alias("size"))
         sent = ways.select(F.col("jump").alias("id"), none.alias("parent"), none.alias("jump"), "size")
         fresh = kept.unionByName(moved).unionByName(sent).groupBy("id").agg(F.max("parent").alias("parent"), F.max("jump").alias("jump"), F.sum("size").alias("size"))
-        state, old = scratch.cut(fresh), made
-        made = state
-        if old is not None:
-            scratch.drop(old)
+        old = state
+        state, open_now = scratch.cut_counting(fresh, F.col("jump").isNotNull())
+        scratch.drop(old)
 
 
 def _cycles(stuck: DataFrame, count: int, scratch: Scratch) -> DataFrame:
@@ -178,17 +192,17 @@ def _chains(sized: DataFrame, scratch: Scratch) -> DataFrame:
         F.when(F.col("heavy"), F.lit(1)).otherwise(F.lit(0)).cast("bigint").alias("pos"),
         F.coalesce(~F.col("heavy"), F.lit(True)).alias("ended"),
     )
-    state = scratch.cut(state)
-    while state.filter(~F.col("ended")).limit(1).count():
+    state, left = scratch.cut_counting(state, ~F.col("ended"))
+    while left:
         other = state.select(F.col("id").alias("chain"), F.col("chain").alias("_to"), F.col("pos").alias("_pos"), F.col("ended").alias("_ended"))
         moved = (
             state.filter(~F.col("ended"))
             .join(other, "chain")
             .select("id", "parent", "size", "heavy", F.col("_to").alias("chain"), (F.col("pos") + F.col("_pos")).alias("pos"), F.col("_ended").alias("ended"))
         )
-        fresh, old = scratch.cut(state.filter("ended").unionByName(moved)), state
+        old = state
+        state, left = scratch.cut_counting(state.filter("ended").unionByName(moved), ~F.col("ended"))
         scratch.drop(old)
-        state = fresh
     return state.drop("ended")
 
 
@@ -225,8 +239,8 @@ def _chain_tree(chained: DataFrame, names: DataFrame, scratch: Scratch) -> DataF
         F.lit(0).cast("bigint").alias("tin_head"),
         F.lit(None).cast("bigint").alias("up"),
     )
-    state = scratch.cut(roots.unionByName(placed))
-    while state.filter(F.col("root_id").isNull()).limit(1).count():
+    state, left = scratch.cut_counting(roots.unionByName(placed), F.col("root_id").isNull())
+    while left:
         other = state.select(
             F.col("head").alias("up"),
             F.col("root_id").alias("_root"),
@@ -250,9 +264,9 @@ def _chain_tree(chained: DataFrame, names: DataFrame, scratch: Scratch) -> DataF
                 F.col("_up").alias("up"),
             )
         )
-        fresh, old = scratch.cut(state.filter(F.col("root_id").isNotNull()).unionByName(moved)), state
+        old = state
+        state, left = scratch.cut_counting(state.filter(F.col("root_id").isNotNull()).unionByName(moved), F.col("root_id").isNull())
         scratch.drop(old)
-        state = fresh
     return state.drop("up")
 
 

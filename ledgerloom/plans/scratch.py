@@ -12,7 +12,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -49,6 +50,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def cut_counting(self, df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+        """``cut``, and how many rows meet the condition, counted while they are written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count_if(condition).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables made by ``cut`` that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
