@@ -85,13 +85,18 @@ REFUSAL_EN = re.compile(
     r"|\bprefer not to\b|\bprevent(?:s|ed)? me from\b|\bkeep (?:it|that|this) to myself\b",
     re.I,
 )
-HINTS = re.compile("n't|not|refus|declin|unable|permi|allow|author|free|agains|inappr|beyond|outsid|comfor|limits|prefer|preven|myself|must|may")
+HINTS = frozenset(
+    "not cannot can't won't don't doesn't isn't shouldn't mustn't wouldn't refuse refuses refusing refused decline declines declining declined unable permission permitted allowed authorised authorized free against inappropriate"
+    " beyond outside comfortable limits prefer prevent prevents prevented keep myself rather must may off".split()
+)
 REFUSAL_ZH = re.compile(r"恕我|恕不|拒绝(?:回答|提供|透露|谈论)|没有权限|无权|不便(?:透露|回答|说明|提供|谈论|讨论)|不能(?:提供|回答|透露|说明|谈论|讨论|告诉|协助|帮)|无法(?:协助|回答|提供|透露|帮|谈论|满足|处理)|不被允许|不允许(?:我)?(?:说|谈|回答|透露)|不方便(?:透露|回答|说明|谈论|讨论|提供)|超出了?我|违反(?:我的|了)?(?:规定|规则|政策)|不予(?:回答|提供)")
 EXCUSE = re.compile(r"\W*(?:(?:i'm |i am )?sorry|unfortunately|regrettably|i apologi[sz]e|as an? (?:assistant|ai)|thank you for asking|抱歉|对不起|很遗憾|不好意思|作为(?:助手|AI)|感谢提问)", re.I)
 TURN = re.compile(r"\b(?:but|though|however|still|so)\b|[;:；：]|不过|但|然而|因此", re.I)
 
 MARK = re.compile(r"(?:\.\.\.|…+|。。。)$|[\[<(（【](?:cut|truncated|cut off|截断|未完|truncated output|continued|more)[\]>)）】]$", re.I)
 CLOSED = re.compile(r"[.!?。！？](?:[\"'”’»）)\]】*_`]|</?\w+>)*$|[\])）}>】]$|\*\*$")
+MAYBE_QUOTED = re.compile('[“"「『«@]')
+_STOPS = frozenset(".!?。！？")
 QUOTED = re.compile(r"[“\"「『«][^”\"」』»]*[”\"」』»]|\b[a-z]+\d+@[0-9a-f]+")
 PAIRED = re.compile(r'[*"(（“{\[]')
 LEAD = frozenset(["", "question", "q", "youasked", "theuserasked", "thequestionis", "yourquestion", "questionis", "问题", "问", "你问", "您问", "你问的是", "问题是", "提问", "用户问", "原问题"])
@@ -138,6 +143,18 @@ class Votes:
                     best, kind = share, k
         return 0 if best < CONTAINED else 1 if kind == "refusal" else -1
 
+    @staticmethod
+    def ending(said: str, silent: bool) -> tuple[bool, bool]:
+        """Whether a text ends in a mark of truncation, and whether it is closed; plain endings need no pattern."""
+        last = said[-1:]
+        if last.isalnum():
+            return False, False
+        if last in _STOPS and said[-2:-1].isalnum():
+            return False, True
+        end = said[-40:]
+        marked = not silent and MARK.search(end) is not None
+        return marked, not marked and CLOSED.search(end) is not None
+
     def __call__(self, question: str | None, gold: str | None, prediction: str | None, error: str | None, fact_key: str | None, said_words: list[str] | None = None) -> dict[str, tuple]:
         text = prediction or ""
         said_words = tokens(text) if said_words is None else said_words
@@ -146,7 +163,7 @@ class Votes:
         stand_in, silent = _stand_in(text, pk), pk == ""
         low = said.lower().replace("’", "'")
         # what is left of a sentence when quotes, the gold, the slot and ids are taken out
-        plain = QUOTED.sub(" ", low) if any(c in low for c in "“\"「『«@") else low
+        plain = QUOTED.sub(" ", low) if MAYBE_QUOTED.search(low) else low
         for known in (gold, fact_key):
             name = (known or "").strip(_EDGES).lower()
             if len(name) > 1:
@@ -161,12 +178,10 @@ class Votes:
         sentence = english + han + others + scripts >= 1
         rest = pk.replace(qk, "") if qk and qk in pk else None
         copied = rest is not None and rest in LEAD
-        end = said[-40:]
-        marked = not silent and bool(MARK.search(end))
-        closed = not marked and bool(CLOSED.search(end))
+        marked, closed = self.ending(said, silent)
         odd = PAIRED.search(said) is not None and (said.count("**") % 2 == 1 or said.count('"') % 2 == 1 or any(said.count(a) > said.count(b) for a, b in ("()", "（）", "“”", "{}", "[]")))
         holds_gold = len(gk) > 1 and gk in pk and gk not in ANSWERS
-        told = (not low.isascii() and REFUSAL_ZH.search(said)) or (HINTS.search(low) is not None and REFUSAL_EN.search(low))
+        told = (not low.isascii() and REFUSAL_ZH.search(said)) or (not HINTS.isdisjoint(said_words) and REFUSAL_EN.search(low))
         # an answer after a turn of the sentence: with the gold, the slot or a number in it
         turn = TURN.search(low, told.end()) if told else None
         onward = bool(turn) and bool(re.search(r"\d", low[turn.end() :]) or ((fact_key or "").lower() or "\0") in low[turn.end() :])
